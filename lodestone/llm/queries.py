@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontam, html, langid, pii, topk
+from . import decontam, html, langid, pii, quality, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every(table(spark, sf_dir, "embeddings"))
 
@@ -36,7 +40,7 @@ def op10_lineblock_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_norm_bucketed_topk, op6_bootstrap_pii, op7_hyperdimensional_langid, op9_prefix_decontamination, op10_lineblock_html)
+    f.__name__: f for f in (op1_neighbour_quality, op4_norm_bucketed_topk, op6_bootstrap_pii, op7_hyperdimensional_langid, op9_prefix_decontamination, op10_lineblock_html)
 }
 
 _SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
