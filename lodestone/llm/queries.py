@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontam, html, langid, pii, quality, topk
+from . import decontam, html, langid, pii, quality, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_difference_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every(table(spark, sf_dir, "embeddings"))
 
@@ -40,12 +44,23 @@ def op10_lineblock_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_neighbour_quality, op4_norm_bucketed_topk, op6_bootstrap_pii, op7_hyperdimensional_langid, op9_prefix_decontamination, op10_lineblock_html)
+    f.__name__: f for f in (op1_neighbour_quality, op3_difference_cover_substrings, op4_norm_bucketed_topk, op6_bootstrap_pii, op7_hyperdimensional_langid, op9_prefix_decontamination, op10_lineblock_html)
 }
 
 _SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_difference_cover_substrings": r"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    windows AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+    repeated AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS c FROM windows) WHERE c > 1),
+    gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM repeated),
+    words AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+    kept AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS s FROM words ANTI JOIN gone USING (r, p) GROUP BY r),
+    n AS (SELECT r, count(*) AS n FROM gone GROUP BY r)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+    """,
     "op4_norm_bucketed_topk": """
     WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS w FROM embeddings
         WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
