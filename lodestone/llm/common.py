@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,3 +83,41 @@ def rolling(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
     for k in range(width):
         out += hashes[k : k + len(out)] * powers[k]
     return mixed(out)
+
+
+def with_row(df: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """df with the place of each row, two longs that stay the same however often it is read: hash of the file and
+    number in it. A df that is not a scan of Parquet files is written as a table first."""
+    place = [F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)]
+    try:
+        return df.select("*", *place)
+    except AnalysisException:
+        return materialise(df).select("*", *place)
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, head): the smallest node of the component of each node of edges, by alternating large and small stars.
+
+    The rounds grow as the logarithm of the longest path; each is two aggregations and joins over the edges that are
+    left, written to the shared folder. Only counts and sums come to the driver."""
+    pairs = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+
+    def stamp(x: DataFrame) -> tuple:
+        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    before = stamp(pairs)
+    while before[0]:
+        # Large star: the larger neighbours of each node move to the smallest of its neighbours and itself.
+        both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # Small star: the smaller neighbours of each node, and it, move to the smallest of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        pairs = materialise(small)
+        after = stamp(pairs)
+        if after == before:
+            break
+        before = after
+    heads = pairs.select(F.col("u").alias("node"), F.col("v").alias("head"))
+    return heads.union(heads.select(F.col("head").alias("node"), "head").distinct())

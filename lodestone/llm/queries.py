@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontam, html, langid, pii, quality, substrings, topk
+from . import decontam, html, langid, neardup, pii, quality, substrings, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op4_norm_bucketed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every(table(spark, sf_dir, "embeddings"))
 
 
+def op5_bagminhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_bootstrap_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_lineblock_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_neighbour_quality, op3_difference_cover_substrings, op4_norm_bucketed_topk, op6_bootstrap_pii, op7_hyperdimensional_langid, op9_prefix_decontamination, op10_lineblock_html)
+    f.__name__: f for f in (op1_neighbour_quality, op3_difference_cover_substrings, op4_norm_bucketed_topk, op5_bagminhash_neardup, op6_bootstrap_pii, op7_hyperdimensional_langid, op9_prefix_decontamination, op10_lineblock_html)
 }
 
 _SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
