@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontam, html, langid, neardup, pii, quality, substrings, topk
+from . import chat, decontam, html, langid, neardup, pii, quality, sentencepiece, substrings, topk
+
+#: Public tokenizer files; a parameter of the operators.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,10 @@ def op1_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_maxplus_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(table(spark, sf_dir, "documents"), sentencepiece.read_model(TOKENIZER))
+
+
 def op3_difference_cover_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"))
 
@@ -39,6 +46,10 @@ def op7_hyperdimensional_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_tool_call_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op9_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,7 +59,19 @@ def op10_lineblock_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_neighbour_quality, op3_difference_cover_substrings, op4_norm_bucketed_topk, op5_bagminhash_neardup, op6_bootstrap_pii, op7_hyperdimensional_langid, op9_prefix_decontamination, op10_lineblock_html)
+    f.__name__: f
+    for f in (
+        op1_neighbour_quality,
+        op2_maxplus_sentencepiece,
+        op3_difference_cover_substrings,
+        op4_norm_bucketed_topk,
+        op5_bagminhash_neardup,
+        op6_bootstrap_pii,
+        op7_hyperdimensional_langid,
+        op8_tool_call_chats,
+        op9_prefix_decontamination,
+        op10_lineblock_html,
+    )
 }
 
 _SQL_WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
