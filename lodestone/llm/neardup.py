@@ -9,12 +9,12 @@ are likely filled are drawn (about ln(components) for each component, whatever t
 one is not.
 
 Equal word sequences are collapsed first. Components are banded; texts that share a band with the band's smallest
-text form candidate groups, found as connected components. Groups of up to CELL texts are verified in one task:
-centres are compared with the whole group, exactly, until every link between different texts is either found or cannot
-join two classes. The distance 1 - J is a metric: with C linked to A, a text below 0.6 to C has no link to A. So a
-text stays pending only while it is linked to no centre, or is at 0.6 to 0.8 to one of another class; pending texts
-become centres. Larger groups are split into cells that all get the round's centres, in rounds until none is pending.
-No bucket emits its pairs, and no link is lost to a cap.
+text form candidate groups, found as connected components. A group is verified in one task, exactly, if its texts times
+their shingles are at most WORK; texts of one class are not compared any more. Larger groups are split into cells that
+all get the round's centres. The distance 1 - J is a metric: with C linked to A, a text below 0.6 to C has no link to
+A. So a text stays pending only while it is linked to no centre, or is at 0.6 to 0.8 to one of another class; pending
+texts become centres, in rounds until there are none. No bucket emits its pairs, and no link is lost to a cap; a huge
+group of texts that are all alike but not linked takes rounds in proportion to its size.
 """
 
 from __future__ import annotations
@@ -33,10 +33,12 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
-#: Texts compared in one task.
-CELL = 500
-#: Centres of a large group in one round.
-CENTRES = 16
+#: Texts of a group times their shingles, up to which one task compares them (some 20 seconds).
+WORK = 4_000_000_000
+#: Shingles in a cell of a larger group.
+CELL = 2_000_000
+#: Centres of a larger group in one round.
+CENTRES = 256
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xA0761D6478BD642F)
 _SECOND = np.uint64(0xE7037ED1A0B428DB)
@@ -115,7 +117,7 @@ def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(documents: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
-    """_file, _row, doc_id, digest of the word sequence (null without words) and bands of each row."""
+    """_file, _row, doc_id, digest of the word sequence (null without words), shingles and bands of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -131,11 +133,11 @@ def _signed(documents: DataFrame, bands: int, rows: int, width: int) -> DataFram
                 digests = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1)))
                 part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(digests, pa.binary()), listed], names=["_file", "_row", "doc_id", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(digests, pa.binary()), pa.array([max(1, len(w) - width + 1) if w else 0 for w in words], pa.int64()), listed], names=["_file", "_row", "doc_id", "digest", "shingles", "bands"])
                 low = high
 
     kind = dict(documents.dtypes)["doc_id"]
-    return documents.select("_file", "_row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"_file long, _row long, doc_id {kind}, digest binary, bands array<long>")
+    return documents.select("_file", "_row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"_file long, _row long, doc_id {kind}, digest binary, shingles long, bands array<long>")
 
 
 def elements(text: bytes, hashes: WordHashes, width: int) -> np.ndarray:
@@ -161,30 +163,38 @@ class Cell:
         return common / (self.sizes + len(centre) - common)
 
 
-def classes_of(sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Class (its smallest place) and number of known links of each text of a group small enough for one task."""
+def classes_of(sets: list[np.ndarray], similarity: float = SIMILARITY, pivots: int = 8) -> np.ndarray:
+    """Class (its smallest place) of each text of a group small enough for one task; no link is missed.
+
+    Every text is compared with the later ones of other classes, but those that cannot be linked: by size, or because
+    the distances 1 - J of both to some pivot differ by more than a link allows."""
     cell, n = Cell(sets), len(sets)
-    label, links = np.arange(n), np.zeros(n, np.int64)
-    linked, centre_done = np.zeros(n, bool), np.zeros(n, bool)
-    near: list[tuple[int, np.ndarray]] = []  # a centre, and the texts at a similarity that leaves links open
-    while True:
-        open_ = ~linked & ~centre_done
-        for c, texts in near:
-            open_[texts[(label[texts] != label[c]) & ~centre_done[texts]]] = True
-        pending = np.flatnonzero(open_)
-        if not len(pending):
-            return label, links
-        c = int(pending[0])
-        s = cell.similarity(sets[c])
-        s[c] = 0
-        with_ = np.flatnonzero(s >= similarity)
-        links[with_] += ~centre_done[with_]
-        links[c] = max(links[c], len(with_))
-        linked[with_] = True
-        centre_done[c] = True
-        same = np.unique(np.append(label[with_], label[c]))
+    label, reach = np.arange(n), 1 - similarity + 1e-9
+    distances: list[np.ndarray] = []
+    pivot, nearest = 0, np.full(n, np.inf)
+    for _ in range(min(pivots, n)):
+        d = 1 - cell.similarity(sets[pivot])
+        distances.append(d)
+        _join(label, np.append(np.flatnonzero(d <= 1 - similarity), pivot))
+        nearest = np.minimum(nearest, d)
+        pivot = int(np.argmax(nearest))
+    far = np.stack(distances)
+    for c in range(n):
+        able = np.flatnonzero(label[c + 1 :] != label[c]) + c + 1
+        able = able[np.minimum(cell.sizes[able], cell.sizes[c]) >= similarity * np.maximum(cell.sizes[able], cell.sizes[c]) - 1e-9]
+        if len(able):
+            able = able[(np.abs(far[:, able] - far[:, c : c + 1]) <= reach).all(axis=0)]
+        if len(able):
+            linked = able[Cell([sets[k] for k in able]).similarity(sets[c]) >= similarity]
+            if len(linked):
+                _join(label, np.append(linked, c))
+    return label
+
+
+def _join(label: np.ndarray, texts: np.ndarray) -> None:
+    same = np.unique(label[texts])
+    if len(same) > 1:
         label[np.isin(label, same)] = same[0]
-        near.append((c, np.flatnonzero((s >= 2 * similarity - 1) & (s < similarity))))
 
 
 def _verified(texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -193,7 +203,7 @@ def _verified(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     def run(part: pa.Table) -> pa.Table:
         order = np.argsort(np.array([x.hex() for x in part.column("digest").to_pylist()]))
         part, hashes = part.take(pa.array(order)), WordHashes()
-        label, _ = classes_of([elements(x, hashes, width) for x in part.column("text").to_pylist()], similarity)
+        label = classes_of([elements(x, hashes, width) for x in part.column("text").to_pylist()], similarity)
         return pa.table({"digest": part.column("digest"), "head": part.column("digest").take(pa.array(label))})
 
     return texts.groupBy("group").applyInArrow(run, "digest binary, head binary")
@@ -220,9 +230,9 @@ def _links(texts: DataFrame, centres: DataFrame, width: int, similarity: float)
     return both.groupBy("group", "cell").applyInArrow(run, "digest binary, centre binary, s double")
 
 
-def _verified_in_rounds(texts: DataFrame, width: int, similarity: float, cell: int, centres: int) -> DataFrame:
-    """(digest, head) of groups larger than a task's. texts: group, size, digest, text."""
-    texts = materialise(texts.withColumn("cell", F.pmod(F.xxhash64("digest"), F.ceil(F.col("size") / cell)).cast("int")))
+def _verified_in_rounds(texts: DataFrame, width: int, similarity: float, centres: int) -> DataFrame:
+    """(digest, head) of groups larger than a task's. texts: group, cells, digest, text."""
+    texts = materialise(texts.withColumn("cell", F.pmod(F.xxhash64("digest"), F.col("cells")).cast("int")).drop("cells"))
     members = texts.select("group", "digest")
     cells = texts.select("group", "cell").distinct()
     done = links = None
@@ -249,7 +259,7 @@ def _verified_in_rounds(texts: DataFrame, width: int, similarity: float, cell: i
     return own
 
 
-def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, cell: int = CELL, centres: int = CENTRES) -> DataFrame:
+def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, work: int = WORK, cell: int = CELL, centres: int = CENTRES) -> DataFrame:
     """_file, _row, doc_id, class_id (the smallest doc_id of the class), class_size (rows), n_texts (different word
     sequences) and kept (true for one row of each class) of every row of documents (with _file and _row; doc_id and
     text; others are ignored).
@@ -259,18 +269,19 @@ def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILA
     """
     signed = materialise(_signed(documents, bands, rows, width))
     place = F.struct("doc_id", "_file", "_row")
-    texts = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min(place).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    texts = materialise(signed.where("digest is not null").groupBy("digest").agg(F.min(place).alias("first"), F.min("doc_id").alias("least"), F.count("*").alias("n"), F.max("shingles").alias("shingles"), F.first("bands").alias("bands")))
 
     dealt = texts.select("digest", F.explode("bands").alias("band"))
     heads = materialise(dealt.groupBy("band").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").select("band", "head"))
     edges = dealt.join(heads, "band").where("digest != head").select("digest", "head")
     groups = materialise(components(edges, "digest", "head")).select(F.col("node").alias("digest"), F.col("head").alias("group"))
-    sizes = groups.groupBy("group").agg(F.count("*").alias("size"))
-    wanted = materialise(groups.join(sizes, "group").join(texts.select("digest", "first"), "digest").select("group", "size", "digest", F.col("first._file").alias("_file"), F.col("first._row").alias("_row")))
-    held = documents.select("_file", "_row", F.col("text").cast("binary").alias("text")).join(wanted, ["_file", "_row"]).select("group", "size", "digest", "text")
-    small = _verified(held.where(F.col("size") <= cell).select("group", "digest", "text"), width, similarity)
-    if not sizes.where(F.col("size") > cell).isEmpty():
-        small = small.unionByName(_verified_in_rounds(held.where(F.col("size") > cell), width, similarity, cell, centres))
+    weighed = groups.join(texts.select("digest", "first", "shingles"), "digest")
+    sizes = materialise(weighed.groupBy("group").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles")).select("group", (F.col("n") * F.col("shingles") <= work).alias("fits"), F.ceil(F.col("shingles") / cell).alias("cells")))
+    wanted = materialise(weighed.join(sizes, "group").select("group", "fits", "cells", "digest", F.col("first._file").alias("_file"), F.col("first._row").alias("_row")))
+    held = documents.select("_file", "_row", F.col("text").cast("binary").alias("text")).join(wanted, ["_file", "_row"]).select("group", "fits", "cells", "digest", "text")
+    small = _verified(held.where("fits").select("group", "digest", "text"), width, similarity)
+    if not sizes.where("not fits").isEmpty():
+        small = small.unionByName(_verified_in_rounds(held.where("not fits").drop("fits"), width, similarity, centres))
     head = materialise(small)
 
     named = texts.select("digest", "first", "least", "n").join(head, "digest", "left").withColumn("head", F.coalesce("head", "digest"))
