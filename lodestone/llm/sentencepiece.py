@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, with_row
+from .common import buckets, materialise, with_row
 
 GIANT = 32_768
 CHUNK = 16_384
@@ -294,32 +294,29 @@ def _lists(ids: list[list[int] | np.ndarray | None]) -> pa.Array:
     return pa.compute.if_else(gone, pa.nulls(len(ids), listed.type), listed) if any(x is None for x in ids) else listed
 
 
-def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int = CHUNK, decoded: bool = False) -> DataFrame:
     """documents (text, others stay) with ids, the pieces' numbers, in place of any column of that name; null text has
-    null ids, the empty text none."""
+    null ids, the empty text none. decoded: with the text decoded from ids, too."""
     spark = documents.sparkSession
-    placed = with_row(documents.drop("ids"))
+    placed = with_row(documents.drop("ids", "decoded"))
     columns = [c for c in placed.columns if c not in ("_file", "_row")]
     shared, kinds = spark.sparkContext.broadcast(model), {f.name: f.dataType.simpleString() for f in placed.schema.fields}
     scans = Model(model).scans
     quoted = lambda names: ", ".join(f"`{c.replace('`', '``')}` {kinds[c]}" for c in names)
     at = columns.index("text")
 
+    more = ["ids", "decoded"] if decoded else ["ids"]
+
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = Model(shared.value).processor
+        known = Model(shared.value)
         for batch in batches:
-            sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
-            low = 0
-            while low < len(batch):  # some two megabytes at a time
-                high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + 2_000_000)))
-                part = batch.slice(low, high - low)
-                texts = part.column(at).to_pylist()
-                there = iter(processor.encode([x for x in texts if x is not None], num_threads=1))
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists([None if x is None else next(there) for x in texts])], names=[*columns, "ids"])
-                low = high
+            for part in _slices(batch, at):
+                ids = [None if x is None else known.processor.encode_as_numpy(x) for x in part.column(at).to_pylist()]
+                extra = [pa.array(_texts(known, ids), pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), *extra], names=[*columns, *more])
 
     long = (F.length("text") > giant) if scans else F.lit(False)
-    short = placed.where(F.col("text").isNull() | ~long).select(*columns).mapInArrow(whole, f"{quoted(columns)}, ids array<int>")
+    short = placed.where(F.col("text").isNull() | ~long).select(*columns).mapInArrow(whole, f"{quoted(columns)}, ids array<int>" + ", decoded string" * decoded)
     if not scans:
         return short
 
@@ -336,7 +333,8 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns_, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["_file", "_row", "chunk", "part", "low", "high"])
 
     parts = buckets(spark)
-    chunks = placed.where(long).select("_file", "_row", "text").mapInArrow(cut, "_file long, _row long, chunk long, part string, low int, high int").repartition(parts, "_file", "_row", "chunk")
+    chunks = placed.where(long).select("_file", "_row", "text").mapInArrow(cut, "_file long, _row long, chunk long, part string, low int, high int")
+    chunks = materialise(chunks.repartition(parts, "_file", "_row", "chunk"))  # read for the matrices and the backtrace
 
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(shared.value)
@@ -371,7 +369,24 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
         return pa.table({"_file": part.column("_file").slice(0, 1), "_row": part.column("_row").slice(0, 1), "ids": _lists([flat])})
 
     whole_ids = traced.groupBy("_file", "_row").applyInArrow(joined, "_file long, _row long, ids array<int>")
-    return short.unionByName(placed.where(long).join(whole_ids, ["_file", "_row"]).select(*columns, "ids"))
+    joint = placed.where(long).join(whole_ids, ["_file", "_row"]).select(*columns, "ids")
+    return short.unionByName(decode(joint, model) if decoded else joint)
+
+
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with some two megabytes of text each."""
+    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(batch):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + 2_000_000)))
+        yield batch.slice(low, high - low)
+        low = high
+
+
+def _texts(known: Model, ids: list) -> list[str | None]:
+    """Texts of lists of ids; null stays null."""
+    there = iter(known.processor.decode([x for x in ids if x is not None], num_threads=1) if any(x is not None for x in ids) else [])
+    return [None if x is None else next(there) for x in ids]
 
 
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
@@ -382,13 +397,11 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     at = columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        processor = Model(shared.value).processor
+        known = Model(shared.value)
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                part = batch.slice(low, 512)
-                ids = part.column(at).to_pylist()
-                there = iter(processor.decode([x for x in ids if x is not None], num_threads=1) if any(x is not None for x in ids) else [])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([None if x is None else next(there) for x in ids], pa.string())], names=[*columns, "decoded"])
+            for low in range(0, len(batch), 256):
+                part = batch.slice(low, 256)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_texts(known, part.column(at).to_pylist()), pa.string())], names=[*columns, "decoded"])
 
     kinds = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{kinds}, decoded string")
@@ -397,5 +410,5 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
 def round_trip(documents: DataFrame, model: bytes, **parameters) -> DataFrame:
     """doc_id, n_tokens, ids, decoded and lossless (decoded equals text) of every row of documents (doc_id, text;
     others are ignored). Null text: null ids, null decoded, no tokens, lossless. Repeated rows stay."""
-    both = decode(encode(documents.select("doc_id", "text"), model, **parameters), model)
+    both = encode(documents.select("doc_id", "text"), model, decoded=True, **parameters)
     return both.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", "decoded", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
