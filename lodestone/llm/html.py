@@ -140,7 +140,7 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
         if k < len(lines) and begin is None and weights[k] and sums[min(k + window - 1, len(lines) - 1)] >= threshold:
             begin = k
         elif begin is not None and (k == len(lines) or not sums[k]):
-            stretches.append((begin, k))
+            stretches.append((begin, int(np.flatnonzero(weights[:k])[-1]) + 1))
             begin = None
     if not stretches:
         stretches = [(0, len(lines))]

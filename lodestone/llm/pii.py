@@ -204,18 +204,18 @@ def learn(documents: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS
 
 
 def annotate(documents: DataFrame, patterns: DataFrame | None) -> DataFrame:
-    """documents with base and spans (arrays of start, kind, end) after its own columns; null text has none."""
+    """documents with _pii_base and _pii_spans (arrays of start, kind, end) after its own columns; null text has none."""
     spark = documents.sparkSession
-    documents = documents.drop("base", "spans")
+    documents = documents.drop("_pii_base", "_pii_spans")
     at, names = documents.columns.index("text"), [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema.fields]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     as_rows = lambda spans: pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans], kind)
-    schema = ", ".join([*names, "base array<struct<start:int,kind:int,end:int>>", "spans array<struct<start:int,kind:int,end:int>>"])
+    schema = ", ".join([*names, "_pii_base array<struct<start:int,kind:int,end:int>>", "_pii_spans array<struct<start:int,kind:int,end:int>>"])
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = as_rows([base_spans(x) if x else [] for x in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, spans, spans], names=[*batch.schema.names, "base", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, spans, spans], names=[*batch.schema.names, "_pii_base", "_pii_spans"])
 
     out = documents.mapInArrow(first, schema)
     for k in range(len(KINDS)) if patterns is not None else ():
@@ -252,7 +252,7 @@ def find(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array([hashlib.sha256(x.encode()).hexdigest() for x in text[0]], pa.string()), pa.array(text[1], pa.string())], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return listed.select("doc_id", "base", "spans").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return listed.select("doc_id", "_pii_base", "_pii_spans").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:
