@@ -278,7 +278,8 @@ def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILA
     weighed = groups.join(texts.select("digest", "first", "shingles"), "digest")
     sizes = materialise(weighed.groupBy("group").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles")).select("group", (F.col("n") * F.col("shingles") <= work).alias("fits"), F.ceil(F.col("shingles") / cell).alias("cells")))
     wanted = materialise(weighed.join(sizes, "group").select("group", "fits", "cells", "digest", F.col("first._file").alias("_file"), F.col("first._row").alias("_row")))
-    held = documents.select("_file", "_row", F.col("text").cast("binary").alias("text")).join(wanted, ["_file", "_row"]).select("group", "fits", "cells", "digest", "text")
+    # The groups grow with the documents: one plan at all sizes, never a broadcast of them.
+    held = documents.select("_file", "_row", F.col("text").cast("binary").alias("text")).join(wanted.hint("merge"), ["_file", "_row"]).select("group", "fits", "cells", "digest", "text")
     small = _verified(held.where("fits").select("group", "digest", "text"), width, similarity)
     if not sizes.where("not fits").isEmpty():
         small = small.unionByName(_verified_in_rounds(held.where("not fits").drop("fits"), width, similarity, centres))
@@ -302,4 +303,4 @@ def deduplicate(documents: DataFrame, **parameters) -> DataFrame:
     """The rows of documents that stay: one of each class, with their columns."""
     placed = with_row(documents)
     kept = classes(placed, **parameters).where("kept").select("_file", "_row")
-    return placed.join(kept, ["_file", "_row"], "left_semi").drop("_file", "_row")
+    return placed.join(kept.hint("merge"), ["_file", "_row"], "left_semi").drop("_file", "_row")
