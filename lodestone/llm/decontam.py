@@ -107,10 +107,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """The rows of documents whose text holds no window of the benchmark, with their columns. Equal texts share one
-    decision, so the hit texts are joined by digest."""
+    decision, so the hit texts are joined by digest; they grow with the documents and are never broadcast."""
     digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     prefix = prefixes(documents.select("text"), benchmark, window, block)
     parts = max(1, math.ceil(prefix.count() / block))
     rows = documents.select(digest.alias("_digest"), words(F.col("text")).alias("w"))
     hit = _matches(rows, prefix, parts).where("hit is not null").select("_digest").distinct()
-    return documents.join(hit, digest == F.col("_digest"), "left_anti")
+    return documents.join(hit.hint("merge"), digest == F.col("_digest"), "left_anti")
