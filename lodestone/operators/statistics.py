@@ -47,29 +47,29 @@ def shapiro_wilk(df: DataFrame, column: str, alpha: float = 0.05, most: int = 50
     return {"statistic": w, "p_value": p, "n": len(x), "is_normal": p > alpha}
 
 
-def ks_normal_statistics(df: DataFrame, column: str) -> DataFrame:
-    """n, mean, std and D against the normal distribution of the sample's mean and std. The normal distribution
-    function is the regularised form of erf, summed by Abramowitz and Stegun's series in SQL terms of exp."""
+def _standardised(df: DataFrame, column: str) -> DataFrame:
+    """Different values with c, c_upto (their counts, running) and the sample's _n, _mean, _std; z is standardised."""
     clean = values(df, column)
-    moments = clean.agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.count("*").alias("n"))
-    counts = clean.groupBy("x").agg(F.count("*").alias("c"))
-    ranked = running_sums(counts, "x", ["c"]).crossJoin(F.broadcast(moments))
-    cdf = normal_cdf((F.col("x") - F.col("mean")) / F.col("std"))
-    upper, lower = F.col("c_upto") / F.col("n") - cdf, cdf - (F.col("c_upto") - F.col("c")) / F.col("n")
-    return ranked.agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.first("std").alias("std"), F.max(F.greatest(upper, lower)).alias("d"))
+    moments = clean.agg(F.avg("x").alias("_mean"), F.stddev_samp("x").alias("_std"), F.count("*").alias("_n"))
+    ranked = running_sums(clean.groupBy("x").agg(F.count("*").alias("c")), "x", ["c"]).crossJoin(F.broadcast(moments))
+    return ranked.withColumn("z", (F.col("x") - F.col("_mean")) / F.col("_std"))
+
+
+def ks_normal_statistics(df: DataFrame, column: str) -> DataFrame:
+    """n, mean, std and D against the normal distribution of the sample's mean and std."""
+    cdf = normal_cdf(F.col("z"))
+    upper, lower = F.col("c_upto") / F.col("_n") - cdf, cdf - (F.col("c_upto") - F.col("c")) / F.col("_n")
+    return _standardised(df, column).withColumn("gap", F.greatest(upper, lower)).agg(F.first("_n").alias("n"), F.first("_mean").alias("mean"), F.first("_std").alias("std"), F.max("gap").alias("d"))
 
 
 def normal_cdf(z: Column) -> Column:
     """Standard normal distribution function in built-in functions only: Taylor's series near zero and a continued
     fraction in the tails, to 1e-13 and better."""
     a = F.abs(z)
-    near = F.lit(0.0)
-    for k in range(60, -1, -1):  # phi(z) * (z + z^3/3 + z^5/15 + ...), nested
-        near = 1 + near * a * a / (2 * k + 3)
+    # phi(z) * (z + z^3/3 + z^5/15 + ...), nested from the last term
+    near = F.aggregate(F.sequence(F.lit(60), F.lit(0), F.lit(-1)), F.lit(1.0), lambda s, k: 1.0 + s * a * a / (2 * k + 3))
     density = F.exp(-0.5 * a * a) / math.sqrt(2 * math.pi)
-    tail = F.lit(0.0)
-    for k in range(60, 0, -1):
-        tail = F.lit(float(k)) / (a + tail)
+    tail = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), F.lit(0.0), lambda s, k: k / (a + s))
     upper = F.when(a < 4, 0.5 - density * near * a).otherwise(density / (a + tail))
     return F.when(z > 0, 1 - upper).otherwise(upper)
 
@@ -87,15 +87,12 @@ ANDERSON_CRITICAL = {15.0: 0.576, 10.0: 0.656, 5.0: 0.787, 2.5: 0.918, 1.0: 1.09
 
 def anderson_darling_statistics(df: DataFrame, column: str) -> DataFrame:
     """n and A squared. A value of which there are several takes a run of places; its terms are summed in closed form."""
-    clean = values(df, column)
-    moments = clean.agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.count("*").alias("n"))
-    ranked = running_sums(clean.groupBy("x").agg(F.count("*").alias("c")), "x", ["c"]).crossJoin(F.broadcast(moments))
-    cdf = normal_cdf((F.col("x") - F.col("mean")) / F.col("std"))
-    sf = normal_cdf(-(F.col("x") - F.col("mean")) / F.col("std"))
+    cdf, sf = normal_cdf(F.col("z")), normal_cdf(-F.col("z"))
     last, first = F.col("c_upto"), F.col("c_upto") - F.col("c")
     up = last * last - first * first  # sum of 2i - 1 over the places
-    down = 2 * F.col("n") * F.col("c") - up
-    return ranked.agg(F.first("n").alias("n"), (-F.first("n") - F.sum(up * F.ln(cdf) + down * F.ln(sf)) / F.first("n")).alias("a2"))
+    down = 2 * F.col("_n") * F.col("c") - up
+    told = _standardised(df, column).withColumn("term", up * F.ln(cdf) + down * F.ln(sf))
+    return told.agg(F.first("_n").alias("n"), (-F.first("_n") - F.sum("term") / F.first("_n")).alias("a2"))
 
 
 def anderson_darling(df: DataFrame, column: str, level: float = 5.0) -> Result:

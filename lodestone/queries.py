@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clustering, duplicates, encoding, metrics, outliers, relational, reports, similarity, splitting, statistics
+from .operators import clustering, duplicates, encoding, metrics, ml, outliers, relational, reports, similarity, splitting, statistics
 from .session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -633,3 +633,23 @@ def activity_distribution(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT 'event_id' AS "column", count(*) - count(event_id) AS n_missing, round(100 * (count(*) - count(event_id)) / count(*), 6) AS pct_missing FROM events UNION ALL SELECT 'value', count(*) - count(value), round(100 * (count(*) - count(value)) / count(*), 6) FROM events UNION ALL SELECT 'props', count(*) - count(props), round(100 * (count(*) - count(props)) / count(*), 6) FROM events""")
 def missing_values(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(reports.missing_values(table(spark, sf, "events").select("event_id", "value", "props")))
+
+
+# --- models ---------------------------------------------------------------------------------------------------------
+
+
+def _labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return _vectors(spark, sf).withColumns({"y": F.when(F.col("v")[0] + F.col("v")[1] > 0, 1).otherwise(0), "z": F.col("v")[0] * 2 - F.col("v")[2]})
+
+
+@query()
+def model_predict(spark: SparkSession, sf: str) -> DataFrame:
+    rows = splitting.random_split(_labelled_vectors(spark, sf), ["vec_id"], 1)
+    bundle = ml.train(rows.where("split = 'train'"), "v", "y", "random_forest_classifier", {"n_estimators": 20, "max_depth": 5})
+    return ml.predict(bundle, rows.where("split = 'test'"), "v").select("vec_id", "y", "prediction", "prediction_proba")
+
+
+@query()
+def model_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
+    folds = splitting.kfold(_labelled_vectors(spark, sf), ["vec_id"], 3, 1)
+    return ml.evaluate(ml.cross_validate(folds, "v", "z", "ridge", {"alpha": 0.1}), None, "v", "z", ["rmse", "mae", "r2"])
