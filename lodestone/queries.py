@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import clustering, duplicates, encoding, metrics, ml, outliers, relational, reports, similarity, splitting, statistics
+from .operators import chem, clustering, duplicates, encoding, metrics, ml, outliers, relational, reports, similarity, splitting, statistics
 from .session import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -653,3 +653,46 @@ def model_predict(spark: SparkSession, sf: str) -> DataFrame:
 def model_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     folds = splitting.kfold(_labelled_vectors(spark, sf), ["vec_id"], 3, 1)
     return ml.evaluate(ml.cross_validate(folds, "v", "z", "ridge", {"alpha": 0.1}), None, "v", "z", ["rmse", "mae", "r2"])
+
+
+# --- molecules: a fixed list spread over the customers' keys ----------------------------------------------------------
+
+MOLECULES = ("CC(=O)Oc1ccccc1C(=O)O", "Cn1cnc2c1c(=O)n(C)c(=O)n2C", "[Na+].[O-]C(=O)c1ccccc1", "CCO.c1ccc2[nH]ccc2c1", "O=C(O)[C@H](N)Cc1ccccc1", "not a molecule", "C1CC2CCC1C2", "[13CH3]CO")
+
+
+def _molecules(spark: SparkSession, sf: str) -> DataFrame:
+    listed = F.array(*[F.lit(m) for m in MOLECULES])
+    return table(spark, sf, "customer").select("c_custkey", F.element_at(listed, (F.col("c_custkey") % len(MOLECULES) + 1).cast("int")).alias("smiles"))
+
+
+@query()
+def smiles_standardize(spark: SparkSession, sf: str) -> DataFrame:
+    return chem.standardize(_molecules(spark, sf), "smiles")
+
+
+@query()
+def smiles_descriptors(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(chem.describe(_molecules(spark, sf), "smiles"))
+
+
+@query()
+def smiles_scaffolds(spark: SparkSession, sf: str) -> DataFrame:
+    return chem.scaffolds(_molecules(spark, sf), "smiles")
+
+
+@query()
+def smiles_rule_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(chem.filter_by_rule(_molecules(spark, sf), "smiles", "veber"))
+
+
+@query()
+def smiles_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return chem.fingerprints(_molecules(spark, sf), "smiles", bits=64)
+
+
+_BRANCHES_SQL = "CASE c_custkey % 8 " + " ".join(f"WHEN {k} THEN '{m}'" for k, m in enumerate(MOLECULES)) + " END"
+
+
+@query(f"SELECT c_custkey, (length(s) - length(replace(s, '(', '')))::INT AS branches, len(regexp_extract_all(s, '{_TOKEN_SQL}', 1))::INT AS num_tokens FROM (SELECT c_custkey, {_BRANCHES_SQL} AS s FROM customer)")
+def smiles_complexity(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.complexity(_molecules(spark, sf), "smiles", ["branches", "num_tokens"]).drop("smiles")
