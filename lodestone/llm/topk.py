@@ -25,6 +25,7 @@ from .common import buckets, materialise
 
 SCALE = 64
 K = 20
+#: A power of two: a query's number is that of its block and its place there.
 QUERY_BLOCK = 4096
 BLOCK = 1024
 #: Candidate blocks that one task walks for one query block.
@@ -210,8 +211,7 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = K, scale: int = S
     held at its bounds. A query without candidates has no rows.
     """
     candidates, asked = _packed(_vectors(embeddings, scale), 1, BLOCK), _packed(_vectors(queries, scale), 0, QUERY_BLOCK)
-    asked = asked.withColumn("query", F.row_number().over(Window.orderBy("block")).cast("long"))  # one row for QUERY_BLOCK queries
-    asked = materialise(asked)
+    asked = asked.withColumn("query", F.col("block"))
     blank = F.lit(None).cast("binary").alias("bounds")
     columns = ["query", "run", "side", "block", "dim", "n", "max_norm", "ids", "vectors", "bounds"]
 
@@ -222,7 +222,8 @@ def search(embeddings: DataFrame, queries: DataFrame, k: int = K, scale: int = S
         asked.select("query", "dim").join(seeds, "dim").select("query", run, "side", "block", "dim", "n", "max_norm", "ids", "vectors", blank)
     )
     kth = _walked(seeded, k).groupBy("query_row").agg(F.count("*").alias("c"), F.min("score").alias("s")).where(F.col("c") == k)
-    places = kth.select(F.floor(F.col("query_row") / QUERY_BLOCK).alias("query"), F.pmod("query_row", F.lit(QUERY_BLOCK)).cast("int").alias("place"), F.col("s").cast("double").alias("s"))
+    bits = QUERY_BLOCK.bit_length() - 1
+    places = kth.select(F.shiftright("query_row", bits).alias("query"), F.col("query_row").bitwiseAND(QUERY_BLOCK - 1).cast("int").alias("place"), F.col("s").cast("double").alias("s"))
 
     def pack(part: pa.Table) -> pa.Table:
         bounds = np.full(QUERY_BLOCK, -np.inf)
