@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +43,49 @@ def buckets(spark: SparkSession, per_partition: int = 1) -> int:
     return max(16, per_partition * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library hold in reserve back to the system: Python workers stay for later
+    stages, and what they keep is missing there."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def thrifty(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives memory back after each partition."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        release()
+
+    return run
+
+
+def thrifty_group(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function for applyInArrow that gives memory back after each group."""
+
+    @functools.wraps(f)
+    def run(part: pa.Table) -> pa.Table:
+        out = f(part)
+        release()
+        return out
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, at: int, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about size bytes each in its text column."""
+    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(batch):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + size)))
+        yield batch.slice(low, high - low)
+        low = high
+
+
 def fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string"), F.lit("")).cast("binary")) % folds
@@ -46,7 +94,7 @@ def fold(doc_id: Column | str, folds: int) -> Column:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    BOUND = 400_000
+    BOUND = 100_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

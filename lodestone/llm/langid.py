@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, thrifty
 
 DIMENSIONS = 512
 #: The most languages that may be learned: bounds what is broadcast (a prototype has DIMENSIONS doubles).
 MAX_LANGUAGES = 4096
 UNDETERMINED = "und"
-_BATCH_LETTERS = 600_000
+_BATCH_LETTERS = 300_000
 _DENSE_TRIGRAMS = 4_000_000
 _GAP = 32
 
@@ -103,8 +103,8 @@ class Profiler:
             if k == len(texts) or letters and letters + len(text) > _BATCH_LETTERS:
                 if k > first:
                     rows, numbers, codes = self.counts(texts[first:k])
-                    for low in range(0, k - first, 256):  # bounds the dense matrix
-                        high = min(low + 256, k - first)
+                    for low in range(0, k - first, 128):  # bounds the dense matrix
+                        high = min(low + 128, k - first)
                         part = (rows >= low) & (rows < high)
                         flat = (rows[part] - low) * len(codes) + numbers[part]
                         yield first + low, first + high, np.bincount(flat, minlength=(high - low) * len(codes)).reshape(high - low, len(codes)), codes
@@ -116,6 +116,7 @@ def learn(documents: DataFrame, dimensions: int = DIMENSIONS, max_languages: int
     """Prototypes (lang, vector) from the columns text and lang of documents; rows with a null in either teach
     nothing. Each partition sums its own bundles; the sums are a row for each partition and language."""
 
+    @thrifty
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, sums = Profiler(dimensions), {}
         for batch in batches:
@@ -154,6 +155,7 @@ def predict(documents: DataFrame, prototypes: pd.DataFrame, dimensions: int = DI
     shared = documents.sparkSession.sparkContext.broadcast(profiles.astype(np.float32))
     at = documents.columns.index("text")
 
+    @thrifty
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiler, prototypes = Profiler(dimensions), shared.value
         for batch in batches:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, materialise, mixed, rolling, with_row
+from .common import WordHashes, components, materialise, mixed, rolling, slices, thrifty, thrifty_group, with_row
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -119,22 +119,18 @@ def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def _signed(documents: DataFrame, bands: int, rows: int, width: int) -> DataFrame:
     """_file, _row, doc_id, digest of the word sequence (null without words), shingles and bands of each row."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            low = 0
-            texts = batch.column(3)
-            sizes = np.array(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False))
-            while low < len(batch):
-                high = low + max(1, int(np.searchsorted(np.cumsum(sizes[low : low + 512]), 2_000_000)))
-                words = [(x or b"").split() for x in texts.slice(low, high - low).to_pylist()]
+            for part in slices(batch, 3, 1_000_000):
+                words = [(x or b"").split() for x in part.column(3).to_pylist()]
                 bag = bags(*shingles(words, hashes, width))
                 keys = band_keys(signatures(*bag, len(words), bands * rows), bands, rows)
                 digests = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1)))
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(digests, pa.binary()), pa.array([max(1, len(w) - width + 1) if w else 0 for w in words], pa.int64()), listed], names=["_file", "_row", "doc_id", "digest", "shingles", "bands"])
-                low = high
+                sizes = pa.array([max(1, len(w) - width + 1) if w else 0 for w in words], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(digests, pa.binary()), sizes, listed], names=["_file", "_row", "doc_id", "digest", "shingles", "bands"])
 
     kind = dict(documents.dtypes)["doc_id"]
     return documents.select("_file", "_row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"_file long, _row long, doc_id {kind}, digest binary, shingles long, bands array<long>")
@@ -200,6 +196,7 @@ def _join(label: np.ndarray, texts: np.ndarray) -> None:
 def _verified(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(digest, head) of groups that fit a task. texts: group, digest, text."""
 
+    @thrifty_group
     def run(part: pa.Table) -> pa.Table:
         order = np.argsort(np.array([x.hex() for x in part.column("digest").to_pylist()]))
         part, hashes = part.take(pa.array(order)), WordHashes()
@@ -213,6 +210,7 @@ def _links(texts: DataFrame, centres: DataFrame, width: int, similarity: float)
     """(digest, centre, s) with s at least 2 * similarity - 1, for groups dealt to cells. texts: group, cell, digest,
     text; centres: the same columns, in each cell of their group."""
 
+    @thrifty_group
     def run(part: pa.Table) -> pa.Table:
         hashes, out = WordHashes(), []
         side, digests = part.column("side").to_pylist(), part.column("digest").to_pylist()

@@ -8,8 +8,8 @@ occurrences held by known identifiers, a candidate as good as its patterns toget
 occurrences include those before ordinary words, counted in a scan of their own, so a common phrase is never
 confident. Candidates that stand in confident patterns join the result under the kind of the pattern's seeds.
 
-Texts are never shuffled: scans emit only (pattern, instance) counts. Confident patterns are broadcast in blocks of
-BLOCK (8 bytes each), one narrow pass a block.
+Texts are never shuffled: scans emit only (pattern, instance) counts. Up to BLOCK confident patterns (16 bytes each) are
+broadcast and applied where the base spans are made; more are applied in blocks, one narrow pass a block.
 """
 
 from __future__ import annotations
@@ -22,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices, thrifty
 
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns in one broadcast.
@@ -128,6 +128,7 @@ def _instance(text: str) -> int:
 def graph(documents: DataFrame) -> DataFrame:
     """(pattern, instance, kind, n): kind is the place in KINDS for seeds, -1 for candidates."""
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             edges: Counter[tuple[int, int, int]] = Counter()
@@ -238,21 +239,55 @@ def annotate(documents: DataFrame, patterns: DataFrame | None) -> DataFrame:
     return out
 
 
+def _spans_of(patterns: DataFrame | None, spark: SparkSession):
+    """A function of a text: its base spans and all spans; None if the patterns do not fit one broadcast."""
+    n = 0 if patterns is None else patterns.count()
+    if n > BLOCK:
+        return None
+    rows = [] if not n else sorted((r.pattern, r.kind) for r in patterns.select("pattern", "kind").collect())
+    shared = spark.sparkContext.broadcast((np.array([p for p, _ in rows], np.int64), np.array([k for _, k in rows], np.int64)))
+
+    def of(text: str | None) -> tuple[list[Span], list[Span]]:
+        base = base_spans(text) if text else []
+        keys, kinds = shared.value
+        found = set(base)
+        for start, end in candidate_spans(text, base) if text and len(keys) else ():
+            for p in contexts(text, start, end):
+                at = int(np.searchsorted(keys, p))
+                if at < len(keys) and keys[at] == p:
+                    found.add((start, int(kinds[at]), end))
+        return base, sorted(found)
+
+    return of
+
+
+def _listed(row: list[dict[str, int]]) -> list[Span]:
+    return [(x["start"], x["kind"], x["end"]) for x in row]
+
+
 def find(documents: DataFrame) -> DataFrame:
     """One row for each row of documents (doc_id, text; others are ignored): doc_id, n_email, n_ip, n_card, n_phone
     (base matches), base_sha256 of the base spans, and spans, all as kind:start:end in code points. Null and empty
     texts: zeros, the hash of the empty string, no spans. Repeated rows stay."""
     documents = documents.select("doc_id", "text")
-    listed = annotate(documents, learn(documents))
+    patterns = learn(documents)
+    of = _spans_of(patterns, documents.sparkSession)
+    source = documents if of else annotate(documents, patterns)
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [[",".join(f"{KINDS[x['kind']]}:{x['start']}:{x['end']}" for x in row) for row in batch.column(c).to_pylist()] for c in (1, 2)]
-            counts = [[sum(x["kind"] == k for x in row) for row in batch.column(1).to_pylist()] for k in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array([hashlib.sha256(x.encode()).hexdigest() for x in text[0]], pa.string()), pa.array(text[1], pa.string())], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
+            for part in slices(batch, 1):
+                if of:
+                    both = [of(x) for x in part.column(1).to_pylist()]
+                else:
+                    both = [(_listed(b), _listed(s)) for b, s in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                text = [[",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in row[j]) for row in both] for j in (0, 1)]
+                counts = [[sum(k == j for _, k, _ in base) for base, _ in both] for j in range(len(KINDS))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array([hashlib.sha256(x.encode()).hexdigest() for x in text[0]], pa.string()), pa.array(text[1], pa.string())], names=["doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans"])
 
     kind = dict(documents.dtypes)["doc_id"]
-    return listed.select("doc_id", "_pii_base", "_pii_spans").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return source.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def masked(text: str, spans: list[Span]) -> str:
@@ -268,11 +303,17 @@ def masked(text: str, spans: list[Span]) -> str:
 def redact(documents: DataFrame) -> DataFrame:
     """documents with every span of text masked; the columns, rows and nulls stay as they are."""
     columns, schema = documents.columns, documents.schema
-    at = columns.index("text")
+    at, patterns = columns.index("text"), learn(documents)
+    of = _spans_of(patterns, documents.sparkSession)
+    source = documents if of else annotate(documents, patterns)
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x if not x else masked(x, [(s["start"], s["kind"], s["end"]) for s in spans]) for x, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(columns))], names=columns)
+            for part in slices(batch, at):
+                texts = part.column(at).to_pylist()
+                spans = [of(x)[1] for x in texts] if of else map(_listed, part.column(len(columns) + 1).to_pylist())
+                texts = [x if not x else masked(x, s) for x, s in zip(texts, spans, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(len(columns))], names=columns)
 
-    return annotate(documents, learn(documents)).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, materialise, with_row
+from .common import buckets, materialise, slices, thrifty, with_row
 
 GIANT = 32_768
 CHUNK = 16_384
@@ -307,10 +307,11 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
 
     more = ["ids", "decoded"] if decoded else ["ids"]
 
+    @thrifty
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(shared.value)
         for batch in batches:
-            for part in _slices(batch, at):
+            for part in slices(batch, at):
                 ids = [None if x is None else known.processor.encode_as_numpy(x) for x in part.column(at).to_pylist()]
                 extra = [pa.array(_texts(known, ids), pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), *extra], names=[*columns, *more])
@@ -320,6 +321,7 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
     if not scans:
         return short
 
+    @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(shared.value)
         for batch in batches:
@@ -336,6 +338,7 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
     chunks = placed.where(long).select("_file", "_row", "text").mapInArrow(cut, "_file long, _row long, chunk long, part string, low int, high int")
     chunks = materialise(chunks.repartition(parts, "_file", "_row", "chunk"))  # read for the matrices and the backtrace
 
+    @thrifty
     def transfers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(shared.value)
         for batch in batches:
@@ -351,6 +354,7 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
     matrices = chunks.mapInArrow(transfers, "_file long, _row long, chunk long, matrix string")
     states = matrices.groupBy("_file", "_row").applyInArrow(solve, "_file long, _row long, chunk long, states array<string>")
 
+    @thrifty
     def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(shared.value)
         for batch in batches:
@@ -373,16 +377,6 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
     return short.unionByName(decode(joint, model) if decoded else joint)
 
 
-def _slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with some two megabytes of text each."""
-    sizes = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
-    low = 0
-    while low < len(batch):
-        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + 2_000_000)))
-        yield batch.slice(low, high - low)
-        low = high
-
-
 def _texts(known: Model, ids: list) -> list[str | None]:
     """Texts of lists of ids; null stays null."""
     there = iter(known.processor.decode([x for x in ids if x is not None], num_threads=1) if any(x is not None for x in ids) else [])
@@ -396,6 +390,7 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     columns, shared = encoded.columns, encoded.sparkSession.sparkContext.broadcast(model)
     at = columns.index("ids")
 
+    @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(shared.value)
         for batch in batches:
