@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, materialise, mixed, rolling, slices, thrifty, thrifty_group, with_row
+from .common import components, materialise, mixed, rolling, slices, thrifty, thrifty_group, with_row, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -44,11 +44,11 @@ _STEP = np.uint64(0xA0761D6478BD642F)
 _SECOND = np.uint64(0xE7037ED1A0B428DB)
 
 
-def shingles(words: list[list[bytes]], hashes: WordHashes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: list[list[bytes]], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """(owner, hash) of all shingles of the texts; one shingle for a text of fewer words, none for one without."""
     sizes = np.array([len(w) for w in words], np.int64)
     owner = np.repeat(np.arange(len(words)), sizes)
-    flat = np.concatenate([hashes.of(w) for w in words]) if len(words) else np.zeros(0, np.uint64)
+    flat = np.concatenate([word_hashes(w) for w in words]) if len(words) else np.zeros(0, np.uint64)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     starts = np.flatnonzero(place + width <= np.repeat(sizes, sizes))
     found = rolling(flat, width, _BASE)[starts] if len(starts) else np.zeros(0, np.uint64)
@@ -121,11 +121,10 @@ def _signed(documents: DataFrame, bands: int, rows: int, width: int) -> DataFram
 
     @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for part in slices(batch, 3, 1_000_000):
                 words = [(x or b"").split() for x in part.column(3).to_pylist()]
-                bag = bags(*shingles(words, hashes, width))
+                bag = bags(*shingles(words, width))
                 keys = band_keys(signatures(*bag, len(words), bands * rows), bands, rows)
                 digests = [xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words]
                 listed = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands), pa.int32()), pa.array(keys.reshape(-1)))
@@ -136,9 +135,9 @@ def _signed(documents: DataFrame, bands: int, rows: int, width: int) -> DataFram
     return documents.select("_file", "_row", "doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"_file long, _row long, doc_id {kind}, digest binary, shingles long, bands array<long>")
 
 
-def elements(text: bytes, hashes: WordHashes, width: int) -> np.ndarray:
+def elements(text: bytes, width: int) -> np.ndarray:
     """The bag of a text as a sorted set: the n-th copy of a shingle is an element of its own."""
-    _, values, counts = bags(*shingles([text.split()], hashes, width))
+    _, values, counts = bags(*shingles([text.split()], width))
     several = counts > 1
     parts = [values, *[mixed(values[k] + np.arange(1, c, dtype=np.uint64) * _SECOND) for k, c in zip(np.flatnonzero(several).tolist(), counts[several].tolist(), strict=True)]]
     return np.sort(np.concatenate(parts))
@@ -199,8 +198,8 @@ def _verified(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     @thrifty_group
     def run(part: pa.Table) -> pa.Table:
         order = np.argsort(np.array([x.hex() for x in part.column("digest").to_pylist()]))
-        part, hashes = part.take(pa.array(order)), WordHashes()
-        label = classes_of([elements(x, hashes, width) for x in part.column("text").to_pylist()], similarity)
+        part = part.take(pa.array(order))
+        label = classes_of([elements(x, width) for x in part.column("text").to_pylist()], similarity)
         return pa.table({"digest": part.column("digest"), "head": part.column("digest").take(pa.array(label))})
 
     return texts.groupBy("group").applyInArrow(run, "digest binary, head binary")
@@ -212,9 +211,9 @@ def _links(texts: DataFrame, centres: DataFrame, width: int, similarity: float)
 
     @thrifty_group
     def run(part: pa.Table) -> pa.Table:
-        hashes, out = WordHashes(), []
+        out: list[tuple[bytes, bytes, float]] = []
         side, digests = part.column("side").to_pylist(), part.column("digest").to_pylist()
-        sets = [elements(x, hashes, width) for x in part.column("text").to_pylist()]
+        sets = [elements(x, width) for x in part.column("text").to_pylist()]
         members = [k for k, x in enumerate(side) if x == 1]
         if members:
             cell = Cell([sets[k] for k in members])

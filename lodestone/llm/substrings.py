@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WordHashes, buckets, mixed, rolling
+from .common import buckets, mixed, rolling, thrifty, thrifty_group, word_hashes
 
 WINDOW = 35
 BLOCK = 4_000_000
@@ -56,11 +56,11 @@ def period_for(window: int) -> int:
 class Block:
     """Consecutive documents as word hashes, with the anchors and windows of each."""
 
-    def __init__(self, texts: list[bytes], hashes: WordHashes, window: int, period: int, cover: tuple[int, ...]) -> None:
+    def __init__(self, texts: list[bytes], window: int, period: int, cover: tuple[int, ...]) -> None:
         self.words = [t.split() for t in texts]
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
-        self.values = np.concatenate([hashes.of(w) for w in self.words]) if texts else np.zeros(0, np.uint64)
+        self.values = np.concatenate([word_hashes(w) for w in self.words]) if texts else np.zeros(0, np.uint64)
         self.window, self.period, self.width = window, period, window - period + 1
         n = len(self.values)
         place = np.arange(n) - np.repeat(self.starts[:-1], self.sizes)
@@ -218,30 +218,33 @@ def dedup(documents: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Dat
     cover, n = difference_cover(period), buckets(spark, 2)
     source = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
 
-    def open_block(texts: list[bytes], hashes: WordHashes) -> Block:
-        return Block(texts, hashes, window, period, cover)
+    def open_block(texts: list[bytes]) -> Block:
+        return Block(texts, window, period, cover)
 
+    @thrifty
     def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, ids, texts in _blocks(batches, block):
             yield _batch([(number, _TEXT, _packed(ids, texts), None)])
 
+    @thrifty
     def anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for number, _, texts in _blocks(batches, block):
-            yield _batch(list(_dealt(number, open_block(texts, hashes).anchor_hashes, n)))
+            yield _batch(list(_dealt(number, open_block(texts).anchor_hashes, n)))
 
     def opened(part: pa.Table) -> tuple[int, list, list[bytes], Block, np.ndarray]:
         """A block, its documents, and the places of its candidate windows."""
         flags = {b: f for b, f in zip(part.column("bucket").to_pylist(), part.column("flags").to_pylist(), strict=True) if b >= 0}
         payload = next(p for b, p in zip(part.column("bucket").to_pylist(), part.column("payload").to_pylist(), strict=True) if b == _TEXT)
         ids, texts = _unpacked(payload)
-        held = open_block(texts, WordHashes())
+        held = open_block(texts)
         return part.column("block")[0].as_py(), ids, texts, held, held.candidates(_marks(held.anchor_hashes, n, flags))
 
+    @thrifty_group
     def windows_of(part: pa.Table) -> pa.Table:
         number, _, _, held, places = opened(part)
         return pa.Table.from_batches([_batch(list(_dealt(number, held.window_hashes(places), n)))])
 
+    @thrifty_group
     def settled_of(part: pa.Table) -> pa.Table:
         """Results of the documents without candidate windows; the others, packed, with the candidates' places."""
         number, ids, texts, held, places = opened(part)
@@ -257,6 +260,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Dat
             rows.append((number, _TEXT, _packed([ids[k] for k in open_], [texts[k] for k in open_]), zstandard.compress(np.diff(new, prepend=0).astype(np.int32).tobytes(), 3)))
         return pa.Table.from_batches([_batch(rows)])
 
+    @thrifty_group
     def removed_of(part: pa.Table) -> pa.Table:
         rows = list(zip(part.column("bucket").to_pylist(), part.column("payload").to_pylist(), part.column("flags").to_pylist(), strict=True))
         number = part.column("block")[0].as_py()
@@ -264,7 +268,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Dat
         for b, payload, coded in rows:
             if b == _TEXT:
                 ids, texts = _unpacked(payload)
-                held = open_block(texts, WordHashes())
+                held = open_block(texts)
                 places = np.cumsum(np.frombuffer(zstandard.decompress(coded), np.int32).astype(np.int64))
                 marked = _marks(held.window_hashes(places), n, {x: f for x, _, f in rows if x >= 0})
                 edge = np.zeros(len(held.values) + 1, np.int64)
@@ -274,6 +278,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, block: int = BLOCK) -> Dat
                 out.append((number, _RESULT, _result(ids, held.words, [gone[a:z] for a, z in zip(held.starts[:-1], held.starts[1:], strict=True)]), None))
         return pa.Table.from_batches([_batch(out)])
 
+    @thrifty
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload in batch.column(0).to_pylist():

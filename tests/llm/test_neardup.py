@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import neardup
-from lodestone.llm.common import WordHashes, components
+from lodestone.llm.common import components
 
 
 def shingles(words, width=5):
@@ -68,7 +68,7 @@ def test_signatures_estimate_the_weighted_similarity():
     b = list(a)[:-40]
     for k in rng.sample(range(400), 12):
         b[k] = b"zz"
-    s = neardup.signatures(*neardup.bags(*neardup.shingles([a, b], WordHashes())), 2, 6000)
+    s = neardup.signatures(*neardup.bags(*neardup.shingles([a, b])), 2, 6000)
     assert abs((s[0] == s[1]).mean() - jaccard(a, b)) < 0.03
 
 
