@@ -1,10 +1,10 @@
 """Main-text extraction from web pages by the line-block distribution.
 
-A page is cut into lines, one for each block element. A line weighs the characters of its text outside links; lines
-inside menus, adverts, forms and the like weigh nothing, and where a page marks its article, so do all lines outside
-it. The sums of the weights over a sliding window of lines form the line-block distribution: the text starts where
-it surges and ends where it dives to nothing, and all lines in between that are in no side part are kept. Of several such stretches
-the one with most text is kept, or all of them within a marked article.
+A page is cut into lines, one for each block element; lines inside menus, adverts, forms and the like are dropped.
+Where a page marks its article, all its other lines are the text and the distribution decides nothing. Elsewhere a line
+weighs the characters of its text outside links. The sums of the weights over a sliding window of lines form the
+line-block distribution: a stretch of text starts where it surges and ends where it dives to nothing, and every stretch
+is kept with all lines in between. If nothing surges, all lines are kept.
 """
 
 from __future__ import annotations
@@ -126,27 +126,23 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The article of a page, its blocks joined by line feeds; empty for null, or if there is none."""
-    lines = lines_of(page) if page else []
-    marked = any(main and not aside for _, _, aside, main in lines)
-    eligible = [not aside and (main or not marked) for _, _, aside, main in lines]
-    weights = np.array([0 if not able else len(text) if marked else plain for able, (text, plain, _, _) in zip(eligible, lines, strict=True)], np.int64)
+    lines = [x for x in lines_of(page) if not x[2]] if page else []
+    if any(main for *_, main in lines):
+        return "\n".join(text for text, _, _, main in lines if main)
+    weights = np.array([plain for _, plain, _, _ in lines], np.int64)
     if not weights.any():
         return ""
     sums = np.convolve(weights, np.ones(window, np.int64))[: len(weights)]  # of each line and those just before it
-    starts = np.concatenate(([0], np.cumsum(weights)))
-    stretches, begin = [], None
-    threshold = 1 if marked else surge
+    stretches, begin, last = [], None, 0
     for k in range(len(lines) + 1):
-        if k < len(lines) and begin is None and weights[k] and sums[min(k + window - 1, len(lines) - 1)] >= threshold:
+        if k < len(lines) and begin is None and weights[k] and sums[min(k + window - 1, len(lines) - 1)] >= surge:
             begin = k
         elif begin is not None and (k == len(lines) or not sums[k]):
-            stretches.append((begin, int(np.flatnonzero(weights[:k])[-1]) + 1))
+            stretches.append((begin, last + 1))
             begin = None
-    if not stretches:
-        stretches = [(0, len(lines))]
-    elif not marked:
-        stretches = [max(stretches, key=lambda s: starts[s[1]] - starts[s[0]])]
-    return "\n".join(lines[k][0] for a, b in stretches for k in range(a, b) if eligible[k])
+        if k < len(lines) and weights[k]:
+            last = k
+    return "\n".join(lines[k][0] for a, b in stretches or [(0, len(lines))] for k in range(a, b))
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:

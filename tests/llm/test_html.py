@@ -42,6 +42,17 @@ def test_unmarked_pages_by_the_distribution():
     assert html.main_text(page) == "\n".join(f"This is paragraph {k} of the story, with enough words that it is text and not a menu." for k in range(5))
 
 
+@pytest.mark.parametrize("middle", ["".join(f"<li><a href=/{k}>Item {k}</a>" for k in range(4)), "<div class=related><p>a<p>b<p>c<p>d</div>", "<div class=ad>" + "<p>Buy this, it is cheap and good, and it is on sale only this week." * 5 + "</div>"])
+def test_unmarked_articles_keep_the_parts_around_links_and_adverts(middle):
+    parts = [[f"This is paragraph {k} of part {j}, with enough words that it is text and not a menu." for k in range(n)] for j, n in enumerate((5, 2))]
+    first, second = ("".join(f"<p>{x}</p>" for x in part) for part in parts)
+    assert html.main_text(f"<div>{first}{middle}{second}</div>") == "\n".join(parts[0] + parts[1])
+
+
+def test_a_short_end_after_a_side_part_is_kept():
+    assert html.main_text("<p>" + "Long text. " * 9 + "<div class=ad><p>a<p>b<p>c<p>d</div><p>The end.") == ("Long text. " * 9).strip() + "\nThe end."
+
+
 def test_awkward_rows(spark):
     rows = [(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<article>" + "<p>x" * 20_000, None), (2, "v", "<" * 5000, ""), (3, "w", "<p" + " a" * 3000, "")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
