@@ -35,6 +35,9 @@ MARKED_ASIDE = re.compile(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
 _MARKS = re.compile(r"(?:^|\s)(?:class|id|role|data-role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What only names a part that is near or missing, and the heads of articles.
+_NO_MARK = re.compile(r"(?<![a-z])(?:with|without|has|no)[-_][^\s]*|(?<![a-z])(?:article|entry|post|story)[-_]+header(?![a-z])")
+_COMMENTS = re.compile(r"(?<![a-z])(comments?|commentlist|disqus|respond)(?![a-z])")
 _SPACE = re.compile(r"\s+")
 
 WINDOW = 3
@@ -42,11 +45,52 @@ WINDOW = 3
 SURGE = 60
 
 
+class Marked:
+    """An element that is marked as a side part, and what it holds."""
+
+    def __init__(self, outer: Marked | None, comments: bool) -> None:
+        self.outer, self.comments = outer, comments
+        self.article = self.main = False
+        self.plain = 0
+
+
+def _side_parts(marks: list[Marked], lines: list[tuple[str, int, bool, bool, bool, Marked | None]]) -> set[Marked]:
+    """The marked elements that are side parts, or lie in one. No mark holds around <main>, or most of the page's text
+    (of comments: nearly all, without an article beside them). Marks around an <article> are lifted from the outside
+    in, until one stands free: an <article> in the comments or a list of related ones is a side part beside it."""
+    total = 0
+    for _, plain, aside, _, _, mark in lines:
+        if not aside:
+            total += plain
+            if mark:
+                mark.plain += plain
+    for m in reversed(marks):  # inner ones stand after their outer ones
+        if m.outer:
+            m.outer.plain += m.plain
+    alone = any(article and not aside and not mark for _, _, aside, _, article, mark in lines)
+    lifted = {m for m in marks if m.main or m.plain >= SURGE and 2 * m.plain > total and (not m.comments or total - m.plain < SURGE and not alone)}
+    around: dict[Marked | None, int] = {None: 0}  # marks that hold, around an article
+    inside: set[Marked | None] = set()  # those in a side part without an article
+    for m in marks:
+        around[m] = around[m.outer] + (m.article and m not in lifted)
+        if m.outer in inside or not m.article and m not in lifted:
+            inside.add(m)
+    free = min((around[mark] for _, _, aside, _, article, mark in lines if article and not aside and mark not in inside), default=0)
+    lifted |= {m for m in marks if m.article and around[m] <= free}
+    out: set[Marked] = set()
+    for m in marks:
+        if m not in lifted or m.outer in out:
+            out.add(m)
+    return out
+
+
 def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
     """The lines of a page: text, characters of it outside links, whether in a side part, whether in a marked article."""
-    lines: list[tuple[str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, whether it starts a side part, whether it starts the article
-    state = {"aside": 0, "main": 0, "link": 0}
+    lines: list[tuple[str, int, bool, bool, bool, Marked | None]] = []
+    stack: list[tuple[str, bool, bool, Marked | None]] = []  # element, whether it is a side part by name, whether it starts the article, the marked element around it
+    state = {"aside": 0, "main": 0, "article": 0, "link": 0}
+    marks: list[Marked] = []
+    marked: Marked | None = None
     parts: list[str] = []
     plain = 0
 
@@ -54,13 +98,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal parts, plain
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            lines.append((text, min(plain, len(text)), state["aside"] > 0, state["main"] > 0))
+            lines.append((text, min(plain, len(text)), state["aside"] > 0, state["main"] > 0, state["article"] > 0, marked))
         parts, plain = [], 0
 
     def pop() -> None:
-        name, aside, main = stack.pop()
+        nonlocal marked
+        name, aside, main, marked = stack.pop()
         state["aside"] -= aside
         state["main"] -= main
+        state["article"] -= name == "article"
         state["link"] -= name == "a"
 
     def add(raw: str) -> None:
@@ -112,16 +158,26 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
                     break
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
-        marks = " ".join(x or y or z for x, y, z in _MARKS.findall(m[3])).lower() if m[3] else ""
-        own = name not in ("html", "body") and name not in MAIN
-        aside = own and (name in ASIDE and not (name == "header" and state["main"]) or bool(marks and MARKED_ASIDE.search(marks)))
-        stack.append((name, aside, name in MAIN))
+        main = name in MAIN
+        aside = name in ASIDE and not (name == "header" and state["main"])
+        stack.append((name, aside, main, marked))
+        if main:
+            around = marked
+            while around and not getattr(around, name):  # further out all are told
+                setattr(around, name, True)
+                around = around.outer
+        elif m[3] and name not in ("html", "body") and (words := " ".join(x or y or z for x, y, z in _MARKS.findall(m[3])).lower()):
+            if (found := MARKED_ASIDE.search(_NO_MARK.sub(" ", words))) is not None:
+                marked = Marked(marked, bool(_COMMENTS.fullmatch(found[0])))
+                marks.append(marked)
         state["aside"] += aside
-        state["main"] += name in MAIN
+        state["main"] += main
+        state["article"] += name == "article"
         state["link"] += name == "a"
     add(page[at:])
     end_line()
-    return lines
+    side = _side_parts(marks, lines)
+    return [(text, plain, aside or mark in side, main) for text, plain, aside, main, _, mark in lines]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:

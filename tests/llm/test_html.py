@@ -53,6 +53,34 @@ def test_a_short_end_after_a_side_part_is_kept():
     assert html.main_text("<p>" + "Long text. " * 9 + "<div class=ad><p>a<p>b<p>c<p>d</div><p>The end.") == ("Long text. " * 9).strip() + "\nThe end."
 
 
+_STORY = "This is a long paragraph of the story, with enough words that it is text and not a menu."
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ('<div class="layout with-sidebar"><article><p>x</article></div>', "x"),
+        ('<div class="no-comments"><main><p>x</main></div>', "x"),
+        ('<div class="social header"><div class="widget"><article><p>x<div class="ad">buy</div></article></div></div>', "x"),
+        ('<div class="widget"><main><p>x</main></div><article>teaser</article>', "x\nteaser"),
+        ('<article><div class="article-header"><h1>T</h1></div><p>x</article>', "T\nx"),
+        ('<article><div class="entry-header"><h1>T</h1></div><p>x</article>', "T\nx"),
+        ('<div class="header-row"><article>one</article></div><div class="footer-row"><article>two</article></div>', "one\ntwo"),
+        ('<article><p>x</article><section id="comments"><article class="comment">' + _STORY * 2 + "</article></section>", "x"),
+        ('<main><article><p>' + _STORY + '</article><div id="comments"><article>' + _STORY * 3 + "</article></div></main>", _STORY),
+        ('<div class="widget search"><p>' + _STORY + "<p>" + _STORY + "</div><p>Short.", _STORY + "\n" + _STORY + "\nShort."),
+        ('<main><h1>T</h1><div class="widget social"><p>' + _STORY + "</div></main>", "T\n" + _STORY),
+        ('<article><p>x<div class="casino-ads"><p>buy</div></article>', "x"),
+    ],
+)
+def test_marks_do_not_hold_around_the_text(page, text):
+    assert html.main_text(page) == text
+
+
+def test_many_nested_marks():
+    assert html.main_text("<div class=ad>" * 3000 + "<article>x</article>" * 3000) == "\n".join("x" * 3000)
+
+
 def test_awkward_rows(spark):
     rows = [(1, "u", None, "t"), (1, "u", None, "t"), (None, None, "<article>" + "<p>x" * 20_000, None), (2, "v", "<" * 5000, ""), (3, "w", "<p" + " a" * 3000, "")]
     d = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
