@@ -6,10 +6,13 @@ like identifiers (a number of four digits and more, or an @) are candidates. See
 bipartite graph, counted over all documents; its scores are iterated: a pattern is as good as the share of its
 occurrences held by known identifiers, a candidate as good as its patterns together (noisy or). A pattern's
 occurrences include those before ordinary words, counted in a scan of their own, so a common phrase is never
-confident. Candidates that stand in confident patterns join the result under the kind of the pattern's seeds.
+confident. A candidate is confident if its score is, and if it stands in confident patterns far more often than in
+those that are mostly around ordinary words, so a common number is not. Confident candidates are seeds of the next
+round, of the kind of the pattern; it ends after ROUNDS rounds without a new one. Candidates that stand in confident patterns, and
+confident candidates wherever they stand, join the result.
 
-Texts are never shuffled: scans emit only (pattern, instance) counts. Up to BLOCK confident patterns (16 bytes each) are
-broadcast and applied where the base spans are made; more are applied in blocks, one narrow pass a block.
+Texts are never shuffled: scans emit only (pattern, instance) counts. Up to BLOCK confident patterns and candidates (16
+bytes each) are broadcast and applied where the base spans are made; more are applied in blocks, one narrow pass a block.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from .common import materialise, slices, thrifty
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns in one broadcast.
 BLOCK = 500_000
+#: So many without a new identifier are the last ones.
 ROUNDS = 3
 #: A pattern needs so many different seeds of one kind, and this score.
 MIN_SEEDS = 3
@@ -181,29 +185,49 @@ def occurrences(documents: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def learn(documents: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, confident: float = CONFIDENT) -> DataFrame | None:
-    """The confident patterns (pattern, kind, score) that have candidates, or None if there are none."""
+    """The confident patterns that have candidates, and the confident candidates (pattern, kind, score: a candidate's hash
+    is in the place of the pattern's), or None if there are none."""
     edges = materialise(graph(documents))
-    # Only patterns with seeds enough and a candidate to find can add anything.
-    of_pattern = edges.groupBy("pattern").agg(*[F.count_if(F.col("kind") == k).alias(f"k{k}") for k in range(len(KINDS))], F.count_if(F.col("kind") < 0).alias("open"))
-    most = F.greatest(*[F.col(f"k{k}") for k in range(len(KINDS))])
-    kind = F.coalesce(*[F.when(F.col(f"k{k}") == most, F.lit(k)) for k in range(len(KINDS))])
-    useful = materialise(of_pattern.where((F.col("open") > 0) & (most >= min_seeds)).select("pattern", kind.alias("of_kind")))
+    seeds = materialise(edges.where("kind >= 0").select("instance", "kind").distinct())
+    if seeds.isEmpty():
+        return None
+    pairs = edges.groupBy("pattern", "instance").agg(F.max("n").alias("n"), F.min("kind").alias("kind"))
+    # Only patterns with instances enough and a candidate to find can ever add anything.
+    useful = pairs.groupBy("pattern").agg(F.count("*").alias("instances"), F.min("kind").alias("least"), F.sum("n").alias("held")).where((F.col("instances") >= min_seeds) & (F.col("least") < 0))
+    useful = materialise(useful.select("pattern", "held"))
     if useful.isEmpty():
         return None
-    totals = materialise(useful.join(occurrences(documents, useful), "pattern", "left"))
-    kept = materialise(edges.join(totals, "pattern").select("pattern", "instance", "kind", "of_kind", "n", F.greatest(F.coalesce("total", F.lit(0)), F.col("n")).alias("total")))
-    # A seed of another kind is no evidence for the pattern's.
-    scores = kept.select("instance", (F.col("kind") == F.col("of_kind")).cast("double").alias("s")).groupBy("instance").agg(F.max("s").alias("s"))
-    fixed = scores
-    for _ in range(rounds):
-        patterns = kept.join(scores, "instance").groupBy("pattern", "of_kind").agg((F.sum(F.col("n") * F.col("s")) / (F.max("total") + 1)).alias("score"))
-        patterns = materialise(patterns.select("pattern", "of_kind", F.least("score", F.lit(1.0)).alias("score")))
-        raised = kept.join(patterns.select("pattern", "score"), "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("found"))
-        scores = materialise(fixed.join(raised, "instance", "left").select("instance", F.greatest("s", F.coalesce("found", F.lit(0.0))).alias("s")))
-    found = materialise(patterns.where(F.col("score") >= confident).select("pattern", F.col("of_kind").alias("kind"), "score"))
+    totals = useful.join(occurrences(documents, useful), "pattern", "left").select("pattern", "held", F.coalesce("total", F.lit(0)).alias("total"))
+    # Whether a pattern can be confident at all, were all it holds known; if not, it speaks against what stands in it.
+    able = F.col("held") / (F.greatest("total", "n") + 1) >= confident
+    kept = materialise(pairs.join(totals, "pattern").select("pattern", "instance", "n", F.greatest("total", "n").alias("total"), able.alias("able")))
+    against = materialise(kept.where("not able").groupBy("instance").agg(F.sum("n").alias("against")))
+    scores, known, n_known, quiet = seeds.withColumn("s", F.lit(1.0)), seeds, seeds.count(), 0
+    while quiet < rounds:
+        counts = kept.join(known, "instance").groupBy("pattern", "kind").agg(F.count("*").alias("c")).where(F.col("c") >= min_seeds)
+        best = counts.groupBy("pattern").agg((-F.max(F.struct("c", (-F.col("kind")).alias("k")))["k"]).alias("kind"))
+        # A seed of another kind is no evidence for the pattern's.
+        held = kept.join(scores, "instance").groupBy("pattern", "kind").agg((F.sum(F.col("n") * F.col("s")) / (F.max("total") + 1)).alias("score"))
+        patterns = materialise(best.join(held, ["pattern", "kind"]).select("pattern", "kind", F.least("score", F.lit(1.0)).alias("score")))
+        miss = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
+        raised = kept.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("s"), F.sum(F.when(F.col("score") >= confident, F.col("n")).otherwise(0)).alias("for"))
+        sure = (F.col("s") >= confident) & (F.col("for") > 0) & (F.col("for") >= confident * (F.col("for") + F.coalesce("against", F.lit(0))))
+        raised = materialise(raised.join(against, "instance", "left").select("instance", "kind", "s", sure.alias("sure")))
+        known = materialise(known.union(raised.where("sure").select("instance", "kind")).distinct())
+        scores = materialise(seeds.withColumn("s", F.lit(1.0)).union(raised.select("instance", "kind", "s")).groupBy("instance", "kind").agg(F.max("s").alias("s")))
+        before, n_known = n_known, known.count()
+        quiet = quiet + 1 if n_known == before else 0
+    own = known.join(seeds, ["instance", "kind"], "left_anti").join(scores, ["instance", "kind"])
+    own = own.groupBy("instance").agg(F.max(F.struct("s", (-F.col("kind")).alias("k"))).alias("b")).select(F.col("instance").alias("pattern"), (-F.col("b.k")).alias("kind"), F.col("b.s").alias("score"))
+    found = materialise(patterns.where(F.col("score") >= confident).union(own))
     return None if found.isEmpty() else found
 
 
+def _keys(text: str, start: int, end: int) -> list[int]:
+    """What learn() may have found a candidate by."""
+    return [*contexts(text, start, end), _instance(text[start:end])]
+
+
 def annotate(documents: DataFrame, patterns: DataFrame | None) -> DataFrame:
     """documents with _pii_base and _pii_spans (arrays of start, kind, end) after its own columns; null text has none."""
     spark = documents.sparkSession
@@ -230,7 +254,7 @@ def annotate(documents: DataFrame, patterns: DataFrame | None) -> DataFrame:
                     for text, base, had in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
                         all_of = {(x["start"], x["kind"], x["end"]) for x in had}
                         for start, end in candidate_spans(text, [(x["start"], x["kind"], x["end"]) for x in base]) if text else ():
-                            if any(p in wanted for p in contexts(text, start, end)):
+                            if any(p in wanted for p in _keys(text, start, end)):
                                 all_of.add((start, k, end))
                         spans.append(sorted(all_of))
                     yield pa.RecordBatch.from_arrays([*batch.columns[:-1], as_rows(spans)], names=batch.schema.names)
@@ -252,7 +276,7 @@ def _spans_of(patterns: DataFrame | None, spark: SparkSession):
         keys, kinds = shared.value
         found = set(base)
         for start, end in candidate_spans(text, base) if text and len(keys) else ():
-            for p in contexts(text, start, end):
+            for p in _keys(text, start, end):
                 at = int(np.searchsorted(keys, p))
                 if at < len(keys) and keys[at] == p:
                     found.add((start, int(kinds[at]), end))

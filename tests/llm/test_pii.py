@@ -59,6 +59,30 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert masked[0] == "please mail me at [EMAIL] today or later 0"
 
 
+def test_the_bootstrap_goes_on_and_marks_recurrences(spark, monkeypatch):
+    rows = [f"please mail me at user{i}@mail{i}.example.org today or later {i}" for i in range(12)]
+    rows += [f"{context[0]} name_{1000 + i}(at)post {context[1]}" for i in range(8) for context in (("please mail me at", "today or later"), ("ticket opened by", "was closed"))]  # first hop
+    rows += [f"{context[0]} other_{2000 + i}(at)site {context[1]}" for i in range(6) for context in (("ticket opened by", "was closed"), ("badge of", "expired"))]  # second hop
+    hidden = ["badge of last_3001(at)site expired", "somewhere else name_1002(at)post recurs", "name_1003(at)post"]  # third hop, and recurrences
+    clean = ["the ordinary number 123456 is nothing"]
+    d = spark.createDataFrame(list(enumerate([*rows, *hidden, *clean])), "doc_id long, text string")
+    want = ["email:9:26", "email:15:32", "email:0:17", ""]
+    for block in (pii.BLOCK, 3):
+        monkeypatch.setattr(pii, "BLOCK", block)
+        found = {r.doc_id: r.spans for r in pii.find(d).collect()}
+        assert all(found[k] for k in range(len(rows))) and [found[len(rows) + k] for k in range(4)] == want
+    masked = {r.doc_id: r.text for r in pii.redact(d).collect()}
+    assert masked[len(rows) + 1] == "somewhere else [EMAIL] recurs"
+
+
+def test_a_common_number_in_a_confident_pattern_is_marked_only_there(spark):
+    rows = [f"please mail me at user{i}@mail{i}.example.org today or later {i}" for i in range(12)] + ["please mail me at 20241 today or later"]
+    rows += ["back in 20241 it rained"] * 20 + [f"back in {20300 + i} it rained" for i in range(3)] + ["back in may it rained"] * 80
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find(d).collect()}
+    assert found[12] == "email:18:23" and not any(found[k] for k in range(13, len(rows)))
+
+
 def test_a_common_phrase_is_never_confident(spark):
     rows = [f"and the a{i}@b.co was" for i in range(6)] + ["and the 1234567 was"] + ["and the thing was"] * 200
     d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
