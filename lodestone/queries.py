@@ -180,6 +180,22 @@ for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JO
     query(f"SELECT k AS key, a.name AS name_x, b.name AS name_y FROM {_MERGE_LEFT} a {_sql} {_MERGE_RIGHT} b USING (k)")(_merge(_how))
 
 
+def _merge_whole(how: str) -> Query:
+    """All rows of both tables: keys 2 x and 3 x meet in part, so that rows without a match are on both sides."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        a = table(spark, sf, "customer").select((2 * F.col("c_custkey")).alias("k"), F.col("c_name").alias("name"))
+        b = table(spark, sf, "supplier").select((3 * F.col("s_suppkey")).alias("k"), F.col("s_name").alias("name"))
+        return relational.merge(a, b, "k", "k", how, key_name="key")
+
+    run.__name__ = f"merge_whole_{how}"
+    return run
+
+
+for _how, _sql in (("inner", "JOIN"), ("left", "LEFT JOIN"), ("right", "RIGHT JOIN"), ("outer", "FULL JOIN")):
+    query(f"SELECT k AS key, a.name AS name_x, b.name AS name_y FROM (SELECT 2 * c_custkey AS k, c_name AS name FROM customer) a {_sql} (SELECT 3 * s_suppkey AS k, s_name AS name FROM supplier) b USING (k)")(_merge_whole(_how))
+
+
 @query("""WITH a AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i FROM customer),
     b AS (SELECT c_name, row_number() OVER (ORDER BY md5('7|' || c_custkey), c_custkey) AS i FROM customer)
     SELECT c_custkey, c_name FROM a JOIN b USING (i)""")

@@ -14,6 +14,12 @@ def test_sql_names_are_queries():
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES) and set(queries.QUERIES) <= set(entry.queries())
 
 
+def test_merges_of_whole_tables(spark, sf):
+    n = {t: spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("customer", "supplier")}
+    c = {how: queries.QUERIES[f"merge_whole_{how}"](spark, sf).count() for how in ("inner", "left", "right", "outer")}
+    assert 0 < c["inner"] < n["supplier"] and (c["left"], c["right"], c["outer"]) == (n["customer"], n["supplier"], n["customer"] + n["supplier"] - c["inner"])
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_against_sql(spark, sf, name):
     df = queries.QUERIES[name](spark, sf)
