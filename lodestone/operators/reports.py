@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import special as sp
-from . import splitting, statistics
+from . import chem, similarity, splitting, statistics
 from .relational import need, quoted, running_sums
 
 SEVERITIES = ("OK", "LOW", "MEDIUM", "HIGH", "CRITICAL")
@@ -114,9 +114,27 @@ def quality_report(df: DataFrame, key: str, activity: str | None = None, numbers
     return out | {"issues": issues}
 
 
-def split_report(df: DataFrame, key: str, label: str, split: str = "split", group: str | None = None, numbers: Sequence[str] = (), alpha: float = 0.05, least: int = 50) -> dict[str, Any]:
-    """Checks of a split: sizes, exact duplicates (CRITICAL), group leakage, drift of numbers and of the label. The
-    report's severity is the worst of its checks'."""
+def near_rows(df: DataFrame, others: DataFrame, key: str, vector: str, similar: float = 0.9, metric: str = "tanimoto") -> int:
+    """How many different (key, vector) of df have one of others at least so similar; of all pairs, block by block."""
+    side = lambda d: d.where(quoted(vector).isNotNull()).select(F.xxhash64(quoted(key), quoted(vector)).alias("id"), quoted(vector).alias("v")).dropDuplicates(["id"])
+    return similarity.nearest_neighbors(side(df), side(others), "id", "v", 1, metric, exclude_self=False).where(F.col("sim") >= similar).count()
+
+
+def shared_but_stereo(a: DataFrame, b: DataFrame, smiles: str) -> int:
+    """How many different molecules without stereo marks are in both, where those with the marks differ."""
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        plain, full = chem.STEPS["flatten_stereo"][1], chem.STEPS["canonicalize"][1]
+        both = chem.clean(chem.clean(df.select(quoted(smiles).alias("s")).distinct(), "s", "flatten_stereo"), "s", "canonicalize")
+        return both.where(quoted(plain).isNotNull()).select(quoted(plain).alias("k"), quoted(full).alias(name)).distinct()
+
+    return side(a, "x").join(side(b, "y"), "k").where("x <> y").select("k").distinct().count()
+
+
+def split_report(df: DataFrame, key: str, label: str, split: str = "split", group: str | None = None, numbers: Sequence[str] = (), alpha: float = 0.05, least: int = 50, vector: str | None = None, similar: float = 0.9, metric: str = "tanimoto", smiles: str | None = None) -> dict[str, Any]:
+    """Checks of a split: sizes, exact duplicates (CRITICAL), group leakage, drift of numbers and of the label; with a
+    vector, rows whose nearest one in another split is at least `similar` (HIGH); with smiles, molecules in two splits
+    that differ in stereo marks only (MEDIUM). The report's severity is the worst of its checks'."""
     names = sorted(r[0] for r in df.select(quoted(split)).distinct().collect())
     part = {s: df.where(quoted(split) == s) for s in names}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
@@ -124,6 +142,12 @@ def split_report(df: DataFrame, key: str, label: str, split: str = "split", grou
     checks: dict[str, dict[str, Any]] = {"sizes": {"splits": sizes, "severity": "MEDIUM" if any(s["n"] < least or s["share"] < 0.1 for s in sizes) else "OK"}}
     shared = {f"{a}-{b}": splitting.shared_keys(part[a], part[b], key).count() for a, b in pairs}
     checks["duplicates"] = {"shared": shared, "severity": "CRITICAL" if any(shared.values()) else "OK"}
+    if vector:
+        near = {f"{a}-{b}": {"of_first": near_rows(part[a], part[b], key, vector, similar, metric), "of_second": near_rows(part[b], part[a], key, vector, similar, metric)} for a, b in pairs}
+        checks["similarity"] = {"near": near, "threshold": similar, "severity": "HIGH" if any(n for x in near.values() for n in x.values()) else "OK"}
+    if smiles:
+        stereo = {f"{a}-{b}": shared_but_stereo(part[a], part[b], smiles) for a, b in pairs}
+        checks["stereo"] = {"shared": stereo, "severity": "MEDIUM" if any(stereo.values()) else "OK"}
     if group:
         rows = [r.asDict() for r in splitting.group_leakage(df, group, split).collect()]
         checks["groups"] = {"pairs": rows, "severity": max((r["severity"] for r in rows), key=SEVERITIES.index, default="OK")}

@@ -334,3 +334,11 @@ class TestMetricsTokensReports:
         s = splitting.random_split(df, ["k"], 1)
         rep = reports.split_report(s, "k", "y", group="g", numbers=["x"], least=5)
         assert rep["checks"]["duplicates"]["severity"] == "OK" and rep["checks"]["groups"]["severity"] in ("LOW", "MEDIUM", "HIGH") and rep["n_checks"] == 5
+
+    def test_split_report_finds_near_and_stereo_copies(self, spark):
+        bits = [[1] * 20, [1] * 19 + [0], [0] * 10 + [1] * 10, [0, 1] * 10]
+        smiles = ["C[C@H](O)CC", "C[C@@H](O)CC", "CCO", "c1ccccc1"]
+        df = spark.createDataFrame([(f"m{k}", k % 2, bits[k], smiles[k], "train" if k in (0, 2) else "test") for k in range(4)], "k string, y int, v array<int>, s string, split string")
+        rep = reports.split_report(df, "k", "y", least=1, vector="v", smiles="s")
+        assert rep["checks"]["similarity"] == {"near": {"test-train": {"of_first": 1, "of_second": 1}}, "threshold": 0.9, "severity": "HIGH"}
+        assert rep["checks"]["stereo"] == {"shared": {"test-train": 1}, "severity": "MEDIUM"} and rep["severity"] == "HIGH"
