@@ -100,7 +100,7 @@ def candidate_spans(text: str, base: list[Span]) -> list[tuple[int, int]]:
         token = m[0]
         start = m.start() + len(token) - len(token.lstrip(_EDGES))
         end = m.end() - (len(token) - len(token.rstrip(_EDGES)))
-        if end - start < 5 or end - start > 64 or "@" not in token and sum(c.isdigit() for c in token) < 4:
+        if "@" not in token and sum(c.isdigit() for c in token) < 4:
             continue
         while k < len(by_start) and by_start[k][1] <= start and (k + 1 == len(by_start) or by_start[k + 1][0] >= by_start[k][0]):
             k += 1

@@ -83,6 +83,15 @@ def test_a_common_number_in_a_confident_pattern_is_marked_only_there(spark):
     assert found[12] == "email:18:23" and not any(found[k] for k in range(13, len(rows)))
 
 
+def test_candidates_have_no_limits_of_length(spark):
+    long = "x" * 90 + "1234"
+    assert pii.candidate_spans(f"pin 1234, {long}", []) == [(4, 8), (10, 104)]
+    rows = [f"please mail me at user{i}@mail{i}.example.org today or later {i}" for i in range(12)] + ["please mail me at 1234 today", f"please mail me at {long} today"]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find(d).collect()}
+    assert (found[12], found[13]) == ("email:18:22", "email:18:112")
+
+
 def test_a_common_phrase_is_never_confident(spark):
     rows = [f"and the a{i}@b.co was" for i in range(6)] + ["and the 1234567 was"] + ["and the thing was"] * 200
     d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
