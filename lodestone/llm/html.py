@@ -1,10 +1,12 @@
 """Main-text extraction from web pages by the line-block distribution.
 
-A page is cut into lines, one for each block element; lines inside menus, adverts, forms and the like are dropped.
-Where a page marks its article, all its other lines are the text and the distribution decides nothing. Elsewhere a line
-weighs the characters of its text outside links. The sums of the weights over a sliding window of lines form the
-line-block distribution: a stretch of text starts where it surges and ends where it dives to nothing, and every stretch
-is kept with all lines in between. If nothing surges, all lines are kept.
+A page is cut into lines, one for each block element. Menus, forms, scripts and the like are stripped by their element
+names. Each line weighs the characters of its text outside links, times what the markup says of it: nothing in a part
+that is marked as an advert, a sidebar or comments, and nothing outside the article if the page marks one that holds
+most of its text. The sums of the weights over a sliding window of lines form the line-block distribution: a stretch of
+text starts where it surges and ends where it dives to nothing, and all lines between are kept but those of side parts.
+That holds for every page, with or without <article>: a list of links inside an article is a dive as well. If nothing
+surges, as on a page of a few words, all lines that could weigh are kept.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript textarea iframe template svg math object canvas".split())
 ASIDE = frozenset("head title nav header footer aside form button select menu dialog fieldset figure-menu".split())
 MAIN = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th"
@@ -33,64 +36,107 @@ MARKED_ASIDE = re.compile(
     r"|notice|alert|popup|modal|newsletter|subscribe|subscription|share|sharing|social|related|recommended|breadcrumbs?|nav|navbar|navigation|menu"
     r"|header|masthead|footer|copyright|pagination|pager|toolbar|widget|skip-link|login|signup|search)(?![a-z])"
 )
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>?", re.S)
 _MARKS = re.compile(r"(?:^|\s)(?:class|id|role|data-role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: What only names a part that is near or missing, and the heads of articles.
 _NO_MARK = re.compile(r"(?<![a-z])(?:with|without|has|no)[-_][^\s]*|(?<![a-z])(?:article|entry|post|story)[-_]+header(?![a-z])")
 _COMMENTS = re.compile(r"(?<![a-z])(comments?|commentlist|disqus|respond)(?![a-z])")
 _SPACE = re.compile(r"\s+")
+_LISTS = ("ul", "ol", "dl", "table", "select", "menu")
 
 WINDOW = 3
-#: Characters that a window must hold for the text to surge, where no article is marked.
+#: Characters that a window must hold for the text to surge.
 SURGE = 60
+#: An <article> of less than this share of the largest one's text is a teaser.
+TEASER = 0.25
 
 
-class Marked:
-    """An element that is marked as a side part, and what it holds."""
+class Part:
+    """An element that is marked as a side part, or an <article> or <main>, and what it holds."""
 
-    def __init__(self, outer: Marked | None, comments: bool) -> None:
-        self.outer, self.comments = outer, comments
-        self.article = self.main = False
+    def __init__(self, name: str, outer: Part | None, comments: bool = False) -> None:
+        self.name, self.outer, self.comments = name, outer, comments
+        self.article = self.main = False  # whether it holds one
+        self.closed = self.begun = False
         self.plain = 0
 
 
-def _side_parts(marks: list[Marked], lines: list[tuple[str, int, bool, bool, bool, Marked | None]]) -> set[Marked]:
+class Line:
+    """A line: its text, the characters outside links, whether the names of its elements strip it, the innermost
+    marked element and the innermost <article> and <main> around it, whether it is a heading."""
+
+    __slots__ = ("text", "plain", "aside", "mark", "article", "main", "heading")
+
+    def __init__(self, text: str, plain: int, aside: bool, mark: Part | None, article: Part | None, main: Part | None, heading: bool) -> None:
+        self.text, self.plain, self.aside, self.mark, self.article, self.main, self.heading = text, plain, aside, mark, article, main, heading
+
+
+class _Stack:
+    """The open elements, with the places of each name: closing looks nothing up by walking."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, bool, Part | None, Part | None]] = []  # element, whether its name strips it, it as a marked part, as an article
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, aside: bool, part: Part | None, hint: Part | None) -> None:
+        self.places.setdefault(name, []).append(len(self.items))
+        if name in BLOCK:
+            self.blocks.append(len(self.items))
+        self.items.append((name, aside, part, hint))
+
+    def pop(self) -> tuple[str, bool, Part | None, Part | None]:
+        item = self.items.pop()
+        self.places[item[0]].pop()
+        if item[0] in BLOCK:
+            self.blocks.pop()
+        return item
+
+    def last(self, name: str) -> int:
+        places = self.places.get(name)
+        return places[-1] if places else -1
+
+    def has(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+
+def _side_parts(marks: list[Part], lines: list[Line]) -> set[Part]:
     """The marked elements that are side parts, or lie in one. No mark holds around <main>, or most of the page's text
-    (of comments: nearly all, without an article beside them). Marks around an <article> are lifted from the outside
+    (of comments: nearly all), unless an article beside it is more than a teaser. Marks around an <article> are lifted from the outside
     in, until one stands free: an <article> in the comments or a list of related ones is a side part beside it."""
     total = 0
-    for _, plain, aside, _, _, mark in lines:
-        if not aside:
-            total += plain
-            if mark:
-                mark.plain += plain
+    for x in lines:
+        if not x.aside:
+            total += x.plain
+            if x.mark:
+                x.mark.plain += x.plain
     for m in reversed(marks):  # inner ones stand after their outer ones
         if m.outer:
             m.outer.plain += m.plain
-    alone = any(article and not aside and not mark for _, _, aside, _, article, mark in lines)
-    lifted = {m for m in marks if m.main or m.plain >= SURGE and 2 * m.plain > total and (not m.comments or total - m.plain < SURGE and not alone)}
-    around: dict[Marked | None, int] = {None: 0}  # marks that hold, around an article
-    inside: set[Marked | None] = set()  # those in a side part without an article
+    beside = sum(x.plain for x in lines if x.article and not x.aside and not x.mark)
+    lifted = {m for m in marks if m.main or m.plain >= SURGE and 2 * m.plain > total and beside < TEASER * m.plain and (not m.comments or total - m.plain < SURGE and not beside)}
+    around: dict[Part | None, int] = {None: 0}  # marks that hold, around an article
+    inside: set[Part | None] = set()  # those in a side part without an article
     for m in marks:
         around[m] = around[m.outer] + (m.article and m not in lifted)
         if m.outer in inside or not m.article and m not in lifted:
             inside.add(m)
-    free = min((around[mark] for _, _, aside, _, article, mark in lines if article and not aside and mark not in inside), default=0)
+    free = min((around[x.mark] for x in lines if x.article and not x.aside and x.mark not in inside), default=0)
     lifted |= {m for m in marks if m.article and around[m] <= free}
-    out: set[Marked] = set()
+    out: set[Part] = set()
     for m in marks:
         if m not in lifted or m.outer in out:
             out.add(m)
     return out
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """The lines of a page: text, characters of it outside links, whether in a side part, whether in a marked article."""
-    lines: list[tuple[str, int, bool, bool, bool, Marked | None]] = []
-    stack: list[tuple[str, bool, bool, Marked | None]] = []  # element, whether it is a side part by name, whether it starts the article, the marked element around it
-    state = {"aside": 0, "main": 0, "article": 0, "link": 0}
-    marks: list[Marked] = []
-    marked: Marked | None = None
+def parsed(page: str) -> tuple[list[Line], list[Part]]:
+    """The lines of a page and its marked elements, in one pass over it."""
+    lines: list[Line] = []
+    stack, marks = _Stack(), []
+    asides = links = 0
+    mark: Part | None = None
+    hints: dict[str, Part | None] = {"article": None, "main": None}
     parts: list[str] = []
     plain = 0
 
@@ -98,23 +144,31 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         nonlocal parts, plain
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            lines.append((text, min(plain, len(text)), state["aside"] > 0, state["main"] > 0, state["article"] > 0, marked))
+            lines.append(Line(text, min(plain, len(text)), asides > 0, mark, hints["article"], hints["main"], bool(stack.blocks) and stack.items[stack.blocks[-1]][0] in HEADINGS))
         parts, plain = [], 0
 
-    def pop() -> None:
-        nonlocal marked
-        name, aside, main, marked = stack.pop()
-        state["aside"] -= aside
-        state["main"] -= main
-        state["article"] -= name == "article"
-        state["link"] -= name == "a"
+    def pop(closed: bool = False) -> None:
+        nonlocal asides, links, mark
+        name, aside, part, hint = stack.pop()
+        asides -= aside
+        links -= name == "a"
+        if part is not None:
+            part.closed = closed or name in CLOSES_SELF or name == "p"
+            mark = part.outer
+        if hint is not None:
+            hints[name] = hint.outer
+
+    def close_to(place: int) -> None:
+        while len(stack.items) > place + 1:
+            pop()
+        pop(True)
 
     def add(raw: str) -> None:
         nonlocal plain
         if raw:
             text = unescape(raw)
             parts.append(text)
-            if not state["link"]:
+            if not links:
                 plain += len(_SPACE.sub("", text))
 
     at, lower = 0, None
@@ -135,75 +189,98 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         elif name == "br":
             parts.append(" ")
         if m[1]:
-            if any(x[0] == name for x in stack):
-                while stack[-1][0] != name:
-                    pop()
-                pop()
+            if stack.has(name):
+                close_to(stack.last(name))
             continue
-        if name in BLOCK and stack and stack[-1][0] == "p":
-            pop()
-        elif name in BLOCK and any(x[0] == "p" for x in stack):  # an inline element is open in the paragraph
-            k = max(i for i, x in enumerate(stack) if x[0] == "p")
-            if not any(x[0] in BLOCK for x in stack[k + 1 :]):
-                while len(stack) > k:
-                    pop()
+        if name in BLOCK and stack.blocks and stack.items[stack.blocks[-1]][0] == "p":  # a block ends a paragraph, with what is open in it
+            close_to(stack.blocks[-1])
         if name in CLOSES_SELF:
-            same = CLOSES_SELF[name].split()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in same:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "select", "menu"):
-                    break
+            same = max(stack.last(x) for x in CLOSES_SELF[name].split())
+            if same > max(stack.last(x) for x in _LISTS):
+                close_to(same)
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
-        main = name in MAIN
-        aside = name in ASIDE and not (name == "header" and state["main"])
-        stack.append((name, aside, main, marked))
-        if main:
-            around = marked
+        part = hint = None
+        aside = name in ASIDE and not (name == "header" and (hints["article"] or hints["main"]))
+        if name in MAIN:
+            around = mark
             while around and not getattr(around, name):  # further out all are told
                 setattr(around, name, True)
                 around = around.outer
-        elif m[3] and name not in ("html", "body") and (words := " ".join(x or y or z for x, y, z in _MARKS.findall(m[3])).lower()):
+            hints[name] = hint = Part(name, hints[name])
+        if m[3] and name not in ("html", "body", "main") and (words := " ".join(x or y or z for x, y, z in _MARKS.findall(m[3])).lower()):
             if (found := MARKED_ASIDE.search(_NO_MARK.sub(" ", words))) is not None:
-                marked = Marked(marked, bool(_COMMENTS.fullmatch(found[0])))
-                marks.append(marked)
-        state["aside"] += aside
-        state["main"] += main
-        state["article"] += name == "article"
-        state["link"] += name == "a"
+                mark = part = Part(name, mark, bool(_COMMENTS.fullmatch(found[0])))
+                marks.append(part)
+        stack.push(name, aside, part, hint)
+        asides += aside
+        links += name == "a"
     add(page[at:])
     end_line()
+    return lines, marks
+
+
+def weights(lines: list[Line], marks: list[Part]) -> list[tuple[Line, int]]:
+    """The lines that can be text, with their weights: those of side parts are left out."""
+    for x in lines:  # a marked part that is never closed is its first line
+        first = x.mark
+        if first is not None and not (first.closed or first.begun or first.article or first.main):
+            while first is not None and not first.begun:
+                first.begun, first = True, first.outer
+        else:
+            path = []
+            while x.mark is not None and not x.mark.closed:
+                path.append(x.mark)
+                x.mark = x.mark.outer
+            for m in path:  # each way is walked once
+                m.outer = x.mark
     side = _side_parts(marks, lines)
-    return [(text, plain, aside or mark in side, main) for text, plain, aside, main, _, mark in lines]
+    rest = [x for x in lines if not x.aside and x.mark not in side]
+    total = sum(x.plain for x in rest)
+    articles: dict[Part, int] = {}
+    for x in rest:
+        if x.article:
+            top = x.article
+            articles[top] = articles.get(top, 0) + x.plain
+    largest = max(articles.values(), default=0)
+    teasers = {a for a, n in articles.items() if n < TEASER * largest}
+    hinted = sum(x.plain for x in rest if x.main or x.article and x.article not in teasers)
+    if 2 * hinted <= total or not hinted:  # no article that holds most of the text
+        small = {a for a, n in articles.items() if n < TEASER * (total - hinted)}
+        return [(x, 0 if x.article in small else x.plain) for x in rest]
+    around = {a.outer for a in articles if a.outer}  # an article around others is none of several
+    inside = [x for x in rest if x.main or x.article]
+    return [(x, 0 if x.article in teasers and x.article not in around else x.plain + SURGE * (x.plain > 0)) for x in inside]
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The article of a page, its blocks joined by line feeds; empty for null, or if there is none."""
-    lines = [x for x in lines_of(page) if not x[2]] if page else []
-    if any(main for *_, main in lines):
-        return "\n".join(text for text, _, _, main in lines if main)
-    weights = np.array([plain for _, plain, _, _ in lines], np.int64)
-    if not weights.any():
+    """The article of a page, its blocks joined by line feeds; empty for null, or if there is none. Linear in the page.
+
+    Headings right before a surge belong to it. Of equal stretches all are kept; a stretch goes on over less than a
+    window of lines that weigh nothing."""
+    lines = weights(*parsed(page)) if page else []
+    weighed = np.array([w for _, w in lines], np.int64)
+    if not weighed.any():
         return ""
-    sums = np.convolve(weights, np.ones(window, np.int64))[: len(weights)]  # of each line and those just before it
+    sums = np.convolve(weighed, np.ones(window, np.int64))[: len(weighed)]  # of each line and those just before it
     stretches, begin, last = [], None, 0
     for k in range(len(lines) + 1):
-        if k < len(lines) and begin is None and weights[k] and sums[min(k + window - 1, len(lines) - 1)] >= surge:
+        if k < len(lines) and begin is None and weighed[k] and sums[min(k + window - 1, len(lines) - 1)] >= surge:
             begin = k
+            while begin and lines[begin - 1][0].heading and weighed[begin - 1]:
+                begin -= 1
         elif begin is not None and (k == len(lines) or not sums[k]):
             stretches.append((begin, last + 1))
             begin = None
-        if k < len(lines) and weights[k]:
+        if k < len(lines) and weighed[k]:
             last = k
-    return "\n".join(lines[k][0] for a, b in stretches or [(0, len(lines))] for k in range(a, b))
+    return "\n".join(lines[k][0].text for a, b in stretches or [(0, len(lines))] for k in range(a, b))
 
 
 def extract(pages: DataFrame, window: int = WINDOW, surge: int = SURGE) -> DataFrame:
     """page_id, url, text and n_chars (code points of text) of every row of pages (page_id, url, html; other columns
-    are ignored). Null or empty html: empty text. Repeated rows stay. One narrow pass, nothing is shuffled."""
+    are ignored). Null or empty html: empty text. Repeated rows stay; no rows give no rows. One narrow pass, nothing is
+    shuffled; a page of any length is read whole, in linear time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -87,3 +87,83 @@ def test_awkward_rows(spark):
     got = html.extract(d).collect()
     assert len(got) == 5 and max(r.n_chars for r in got) == 2 * 20_000 - 1
     assert html.extract(d.where("false")).count() == 0
+
+
+def _p(*texts):
+    return "".join(f"<p>{x}</p>" for x in texts)
+
+
+def _story(k):
+    return f"Sentence {k} of the story is long enough, by far, to be told from a menu or a button of the page."
+
+
+_A = [_story(k) for k in range(4)]
+_FLAT = "\n".join(_A)
+_MENU = "<ul>" + "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(6)) + "</ul>"
+
+#: Pages without <article> and <main>, but for what the last ones test; the text is _FLAT if none is given.
+_PAGES = [
+    _p(*_A),
+    _MENU + _p(*_A) + _MENU,
+    f"<nav>{_MENU}</nav><div>{_p(*_A)}</div><footer>Imprint</footer>",
+    f'<div id="page" class="site has-sidebar"><div class="content">{_p(*_A)}</div><div class="sidebar">{_p("Weather", "News of the day")}</div></div>',
+    f'<div class="layout no-sidebar">{_p(*_A)}</div>',
+    f'<div class="layout with-sidebar">{_p(*_A)}<div id="sidebar"><p>Popular today</p></div></div>',
+    f"<table><tr><td>{_MENU}</td><td>{_p(*_A)}</td></tr></table>",
+    f"<div>{_p(*_A[:2])}</div>{_MENU}<div>{_p(*_A[2:])}</div>",
+    f"{_p(*_A[:2])}<div class=ad>{_p('Buy now, cheap and good, only this week, in every shop near you.')}</div>{_p(*_A[2:])}",
+    f"{_p(*_A[:2])}<div class=advert><p>Buy one<p>Buy two<p>Buy three<p>Buy four</div>{_p(*_A[2:])}",
+    f"{_p(*_A)}<div class=comments>{_p('Nice', 'I do not think so at all, and this is why I say it here.')}</div>",
+    f"{_p(*_A)}<section id=comments><div class=comment>{_p(_story(8))}</div></section>",
+    f"<form><input><label>Name</label><p>Fill in</p></form>{_p(*_A)}",
+    f"<script>var a='<p>no</p>';</script><style>p{{}}</style>{_p(*_A)}<noscript><p>no</p></noscript>",
+    f"<div class=cookie-notice><p>We use cookies and so on.</p></div>{_p(*_A)}",
+    f"<header>{_MENU}<p>Site name</p></header>{_p(*_A)}<aside><p>aside</p></aside>",
+    f"<div class=breadcrumb><a href=/>Home</a> / <a href=/x>X</a></div>{_p(*_A)}",
+    f"<body><p>{'<p>'.join(_A)}",
+    f"<div><p>{'</div><div><p>'.join(_A)}</div>",
+    f"<ul><li>{'<li>'.join(_A)}</ul>",
+    f"<b>{_p(*_A)}</b></i></u>",
+    f"<div><div><div><div>{_p(*_A)}</div></div>",
+    f"<!-- <p>no</p> -->{_p(*_A)}<!-- <p>open",
+    f"<div class='share social'><a href=/f>F</a><a href=/t>T</a><p>Share this</p></div>{_p(*_A)}",
+    (f"<h1>A title</h1>{_p(*_A)}", "A title\n" + _FLAT),
+    (f'<div class="article-header"><h1>A title</h1></div>{_p(*_A)}', "A title\n" + _FLAT),
+    (f"{_p(*_A)}<p>Short end.</p>", _FLAT + "\nShort end."),
+    (f"{_p(*_A)}{_MENU}<p>Short.</p>", _FLAT),
+    (f"<h2>One</h2>{_p(*_A[:2])}<h2>Two</h2>{_p(*_A[2:])}", "One\n" + "\n".join(_A[:2]) + "\nTwo\n" + "\n".join(_A[2:])),
+    (f"{_p(*_A)}<pre>a\n  b</pre>", _FLAT + "\na b"),
+    (f"<div class=ad>Buy it{_p(*_A)}", _FLAT),
+    # Pages that mark an article
+    f"<article>{_p(*_A)}</article><p>{_story(9)}</p>",
+    f"<article>{_p(*_A)}{_MENU}</article>",
+    f"<main><article>{_p(*_A)}</article></main><section><article><p>Teaser one</p></article><article><p>Teaser two</p></article></section>",
+    f"<main><article>{_p(*_A)}</article><article><h3><a href=/1>Teaser</a></h3><p>More of it</p></article></main>",
+    f"<article>{_p(*_A)}</article><article class=comment>{_p(_story(8))}</article>",
+    f"<article>{_p(*_A)}<div class=related><article><p>Related thing</p></article></div></article>",
+    f'<article>{_p(*_A[:2])}<div class="ad"><p>Buy it now</p>{_p(*_A[2:])}</article>',
+    f"<article><p>Teaser one</p></article><article><p>Teaser two</p></article><div>{_p(*_A)}</div>",
+    (f"<main><h1>A title</h1><article>{_p(*_A)}</article></main>", "A title\n" + _FLAT),
+]
+
+
+@pytest.mark.parametrize("case", _PAGES)
+def test_hand_written_pages(case):
+    page, text = case if isinstance(case, tuple) else (case, _FLAT)
+    for before, after in (("", ""), ("<!DOCTYPE html><html><head><title>T</title></head><body>", "</body></html>")):
+        if not after or "<!-- <p>open" not in page:
+            assert html.main_text(before + page + after) == text
+
+
+@pytest.mark.parametrize("unit", ["<b>|</i>", "<div class=ad>|x", "<b>|<dt>", "<p><b>|", "<a '|", "<a \"'|", "<li><b>|", "<div>|</span>", "<article>x|", "<td>|", "<article class=comment>x|</article>", "&amp|;", "<div class=ad>x|</div>"])
+def test_nested_and_open_markup_in_linear_time(unit):
+    import time
+
+    first, second = unit.split("|")
+    html.main_text(first * 10 + second * 10)
+    n = 500_000 // (len(first) + len(second))
+    began = time.process_time()
+    html.main_text(first * n + second * n)
+    once = time.process_time() - began
+    html.main_text(first * 2 * n + second * 2 * n)
+    assert time.process_time() - began - once < 3 * once + 0.5 and once < 10
