@@ -4,11 +4,14 @@ A message is read as tool traffic if its text is a JSON object: `tool_calls` (a
 id and function) beside `content` in a message of any role; `tool_call_id` beside `content` for a result; `tools` (name
 and parameters, a JSON schema) for declarations. All other texts are plain content.
 
-Calls and results are hash-joined by conversation and identifier, arguments are validated against the schema that the
-conversation declares for the tool, and messages get places in an order in which every result follows its call: by
-turn, a result not before the turn of its call, and calls before results within a turn. Each message is serialised as
-canonical JSON (sorted keys, no blanks, no escapes but needed ones) in a row of its own, so one conversation may hold
-any share of all rows. Plain messages take no part in any exchange.
+Calls and results are hash-joined by conversation and identifier, and arguments are validated against the schema that
+the conversation declares for the tool. A result depends on the message of its call, which may be a result itself; so
+links form chains. The topological order keeps turns where it can: along its chain a message has the largest turn so
+far, and, within that turn, one step more than the message before it. Both come from pointer doubling over the linked
+messages, in as many rounds as the logarithm of the longest chain, whatever the size of a conversation. Links that
+close a cycle (calls that wait for each other's results) are cut. Each message is serialised as canonical JSON (sorted
+keys, no blanks, no escapes but needed ones) in a row of its own, so one conversation may hold any share of all rows.
+Plain messages take no part in any exchange.
 """
 
 from __future__ import annotations
@@ -18,10 +21,10 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_row
+from .common import materialise, with_row
 
 _TYPES = {
     "object": lambda x: isinstance(x, dict),
@@ -122,16 +125,70 @@ def _message(role: str | None, m: dict[str, Any], calls: list[dict[str, Any]], a
 
 _OUT = "order_turn {turn}, order_step int, role string, message string, n_calls int, n_answered int, n_invalid int, linked boolean"
 _LOOKS = r"^\s*\{"
+#: Copies of a conversation's schemas, over which its calls are dealt.
+_SALTS = 16
+
+
+def _after(first: Column, second: Column) -> Column:
+    """The way of two pieces of a chain, one after the other: largest turn (null is the least), messages since it
+    was first reached, messages. This is associative."""
+    stays = second["turn"].isNull() | (first["turn"] >= second["turn"])
+    return F.when(F.coalesce(stays, F.lit(False)), F.struct(first["turn"].alias("turn"), (first["since"] + second["n"]).alias("since"), (first["n"] + second["n"]).alias("n"))).otherwise(
+        F.struct(second["turn"].alias("turn"), second["since"].alias("since"), (first["n"] + second["n"]).alias("n"))
+    )
+
+
+def places(links: DataFrame, turn: str = "turn") -> DataFrame:
+    """(file, row, order_turn, order_step) of the messages of links that are results and in no cycle.
+
+    links: file, row and turn of a result, of its call's message call_file, call_row and call_turn; one row a result.
+    A message on a cycle loses its link, those that hang on it keep theirs. Each round joins every pointer with the
+    pointer of its target, which halves what is left of each chain."""
+    one = lambda t: F.struct(F.col(t).alias("turn"), F.lit(0).cast("long").alias("since"), F.lit(1).cast("long").alias("n"))
+    links = materialise(links.select("file", "row", F.col(turn).alias("turn"), "call_file", "call_row", "call_turn"))
+    n = links.count()
+    own = links.select("file", "row", "turn", "call_turn", "call_file", "call_row")
+    if not n:
+        return own.select("file", "row", F.col("turn").alias("order_turn"), F.lit(0).alias("order_step"))
+
+    def doubled(state: DataFrame, rounds: int | None) -> DataFrame:
+        """Pointers over 2 ** rounds links, or all; null past a start, whose piece of the way is then in way."""
+        done = 0
+        while (rounds is None and not state.where("to_file is not null").isEmpty()) or (rounds is not None and done < rounds):
+            target = state.select(F.col("file").alias("to_file"), F.col("row").alias("to_row"), F.col("to_file").alias("next_file"), F.col("to_row").alias("next_row"), F.col("way").alias("before"))
+            joined = state.join(target, ["to_file", "to_row"], "left")
+            way = F.when(F.col("before").isNull(), F.col("way")).otherwise(_after(F.col("before"), F.col("way")))
+            state = materialise(joined.select("file", "row", F.col("next_file").alias("to_file"), F.col("next_row").alias("to_row"), way.alias("way")))
+            done += 1
+        return state
+
+    # Which messages are on a cycle: after as many steps as there are links, all pointers that still lead on lead there.
+    linked = own.select(F.col("file").alias("call_file"), F.col("row").alias("call_row"), F.lit(True).alias("inner"))
+    state = own.join(linked, ["call_file", "call_row"], "left")
+    start = F.col("inner").isNull()  # its call is in a message that is no linked result itself
+    state = state.select("file", "row", F.when(~start, F.col("call_file")).alias("to_file"), F.when(~start, F.col("call_row")).alias("to_row"), one("turn").alias("way"))
+    ends = doubled(state, n.bit_length()) if not state.where("to_file is not null").isEmpty() else state
+    cycle = materialise(ends.where("to_file is not null").select(F.col("to_file").alias("file"), F.col("to_row").alias("row")).distinct())
+    kept = own.join(cycle, ["file", "row"], "left_anti")
+    # The first of a chain is no result: its way is its own turn.
+    inner = kept.select(F.col("file").alias("call_file"), F.col("row").alias("call_row"), F.lit(True).alias("inner"))
+    state = kept.join(inner, ["call_file", "call_row"], "left")
+    start = F.col("inner").isNull()
+    way = F.when(start, _after(one("call_turn"), one("turn"))).otherwise(one("turn"))
+    state = doubled(materialise(state.select("file", "row", F.when(~start, F.col("call_file")).alias("to_file"), F.when(~start, F.col("call_row")).alias("to_row"), way.alias("way"))), None)
+    return state.select("file", "row", F.col("way.turn").alias("order_turn"), F.col("way.since").cast("int").alias("order_step"))
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
     """One row for each row of conversations (conv_id, turn, role, text; others are ignored): conv_id, turn,
-    order_turn and order_step (the topological order within conv_id, then turn), role, message (canonical JSON),
-    n_calls, n_answered and n_invalid (calls with a result, and with arguments against their schema or without a
-    declared one), linked (for results: whether their call is there; null for other messages).
-
-    A call whose identifier is used before in its conversation, and a result that is not the first of its call, are
-    not linked. Null or empty texts are null or empty content; null conversations or identifiers never link.
+    order_turn and order_step (the topological order within conv_id; then turn, then the row's place in the table), role,
+    message (canonical JSON), n_calls, n_answered and n_invalid (calls with a result, and with arguments against their
+    schema or without a declared one), linked (for results: whether their call is there; null for other messages).
+
+    A call whose identifier is used before in its conversation, and a result that is not the first of its call or that
+    its own call waits for, are not linked: of several the least turn is first, then the row's place. Null or empty
+    texts are null or empty content; null conversations or identifiers never link; a null turn is the least. Texts of
+    any length are read whole, repeated rows stay, and no rows give no rows.
     """
     placed = with_row(conversations.select("conv_id", "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")))
     kinds = dict(placed.dtypes)
@@ -163,14 +220,19 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     first_call = calls.groupBy("conv_id", "id").agg(F.min(F.struct("turn", "_file", "_row", "n")).alias("c"))
     first_result = messages.where("result is not null").groupBy("conv_id", F.col("result").alias("id")).agg(F.min(place).alias("r"))
     links = first_call.join(first_result, ["conv_id", "id"])  # nulls never match
+    links = materialise(links.select(F.col("r._file").alias("file"), F.col("r._row").alias("row"), F.col("r.turn").alias("turn"), F.col("c._file").alias("call_file"), F.col("c._row").alias("call_row"), F.col("c.turn").alias("call_turn"), F.col("c.n").alias("n")))
+    answers = places(links)
     declared = messages.select("conv_id", F.explode("tools").alias("t"), place.alias("p")).groupBy("conv_id", F.col("t.name").alias("name")).agg(F.min_by("t.schema", "p").alias("schema"))
 
-    answered = links.select(F.col("c._file").alias("_file"), F.col("c._row").alias("_row"), F.col("c.n").alias("n"), F.lit(True).alias("answered"))
-    checked = calls.join(answered, ["_file", "_row", "n"], "left").join(declared, ["conv_id", "name"], "left")
+    answered = links.join(answers, ["file", "row"], "left_semi").select(F.col("call_file").alias("_file"), F.col("call_row").alias("_row"), "n", F.lit(True).alias("answered"))
+    # A conversation may hold most calls: each of its schemas has copies for them.
+    salted = declared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    dealt = calls.withColumn("salt", F.pmod(F.xxhash64("_file", "_row"), F.lit(_SALTS)).cast("int"))
+    checked = dealt.join(salted, ["conv_id", "name", "salt"], "left").join(answered, ["_file", "_row", "n"], "left")
     by_message = checked.groupBy("_file", "_row").agg(F.array_sort(F.collect_list(F.struct("n", "id", "name", "arguments", F.coalesce("answered", F.lit(False)).alias("answered"), "schema"))).alias("checked"))
-    answers = links.select(F.col("r._file").alias("_file"), F.col("r._row").alias("_row"), F.col("c.turn").alias("call_turn"))
-    known = messages.drop("calls").join(by_message, ["_file", "_row"], "left").join(answers.withColumn("answers", F.lit(True)), ["_file", "_row"], "left")
-    order = F.when(F.col("answers"), F.greatest("turn", "call_turn")).otherwise(F.col("turn"))
+    answers = answers.select(F.col("file").alias("_file"), F.col("row").alias("_row"), "order_turn", "order_step", F.lit(True).alias("answers"))
+    known = messages.drop("calls").join(by_message, ["_file", "_row"], "left").join(answers, ["_file", "_row"], "left")
+    order = F.when(F.col("answers"), F.col("order_turn")).otherwise(F.col("turn"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,8 +247,7 @@ def format_chats(conversations: DataFrame) -> DataFrame:
                 lines.append(_message(x["role"], m, checks, linked))
                 counts.append((len(checks), sum(c["answered"] for c in checks), sum(bool(c["errors"]) for c in checks), linked))
             columns = list(zip(*counts, strict=True)) or [(), (), (), ()]
-            step = pa.array([0 if x["result"] is None else 1 for x in rows], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("order_turn"), step, batch.column("role"), pa.array(lines, pa.string()), *[pa.array(c, pa.int32()) for c in columns[:3]], pa.array(columns[3], pa.bool_())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("order_turn"), batch.column("order_step"), batch.column("role"), pa.array(lines, pa.string()), *[pa.array(c, pa.int32()) for c in columns[:3]], pa.array(columns[3], pa.bool_())], names=names)
 
-    linked = known.select("conv_id", "turn", order.alias("order_turn"), "role", "content", "result", "tools", "checked", "answers").mapInArrow(write, schema)
+    linked = known.select("conv_id", "turn", order.alias("order_turn"), F.coalesce("order_step", F.lit(0)).alias("order_step"), "role", "content", "result", "tools", "checked", "answers").mapInArrow(write, schema)
     return out.unionByName(linked)

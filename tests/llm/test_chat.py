@@ -1,4 +1,5 @@
 import json
+import random
 
 from lodestone.llm import chat
 
@@ -14,6 +15,7 @@ def test_calls_results_order_and_schemas(spark):
     calls = json.dumps({"content": "c", "tool_calls": [{"id": "a", "function": {"name": "f", "arguments": '{"x": 1}'}}, {"id": "b", "name": "f", "arguments": {"x": "q", "y": 1}}, {"id": "a", "name": "g", "arguments": {}}]})
     got = rows(spark, [(1, 0, "system", TOOLS, ""), (1, 3, "assistant", calls, ""), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": {"b": 1, "a": 2}}), ""), (1, 5, "tool", json.dumps({"tool_call_id": "a", "content": "again"}), ""), (2, 0, "tool", json.dumps({"tool_call_id": "a"}), "")])
     assert [r[1] for r in got if r[0] == 1] == [0, 3, 2, 5]
+    assert [r[2:4] for r in got if r[0] == 1] == [(0, 0), (3, 0), (3, 1), (5, 0)]
     by = {(r[0], r[1]): r for r in got}
     assert by[1, 3][6:9] == (3, 1, 2)
     assert [by[k][9] for k in ((1, 2), (1, 5), (2, 0))] == [True, False, False]
@@ -42,3 +44,71 @@ def test_schema_errors():
     assert e([1, "a"], {"type": "array", "items": {"type": "number"}, "maxItems": 1}) == ["$: over maxItems", "$[1]: not number"]
     assert e(None, {"type": ["string", "null"]}) == [] and e("b", {"enum": ["a"]}) == ["$: not in enum"]
     assert e({"a": 1}, {"required": ["b"]}) == ["$.b: missing"] and e({"a": 1}, False) == ["$: not allowed"]
+
+
+def _brute(messages):
+    """(turn, place in the list) -> (order_turn, order_step), linked results: chains walked one message at a time."""
+    calls, results = {}, {}
+    for at, (turn, ids, answers) in sorted(enumerate(messages), key=lambda x: (x[1][0], x[0])):
+        for i in ids:
+            calls.setdefault(i, at)
+        if answers is not None:
+            results.setdefault(answers, at)
+    parent = {at: calls[i] for i, at in results.items() if i in calls}
+
+    def on_cycle(at):
+        x = parent.get(at)
+        for _ in messages:
+            if x is None or x == at:
+                break
+            x = parent.get(x)
+        return x == at
+
+    parent = {at: p for at, p in parent.items() if not on_cycle(at)}
+    out = {}
+    for at, (turn, _, _) in enumerate(messages):
+        way = [at]
+        while way[-1] in parent:
+            way.append(parent[way[-1]])
+        most, step = messages[way[-1]][0], 0
+        for x in way[-2::-1]:
+            most, step = (messages[x][0], 0) if messages[x][0] > most else (most, step + 1)
+        out[at] = (most, step)
+    return out, set(parent)
+
+
+def test_order_against_brute_force_on_random_chains(spark, monkeypatch):
+    rng, data, want = random.Random(5), [], {}
+    for conv in range(60):
+        n = rng.choice([1, 3, 8, 30, 120])
+        messages = []
+        for k in range(n):
+            ids = [f"i{rng.randrange(n)}" for _ in range(rng.choice([0, 1, 1, 2]))]
+            messages.append((rng.randrange(n), ids, f"i{rng.randrange(n)}" if rng.random() < 0.8 else None))
+        if conv == 0:  # one long chain, backwards in turns
+            messages = [(120 - k, [f"i{k}"], f"i{k - 1}") for k in range(120)]
+        if conv == 1:  # a cycle with a tail
+            messages = [(0, ["a"], "c"), (1, ["b"], "a"), (2, ["c", "d"], "b"), (0, ["e"], "d"), (0, [], "e")]
+        places, linked = _brute(messages)
+        for k, (turn, ids, answers) in enumerate(messages):
+            body = {"n": k, "tool_calls": [{"id": i, "name": "f", "arguments": {}} for i in ids]} | ({"tool_call_id": answers} if answers is not None else {})
+            data.append((conv, turn, "m", json.dumps(body | {"content": str(k)}), ""))
+            want[conv, k] = (*places[k], k in linked if answers is not None else None)
+    d = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, result string").coalesce(1)
+    got = {(r.conv_id, int(json.loads(r.message)["content"])): (r.order_turn, r.order_step, r.linked) for r in chat.format_chats(d).collect()}
+    assert got == want
+
+
+def test_a_result_follows_its_call_that_is_a_result_itself(spark):
+    call = lambda i, **more: json.dumps({"tool_calls": [{"id": i}]} | more)
+    got = rows(spark, [(1, 5, "a", call("x"), ""), (1, 1, "t", call("y", tool_call_id="x"), ""), (1, 2, "t", json.dumps({"tool_call_id": "y"}), "")])
+    assert [r[1] for r in got] == [5, 1, 2] and [r[2:4] for r in got] == [(5, 0), (5, 1), (5, 2)]
+
+
+def test_a_conversation_of_many_calls_and_long_texts(spark):
+    n = 3000
+    data = [(7, 0, "system", TOOLS, "")] + [(7, k, "a", json.dumps({"content": "c" * (100_000 if k == 5 else 1), "tool_calls": [{"id": str(k), "name": "f", "arguments": {"x": k % 3 - 1}}]}), "") for k in range(1, n)]
+    data += [(7, k, "t", json.dumps({"tool_call_id": str(k)}), "") for k in range(1, n)]
+    got = chat.format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string, result string")).collect()
+    assert len(got) == 2 * n - 1 and sum(r.n_answered for r in got) == n - 1 and sum(r.n_invalid for r in got) == sum(k % 3 == 0 for k in range(1, n))
+    assert all((r.order_turn, r.order_step) == (r.turn, 1 if r.linked else 0) for r in got)
