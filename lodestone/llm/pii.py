@@ -293,28 +293,28 @@ def learn(documents: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS
     anchors = seeds.where(F.col("kind") != SECRET)
     # Keys are known by their shape alone, so they are no evidence for a shape before a context has shown them.
     priors = seeds.select("instance", "kind", F.lit(1.0).alias("s"), (F.col("kind") != SECRET).alias("shown"))
-    evidence, found_now, n_known, quiet = priors, None, 0, 0
-    while quiet < rounds:
+
+    def scored(evidence: DataFrame) -> DataFrame:
+        """(pattern, kind, score) of the patterns with seeds enough of their best kind."""
         held = kept.join(evidence, "instance").where((kind_of != SHAPE) | F.col("shown"))
         held = held.groupBy("pattern", "kind").agg(F.count_if(F.col("shown") | (F.col("kind") == SECRET)).alias("c"), (F.sum(F.col("n") * F.col("s")) / (F.max("total") + 1)).alias("score")).where(F.col("c") >= min_seeds)
         # A seed of another kind is no evidence for the pattern's.
         best = held.groupBy("pattern").agg(F.max(F.struct("c", (-F.col("kind")).alias("k"), "score")).alias("b"))
-        patterns = materialise(best.select("pattern", (-F.col("b.k")).alias("kind"), F.least("b.score", F.lit(1.0)).alias("score")))
+        return best.select("pattern", (-F.col("b.k")).alias("kind"), F.least("b.score", F.lit(1.0)).alias("score"))
+
+    evidence, n_known, quiet = priors, -1, 0
+    while quiet < rounds:
         miss = F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9))))
-        raised = kept.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("s"), F.sum(F.when(F.col("score") >= confident, F.col("n")).otherwise(0)).alias("for"))
+        raised = kept.join(scored(evidence), "pattern").groupBy("instance", "kind").agg((1 - F.exp(miss)).alias("s"), F.sum(F.when(F.col("score") >= confident, F.col("n")).otherwise(0)).alias("for"))
         sure = (F.col("s") >= confident) & (F.col("for") > 0) & (F.col("for") >= confident * (F.col("for") + F.coalesce("against", F.lit(0))))
-        raised = materialise(raised.join(against, "instance", "left").select("instance", "kind", "s", sure.alias("sure")))
-        sure_now = raised.where("sure").select("instance", "kind")
-        found_now = materialise((sure_now if found_now is None else found_now.union(sure_now)).distinct())
-        shown = found_now.withColumn("f", F.lit(True))
-        evidence = priors.union(raised.join(shown, ["instance", "kind"], "left").select("instance", "kind", "s", F.coalesce("f", F.lit(False))))
-        evidence = materialise(evidence.groupBy("instance", "kind").agg(F.max("s").alias("s"), F.max("shown").alias("shown")))
-        before, n_known = n_known, found_now.count()
+        raised = raised.join(against, "instance", "left").select("instance", "kind", "s", sure.alias("shown"))
+        known = evidence.where("shown").withColumn("s", F.lit(0.0))
+        evidence = materialise(priors.union(known).union(raised).groupBy("instance", "kind").agg(F.max("s").alias("s"), F.max("shown").alias("shown")))
+        before, n_known = n_known, evidence.where("shown").count()
         quiet = quiet + 1 if n_known == before else 0
-    scores = evidence.select("instance", "kind", "s")
-    own = found_now.join(anchors, ["instance", "kind"], "left_anti").join(scores, ["instance", "kind"])
+    own = evidence.where("shown").join(anchors, ["instance", "kind"], "left_anti")
     own = own.groupBy("instance").agg(F.max(F.struct("s", (-F.col("kind")).alias("k"))).alias("b")).select(F.col("instance").alias("pattern"), (-F.col("b.k")).alias("kind"), F.col("b.s").alias("score"))
-    found = materialise(patterns.where(F.col("score") >= confident).union(own))
+    found = materialise(scored(evidence).where(F.col("score") >= confident).union(own))
     return None if found.isEmpty() else found
 
 
