@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A folder all executors share: the cluster's spark.checkpoint.dir; a local one only where that is unset."""
+    """A folder all executors share: the cluster's spark.checkpoint.dir. Where that is unset, a local one on a local
+    master, else one in the warehouse, which a cluster shares as well."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         context = spark.sparkContext
+        if not context.master.startswith("local"):
+            return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lodestone"
         if context._jsc.sc().getCheckpointDir().isEmpty():
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
         folder = context._jsc.sc().getCheckpointDir().get()
@@ -30,12 +33,55 @@ def work_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends there, so later stages survive
-    lost executors and see one fixed evaluation of df."""
+    lost executors and see one fixed evaluation of df. discard() deletes it."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/lodestone-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what materialise wrote for tables that nothing reads any more: those made of them are written, too."""
+    for table in tables:
+        path = getattr(table, "_written", None)
+        if path is not None:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Bits for each key of a bitmap, and the most rows of 4 KB that one has: a broadcast of 64 MB at most.
+_BITS_A_KEY = 16
+_MOST_BITMAPS = 16_384
+
+
+def marked(df: DataFrame, keys: list[str], wanted: DataFrame, n: int, name: str = "_maybe") -> DataFrame:
+    """df with a boolean: false only where its keys are none of wanted (n rows). A bitmap of hashes of bounded size is
+    broadcast, whatever n is: the fuller it is, the more rows are marked that are not wanted."""
+    bitmaps = min(_MOST_BITMAPS, max(1, -(-n * _BITS_A_KEY // 32_768)))
+    place = F.pmod(F.xxhash64(*keys), F.lit(bitmaps * 32_768))
+    bits = wanted.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32_768).cast("int").alias("_bitmap")).agg(F.bitmap_construct_agg((F.col("p") % 32_768)).alias("_bits"))
+    at = (place % 32_768).cast("int")
+    byte = F.conv(F.hex(F.expr("substring(_bits, _byte, 1)")), 16, 10).cast("int")
+    joined = df.withColumns({"_bitmap": F.floor(place / 32_768).cast("int"), "_byte": F.floor(at / 8).cast("int") + 1, "_bit": at % 8}).join(F.broadcast(bits), "_bitmap", "left")
+    return joined.withColumn(name, F.coalesce(F.getbit(byte, F.col("_bit")) == 1, F.lit(False))).drop("_bitmap", "_bits", "_byte", "_bit")
+
+
+def among(df: DataFrame, keys: list[str], wanted: DataFrame, n: int) -> DataFrame:
+    """Inner join of df with wanted (n rows, different keys) on keys; only rows that may be wanted are shuffled."""
+    return marked(df, keys, wanted.select(*keys), n).where("_maybe").drop("_maybe").join(wanted.hint("merge"), keys)
+
+
+def without(df: DataFrame, keys: list[str], dropped: DataFrame, n: int) -> DataFrame:
+    """The rows of df (read twice) whose keys are none of dropped (n rows); only rows that may be dropped are shuffled."""
+    if not n:
+        return df
+    told = marked(df, keys, dropped.select(*keys), n)
+    sure, maybe = told.where(~F.col("_maybe")).drop("_maybe"), told.where("_maybe").drop("_maybe")
+    return sure.select(*df.columns).unionByName(maybe.join(dropped.select(*keys).hint("merge"), keys, "left_anti").select(*df.columns))
 
 
 def buckets(spark: SparkSession, per_partition: int = 1) -> int:
@@ -148,12 +194,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star: the larger neighbours of each node move to the smallest of its neighbours and itself.
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are written down, so that both sides of a join are exchanges that a hot node's rows can be split in.
-        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        first = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialise(both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: the smaller neighbours of each node, and it, move to the smallest of them.
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
-        pairs = materialise(small)
+        old, pairs = pairs, materialise(small)
+        discard(old, first, least, large)
         after = stamp(pairs)
         if after == before:
             break

@@ -9,12 +9,14 @@ are likely filled are drawn (about ln(components) for each component, whatever t
 one is not.
 
 Equal word sequences are collapsed first. Components are banded; texts that share a band with the band's smallest
-text form candidate groups, found as connected components. A group is verified in one task, exactly, if its texts times
-their shingles are at most WORK; texts of one class are not compared any more. Larger groups are split into cells that
-all get the round's centres. The distance 1 - J is a metric: with C linked to A, a text below 0.6 to C has no link to
-A. So a text stays pending only while it is linked to no centre, or is at 0.6 to 0.8 to one of another class; pending
-texts become centres, in rounds until there are none. No bucket emits its pairs, and no link is lost to a cap; a huge
-group of texts that are all alike but not linked takes rounds in proportion to its size.
+text form candidate groups, found as connected components. Groups are split into cells of at most CELL shingles and
+CELL_TEXTS texts, the only thing a task ever holds; a group of one cell is verified there, exactly. The cells of larger
+groups all get the round's centres. The distance 1 - J is a metric: with C linked to A, a text below 0.6 to C has no
+link to A. So a text stays pending only while it is linked to no centre, or is at 0.6 to 0.8 to one of another class;
+pending texts become centres, in ROUNDS rounds at most. What is pending then, as where many texts share a template, is
+joined with the texts of its groups by a prefix filter: two texts of the threshold's similarity share one of their
+rarest shingles, at places that bound what they can have in common. No bucket emits its pairs, and no link is lost to
+a cap. Only texts of candidate groups are shuffled; a bitmap of bounded size tells them from the others.
 """
 
 from __future__ import annotations
@@ -27,18 +29,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, mixed, rolling, slices, thrifty, thrifty_group, with_row, word_hashes
+from .common import among, components, discard, materialise, mixed, rolling, slices, thrifty, thrifty_group, with_row, without, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 24
 ROWS = 5
-#: Texts of a group times their shingles, up to which one task compares them (some 20 seconds).
-WORK = 4_000_000_000
-#: Shingles in a cell of a larger group.
+#: Shingles and texts in a cell, but that a longer text is a cell of its own.
 CELL = 2_000_000
-#: Centres of a larger group in one round.
-CENTRES = 256
+CELL_TEXTS = 128
+#: Centres of a larger group in one round, and the rounds before the rest is joined by prefixes.
+CENTRES = 64
+ROUNDS = 3
+#: Counters of shingles by hash that order them by rarity: 4 MB.
+_COUNTERS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xA0761D6478BD642F)
 _SECOND = np.uint64(0xE7037ED1A0B428DB)
@@ -193,7 +197,7 @@ def _join(label: np.ndarray, texts: np.ndarray) -> None:
 
 
 def _verified(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(digest, head) of groups that fit a task. texts: group, digest, text."""
+    """(digest, head) of groups of one cell. texts: group, digest, text."""
 
     @thrifty_group
     def run(part: pa.Table) -> pa.Table:
@@ -227,25 +231,85 @@ def _links(texts: DataFrame, centres: DataFrame, width: int, similarity: float)
     return both.groupBy("group", "cell").applyInArrow(run, "digest binary, centre binary, s double")
 
 
-def _verified_in_rounds(texts: DataFrame, width: int, similarity: float, centres: int) -> DataFrame:
-    """(digest, head) of groups larger than a task's. texts: group, cells, digest, text."""
+def _prefix_links(texts: DataFrame, pending: DataFrame, label: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of different classes, one of them pending, whose similarity is at least the threshold.
+
+    texts: group, digest, text; pending: digest; label: group, digest, head. Shingles are ordered by a counter of their
+    hash, so nearly by rarity, and any order gives whole results. Of two such texts the smaller one's first shingles,
+    as many as it may miss of the union's half, hold one of the larger one's first shingles."""
+    groups = label.join(pending, "digest", "left_semi").select("group").distinct()
+    held = texts.join(groups, "group", "left_semi").join(pending.select("digest", F.lit(True).alias("open")), "digest", "left")
+    held = materialise(held.join(label.select("digest", "head"), "digest").select("digest", "head", F.coalesce("open", F.lit(False)).alias("open"), "text"))
+
+    @thrifty
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_COUNTERS, np.int64)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                total += np.bincount((elements(text, width) % np.uint64(_COUNTERS)).astype(np.int64), minlength=_COUNTERS)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["counter", "n"])
+
+    counters = np.zeros(_COUNTERS, np.uint32)
+    told = held.select("text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
+    counters[told["counter"]] = np.minimum(told["n"], 2**32 - 1)
+    shared = texts.sparkSession.sparkContext.broadcast(counters)
+
+    @thrifty
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for digest, head, open_, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                values = elements(text, width)
+                n = len(values)
+                keep = n - int(np.ceil(similarity * n - 1e-9)) + 1
+                order = np.lexsort((values, shared.value[(values % np.uint64(_COUNTERS)).astype(np.int64)]))[:keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values[order].view(np.int64)), pa.array(np.arange(keep), pa.int32()), pa.array([n] * keep, pa.int32()), pa.array([digest] * keep, pa.binary()), pa.array([head] * keep, pa.binary()), pa.array([open_] * keep, pa.bool_())],
+                    names=["token", "at", "n", "digest", "head", "open"],
+                )
+
+    tokens = materialise(held.mapInArrow(prefix, "token long, at int, n int, digest binary, head binary, open boolean"))
+    half = 2 * similarity / (1 + similarity)
+    smaller = tokens.where(F.col("at") <= F.col("n") - F.ceil(half * F.col("n") - 1e-9)).select(*[F.col(c).alias(f"{c}_a") if c != "token" else F.col(c) for c in tokens.columns])
+    both = (half / 2) * (F.col("n_a") + F.col("n"))
+    fits = (F.struct("n_a", "digest_a") < F.struct("n", "digest")) & (F.col("open_a") | F.col("open")) & (F.col("head_a") != F.col("head")) & (F.col("n_a") >= similarity * F.col("n") - 1e-9)
+    meets = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= both - 1e-9
+    pairs = materialise(smaller.join(tokens, "token").where(fits & meets).select(F.col("digest_a").alias("a"), F.col("digest").alias("b")).distinct())
+    sides = pairs.join(held.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
+
+    @thrifty
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, text_a, text_b = (c.to_pylist() for c in batch.columns)
+            good = [float(Cell([elements(x, width)]).similarity(elements(y, width))[0]) >= similarity for x, y in zip(text_a, text_b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(good, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+
+    found = materialise(sides.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a binary, b binary"))
+    discard(held, tokens, pairs)
+    return found
+
+
+def _verified_in_rounds(texts: DataFrame, width: int, similarity: float, rounds: int) -> DataFrame:
+    """(digest, head) of groups of several cells. texts: group, cells, centres (how many in a round), digest, text."""
     texts = materialise(texts.withColumn("cell", F.pmod(F.xxhash64("digest"), F.col("cells")).cast("int")).drop("cells"))
-    members = texts.select("group", "digest")
+    members = texts.select("group", "digest", "centres")
     cells = texts.select("group", "cell").distinct()
     done = links = None
     pending = members
-    while True:
+    for k in range(rounds + 1):
+        if pending.isEmpty():
+            return own
+        if k == rounds:
+            break
         # The least pending texts of each group, by a hash; aggregated in parts before they meet.
-        parts = pending.select("group", "digest", F.xxhash64("digest").alias("h"), F.pmod(F.xxhash64(F.lit(1), "digest"), F.lit(centres)).alias("salt"))
+        parts = pending.select("group", "digest", F.xxhash64("digest").alias("h"), F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("centres")).alias("salt"))
         chosen = materialise(parts.groupBy("group", "salt").agg(F.min(F.struct("h", "digest")).alias("c")).select("group", F.col("c.digest").alias("digest")))
-        if chosen.isEmpty():
-            break
         sent = materialise(texts.drop("cell").join(chosen, ["group", "digest"])).join(cells, "group").select("group", "cell", "digest", "text")
         found = materialise(_links(texts.select("group", "cell", "digest", "text"), sent, width, similarity))
         links = found if links is None else links.unionByName(found)
         done = chosen if done is None else done.unionByName(chosen)
         certain = links.where(F.col("s") >= similarity)
-        heads = materialise(components(certain, "digest", "centre"))
+        heads = components(certain, "digest", "centre")
         label = members.join(heads.withColumnRenamed("node", "digest"), "digest", "left").select("group", "digest", F.coalesce("head", "digest").alias("head"))
         label = materialise(label)
         own = label.select("digest", "head")
@@ -253,16 +317,20 @@ def _verified_in_rounds(texts: DataFrame, width: int, similarity: float, centres
         ambiguous = links.where(F.col("s") < similarity).join(own, "digest").join(of_centre, "centre").where("head != other").select("digest").distinct()
         free = members.join(certain.select("digest").distinct(), "digest", "left_anti").select("digest")
         pending = materialise(members.join(free.union(ambiguous).distinct(), "digest", "left_semi").join(done.select("digest"), "digest", "left_anti"))
-    return own
+    more = _prefix_links(texts.select("group", "digest", "text"), pending.select("digest"), label, width, similarity)
+    heads = components(certain.select(F.col("digest").alias("a"), F.col("centre").alias("b")).union(more))
+    return members.select("digest").join(heads.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("head", "digest").alias("head"))
 
 
-def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, work: int = WORK, cell: int = CELL, centres: int = CENTRES) -> DataFrame:
+def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, cell: int = CELL, cell_texts: int = CELL_TEXTS, centres: int = CENTRES, rounds: int = ROUNDS) -> DataFrame:
     """_file, _row, doc_id, class_id (the smallest doc_id of the class), class_size (rows), n_texts (different word
-    sequences) and kept (true for one row of each class) of every row of documents (with _file and _row; doc_id and
-    text; others are ignored).
+    sequences) and kept (true for one row of each class, the first by doc_id, then by place in the table) of every row
+    of documents (with _file and _row; doc_id and text; others are ignored).
 
-    Words are runs of anything but ASCII blanks, unchanged. Rows without words are classes of their own. Null ids sort
-    first; a class of only null ids has a null class_id.
+    Words are runs of anything but ASCII blanks, unchanged. Rows without words (null, empty, blank) are classes of their
+    own; a text of fewer words than the shingles' width is one shingle; texts of any length are taken whole. Similarity
+    at the threshold links. Repeated rows are one class. Null ids sort first; a class of only null ids has a null
+    class_id. No rows give no rows.
     """
     signed = materialise(_signed(documents, bands, rows, width))
     place = F.struct("doc_id", "_file", "_row")
@@ -273,14 +341,17 @@ def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILA
     edges = dealt.join(heads, "band").where("digest != head").select("digest", "head")
     groups = materialise(components(edges, "digest", "head")).select(F.col("node").alias("digest"), F.col("head").alias("group"))
     weighed = groups.join(texts.select("digest", "first", "shingles"), "digest")
-    sizes = materialise(weighed.groupBy("group").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles")).select("group", (F.col("n") * F.col("shingles") <= work).alias("fits"), F.ceil(F.col("shingles") / cell).alias("cells")))
-    wanted = materialise(weighed.join(sizes, "group").select("group", "fits", "cells", "digest", F.col("first._file").alias("_file"), F.col("first._row").alias("_row")))
-    # The groups grow with the documents: one plan at all sizes, never a broadcast of them.
-    held = documents.select("_file", "_row", F.col("text").cast("binary").alias("text")).join(wanted.hint("merge"), ["_file", "_row"]).select("group", "fits", "cells", "digest", "text")
-    small = _verified(held.where("fits").select("group", "digest", "text"), width, similarity)
-    if not sizes.where("not fits").isEmpty():
-        small = small.unionByName(_verified_in_rounds(held.where("not fits").drop("fits"), width, similarity, centres))
-    head = materialise(small)
+    cells = F.greatest(F.ceil(F.col("shingles") / cell), F.ceil(F.col("n") / cell_texts))
+    most = F.greatest(F.lit(1), F.least(F.lit(centres), F.floor(cell * F.col("n") / F.col("shingles"))))
+    sizes = materialise(weighed.groupBy("group").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles")).select("group", cells.alias("cells"), most.alias("centres")))
+    wanted = materialise(weighed.join(sizes, "group").select("group", "cells", "centres", "digest", F.col("first._file").alias("_file"), F.col("first._row").alias("_row")))
+    source = documents.select("_file", "_row", F.col("text").cast("binary").alias("text"))
+    held = materialise(among(source, ["_file", "_row"], wanted, wanted.count()).select("group", "cells", "centres", "digest", "text"))
+    head = _verified(held.where("cells = 1").select("group", "digest", "text"), width, similarity)
+    if not sizes.where("cells > 1").isEmpty():
+        head = head.unionByName(_verified_in_rounds(held.where("cells > 1"), width, similarity, rounds))
+    head = materialise(head)
+    discard(held, wanted, sizes)
 
     named = texts.select("digest", "first", "least", "n").join(head, "digest", "left").withColumn("head", F.coalesce("head", "digest"))
     summed = named.groupBy("head").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"), F.count("*").alias("n_texts"), F.min("first").alias("keeper"))
@@ -297,7 +368,8 @@ def near_duplicates(documents: DataFrame, **parameters) -> DataFrame:
 
 
 def deduplicate(documents: DataFrame, **parameters) -> DataFrame:
-    """The rows of documents that stay: one of each class, with their columns."""
-    placed = with_row(documents)
-    kept = classes(placed, **parameters).where("kept").select("_file", "_row")
-    return placed.join(kept.hint("merge"), ["_file", "_row"], "left_semi").drop("_file", "_row")
+    """The rows of documents that stay: one of each class, with their columns (any, also of the names used here)."""
+    placed = with_row(documents, "_place_file", "_place_row")
+    own = placed.select("doc_id", "text", F.col("_place_file").alias("_file"), F.col("_place_row").alias("_row"))
+    gone = materialise(classes(own, **parameters).where("not kept").select(F.col("_file").alias("_place_file"), F.col("_row").alias("_place_row")))
+    return without(placed, ["_place_file", "_place_row"], gone, gone.count()).select(*documents.columns)

@@ -29,7 +29,7 @@ def brute(docs, items, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("window, block", [(10, 200_000), (3, 4)])
+@pytest.mark.parametrize("window, block", [(10, decontam.BLOCK), (3, 900)])
 def test_against_brute_force(spark, window, block):
     rng = random.Random(window)
     vocab = ["Aa", "b", "ÇÉ", "d1", "e", "ff"]

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from lodestone.llm import neardup
+from lodestone.llm import common, neardup
 from lodestone.llm.common import components
 
 
@@ -53,15 +53,59 @@ def family():
     return docs + [(900, None), (901, ""), (902, "  "), (5, docs[5][1]), (None, docs[7][1]), (None, None)]
 
 
-@pytest.mark.parametrize("work", [4_000_000_000, 5_000])
-def test_classes_against_brute_force(spark, family, work):
-    d = spark.createDataFrame([(*r, 1) for r in family], "doc_id long, text string, digest int")
-    rows = neardup.near_duplicates(d, work=work, cell=800, centres=3).collect()
+def _rows(spark, docs, **parameters):
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, digest int")
+    return neardup.near_duplicates(d, **parameters).collect()
+
+
+@pytest.mark.parametrize("parameters", [{}, {"cell": 800, "cell_texts": 4, "centres": 3}, {"cell": 800, "cell_texts": 3, "centres": 1, "rounds": 1}])
+def test_classes_against_brute_force(spark, family, parameters):
+    rows = _rows(spark, family, **parameters)
     want, groups = brute(family)
     assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in rows) == want
     assert sum(r.kept for r in rows) == groups
 
 
+def test_a_template_that_many_texts_share(spark):
+    """One group of texts that are alike but not linked, with some linked ones among them: no round finds an end."""
+    rng, docs = random.Random(6), []
+    template = [f"t{k}" for k in range(60)]
+    for k in range(150):
+        at = rng.randrange(60)
+        own = [f"u{k}x{j}" for j in range(11)]
+        docs.append((k, " ".join(template[:at] + own + template[at:])))
+        if k % 15 == 0:
+            docs.append((1000 + k, " ".join(template[:at] + own[:-1] + ["other"] + template[at:])))
+    rows = _rows(spark, docs, bands=60, rows=2, cell_texts=16, centres=2, rounds=1)
+    want, groups = brute(docs)
+    assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in rows) == want and 100 < groups < 160
+
+
+def test_prefixes_lose_no_link(spark):
+    rng, texts = random.Random(2), []
+    base = [rng.randrange(40) for _ in range(60)]
+    for k in range(120):
+        base = [rng.randrange(40) if rng.random() < 0.03 else x for x in base][: rng.randint(45, 60)] + [rng.randrange(40) for _ in range(rng.randrange(4))]
+        texts.append((b"g", b"%d" % k, b" ".join(b"%d" % x for x in base), k % 3 == 0))
+    d = spark.createDataFrame(texts, "group binary, digest binary, text binary, open boolean")
+    found = neardup._prefix_links(d.drop("open"), d.where("open").select("digest"), d.select("group", "digest", d.digest.alias("head")), 2, 0.6)
+    got = {tuple(sorted((bytes(r.a), bytes(r.b)))) for r in found.collect()}
+    sets = [set(neardup.elements(x[2], 2).tolist()) for x in texts]
+    want = {tuple(sorted((texts[i][1], texts[j][1]))) for i in range(120) for j in range(i) if (texts[i][3] or texts[j][3]) and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6 - 1e-12}
+    assert got == want and len(want) > 40
+
+
+def test_bitmaps_mark_what_is_wanted(spark):
+    d = spark.range(20_000).selectExpr("id as a", "id % 7 as b", "id as _byte")
+    wanted = d.where("a % 9 = 0").select("a", "b")
+    n = wanted.count()
+    assert {r.a for r in common.among(d, ["a", "b"], wanted, n).collect()} == set(range(0, 20_000, 9))
+    assert {r.a for r in common.without(d.drop("_byte"), ["a", "b"], wanted, n).collect()} == set(range(20_000)) - set(range(0, 20_000, 9))
+    told = common.marked(d.drop("_byte"), ["a", "b"], wanted, n).where("_maybe").count()
+    assert n <= told < n + 3_000
+    assert common.without(d, ["a"], wanted.where("false"), 0).count() == 20_000
+
+
 def test_signatures_estimate_the_weighted_similarity():
     rng = random.Random(1)
     a = [b"w%d" % rng.randint(0, 400) for _ in range(400)] + [b"r"] * 80
