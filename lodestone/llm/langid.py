@@ -6,8 +6,9 @@ A document is the bundle (sum) of the vectors of all its trigrams, a language th
 weighted by the inverse of its length. A document gets the language whose prototype has the largest cosine.
 
 Bundling is linear, so profiles are counted as sparse trigram counts first and multiplied by the trigram vectors
-once a batch; only the prototypes (languages x dimensions) travel through the driver. Documents are read twice,
-nothing but the prototypes is shuffled.
+once a batch. Each input partition gives a sum a language; those are added in two steps, so no task gets the sums of all
+partitions. Only the prototypes (languages x dimensions) travel through the driver. Documents are read twice, nothing
+but sums is shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,8 @@ DIMENSIONS = 512
 #: The most languages that may be learned: bounds what is broadcast (a prototype has DIMENSIONS doubles).
 MAX_LANGUAGES = 4096
 UNDETERMINED = "und"
+#: Tasks that add a language's sums of partitions first.
+_SALTS = 1024
 _BATCH_LETTERS = 300_000
 _DENSE_TRIGRAMS = 4_000_000
 _GAP = 32
@@ -113,8 +117,8 @@ class Profiler:
 
 
 def learn(documents: DataFrame, dimensions: int = DIMENSIONS, max_languages: int = MAX_LANGUAGES) -> pd.DataFrame:
-    """Prototypes (lang, vector) from the columns text and lang of documents; rows with a null in either teach
-    nothing. Each partition sums its own bundles; the sums are a row for each partition and language."""
+    """Prototypes (lang, vector), by name, from the columns text and lang of documents; rows with a null in either, or
+    without a letter, teach nothing. Repeated rows teach as often. No rows give no prototypes."""
 
     @thrifty
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,16 +134,16 @@ def learn(documents: DataFrame, dimensions: int = DIMENSIONS, max_languages: int
                 by_lang = np.stack([weights[here == x].sum(axis=0) for x in names]).astype(np.float32) @ profiler.bound(codes)
                 for name, v in zip(names, by_lang, strict=True):
                     sums[name] = sums.get(name, 0) + v.astype(np.float64)
-        names = sorted(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[x].tolist() for x in names], pa.list_(pa.float64()))], names=["lang", "vector"])
+        names, salt = sorted(sums), TaskContext.get().partitionId() % _SALTS
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([salt] * len(names), pa.int32()), pa.array([sums[x].tolist() for x in names], pa.list_(pa.float64()))], names=["lang", "salt", "vector"])
 
     def add(part: pa.Table) -> pa.Table:
-        total = np.sum(np.stack(part.column("vector").to_numpy()), axis=0)
-        return pa.table({"lang": part.column("lang").slice(0, 1), "vector": pa.array([total.tolist()], pa.list_(pa.float64()))})
+        total = sum(np.asarray(x.as_py()) for x in part.column("vector"))
+        return pa.table({"lang": part.column("lang").slice(0, 1), "salt": part.column("salt").slice(0, 1), "vector": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
-    schema = "lang string, vector array<double>"
+    schema = "lang string, salt int, vector array<double>"
     taught = documents.select("text", "lang").where("text is not null and lang is not null").mapInArrow(bundle, schema)
-    found = taught.groupBy("lang").applyInArrow(add, schema).orderBy("lang").limit(max_languages + 1).toPandas()
+    found = taught.groupBy("lang", "salt").applyInArrow(add, schema).groupBy("lang").applyInArrow(add, schema).drop("salt").orderBy("lang").limit(max_languages + 1).toPandas()
     if len(found) > max_languages:
         raise ValueError(f"over {max_languages} languages to learn")
     return found
@@ -147,7 +151,8 @@ def learn(documents: DataFrame, dimensions: int = DIMENSIONS, max_languages: int
 
 def predict(documents: DataFrame, prototypes: pd.DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """documents with lang_pred and score (the largest cosine, at least 0) after its own columns; columns of those
-    two names are replaced. `und` and 0 if the text is null or has no letter, or nothing was learned."""
+    two names are replaced. `und` and 0 if the text is null or has no letter, or nothing was learned; of equal cosines
+    the language that sorts first."""
     documents = documents.drop("lang_pred", "score")
     languages = prototypes["lang"].tolist()
     profiles = np.stack(prototypes["vector"].to_list()).astype(np.float64) if languages else np.zeros((0, dimensions))
@@ -183,7 +188,8 @@ def teaching(documents: DataFrame) -> DataFrame:
 def identify(documents: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """Learn from the teaching rows of documents (doc_id, text, lang, others are ignored), then label all rows.
 
-    Returns doc_id, held_out, lang_pred, score. Null text: `und`, 0. Null lang: not learned from. Repeated rows are
+    Returns doc_id, held_out, lang_pred, score. Null text, or one without a letter: `und`, 0. Null lang: not learned
+    from. Texts of any length are read whole. Of equal cosines the language that sorts first wins. Repeated rows are
     labelled each. An empty table gives no rows.
     """
     documents = documents.select("doc_id", "text", "lang")

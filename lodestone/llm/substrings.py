@@ -30,6 +30,8 @@ from .common import buckets, mixed, rolling, thrifty, thrifty_group, word_hashes
 
 WINDOW = 35
 BLOCK = 4_000_000
+#: Bytes of the documents' files for each bucket: a bucket's hashes are about a third of it.
+BUCKET = 64_000_000
 _BASE = 0x9E3779B97F4A7C15
 _BASE2 = 0xC2B2AE3D27D4EB4F
 
@@ -206,17 +208,26 @@ def _result(ids: list, words: list[list[bytes]], removed: list[np.ndarray | None
     return sink.getvalue().to_pybytes()
 
 
+def _buckets(documents: DataFrame) -> int:
+    """How many buckets hashes are dealt to: by the size of the input, at least two for each shuffle partition."""
+    size = int(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = buckets(documents.sparkSession, 2)
+    return max(least, -(-size // BUCKET)) if size < 1 << 60 else least  # the most stands for an unknown size
+
+
 def dedup(documents: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """One row for each row of documents (doc_id, text; others are ignored): doc_id, n_words, n_removed (words inside
     a window whose words also start anywhere else), kept_sha256 of the other words, joined by spaces.
 
     Null and empty texts have no words and the hash of the empty string. Repeated rows are windows elsewhere for each
-    other. Texts of fewer words than the window keep all of theirs. No rows give no rows.
+    other. Texts of fewer words than the window keep all of theirs; longer ones are read whole. No rows give no rows.
+    Windows are equal if 96 bits of their hashes are: among 1e13 windows that share an anchor, the chance of any wrong
+    pair is under one in a thousand.
     """
     spark, kind = documents.sparkSession, dict(documents.dtypes)["doc_id"]
     period = period_for(window)
-    cover, n = difference_cover(period), buckets(spark, 2)
     source = documents.select("doc_id", F.col("text").cast("binary").alias("text"))
+    cover, n = difference_cover(period), _buckets(source)
 
     def open_block(texts: list[bytes]) -> Block:
         return Block(texts, window, period, cover)
