@@ -1,6 +1,7 @@
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from lodestone.llm import sentencepiece as sp
@@ -47,7 +48,7 @@ def chunked(model, text, size):
         low, high = max(0, k * size - model.longest), min(len(x), (k + 1) * size)
         parts.append((x[low : min(len(x), high + model.longest)], k * size - low, high - low))
     states = sp.boundary_states([model.transfer(*p) for p in parts])
-    return [i for p, a, b in zip(parts, states, states[1:], strict=False) for i in model.chunk_ids(*p, a, b)]
+    return [i for p, a, b in zip(parts, states, states[1:], strict=False) for i in model.chunk_ids(*p, a, b).tolist()]
 
 
 @pytest.mark.parametrize("size", [5, 11, 23, 64])
@@ -66,16 +67,81 @@ def test_runs_without_any_cut():
 
 def test_unigram_chunks_reach_the_best_score():
     model, rng = sp.Model(as_unigram(sp.read_model(TOKENIZER))), random.Random(2)
-    assert model.kind == sp.UNIGRAM and model.scans
+    assert model.kind == sp.UNIGRAM
 
     def score(ids):
-        return sum(model.unknown_score / 3 if model.processor.is_byte(i) else model.processor.get_score(i) for i in ids)
+        return sum(model.unknown_score / sp._UNIT / 3 if model.processor.is_byte(i) else model.processor.get_score(i) for i in ids)
 
     for _ in range(100):
         text = " ".join(rng.choice(["the", "hello", "aaaa", "1234", "internationalization", "ing", "foo"]) for _ in range(rng.randint(1, 40)))
         got, want = chunked(model, text, 9), model.processor.encode(text)
         assert model.processor.decode(got) == text
-        assert abs(score(got) - score(want)) < 1e-3  # equal pieces but for ties
+        assert abs(score(got) - score(want)) < 1e-3 and got == model.encode(text).tolist() == chunked(model, text, 14)
+        exact = lambda ids: sum(round(model.processor.get_score(i) * sp._UNIT) for i in ids)
+        assert got == want or exact(got) >= exact(want)  # the library adds in single precision
+
+
+def tied(data):
+    """A unigram model in which every piece weighs as its letters do, so all segmentations tie."""
+    out = b""
+    for number, value in sp._fields(data):
+        if number == 1:
+            x = dict(sp._fields(value))
+            value = field(1, 2, x[1]) + field(2, 5, struct.pack("<f", -float(len(x[1].decode())))) + (field(3, 0, x[3]) if 3 in x else b"")
+        elif number == 2:
+            value = b"".join(field(k, 0, sp.UNIGRAM if k == 3 else x) if isinstance(x, int) else field(k, 5 if k in (10, 15) else 2, x) for k, x in sp._fields(value))
+        out += field(number, 2, value)
+    return out
+
+
+@pytest.mark.parametrize("size", [3, 8, 40])
+def test_ties_go_as_in_the_library_whatever_the_chunks(size):
+    model, rng = sp.Model(tied(sp.read_model(TOKENIZER))), random.Random(size)
+    for _ in range(60):
+        text = "".join(rng.choice(["the", "hello", "aaaa", "and", "inter", "ing", "foo", "er", " ", "s"]) for _ in range(rng.randint(1, 40)))
+        want = model.processor.encode(text)
+        assert model.encode(text).tolist() == want and chunked(model, text, size) == want
+
+
+@pytest.mark.parametrize("make", [lambda d: d, as_unigram])
+def test_own_segmentation_and_decoding_against_the_library(make, sf):
+    import duckdb
+
+    model, rng = sp.Model(make(sp.read_model(TOKENIZER))), random.Random(4)
+    texts = ["".join(rng.choice(WORDS) + rng.choice([" ", "", "", " "]) for _ in range(rng.randint(0, 80))) for _ in range(300)]
+    texts += [t for (t,) in duckdb.sql(f"SELECT text FROM '{sf}/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    differ = 0
+    for text in texts:
+        want = model.processor.encode(text)
+        differ += model.encode(text).tolist() != want
+        assert model.decode(np.array(want, np.int32)) == model.processor.decode(want)
+    assert differ == 0 if model.kind == sp.BPE else differ <= 0.05 * len(texts)
+    for _ in range(500):  # any ids, also bytes that are no characters
+        ids = [rng.choice([rng.randrange(3), rng.randrange(3, 259), rng.randrange(259, 32_000)]) for _ in range(rng.randint(0, 12))]
+        assert model.decode(np.array(ids, np.int32)) == model.processor.decode(ids)
+
+
+def test_long_words_in_little_time():
+    model = sp.Model(sp.read_model(TOKENIZER))
+    for text in ("a" * 50_000, "xyz" * 20_000, "the" * 3000):
+        assert model.encode(text).tolist() == model.processor.encode(text)
+
+
+def test_models_that_are_not_supported():
+    data = sp.read_model(TOKENIZER)
+    with pytest.raises(ValueError):
+        sp.Model(data + field(1, 2, field(1, 2, b"<own>") + field(3, 0, 4)))
+
+
+@pytest.mark.parametrize("fan", [2, 3, 7])
+def test_trees_of_matrices(spark, fan):
+    """Documents of 1 to 200 chunks, combined over several levels."""
+    data, rng = sp.read_model(TOKENIZER), random.Random(fan)
+    model = sp.Model(data)
+    rows = [(k, "".join(rng.choice(WORDS) + rng.choice([" ", "", ""]) for _ in range(n))) for k, n in enumerate([1, 5, 20, 60, 400])] + [(9, "ab" * 800), (10, "long words here " * 200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (list(r.ids), r.lossless) for r in sp.round_trip(d, data, giant=16, chunk=16, fan=fan).collect()}
+    assert got == {k: (model.processor.encode(t), "▁" not in t) for k, t in rows}
 
 
 def test_products_of_matrices_are_associative():
