@@ -169,6 +169,16 @@ def rolling(hashes: np.ndarray, width: int, base: int) -> np.ndarray:
     return mixed(out)
 
 
+def numbered_columns(df: DataFrame) -> DataFrame:
+    """df with c0, c1 and so on for the names of its columns, so that none of them clashes with names used here."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def named_columns(df: DataFrame, names: list[str]) -> DataFrame:
+    """The first columns of numbered_columns, by their own names again."""
+    return df.select(*[f"c{k}" for k in range(len(names))]).toDF(*names)
+
+
 def with_row(df: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
     """df with the place of each row, two longs that stay the same however often it is read: hash of the file and
     number in it. A df that is not a scan of Parquet files is written as a table first."""

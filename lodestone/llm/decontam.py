@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_row, without
+from .common import materialise, named_columns, numbered_columns, with_row, without
 
 WINDOW = 10
 #: Bytes of windows or words in one broadcast, as they are counted by _weight.
@@ -122,8 +122,9 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDO
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """The rows of documents whose text holds no window of the benchmark, with their columns (any, also of the names
     used here). Matching carries the places of rows only, and no text but of rows that may be hit is shuffled."""
-    placed = with_row(documents, "_place_file", "_place_row")
+    placed = with_row(numbered_columns(documents))
+    text = F.col(f"c{documents.columns.index('text')}")
     prefix, _ = prefixes(documents.select("text"), benchmark, window, block)
-    rows = placed.select("_place_file", "_place_row", words(F.col("text")).alias("w"))
-    hit = materialise(_matches(rows, prefix, block).where("hit is not null").select("_place_file", "_place_row").distinct())
-    return without(placed, ["_place_file", "_place_row"], hit, hit.count()).select(*documents.columns)
+    rows = placed.select("_file", "_row", words(text).alias("w"))
+    hit = materialise(_matches(rows, prefix, block).where("hit is not null").select("_file", "_row").distinct())
+    return named_columns(without(placed, ["_file", "_row"], hit, hit.count()), documents.columns)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import among, components, discard, materialise, mixed, rolling, slices, thrifty, thrifty_group, with_row, without, word_hashes
+from .common import among, components, discard, materialise, mixed, named_columns, numbered_columns, rolling, slices, thrifty, thrifty_group, with_row, without, word_hashes
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -369,7 +369,7 @@ def near_duplicates(documents: DataFrame, **parameters) -> DataFrame:
 
 def deduplicate(documents: DataFrame, **parameters) -> DataFrame:
     """The rows of documents that stay: one of each class, with their columns (any, also of the names used here)."""
-    placed = with_row(documents, "_place_file", "_place_row")
-    own = placed.select("doc_id", "text", F.col("_place_file").alias("_file"), F.col("_place_row").alias("_row"))
-    gone = materialise(classes(own, **parameters).where("not kept").select(F.col("_file").alias("_place_file"), F.col("_row").alias("_place_row")))
-    return without(placed, ["_place_file", "_place_row"], gone, gone.count()).select(*documents.columns)
+    placed, at = with_row(numbered_columns(documents)), documents.columns.index
+    own = placed.select(F.col(f"c{at('doc_id')}").alias("doc_id"), F.col(f"c{at('text')}").alias("text"), "_file", "_row")
+    gone = materialise(classes(own, **parameters).where("not kept").select("_file", "_row"))
+    return named_columns(without(placed, ["_file", "_row"], gone, gone.count()), documents.columns)

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, mixed, slices, thrifty
+from .common import materialise, mixed, named_columns, numbered_columns, slices, thrifty
 
 #: The kinds of the fixed patterns, then that of keys, which only contexts give.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -325,11 +325,11 @@ def _found_by(text: str, base: list[Span]) -> Iterator[tuple[int, int, list[int]
             yield start, end, [*words.patterns(start, end), _instance(text[start:end])]
 
 
-def annotate(documents: DataFrame, patterns: DataFrame | None) -> DataFrame:
-    """documents with _pii_base and _pii_spans (arrays of start, kind, end) after its own columns; null text has none."""
+def annotate(documents: DataFrame, patterns: DataFrame | None, at: int) -> DataFrame:
+    """documents, with the text at a place, with _pii_base and _pii_spans (arrays of start, kind, end) after its own
+    columns; null text has none."""
     spark = documents.sparkSession
-    documents = documents.drop("_pii_base", "_pii_spans")
-    at, names = documents.columns.index("text"), [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema.fields]
+    names = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in documents.schema.fields]
     kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
     as_rows = lambda spans: pa.array([[{"start": s, "kind": k, "end": e} for s, k, e in x] for x in spans], kind)
     schema = ", ".join([*names, "_pii_base array<struct<start:int,kind:int,end:int>>", "_pii_spans array<struct<start:int,kind:int,end:int>>"])
@@ -395,7 +395,7 @@ def find(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     patterns = learn(documents)
     of = _spans_of(patterns, documents.sparkSession)
-    source = documents if of else annotate(documents, patterns)
+    source = documents if of else annotate(documents, patterns, 1)
 
     @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -426,10 +426,10 @@ def masked(text: str, spans: list[Span]) -> str:
 
 def redact(documents: DataFrame) -> DataFrame:
     """documents with every span of text masked; the columns, rows and nulls stay as they are."""
-    columns, schema = documents.columns, documents.schema
-    at, patterns = columns.index("text"), learn(documents)
+    columns, plain = documents.columns, numbered_columns(documents)
+    at, patterns = columns.index("text"), learn(documents.select("text"))
     of = _spans_of(patterns, documents.sparkSession)
-    source = documents if of else annotate(documents, patterns)
+    source, names = plain if of else annotate(plain, patterns, at), plain.columns
 
     @thrifty
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,6 +438,6 @@ def redact(documents: DataFrame) -> DataFrame:
                 texts = part.column(at).to_pylist()
                 spans = [of(x)[1] for x in texts] if of else map(_listed, part.column(len(columns) + 1).to_pylist())
                 texts = [x if not x else masked(x, s) for x, s in zip(texts, spans, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(len(columns))], names=columns)
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else part.column(k) for k in range(len(columns))], names=names)
 
-    return source.mapInArrow(run, schema)
+    return named_columns(source.mapInArrow(run, plain.schema), columns)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets, materialise, slices, thrifty, thrifty_group, with_row
+from .common import buckets, materialise, numbered_columns, slices, thrifty, thrifty_group, with_row
 
 GIANT = 32_768
 CHUNK = 16_384
@@ -516,11 +516,12 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
     fan; of equal segmentations that with the longest last pieces is taken. Repeated rows stay; no rows give no rows."""
     spark = documents.sparkSession
     Model(model)  # refuses what it does not support before any job starts
-    placed = with_row(documents.drop("ids", "decoded"), "_place_file", "_place_row")
-    columns = [c for c in placed.columns if c not in ("_place_file", "_place_row")]
+    own = documents.drop("ids", "decoded").columns
+    placed = with_row(numbered_columns(documents.drop("ids", "decoded")))
+    columns, at = [c for c in placed.columns if c not in ("_file", "_row")], own.index("text")
+    text = F.col(f"c{at}")
     shared, kinds = spark.sparkContext.broadcast(model), {f.name: f.dataType.simpleString() for f in placed.schema.fields}
     quoted = lambda names: ", ".join(f"`{c.replace('`', '``')}` {kinds[c]}" for c in names)
-    at = columns.index("text")
     more = ["ids", "decoded"] if decoded else ["ids"]
 
     @thrifty
@@ -532,8 +533,8 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
                 extra = [pa.array([None if x is None else known.decode(x) for x in ids], pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), *extra], names=[*columns, *more])
 
-    long = F.length("text") > giant
-    short = placed.where(F.col("text").isNull() | ~long).select(*columns).mapInArrow(whole, f"{quoted(columns)}, ids array<int>" + ", decoded string" * decoded)
+    long = F.length(text) > giant
+    short = placed.where(text.isNull() | ~long).select(*columns).mapInArrow(whole, f"{quoted(columns)}, ids array<int>" + ", decoded string" * decoded)
 
     @thrifty
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -547,7 +548,7 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["_file", "_row", "chunk", "part", "low", "high"])
 
     parts = buckets(spark)
-    giants = placed.where(long).select(F.col("_place_file").alias("_file"), F.col("_place_row").alias("_row"), "text")
+    giants = placed.where(long).select("_file", "_row", text.alias("text"))
     chunks = giants.mapInArrow(cut, "_file long, _row long, chunk long, part string, low int, high int")
     chunks = materialise(chunks.repartition(parts, "_file", "_row", "chunk"))  # read for the matrices and the backtrace
 
@@ -577,9 +578,8 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
 
     # A document's ids are one row of the result, so they meet in one task.
     whole_ids = traced.groupBy("_file", "_row").applyInArrow(joined, "_file long, _row long, ids array<int>")
-    whole_ids = whole_ids.select(F.col("_file").alias("_place_file"), F.col("_row").alias("_place_row"), "ids")
-    joint = placed.where(long).join(whole_ids, ["_place_file", "_place_row"]).select(*columns, "ids")
-    return short.unionByName(decode(joint, model) if decoded else joint)
+    joint = placed.where(long).join(whole_ids, ["_file", "_row"]).select(*columns, "ids")
+    return short.unionByName(decode(joint, model) if decoded else joint).toDF(*own, *more)
 
 
 _models: dict[int, Model] = {}
