@@ -11,10 +11,10 @@ one is not.
 Equal word sequences are collapsed first. Components are banded; texts that share a band with the band's smallest
 text form candidate groups, found as connected components. Groups are split into cells of at most CELL shingles and
 CELL_TEXTS texts, the only thing a task ever holds; a group of one cell is verified there, exactly. The cells of larger
-groups all get the round's centres. The distance 1 - J is a metric: with C linked to A, a text below 0.6 to C has no
-link to A. So a text stays pending only while it is linked to no centre, or is at 0.6 to 0.8 to one of another class;
-pending texts become centres, in ROUNDS rounds at most. What is pending then, as where many texts share a template, is
-joined with the texts of its groups by a prefix filter: two texts of the threshold's similarity share one of their
+groups all get the group's centres, up to CENTRES of its texts, and give each text's best similarity to each class of
+centres. The distance 1 - J is a metric: with C linked to A, a text below 0.6 to C has no link to A. So a text stays
+pending only if it is linked to no centre, or is at 0.6 to 0.8 to centres of another class. What is pending then, as
+where many texts share a template, is joined with the texts of its groups by a prefix filter: two texts of the threshold's similarity share one of their
 rarest shingles, at places that bound what they can have in common. No bucket emits its pairs, and no link is lost to
 a cap. Only texts of candidate groups are shuffled; a bitmap of bounded size tells them from the others.
 """
@@ -38,9 +38,8 @@ ROWS = 5
 #: Shingles and texts in a cell, but that a longer text is a cell of its own.
 CELL = 2_000_000
 CELL_TEXTS = 128
-#: Centres of a larger group in one round, and the rounds before the rest is joined by prefixes.
-CENTRES = 64
-ROUNDS = 3
+#: Centres of a larger group.
+CENTRES = 32
 #: Counters of shingles by hash that order them by rarity: 4 MB.
 _COUNTERS = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -210,20 +209,24 @@ def _verified(texts: DataFrame, width: int, similarity: float) -> DataFrame:
 
 
 def _links(texts: DataFrame, centres: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(digest, centre, s) with s at least 2 * similarity - 1, for groups dealt to cells. texts: group, cell, digest,
-    text; centres: the same columns, in each cell of their group."""
+    """(digest, centre, s): of each text and class of its group's centres, named by its least one, the best similarity,
+    where it is at least 2 * similarity - 1. texts: group, cell, digest, text; centres: the same columns, in each cell
+    of their group. Every cell finds the same classes of centres."""
 
     @thrifty_group
     def run(part: pa.Table) -> pa.Table:
         out: list[tuple[bytes, bytes, float]] = []
-        side, digests = part.column("side").to_pylist(), part.column("digest").to_pylist()
-        sets = [elements(x, width) for x in part.column("text").to_pylist()]
-        members = [k for k, x in enumerate(side) if x == 1]
-        if members:
-            cell = Cell([sets[k] for k in members])
-            for c in (k for k, x in enumerate(side) if x == 0):
-                s = cell.similarity(sets[c])
-                out += [(digests[members[k]], digests[c], float(s[k])) for k in np.flatnonzero(s >= 2 * similarity - 1).tolist() if digests[members[k]] != digests[c]]
+        rows = sorted(zip(part.column("side").to_pylist(), part.column("digest").to_pylist(), part.column("text").to_pylist(), strict=True))
+        sets = [elements(x, width) for _, _, x in rows]
+        n = sum(side == 0 for side, _, _ in rows)
+        if n < len(rows):
+            label = classes_of(sets[:n], similarity)
+            cell = Cell(sets[n:])
+            best = {c: np.zeros(len(rows) - n) for c in np.unique(label).tolist()}
+            for k in range(n):
+                best[label[k]] = np.maximum(best[label[k]], cell.similarity(sets[k]))
+            for c, s in best.items():
+                out += [(rows[n + k][1], rows[c][1], float(s[k])) for k in np.flatnonzero(s >= 2 * similarity - 1 - 1e-9).tolist()]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
         return pa.table({"digest": pa.array(columns[0], pa.binary()), "centre": pa.array(columns[1], pa.binary()), "s": pa.array(columns[2], pa.float64())})
 
@@ -289,40 +292,39 @@ def _prefix_links(texts: DataFrame, pending: DataFrame, label: DataFrame, width:
     return found
 
 
-def _verified_in_rounds(texts: DataFrame, width: int, similarity: float, rounds: int) -> DataFrame:
-    """(digest, head) of groups of several cells. texts: group, cells, centres (how many in a round), digest, text."""
+def _verified_in_cells(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(digest, head) of groups of several cells. texts: group, cells, centres (how many), digest, text."""
     texts = materialise(texts.withColumn("cell", F.pmod(F.xxhash64("digest"), F.col("cells")).cast("int")).drop("cells"))
     members = texts.select("group", "digest", "centres")
-    cells = texts.select("group", "cell").distinct()
-    done = links = None
-    pending = members
-    for k in range(rounds + 1):
-        if pending.isEmpty():
-            return own
-        if k == rounds:
-            break
-        # The least pending texts of each group, by a hash; aggregated in parts before they meet.
-        parts = pending.select("group", "digest", F.xxhash64("digest").alias("h"), F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("centres")).alias("salt"))
-        chosen = materialise(parts.groupBy("group", "salt").agg(F.min(F.struct("h", "digest")).alias("c")).select("group", F.col("c.digest").alias("digest")))
-        sent = materialise(texts.drop("cell").join(chosen, ["group", "digest"])).join(cells, "group").select("group", "cell", "digest", "text")
-        found = materialise(_links(texts.select("group", "cell", "digest", "text"), sent, width, similarity))
-        links = found if links is None else links.unionByName(found)
-        done = chosen if done is None else done.unionByName(chosen)
-        certain = links.where(F.col("s") >= similarity)
-        heads = components(certain, "digest", "centre")
-        label = members.join(heads.withColumnRenamed("node", "digest"), "digest", "left").select("group", "digest", F.coalesce("head", "digest").alias("head"))
-        label = materialise(label)
-        own = label.select("digest", "head")
-        of_centre = label.select(F.col("digest").alias("centre"), F.col("head").alias("other"))
-        ambiguous = links.where(F.col("s") < similarity).join(own, "digest").join(of_centre, "centre").where("head != other").select("digest").distinct()
-        free = members.join(certain.select("digest").distinct(), "digest", "left_anti").select("digest")
-        pending = materialise(members.join(free.union(ambiguous).distinct(), "digest", "left_semi").join(done.select("digest"), "digest", "left_anti"))
-    more = _prefix_links(texts.select("group", "digest", "text"), pending.select("digest"), label, width, similarity)
-    heads = components(certain.select(F.col("digest").alias("a"), F.col("centre").alias("b")).union(more))
-    return members.select("digest").join(heads.withColumnRenamed("node", "digest"), "digest", "left").select("digest", F.coalesce("head", "digest").alias("head"))
-
-
-def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, cell: int = CELL, cell_texts: int = CELL_TEXTS, centres: int = CENTRES, rounds: int = ROUNDS) -> DataFrame:
+    # The least texts of each group, by a hash; aggregated in parts before they meet.
+    parts = members.select("group", "digest", F.xxhash64("digest").alias("h"), F.pmod(F.xxhash64(F.lit(1), "digest"), F.col("centres")).alias("salt"))
+    chosen = materialise(parts.groupBy("group", "salt").agg(F.min(F.struct("h", "digest")).alias("c")).select("group", F.col("c.digest").alias("digest")))
+    sent = texts.drop("cell", "centres").join(chosen, ["group", "digest"]).join(texts.select("group", "cell").distinct(), "group").select("group", "cell", "digest", "text")
+    links = materialise(_links(texts.select("group", "cell", "digest", "text"), sent, width, similarity))
+    certain = links.where(F.col("s") >= similarity)
+    least = certain.groupBy("digest").agg(F.min("centre").alias("least"))
+    # Classes of centres that a text joins, as a rule very few: components of those alone.
+    joined = materialise(certain.join(least, "digest").where("centre != least").select("centre", "least").distinct())
+    own = members.select("group", "digest").join(least, "digest", "left").select("group", "digest", F.coalesce("least", "digest").alias("head"), F.col("least").isNull().alias("free"))
+    other = links.where(F.col("s") < similarity).select("digest", F.col("centre").alias("other"))
+    if not joined.isEmpty():
+        same = components(joined, "centre", "least")
+        own = own.join(same.withColumnRenamed("head", "whole").withColumnRenamed("node", "head"), "head", "left").select("group", "digest", F.coalesce("whole", "head").alias("head"), "free")
+        other = other.join(same.withColumnRenamed("head", "whole").withColumnRenamed("node", "other"), "other", "left").select("digest", F.coalesce("whole", "other").alias("other"))
+    label = materialise(own)
+    ambiguous = other.join(label.select("digest", "head"), "digest").where("head != other").select("digest")
+    pending = label.where("free").select("digest").union(ambiguous).distinct()
+    pending = materialise(pending.join(chosen.select("digest"), "digest", "left_anti"))  # centres have met all texts
+    if pending.isEmpty():
+        return label.select("digest", "head")
+    more = _prefix_links(texts.select("group", "digest", "text"), pending, label.select("group", "digest", "head"), width, similarity)
+    heads = label.select("digest", "head")
+    edges = more.join(heads.withColumnsRenamed({"digest": "a", "head": "head_a"}), "a").join(heads.withColumnsRenamed({"digest": "b", "head": "head_b"}), "b").select("head_a", "head_b")
+    whole = components(edges, "head_a", "head_b").withColumnsRenamed({"head": "whole", "node": "head"})
+    return heads.join(whole, "head", "left").select("digest", F.coalesce("whole", "head").alias("head"))
+
+
+def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, cell: int = CELL, cell_texts: int = CELL_TEXTS, centres: int = CENTRES) -> DataFrame:
     """_file, _row, doc_id, class_id (the smallest doc_id of the class), class_size (rows), n_texts (different word
     sequences) and kept (true for one row of each class, the first by doc_id, then by place in the table) of every row
     of documents (with _file and _row; doc_id and text; others are ignored).
@@ -349,7 +351,7 @@ def classes(documents: DataFrame, width: int = WIDTH, similarity: float = SIMILA
     held = materialise(among(source, ["_file", "_row"], wanted, wanted.count()).select("group", "cells", "centres", "digest", "text"))
     head = _verified(held.where("cells = 1").select("group", "digest", "text"), width, similarity)
     if not sizes.where("cells > 1").isEmpty():
-        head = head.unionByName(_verified_in_rounds(held.where("cells > 1"), width, similarity, rounds))
+        head = head.unionByName(_verified_in_cells(held.where("cells > 1"), width, similarity))
     head = materialise(head)
     discard(held, wanted, sizes)
 

@@ -58,7 +58,7 @@ def _rows(spark, docs, **parameters):
     return neardup.near_duplicates(d, **parameters).collect()
 
 
-@pytest.mark.parametrize("parameters", [{}, {"cell": 800, "cell_texts": 4, "centres": 3}, {"cell": 800, "cell_texts": 3, "centres": 1, "rounds": 1}])
+@pytest.mark.parametrize("parameters", [{}, {"cell": 800, "cell_texts": 4, "centres": 3}, {"cell": 800, "cell_texts": 3, "centres": 1}])
 def test_classes_against_brute_force(spark, family, parameters):
     rows = _rows(spark, family, **parameters)
     want, groups = brute(family)
@@ -76,7 +76,7 @@ def test_a_template_that_many_texts_share(spark):
         docs.append((k, " ".join(template[:at] + own + template[at:])))
         if k % 15 == 0:
             docs.append((1000 + k, " ".join(template[:at] + own[:-1] + ["other"] + template[at:])))
-    rows = _rows(spark, docs, bands=60, rows=2, cell_texts=16, centres=2, rounds=1)
+    rows = _rows(spark, docs, bands=60, rows=2, cell_texts=16, centres=2)
     want, groups = brute(docs)
     assert sorted((str(r.doc_id), str(r.class_id), r.class_size) for r in rows) == want and 100 < groups < 160
 
