@@ -56,7 +56,7 @@ _START: State = (0, "")
 _UNIT = 2.0**30
 _WORDS = re.compile(f"{_GAP}*[^{_GAP}]+|{_GAP}+")
 #: Words that a worker remembers.
-_REMEMBERED = 400_000
+_REMEMBERED = 1_000_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -569,7 +569,8 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
             ids = [known.chunk_ids(p, low, high, (int(s[0]), s[1]), (int(s[2]), s[3])) for p, low, high, s in rows]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_file", "_row", "chunk")], _lists(ids)], names=["_file", "_row", "chunk", "ids"])
 
-    traced = chunks.join(states, ["_file", "_row", "chunk"]).select("_file", "_row", "chunk", "part", "low", "high", "states").mapInArrow(backtrace, "_file long, _row long, chunk long, ids array<int>")
+    # One join plan at all sizes: chunks and giants grow with the documents.
+    traced = chunks.join(states.hint("merge"), ["_file", "_row", "chunk"]).select("_file", "_row", "chunk", "part", "low", "high", "states").mapInArrow(backtrace, "_file long, _row long, chunk long, ids array<int>")
 
     @thrifty_group
     def joined(part: pa.Table) -> pa.Table:
@@ -578,7 +579,7 @@ def encode(documents: DataFrame, model: bytes, giant: int = GIANT, chunk: int =
 
     # A document's ids are one row of the result, so they meet in one task.
     whole_ids = traced.groupBy("_file", "_row").applyInArrow(joined, "_file long, _row long, ids array<int>")
-    joint = placed.where(long).join(whole_ids, ["_file", "_row"]).select(*columns, "ids")
+    joint = placed.where(long).join(whole_ids.hint("merge"), ["_file", "_row"]).select(*columns, "ids")
     return short.unionByName(decode(joint, model) if decoded else joint).toDF(*own, *more)
 
 
