@@ -26,6 +26,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -250,12 +252,19 @@ def _prefix_links(texts: DataFrame, pending: DataFrame, label: DataFrame, width:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 total += np.bincount((elements(text, width) % np.uint64(_COUNTERS)).astype(np.int64), minlength=_COUNTERS)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["counter", "n"])
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([zstandard.compress(total.tobytes())], pa.binary())], names=["salt", "counters"])
 
-    counters = np.zeros(_COUNTERS, np.uint32)
-    told = held.select("text").mapInArrow(count, "counter long, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()
-    counters[told["counter"]] = np.minimum(told["n"], 2**32 - 1)
+    @thrifty_group
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zstandard.decompress(x.as_py()), np.int64) for x in part.column("counters"))
+        return pa.table({"salt": pa.array([0], pa.int32()), "counters": pa.array([zstandard.compress(total.tobytes())], pa.binary())})
+
+    # A row a partition, added in two steps; one row comes to the driver.
+    schema = "salt int, counters binary"
+    told = held.select("text").mapInArrow(count, schema).groupBy("salt").applyInArrow(add, schema).groupBy("salt").applyInArrow(add, schema).first()
+    total = np.frombuffer(zstandard.decompress(bytes(told.counters)), np.int64) if told else np.zeros(_COUNTERS, np.int64)
+    counters = np.minimum(total, 2**32 - 1).astype(np.uint32)
     shared = texts.sparkSession.sparkContext.broadcast(counters)
 
     @thrifty
