@@ -1,6 +1,7 @@
 """Outlier flags: `<column>_<method>_pass` is true for rows that pass, missing values among them.
 
-Statistics are aggregated once over all columns into a row that is broadcast; the flags are one projection.
+Statistics are aggregated once over all columns, exact quantiles in a few passes (relational.quantiles); the flags are
+one projection.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import student_t_ppf
-from .relational import need, quoted
+from .relational import need, quantiles, quoted
 
 
 def _number(column: str) -> Column:
@@ -20,8 +21,8 @@ def _number(column: str) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def _flagged(df: DataFrame, columns: Sequence[str], method: str, stats: DataFrame, outlying: dict[str, Column]) -> DataFrame:
-    wide = df.crossJoin(F.broadcast(stats))
+def _flagged(df: DataFrame, columns: Sequence[str], method: str, outlying: dict[str, Column], stats: DataFrame | None = None) -> DataFrame:
+    wide = df if stats is None else df.crossJoin(F.broadcast(stats))
     names = [f"{c}_{method}_pass" for c in columns]
     return wide.select(*[quoted(c) for c in df.columns if c not in names], *[(~F.coalesce(outlying[c], F.lit(False))).alias(n) for c, n in zip(columns, names, strict=True)])
 
@@ -30,25 +31,26 @@ def zscore(df: DataFrame, columns: Sequence[str], threshold: float = 3.0) -> Dat
     """|x - mean| / std over threshold fails; a zero std passes all."""
     need(df, columns)
     stats = df.agg(*[f(_number(c)).alias(f"_{n}{k}") for k, c in enumerate(columns) for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    return _flagged(df, columns, "zscore", stats, {c: F.abs(F.try_divide(_number(c) - F.col(f"_m{k}"), F.col(f"_s{k}"))) > threshold for k, c in enumerate(columns)})
+    return _flagged(df, columns, "zscore", {c: F.abs(F.try_divide(_number(c) - F.col(f"_m{k}"), F.col(f"_s{k}"))) > threshold for k, c in enumerate(columns)}, stats)
 
 
 def modified_zscore(df: DataFrame, columns: Sequence[str], threshold: float = 3.5) -> DataFrame:
     """0.6745 |x - median| / MAD over threshold fails; a zero MAD passes all. Both medians are exact."""
     need(df, columns)
-    medians = df.agg(*[F.median(_number(c)).alias(f"_m{k}") for k, c in enumerate(columns)])
-    spread = df.crossJoin(F.broadcast(medians)).agg(*[F.median(F.abs(_number(c) - F.col(f"_m{k}"))).alias(f"_d{k}") for k, c in enumerate(columns)])
-    return _flagged(df, columns, "modified_zscore", medians.crossJoin(spread), {c: 0.6745 * F.abs(F.try_divide(_number(c) - F.col(f"_m{k}"), F.col(f"_d{k}"))) > threshold for k, c in enumerate(columns)})
+    medians = [q[0] for q in quantiles(df, [_number(c) for c in columns], [0.5])]
+    off = [F.abs(_number(c) - F.lit(m).cast("double")) for c, m in zip(columns, medians, strict=True)]
+    spread = [q[0] for q in quantiles(df, off, [0.5])]
+    return _flagged(df, columns, "modified_zscore", {c: 0.6745 * F.try_divide(x, F.lit(d).cast("double")) > threshold for c, x, d in zip(columns, off, spread, strict=True)})
 
 
 def iqr(df: DataFrame, columns: Sequence[str], multiplier: float = 1.5) -> DataFrame:
     """Outside [Q1 - k IQR, Q3 + k IQR] fails, with linear quantiles; under four values raise."""
     need(df, columns)
-    quartiles = df.agg(*[F.percentile(_number(c), F.array(F.lit(0.25), F.lit(0.75))).alias(f"_q{k}") for k, c in enumerate(columns)], *[F.count(_number(c)).alias(f"_n{k}") for k, c in enumerate(columns)])
-    few = F.raise_error(F.lit("at least 4 values are needed for quartiles"))
-    checked = quartiles.select(*[F.when(F.col(f"_n{k}") < 4, few).otherwise(F.col(f"_q{k}")).alias(f"_q{k}") for k in range(len(columns))])
-    edge = lambda k, j, sign: F.col(f"_q{k}")[j] + sign * multiplier * (F.col(f"_q{k}")[1] - F.col(f"_q{k}")[0])
-    return _flagged(df, columns, "iqr", checked, {c: (_number(c) < edge(k, 0, -1)) | (_number(c) > edge(k, 1, 1)) for k, c in enumerate(columns)})
+    counts = df.agg(*[F.count(_number(c)) for c in columns]).first()
+    if min(counts) < 4:
+        raise ValueError("at least 4 values are needed for quartiles")
+    edges = [(q1 - multiplier * (q3 - q1), q3 + multiplier * (q3 - q1)) for q1, q3 in quantiles(df, [_number(c) for c in columns], [0.25, 0.75])]
+    return _flagged(df, columns, "iqr", {c: (_number(c) < low) | (_number(c) > high) for c, (low, high) in zip(columns, edges, strict=True)})
 
 
 def grubbs_critical(n: int, alpha: float) -> float:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special as sp
 from . import chem, similarity, splitting, statistics
-from .relational import need, quoted, running_sums
+from .relational import need, quantiles, quoted, running_sums
 
 SEVERITIES = ("OK", "LOW", "MEDIUM", "HIGH", "CRITICAL")
 
@@ -84,11 +84,10 @@ def scaffold_report(df: DataFrame, group: str, active: str | None = None, k: int
 def activity_distribution(df: DataFrame, column: str) -> DataFrame:
     """n, mean, median, std (population), min, max, percentiles, skewness, excess kurtosis, and IQR outliers."""
     clean = statistics.values(df, column)
-    q = clean.agg(F.percentile("x", F.array(*[F.lit(p) for p in (0.1, 0.25, 0.75, 0.9)])).alias("q"))
-    base = clean.crossJoin(F.broadcast(q))
-    spread = F.col("q")[2] - F.col("q")[1]
-    outside = (F.col("x") < F.col("q")[1] - 1.5 * spread) | (F.col("x") > F.col("q")[2] + 1.5 * spread)
-    return base.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), F.first("q")[0].alias("p10"), F.first("q")[1].alias("p25"), F.first("q")[2].alias("p75"), F.first("q")[3].alias("p90"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"), F.count_if(outside).alias("n_outliers"))
+    p10, p25, middle, p75, p90 = (F.lit(q).cast("double") for q in quantiles(clean, [F.col("x")], [0.1, 0.25, 0.5, 0.75, 0.9])[0])
+    spread = p75 - p25
+    outside = (F.col("x") < p25 - 1.5 * spread) | (F.col("x") > p75 + 1.5 * spread)
+    return clean.agg(F.count("*").alias("n"), F.avg("x").alias("mean"), middle.alias("median"), F.stddev_pop("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"), p10.alias("p10"), p25.alias("p25"), p75.alias("p75"), p90.alias("p90"), F.skewness("x").alias("skewness"), F.kurtosis("x").alias("kurtosis"), F.count_if(outside).alias("n_outliers"))
 
 
 def missing_values(df: DataFrame) -> DataFrame:

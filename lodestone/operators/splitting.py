@@ -8,13 +8,14 @@ row for each group.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations, islice
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .relational import need, numbered, quoted, running_sums
+from .relational import need, numbered, quantiles, quoted, running_sums
 
 
 def random_key(seed: int, *columns: str) -> Column:
@@ -44,8 +45,8 @@ def quantile_bins(df: DataFrame, label: str, n_bins: int) -> DataFrame:
     row = df.agg(F.approx_count_distinct(quoted(label)).alias("u")).first()
     if row.u <= n_bins:
         return df.withColumn("_stratum", quoted(label).cast("string"))
-    edges = df.agg(F.percentile(x, F.array(*[F.lit(k / n_bins) for k in range(1, n_bins)])).alias("e"))
-    return df.crossJoin(F.broadcast(edges)).withColumn("_stratum", F.size(F.filter("e", lambda e: e < x)).cast("string")).drop("e")
+    edges = [q for q in quantiles(df, [x], [k / n_bins for k in range(1, n_bins)])[0] if q is not None]
+    return df.withColumn("_stratum", sum((F.coalesce((F.lit(e) < x).cast("int"), F.lit(0)) for e in edges), F.lit(0)).cast("string"))
 
 
 def _stratum_rank(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
@@ -149,11 +150,37 @@ def monte_carlo(df: DataFrame, key: Sequence[str], n_splits: int, val_size: floa
 
 
 def leave_p_out(df: DataFrame, key: str, p: int = 1, max_splits: int | None = None) -> DataFrame:
-    """(split_id, key): the rows left out by the first max_splits combinations in the order of the key."""
-    most = max_splits or 1000
-    firsts = [r[0] for r in df.select(quoted(key)).orderBy(quoted(key)).collect()] if p > 1 else [r[0] for r in df.select(quoted(key)).orderBy(quoted(key)).limit(most).collect()]
-    rows = [(i, x) for i, c in enumerate(islice(combinations(firsts, p), most)) for x in c]
-    return df.sparkSession.createDataFrame(rows, f"split_id int, `{key}` {dict(df.dtypes)[key]}")
+    """(split_id, key): the rows left out by all combinations of p rows in the order of the key, or by the first
+    max_splits of them. Combinations are made from their numbers, in parallel."""
+    need(df, [key])
+    rows = numbered(df.select(quoted(key).alias(key)), [quoted(key)], "_at")
+    n = rows.count()
+    total = math.comb(n, p)
+    if p < 1 or total >= 1 << 63:
+        raise ValueError(f"{total} splits of {p} out of {n} rows")
+    splits = df.sparkSession.range(total if max_splits is None else min(total, max_splits)).withColumnRenamed("id", "split_id")
+    if p == 1:
+        return splits.join(rows, F.col("split_id") == F.col("_at")).select("split_id", quoted(key))
+
+    def unranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for start in range(0, len(ids), max(1, 100_000 // p)):
+                part = ids[start : start + max(1, 100_000 // p)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i in part for _ in range(p)], pa.int64()), pa.array([x for i in part for x in combination(i, n, p)], pa.int64())], names=["split_id", "_at"])
+
+    return splits.mapInArrow(unranked, "split_id long, _at long").join(rows, "_at").select("split_id", quoted(key))
+
+
+def combination(number: int, n: int, p: int) -> list[int]:
+    """The number-th (from 0) of the combinations of p out of 0 .. n - 1, in lexicographic order."""
+    left, out = math.comb(n, p) - 1 - number, []
+    for size in range(p, 0, -1):
+        # the largest x with comb(x, size) <= left: the combinatorial number system, counted from the end
+        x = bisect_right(range(n), left, key=lambda v, s=size: math.comb(v, s)) - 1
+        left -= math.comb(x, size)
+        out.append(n - 1 - x)
+    return out
 
 
 def shared_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -342,3 +342,37 @@ class TestMetricsTokensReports:
         rep = reports.split_report(df, "k", "y", least=1, vector="v", smiles="s")
         assert rep["checks"]["similarity"] == {"near": {"test-train": {"of_first": 1, "of_second": 1}}, "threshold": 0.9, "severity": "HIGH"}
         assert rep["checks"]["stereo"] == {"shared": {"test-train": 1}, "severity": "MEDIUM"} and rep["severity"] == "HIGH"
+
+
+class TestQuantiles:
+    PLACES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0)
+
+    @pytest.mark.parametrize("rows", [1, 7, 100_000])
+    def test_any_number_of_rows_in_a_task(self, spark, rows):
+        """Ties, a heavy value, nulls and infinite values; with a bound of one row every value is enclosed by counting."""
+        x = [float(k * k % 97) for k in range(400)] + [5.0] * 300 + [1e300, -1e300, float("inf"), float("-inf"), 0.1]
+        df = spark.createDataFrame([(v, None if k % 3 else v / 7) for k, v in enumerate(x)] + [(None, None)], "a double, b double")
+        got = relational.quantiles(df, [F.col("a"), F.col("b")], self.PLACES, rows)
+        finite = lambda values: df.sparkSession.createDataFrame([(v,) for v in values], "v double").select(F.percentile("v", F.array(*map(F.lit, self.PLACES)))).first()[0]
+        for mine, values in zip(got, (x, [v / 7 for k, v in enumerate(x) if k % 3 == 0]), strict=True):
+            assert [str(v) for v in mine] == [str(v) for v in finite(values)]
+
+    def test_without_values(self, spark):
+        df = spark.createDataFrame([(None,), (None,)], "a double")
+        assert relational.quantiles(df, [F.col("a")], [0.5]) == [[None]] == relational.quantiles(df.limit(0), [F.col("a")], [0.5])
+
+
+@pytest.mark.parametrize(("n", "p"), [(1, 1), (5, 2), (6, 3), (7, 7)])
+def test_all_combinations_are_left_out(spark, n, p):
+    from itertools import combinations
+
+    want = list(combinations(range(n), p))
+    assert [tuple(splitting.combination(k, n, p)) for k in range(len(want))] == want
+    got = {}
+    for r in splitting.leave_p_out(spark.range(n), "id", p).collect():
+        got.setdefault(r.split_id, []).append(r.id)
+    assert [tuple(sorted(got[k])) for k in range(len(want))] == want and len(got) == len(want)
+
+
+def test_leave_one_out_has_no_limit(spark):
+    assert splitting.leave_p_out(spark.range(1500), "id").count() == 1500
