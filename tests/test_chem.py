@@ -56,7 +56,7 @@ def test_cleaning(table):
     assert got[2].standardized_smiles == got[0].standardized_smiles
     assert [got[k].standardized_smiles for k in (3, 4, 5)] == [None] * 3 and got[4].standardization_comment.startswith("canonicalize: Failed")
     assert "@" not in got[7].standardized_smiles and got[8].standardized_smiles == S.write(S.parse("CCO")) and got[9].standardized_smiles == "CC"
-    assert {r.k: r.comments_after_salt_removal for r in chem.clean(table, "the smiles", "remove_salts").collect()}[6] == "only salts"
+    assert {r.k: r.smiles_after_salt_removal for r in chem.clean(table, "the smiles", "remove_salts").collect()}[6] == "[Na+]"
     assert chem.comments(chem.clean(table, "the smiles", "validate"), "validation_status").count() == 3
 
 
@@ -70,3 +70,18 @@ def test_tables(table):
     assert chem.summarise(table, "the smiles") == {"n": 10, "n_valid": 7, "n_mixtures": 4, "n_charged": 0}
     with pytest.raises((NotImplementedError, ValueError)):
         chem.filter_by_rule(table, "the smiles", "qed")
+
+
+def test_fixed_salts_and_solvents():
+    assert chem.remove_salts("CCN.[Cl-]") == ("CCN", "Passed") and chem.remove_salts("[Cl-].CC.CCC.O") == ("CCC", "Passed") and chem.remove_salts("CC") == ("CC", "Passed")
+    assert chem.remove_salts("CCO.[Fe+2]")[0] == "[Fe+2]" and chem.remove_salts("F.CC")[0] == "CC"  # iron is no salt's element; one hydrogen
+    assert chem.remove_solvents("OS(=O)(=O)O.OC(=O)c1ccccc1") == ("OC(=O)c1ccccc1", "Pass, removed solvents")
+    assert chem.remove_solvents("CCCCCC.CCN") == ("CCCCCC.CCN", "SMILES string is fragmented, but found no common solvents")
+    assert chem.remove_solvents("CCO.O") == ("CCO.O", "SMILES string is fragmented, but all fragments are common solvents. Kept original SMILES")
+    assert chem.remove_solvents("CCO") == ("CCO", "Pass") == chem.defragment("CCO")
+    assert chem.defragment("CC.CC") == ("CC", "Pass, kept one instance of repeated fragments") and chem.defragment("C.CCC.CC") == ("CCC", "Pass, defragmented to largest component")
+
+
+def test_weights_of_isotopes():
+    assert S.descriptors(S.parse("[13CH3]CO"))["mol_weight"] == pytest.approx(47.0614, abs=1e-4)
+    assert S.descriptors(S.parse("[2H]O[2H]"))["mol_weight"] == pytest.approx(20.0272, abs=1e-4)
