@@ -682,8 +682,8 @@ def _molecules(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", F.element_at(listed, (F.col("c_custkey") % len(MOLECULES) + 1).cast("int")).alias("smiles"))
 
 
-# What is known of those molecules, worked out by hand (weights from standard ones, areas from the published
-# contributions); the SMILES are the kernel's spelling.
+# What is known of those molecules. Descriptors are worked out by hand (weights from standard ones, areas
+# from the published contributions); the SMILES are the kernel's spelling, read from its output and looked over.
 STANDARDIZED = ("C(C)(=O)Oc1c(C(=O)O)cccc1", "Cn1c2c(c(n(C)c1=O)=O)n(C)cn2", "C(c1ccccc1)(=O)O", "c12c(cccc1)[nH]cc2", "C(C(Cc1ccccc1)N)(=O)O", None, "C12CC(CC1)CC2", "C(C)O")
 SCAFFOLDS = ("c1ccccc1", "c12c(nc[nH]1)[nH]c([nH]c2=O)=O", "c1ccccc1", "c12c(cccc1)[nH]cc2", "c1ccccc1", None, "C12CC(CC1)CC2", "")
 DESCRIBED = (
