@@ -193,27 +193,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, head): the smallest node of the component of each node of edges, by alternating large and small stars.
 
     The rounds grow as the logarithm of the longest path; each is two aggregations and joins over the edges that are
-    left, written to the shared folder. Only counts and sums come to the driver."""
+    left, written to the shared folder. They end when every node is the head of its neighbours or has its head alone."""
     pairs = materialise(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-
-    def stamp(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    before = stamp(pairs)
-    while before[0]:
+    while True:
         # Large star: the larger neighbours of each node move to the smallest of its neighbours and itself.
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are written down, so that both sides of a join are exchanges that a hot node's rows can be split in.
-        first = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialise(both.where("v > u").join(first, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        first = materialise(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("down"), F.count_if(F.col("v") > F.col("u")).alias("up")).select("u", F.least("u", "m").alias("m"), "down", "up"))
+        if first.where("down > 1 OR down = 1 AND up > 0").isEmpty():
+            discard(first)
+            break
+        large = materialise(both.where("v > u").join(first.select("u", "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")))  # repeats go with the next distinct
         # Small star: the smaller neighbours of each node, and it, move to the smallest of them.
         least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         old, pairs = pairs, materialise(small)
         discard(old, first, least, large)
-        after = stamp(pairs)
-        if after == before:
-            break
-        before = after
     heads = pairs.select(F.col("u").alias("node"), F.col("v").alias("head"))
     return heads.union(heads.select(F.col("head").alias("node"), "head").distinct())

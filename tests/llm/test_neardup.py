@@ -147,3 +147,15 @@ def test_deduplicate_keeps_one_row_of_each_class(spark, awkward, no_documents):
     assert ids[1] == 1 and ids[2] == 0 and ids[3] == ids[4] == ids[5] == 1
     assert neardup.deduplicate(no_documents).count() == 0
     assert neardup.near_duplicates(no_documents).count() == 0
+
+
+@pytest.mark.parametrize(("nodes", "edges"), [(30, 20), (100, 300), (50, 0)])
+def test_components_of_random_graphs(spark, nodes, edges):
+    draw = random.Random(nodes)
+    pairs = [(a, b) for a, b in ((draw.randrange(nodes), draw.randrange(nodes)) for _ in range(edges)) if a != b]
+    wanted = {x: x for pair in pairs for x in pair}
+    for _ in wanted:
+        for a, b in pairs:
+            wanted[a] = wanted[b] = min(wanted[a], wanted[b])
+    got = [tuple(r) for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()]
+    assert len(got) == len(wanted) and dict(got) == wanted
