@@ -44,6 +44,8 @@ CELL_TEXTS = 128
 CENTRES = 32
 #: Counters of shingles by hash that order them by rarity: 4 MB.
 _COUNTERS = 1 << 20
+#: Bits of the parity map of a bag, in longs.
+_MAP = 16
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xA0761D6478BD642F)
 _SECOND = np.uint64(0xE7037ED1A0B428DB)
@@ -148,6 +150,13 @@ def elements(text: bytes, width: int) -> np.ndarray:
     return np.sort(np.concatenate(parts))
 
 
+def parities(values: np.ndarray) -> np.ndarray:
+    """_MAP longs: for each hash value of that many bits, whether an odd number of elements has it. Two maps differ in
+    at most as many bits as elements stand in one bag only."""
+    found = np.bincount((mixed(values) % np.uint64(64 * _MAP)).astype(np.int64), minlength=64 * _MAP) & 1
+    return np.packbits(found.astype(np.uint8)).view(np.int64)
+
+
 class Cell:
     """Texts held together, to be compared with centres."""
 
@@ -241,7 +250,8 @@ def _prefix_links(texts: DataFrame, pending: DataFrame, label: DataFrame, width:
 
     texts: group, digest, text; pending: digest; label: group, digest, head. Shingles are ordered by a counter of their
     hash, so nearly by rarity, and any order gives whole results. Of two such texts the smaller one's first shingles,
-    as many as it may miss of the union's half, hold one of the larger one's first shingles."""
+    as many as it may miss of the union's half, hold one of the larger one's first shingles. Pairs that meet so are held
+    to a second exact bound, by the parity maps of their bags."""
     groups = label.join(pending, "digest", "left_semi").select("group").distinct()
     held = texts.join(groups, "group", "left_semi").join(pending.select("digest", F.lit(True).alias("open")), "digest", "left")
     held = materialise(held.join(label.select("digest", "head"), "digest").select("digest", "head", F.coalesce("open", F.lit(False)).alias("open"), "text"))
@@ -276,17 +286,22 @@ def _prefix_links(texts: DataFrame, pending: DataFrame, label: DataFrame, width:
                 keep = n - int(np.ceil(similarity * n - 1e-9)) + 1
                 order = np.lexsort((values, shared.value[(values % np.uint64(_COUNTERS)).astype(np.int64)]))[:keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[order].view(np.int64)), pa.array(np.arange(keep), pa.int32()), pa.array([n] * keep, pa.int32()), pa.array([digest] * keep, pa.binary()), pa.array([head] * keep, pa.binary()), pa.array([open_] * keep, pa.bool_())],
-                    names=["token", "at", "n", "digest", "head", "open"],
+                    [pa.array(values[order].view(np.int64)), pa.array(np.arange(keep), pa.int32()), pa.array([n] * keep, pa.int32()), pa.array([digest] * keep, pa.binary()), pa.array([head] * keep, pa.binary()), pa.array([open_] * keep, pa.bool_()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, _MAP * keep + 1, _MAP), pa.int32()), pa.array(np.tile(parities(values), keep)))],
+                    names=["token", "at", "n", "digest", "head", "open", "map"],
                 )
 
-    tokens = materialise(held.mapInArrow(prefix, "token long, at int, n int, digest binary, head binary, open boolean"))
+    tokens = materialise(held.mapInArrow(prefix, "token long, at int, n int, digest binary, head binary, open boolean, map array<long>"))
     half = 2 * similarity / (1 + similarity)
     smaller = tokens.where(F.col("at") <= F.col("n") - F.ceil(half * F.col("n") - 1e-9)).select(*[F.col(c).alias(f"{c}_a") if c != "token" else F.col(c) for c in tokens.columns])
     both = (half / 2) * (F.col("n_a") + F.col("n"))
     fits = (F.struct("n_a", "digest_a") < F.struct("n", "digest")) & (F.col("open_a") | F.col("open")) & (F.col("head_a") != F.col("head")) & (F.col("n_a") >= similarity * F.col("n") - 1e-9)
     meets = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= both - 1e-9
-    pairs = materialise(smaller.join(tokens, "token").where(fits & meets).select(F.col("digest_a").alias("a"), F.col("digest").alias("b")).distinct())
+    # What the parity maps show to stand in one bag only bounds what is common: no link is lost, and texts that share a
+    # template but too little else mostly end here.
+    apart = F.aggregate(F.zip_with("map_a", "map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    alike = (F.col("n_a") + F.col("n") - apart) / 2 >= both - 1e-9
+    pairs = materialise(smaller.join(tokens, "token").where(fits & meets & alike).select(F.col("digest_a").alias("a"), F.col("digest").alias("b")).distinct())
     sides = pairs.join(held.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
 
     @thrifty
