@@ -46,6 +46,8 @@ CENTRES = 32
 _COUNTERS = 1 << 20
 #: Bits of the parity map of a bag, in longs.
 _MAP = 16
+#: Rarest shingles that a row of a prefix has beside it.
+_LEAD = 32
 _BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xA0761D6478BD642F)
 _SECOND = np.uint64(0xE7037ED1A0B428DB)
@@ -287,11 +289,12 @@ def _prefix_links(texts: DataFrame, pending: DataFrame, label: DataFrame, width:
                 order = np.lexsort((values, shared.value[(values % np.uint64(_COUNTERS)).astype(np.int64)]))[:keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(values[order].view(np.int64)), pa.array(np.arange(keep), pa.int32()), pa.array([n] * keep, pa.int32()), pa.array([digest] * keep, pa.binary()), pa.array([head] * keep, pa.binary()), pa.array([open_] * keep, pa.bool_()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, _MAP * keep + 1, _MAP), pa.int32()), pa.array(np.tile(parities(values), keep)))],
-                    names=["token", "at", "n", "digest", "head", "open", "map"],
+                     pa.ListArray.from_arrays(pa.array(np.arange(0, _MAP * keep + 1, _MAP), pa.int32()), pa.array(np.tile(parities(values), keep))),
+                     pa.ListArray.from_arrays(pa.array(np.arange(keep + 1) * min(keep, _LEAD), pa.int32()), pa.array(np.tile(values[order[:_LEAD]].view(np.int64), keep)))],
+                    names=["token", "at", "n", "digest", "head", "open", "map", "lead"],
                 )
 
-    tokens = materialise(held.mapInArrow(prefix, "token long, at int, n int, digest binary, head binary, open boolean, map array<long>"))
+    tokens = materialise(held.mapInArrow(prefix, "token long, at int, n int, digest binary, head binary, open boolean, map array<long>, lead array<long>"))
     half = 2 * similarity / (1 + similarity)
     smaller = tokens.where(F.col("at") <= F.col("n") - F.ceil(half * F.col("n") - 1e-9)).select(*[F.col(c).alias(f"{c}_a") if c != "token" else F.col(c) for c in tokens.columns])
     both = (half / 2) * (F.col("n_a") + F.col("n"))
@@ -301,7 +304,10 @@ def _prefix_links(texts: DataFrame, pending: DataFrame, label: DataFrame, width:
     # template but too little else mostly end here.
     apart = F.aggregate(F.zip_with("map_a", "map", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
     alike = (F.col("n_a") + F.col("n") - apart) / 2 >= both - 1e-9
-    pairs = materialise(smaller.join(tokens, "token").where(fits & meets & alike).select(F.col("digest_a").alias("a"), F.col("digest").alias("b")).distinct())
+    # A pair that met before, at a rarer shingle, passed these bounds there, too: of _LEAD shingles each, it is put out
+    # at the first, and what meets later more than once goes with the distinct.
+    before = F.arrays_overlap(F.slice("lead_a", F.lit(1), F.col("at_a")), F.slice("lead", F.lit(1), F.col("at")))
+    pairs = materialise(smaller.join(tokens, "token").where(fits & meets & alike & ~before).select(F.col("digest_a").alias("a"), F.col("digest").alias("b")).distinct())
     sides = pairs.join(held.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
 
     @thrifty
