@@ -286,15 +286,19 @@ def _prefix_links(texts: DataFrame, pending: DataFrame, label: DataFrame, width:
                 values = elements(text, width)
                 n = len(values)
                 keep = n - int(np.ceil(similarity * n - 1e-9)) + 1
-                order = np.lexsort((values, shared.value[(values % np.uint64(_COUNTERS)).astype(np.int64)]))[:keep]
+                counted = shared.value[(values % np.uint64(_COUNTERS)).astype(np.int64)]
+                order = np.lexsort((values, counted))[:keep]
+                at = np.flatnonzero(counted[order] > 1)  # what is counted once stands in no other text
+                order, m = order[at], len(at)
+                lead = values[order[:_LEAD]].view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(values[order].view(np.int64)), pa.array(np.arange(keep), pa.int32()), pa.array([n] * keep, pa.int32()), pa.array([digest] * keep, pa.binary()), pa.array([head] * keep, pa.binary()), pa.array([open_] * keep, pa.bool_()),
-                     pa.ListArray.from_arrays(pa.array(np.arange(0, _MAP * keep + 1, _MAP), pa.int32()), pa.array(np.tile(parities(values), keep))),
-                     pa.ListArray.from_arrays(pa.array(np.arange(keep + 1) * min(keep, _LEAD), pa.int32()), pa.array(np.tile(values[order[:_LEAD]].view(np.int64), keep)))],
-                    names=["token", "at", "n", "digest", "head", "open", "map", "lead"],
+                    [pa.array(values[order].view(np.int64)), pa.array(at, pa.int32()), pa.array(np.arange(m), pa.int32()), pa.array([n] * m, pa.int32()), pa.array([digest] * m, pa.binary()), pa.array([head] * m, pa.binary()), pa.array([open_] * m, pa.bool_()),
+                     pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * _MAP, pa.int32()), pa.array(np.tile(parities(values), m))),
+                     pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * len(lead), pa.int32()), pa.array(np.tile(lead, m)))],
+                    names=["token", "at", "k", "n", "digest", "head", "open", "map", "lead"],
                 )
 
-    tokens = materialise(held.mapInArrow(prefix, "token long, at int, n int, digest binary, head binary, open boolean, map array<long>, lead array<long>"))
+    tokens = materialise(held.mapInArrow(prefix, "token long, at int, k int, n int, digest binary, head binary, open boolean, map array<long>, lead array<long>"))
     half = 2 * similarity / (1 + similarity)
     smaller = tokens.where(F.col("at") <= F.col("n") - F.ceil(half * F.col("n") - 1e-9)).select(*[F.col(c).alias(f"{c}_a") if c != "token" else F.col(c) for c in tokens.columns])
     both = (half / 2) * (F.col("n_a") + F.col("n"))
@@ -306,7 +310,7 @@ def _prefix_links(texts: DataFrame, pending: DataFrame, label: DataFrame, width:
     alike = (F.col("n_a") + F.col("n") - apart) / 2 >= both - 1e-9
     # A pair that met before, at a rarer shingle, passed these bounds there, too: of _LEAD shingles each, it is put out
     # at the first, and what meets later more than once goes with the distinct.
-    before = F.arrays_overlap(F.slice("lead_a", F.lit(1), F.col("at_a")), F.slice("lead", F.lit(1), F.col("at")))
+    before = F.arrays_overlap(F.slice("lead_a", F.lit(1), F.col("k_a")), F.slice("lead", F.lit(1), F.col("k")))
     pairs = materialise(smaller.join(tokens, "token").where(fits & meets & alike & ~before).select(F.col("digest_a").alias("a"), F.col("digest").alias("b")).distinct())
     sides = pairs.join(held.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
 
