@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat, decontam, html, langid, neardup, pii, quality, sentencepiece, substrings, topk
+from . import chat, decontam, html, langid, merkle, neardup, pii, quality, sentencepiece, substrings, topk
 
 #: Public tokenizer files; a parameter of the operators.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -58,6 +58,10 @@ def op10_lineblock_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.build(table(spark, sf_dir, "documents"), claim=merkle.tampered()).audit()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_tool_call_chats,
         op9_prefix_decontamination,
         op10_lineblock_html,
+        op11_merkle_manifest,
     )
 }
 
@@ -109,4 +114,30 @@ ORACLE_SQL: dict[str, str] = {
         sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
     """,
+    "op11_merkle_manifest": """
+    WITH RECURSIVE d AS MATERIALIZED (SELECT *, row_number() OVER () AS r FROM documents),
+    fields AS (SELECT r, doc_id, source, [doc_id::VARCHAR, source, lang, n_chars::VARCHAR] AS f, text, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower FROM d),
+    hashed AS (SELECT r, doc_id, source, list_transform([text, lower], lambda t: sha256(list_aggregate(list_transform(list_append(f, t), lambda x: CASE WHEN x IS NULL THEN '-' ELSE strlen(x) || ':' || x END), 'string_agg', ''))) AS h,
+        list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: CASE WHEN c = '' THEN []::BIGINT[] ELSE list_concat([ord(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]) END))),
+            lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) WHEN s & 1 = 1 THEN xor(s >> 1, 3988292384::BIGINT) ELSE s >> 1 END) AS crc FROM fields),
+    leaves AS MATERIALIZED (SELECT r, doc_id, source, h[1] AS leaf, CASE WHEN xor(crc, 4294967295::BIGINT) % 5 = 0 THEN h[2] ELSE h[1] END AS claim, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+        row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h[1], r) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM hashed),
+    trees AS (SELECT tree, n, 0 AS level, i, leaf AS h FROM leaves UNION ALL
+        SELECT tree, ceil(n / 16)::BIGINT, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM trees WHERE n > 1 GROUP BY tree, n, level, i // 16),
+    low AS MATERIALIZED (SELECT * FROM trees),
+    subroots AS MATERIALIZED (SELECT tree, h FROM low WHERE n = 1),
+    tops AS (SELECT (SELECT count(*) FROM subroots) AS n, 0 AS level, tree AS i, h FROM subroots UNION ALL
+        SELECT ceil(n / 16)::BIGINT, level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY n, level, i // 16),
+    high AS MATERIALIZED (SELECT * FROM tops),
+    nodes AS MATERIALIZED (SELECT tree, level, i // 16 AS run, i, h FROM low WHERE n > 1 UNION ALL SELECT -1, level, i // 16, i, h FROM high WHERE n > 1),
+    steps AS (SELECT x.tree, x.level, x.i, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i < x.i), '') AS a, coalesce(string_agg(y.h, '' ORDER BY y.i) FILTER (y.i > x.i), '') AS b
+        FROM nodes x JOIN nodes y ON x.tree = y.tree AND x.level = y.level AND x.run = y.run GROUP BY x.tree, x.level, x.i),
+    own AS (SELECT l.r, s.level, s.a, s.b FROM leaves l JOIN steps s ON s.tree = l.tree AND s.i = l.i // (16 ** s.level)::BIGINT),
+    up AS (SELECT l.r, 1000 + s.level AS level, s.a, s.b FROM leaves l JOIN steps s ON s.tree = -1 AND s.i = l.tree // (16 ** s.level)::BIGINT),
+    paths AS (SELECT r, string_agg(a || b, '' ORDER BY level) AS proof, list({'a': a, 'b': b} ORDER BY level) AS p FROM (SELECT * FROM own UNION ALL SELECT * FROM up) GROUP BY r),
+    folds AS (SELECT r, claim AS h, 1 AS k FROM leaves UNION ALL SELECT f.r, sha256(p[k].a || h || p[k].b), k + 1 FROM folds f JOIN paths USING (r) WHERE k <= len(p)),
+    folded AS (SELECT r, arg_max(h, k) AS folded_root FROM folds GROUP BY r)
+    SELECT doc_id, leaf, subroots.h AS subroot, high.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = high.h AS verified
+    FROM leaves JOIN subroots USING (tree) JOIN high ON high.n = 1 JOIN folded USING (r) LEFT JOIN paths USING (r)
+    """,
 }
