@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat, decontam, html, langid, merkle, neardup, pii, quality, sentencepiece, substrings, topk
+from . import chat, decontam, html, langid, licences, merkle, neardup, pii, quality, sentencepiece, substrings, topk
 
 #: Public tokenizer files; a parameter of the operators.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -62,6 +62,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.build(table(spark, sf_dir, "documents"), claim=merkle.tampered()).audit()
 
 
+def op12_fuzzy_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_prefix_decontamination,
         op10_lineblock_html,
         op11_merkle_manifest,
+        op12_fuzzy_licences,
     )
 }
 
