@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import chat, decontam, html, langid, licences, merkle, neardup, pii, quality, sentencepiece, substrings, topk
+from . import chat, collocations, decontam, html, langid, licences, merkle, neardup, pii, quality, sentencepiece, substrings, topk
 
 #: Public tokenizer files; a parameter of the operators.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -66,6 +66,10 @@ def op12_fuzzy_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_packed_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_lineblock_html,
         op11_merkle_manifest,
         op12_fuzzy_licences,
+        op13_packed_collocations,
     )
 }
 
@@ -145,4 +150,21 @@ ORACLE_SQL: dict[str, str] = {
     SELECT doc_id, leaf, subroots.h AS subroot, high.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = high.h AS verified
     FROM leaves JOIN subroots USING (tree) JOIN high ON high.n = 1 JOIN folded USING (r) LEFT JOIN paths USING (r)
     """,
+    "op13_packed_collocations": r"""
+    WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    pieces AS (SELECT row_number() OVER () AS p, lang, piece FROM (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+    lists AS MATERIALIZED (SELECT p, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang),
+    grams AS (SELECT lang, w[i:i + k - 1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM lists, range(1, 5) t(k) WHERE len(w) >= k)),
+    f AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+    c AS MATERIALIZED (SELECT lang, g, f AS a FROM f WHERE len(g) > 1),
+    cuts AS (SELECT lang, g, a, unnest(range(1, len(g))) AS k FROM c),
+    scores AS (SELECT cuts.lang, cuts.g, a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * a) // (x.f + y.f))::BIGINT AS score FROM cuts
+        JOIN f x ON x.lang = cuts.lang AND x.g = cuts.g[1:k] JOIN f y ON y.lang = cuts.lang AND y.g = cuts.g[k + 1:len(cuts.g)]),
+    best AS (SELECT lang, g, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS o FROM scores) WHERE o = 1),
+    inside AS (SELECT lang, g[i:i + m - 1] AS g, a FROM (SELECT lang, g, a, m, unnest(range(1, len(g) - m + 2)) AS i FROM c, range(2, 4) t(m) WHERE len(g) > m)),
+    longer AS (SELECT lang, g, max(a) AS b FROM inside GROUP BY lang, g),
+    ranked AS (SELECT best.*, array_to_string(best.g, ' ') AS phrase FROM best LEFT JOIN longer USING (lang, g) WHERE b IS NULL OR 100::HUGEINT * b < 80::HUGEINT * a)
+    SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM ranked) JOIN totals USING (lang) WHERE rank <= 2000
+    """,
 }
