@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import simjoin
 from .relational import need, quoted
 
 BLOCK = 2048
@@ -109,7 +110,11 @@ def _meet(metric: str, emit: Callable[[np.ndarray, np.ndarray, np.ndarray, bool]
 
 
 def all_pairs(df: DataFrame, key: str, vector: str, metric: str = "tanimoto", at_least: float | None = None, size: int = BLOCK) -> DataFrame:
-    """(i, j, sim) with i < j, of all pairs or those of at least a similarity. Keys must be unique integers."""
+    """(i, j, sim) with i < j, of all pairs or those of at least a similarity. Keys must be unique integers. With a
+    Tanimoto similarity to reach, only vectors that can reach it meet (simjoin)."""
+    if metric == "tanimoto" and at_least is not None and 0 < at_least <= 1:
+        one, members = simjoin.classes(_side(df, key, vector))
+        return simjoin.expanded(simjoin.pairs(one, at_least, size), one, members)
 
     def emit(ids: np.ndarray, others: np.ndarray, s: np.ndarray, same: bool) -> pa.Table:
         keep = np.ones(s.shape, bool) if at_least is None else s >= at_least
@@ -121,6 +126,28 @@ def all_pairs(df: DataFrame, key: str, vector: str, metric: str = "tanimoto", at
     return _symmetric(df, key, vector, size).groupBy("lo", "hi").applyInArrow(_meet(metric, emit), "i long, j long, sim double")
 
 
+def linked(df: DataFrame, key: str, vector: str, metric: str, at_least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is at least so similar, by classes of equal vectors: (i, j, sim) with i < j of classes, (id, copies) of the
+    classes by their smallest key, and (id, rep) of all rows. Copies are never expanded into pairs, and what is told
+    of a class holds for each of its rows. Other metrics than Tanimoto have a class for each row."""
+    side = _side(df, key, vector)
+    if metric == "tanimoto" and 0 < at_least <= 1:
+        one, members = simjoin.classes(side)
+        return simjoin.pairs(one, at_least), one.select("id", "copies"), members
+    return all_pairs(df, key, vector, metric, at_least), side.select("id", F.lit(1).cast("long").alias("copies")), side.select("id", F.col("id").alias("rep"))
+
+
+def join_report(df: DataFrame, key: str, vector: str, at_least: float, size: int = BLOCK) -> DataFrame:
+    """(n_rows, n_classes, by_bits, n_cells, n_candidates, n_all_pairs, n_pairs): one row on the work of the threshold
+    join: how many comparisons its cells make, how many all pairs of classes would be, and how many classes match."""
+    side = _side(df, key, vector)
+    one, _ = simjoin.classes(side)
+    how = simjoin.plan(one, at_least, size)
+    counts = simjoin.pairs(one, at_least, size, how).agg(F.count("*").alias("n_pairs"))
+    told = side.agg(F.count("*").alias("n_rows"), F.lit(one.count()).alias("n_classes"), F.lit(how.by_bits).alias("by_bits"), F.lit(len(how.cells)).alias("n_cells"), F.lit(how.candidates).alias("n_candidates"), F.lit(how.all_pairs).alias("n_all_pairs"))
+    return told.crossJoin(counts)  # one row each
+
+
 def pair_summary(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("n_pairs"), F.avg("sim").alias("mean"), F.median("sim").alias("median"), F.min("sim").alias("min"), F.max("sim").alias("max"))
 
@@ -191,15 +218,30 @@ def fold_difference(a: Column, b: Column) -> Column:
 def activity_cliffs(df: DataFrame, key: str, vector: str, activity: str, metric: str = "tanimoto", similar: float = 0.8, fold: float = 10.0) -> DataFrame:
     """df with is_activity_cliff_molecule (yes, no), n_activity_cliff_partners and strongest_cliff_partner: partners
     are more similar than `similar` and more than `fold` times as active or less; the strongest has the largest fold,
-    ties to the smaller key."""
+    ties to the smaller key.
+
+    Classes of equal vectors meet as the different activities of their rows, each with its number of rows and smallest
+    key; copies are not expanded. Of rows without activity (a fold of zero by zero is infinite, too) one is not its own
+    partner, so those of a class are told the two smallest keys."""
     need(df, [activity])
     values = df.select(quoted(key).cast("long").alias("k"), quoted(activity).cast("double").alias("y")).where("y is not null and not isnan(y)")
-    close = all_pairs(df, key, vector, metric, at_least=similar).where(F.col("sim") > similar)
-    both = close.join(values.select(F.col("k").alias("i"), F.col("y").alias("yi")), "i").join(values.select(F.col("k").alias("j"), F.col("y").alias("yj")), "j")
-    cliffs = both.withColumn("f", fold_difference(F.col("yi"), F.col("yj"))).where(F.col("f") > fold)
-    each = cliffs.select("i", "j", "f").unionByName(cliffs.select(F.col("j").alias("i"), F.col("i").alias("j"), "f"))
-    found = each.groupBy("i").agg(F.count("*").alias("_n"), F.min(F.struct((-F.col("f")).alias("f"), "j")).alias("_s"))
-    out = df.join(found, quoted(key).cast("long") == F.col("i"), "left")
+    close, nodes, members = linked(df, key, vector, metric, similar)
+    close = close.where(F.col("sim") > similar)
+    rows = members.join(values, F.col("id") == F.col("k")).select("id", "rep", (F.col("y") + 0.0).alias("y"))
+    levels = rows.groupBy("rep", "y").agg(F.count("*").alias("n"), F.min("id").alias("k"))
+    links = close.select(F.col("i").alias("rep"), F.col("j").alias("other")).unionByName(close.select(F.col("j").alias("rep"), F.col("i").alias("other")))
+    if similar < 1:
+        links = links.unionByName(nodes.where("copies > 1").select(F.col("id").alias("rep"), F.col("id").alias("other")))
+    others = levels.select(F.col("rep").alias("other"), F.col("y").alias("yo"), "n", F.col("k").alias("ko"))
+    met = levels.select("rep", "y").join(links, "rep").join(others, "other").withColumn("f", fold_difference(F.col("y"), F.col("yo"))).where(F.col("f") > fold)
+    own = (F.col("rep") == F.col("other")) & (F.col("y") == 0) & (F.col("yo") == 0)
+    each = met.where(~own).groupBy("rep", "y").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("f")).alias("f"), F.col("ko").alias("j"))).alias("s"))
+    zeros = met.where(own).select("rep", "y", (F.col("n") - 1).alias("more"), F.col("ko").alias("first")).where("more > 0")
+    second = rows.where("y = 0").join(zeros, ["rep", "y"]).where(F.col("id") != F.col("first")).groupBy("rep", "y").agg(F.min("id").alias("second"))
+    told = rows.join(each, ["rep", "y"], "left").join(zeros.join(second, ["rep", "y"]), ["rep", "y"], "left")
+    among = F.when(F.col("first").isNotNull(), F.struct(F.lit(-math.inf).alias("f"), F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("j")))
+    found = told.select("id", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("_n"), F.least("s", among).alias("_s")).where("_n > 0")
+    out = df.join(found, quoted(key).cast("long") == F.col("id"), "left")
     return out.select(*[quoted(c) for c in df.columns], F.when(F.col("_n") > 0, "yes").otherwise("no").alias("is_activity_cliff_molecule"), F.coalesce("_n", F.lit(0)).alias("n_activity_cliff_partners"), F.col("_s.j").alias("strongest_cliff_partner"))
 
 
