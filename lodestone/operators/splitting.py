@@ -1,20 +1,23 @@
 """Train, test and validation splits, and cross-validation folds, as a column.
 
 Random orders are the orders of md5(seed|key), so a split is the same on any cluster and expressible in SQL. Exact
-sizes come from row numbers over a range partitioning; whole groups are dealt greedily on the driver, which sees a
-row for each group.
+sizes come from row numbers over a range partitioning. Whole groups are dealt largest first; which split gets the
+r-th of the groups of one size follows from r, so the driver only sees how many groups there are of each size: of n
+rows, fewer than the root of 2 n sizes differ.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialise
 from .relational import need, numbered, quantiles, quoted, running_sums
 
 
@@ -70,27 +73,66 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], seed: int, t
     return ranked.withColumn("split", split).drop("_stratum", "_rank", "_size")
 
 
-def deal_groups(sizes: list[tuple[str, int]], ratios: dict[str, float]) -> dict[str, str]:
-    """Groups, largest first (ties by name), each to the split that is furthest below its ratio."""
-    total, filled, out = sum(n for _, n in sizes), dict.fromkeys(ratios, 0), {}
-    for name, n in sorted(sizes, key=lambda g: (-g[1], g[0])):
-        split = max(ratios, key=lambda s: (ratios[s] - filled[s] / total, -list(ratios).index(s)))
-        out[name] = split
-        filled[split] += n
+def deal_runs(runs: Sequence[tuple[int, int]], need: Sequence[int], scale: int) -> list[tuple[int, int, list[int]]]:
+    """Deals groups one by one, each to the side that needs most (ties to the first side) and needs size * scale less
+    then. runs: (size, groups of that size), in the order of dealing. Out comes (size, first rank, sides in turn): groups
+    of that size from that rank on, up to the next entry's, go to these sides by turns.
+
+    Within a run every side loses the same with each group, so the sides that are within one step of the neediest take
+    turns, until they have come down to the next one: whole rounds are jumped over."""
+    need, out = list(need), []
+    for size, count in runs:
+        step, rank = size * scale, 0
+        while rank < count:
+            order = sorted(range(len(need)), key=lambda k: (-need[k], k))
+            turn = [k for k in order if need[k] > need[order[0]] - step]
+            rest = order[len(turn) :]
+            # Rounds in which the last of the turn still needs more than the first of the rest.
+            rounds = -(-(need[turn[-1]] - need[rest[0]]) // step) if rest else count
+            rounds = min(rounds, (count - rank) // len(turn))
+            if rounds > 0:
+                out.append((size, rank, turn))
+                rank += rounds * len(turn)
+                for k in turn:
+                    need[k] -= rounds * step
+            else:
+                out.append((size, rank, order[:1]))
+                rank += 1
+                need[order[0]] -= step
     return out
 
 
+def _dealt(sizes: DataFrame, need: Callable[[int], list[int]], scale: int) -> DataFrame:
+    """(_g, _side) of groups (_g, n), largest first, ties by name."""
+    runs = sorted(((r.n, r.groups) for r in sizes.groupBy("n").agg(F.count("*").alias("groups")).collect()), reverse=True)
+    segments: dict[int, list[tuple[int, list[int]]]] = {}
+    for size, rank, turn in deal_runs(runs, need(sum(n * c for n, c in runs)), scale):
+        segments.setdefault(size, []).append((rank, turn))
+    starts, at = [], 0
+    for size, count in runs:
+        starts.append((size, at, segments[size]))
+        at += count
+    plan = sizes.sparkSession.createDataFrame(starts, "n long, start long, segments array<struct<rank: long, turn: array<int>>>")
+    ranked = numbered(sizes, [F.desc("n"), "_g"], "_at").join(plan, "n").withColumn("_rank", F.col("_at") - F.col("start"))
+    mine = F.element_at(F.filter("segments", lambda s: s["rank"] <= F.col("_rank")), -1)
+    return ranked.withColumn("_s", mine).select("_g", F.get("_s.turn", ((F.col("_rank") - F.col("_s.rank")) % F.size("_s.turn")).cast("int")).alias("_side"))
+
+
 def group_split(df: DataFrame, group: str, seed: int = 0, train: float = 0.8, test: float = 0.2, val: float = 0.0, method: str = "balanced", missing: str = "train") -> DataFrame:
-    """df with split, no group in two of them. balanced: deal_groups; random: groups by hash, filling train, then test,
-    then validation, each up to its share and with the group that crosses it. Rows without a group go to train, or by
+    """df with split, no group in two of them. balanced: groups, largest first (ties by name), each to the split that is
+    furthest below its share, in exact arithmetic; random: groups by hash, filling train, then test, then validation,
+    each up to its share and with the group that crosses it. Rows without a group go to train, or by
     hash of the row (missing='random')."""
     _check(train, test, val)
     need(df, [group])
     ratios = {k: v for k, v in (("train", train), ("test", test), ("val", val)) if v > 0}
     name = quoted(group).cast("string")
     if method == "balanced":
-        sizes = [(r.g, r.n) for r in df.where(name.isNotNull()).groupBy(name.alias("g")).agg(F.count("*").alias("n")).collect()]
-        dealt = df.sparkSession.createDataFrame(list(deal_groups(sizes, ratios).items()), "_g string, split string")
+        shares = [Fraction(str(v)) for v in ratios.values()]
+        scale = math.lcm(*[x.denominator for x in shares])
+        sizes = materialise(df.where(name.isNotNull()).groupBy(name.alias("_g")).agg(F.count("*").alias("n")))
+        sides = _dealt(sizes, lambda total: [int(x * scale) * total for x in shares], scale)
+        dealt = sides.select("_g", F.get(F.array(*map(F.lit, ratios)), "_side").alias("split"))
     elif method == "random":
         sizes = df.where(name.isNotNull()).groupBy(name.alias("_g")).agg(F.count("*").alias("n")).withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "_g")))
         before = running_sums(sizes, "_h", ["n"]).withColumn("before", F.col("n_upto") - F.col("n"))
@@ -126,17 +168,14 @@ def stratified_kfold(df: DataFrame, label: str, key: Sequence[str], k: int, seed
 
 
 def group_kfold(df: DataFrame, group: str, k: int) -> DataFrame:
-    """df with fold, no group in two: the largest group goes to the lightest fold. Rows without a group are one."""
+    """df with fold, no group in two: the largest group goes to the lightest fold (ties to the first). Rows without a
+    group are one."""
     name = F.coalesce(quoted(group).cast("string"), F.lit(""))
-    sizes = sorted(((r.g, r.n) for r in df.groupBy(name.alias("g")).agg(F.count("*").alias("n")).collect()), key=lambda g: (-g[1], g[0]))
-    if len(sizes) < k:
-        raise ValueError(f"{k} folds of {len(sizes)} groups")
-    load, rows = [0] * k, []
-    for g, n in sizes:
-        f = load.index(min(load))
-        load[f] += n
-        rows.append((g, f))
-    dealt = df.sparkSession.createDataFrame(rows, "_g string, fold int")
+    sizes = materialise(df.groupBy(name.alias("_g")).agg(F.count("*").alias("n")))
+    groups = sizes.count()
+    if groups < k:
+        raise ValueError(f"{k} folds of {groups} groups")
+    dealt = _dealt(sizes, lambda _: [0] * k, 1).withColumnRenamed("_side", "fold")
     return df.drop("fold").join(dealt, name == F.col("_g")).drop("_g")
 
 

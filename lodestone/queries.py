@@ -461,7 +461,15 @@ def cluster_dbscan(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.dbscan(_vectors(spark, sf), "vec_id", "v", eps=0.6, metric="cosine").drop("v")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_B}, e AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE {_SIM['tanimoto'][1]} >= 1 - 0.6 - 1e-12),
+    s AS (SELECT 0::BIGINT AS step, true AS link, i, j FROM e UNION ALL
+        (WITH cur AS MATERIALIZED (SELECT * FROM s WHERE link), best AS MATERIALIZED (SELECT i AS c FROM cur GROUP BY i ORDER BY count(*) DESC, i LIMIT 1),
+            taken AS MATERIALIZED (SELECT c AS x FROM best UNION ALL SELECT j FROM cur JOIN best ON i = c)
+         SELECT step + 1, true, i, j FROM cur WHERE i NOT IN (SELECT x FROM taken) AND j NOT IN (SELECT x FROM taken)
+         UNION ALL SELECT (SELECT max(step) FROM cur) + 1, false, x, c FROM taken, best)),
+    t AS (SELECT step, i AS vec_id FROM s WHERE NOT link), m AS (SELECT coalesce(max(step), 0) AS m FROM t),
+    alone AS (SELECT m + row_number() OVER (ORDER BY vec_id) AS step, vec_id FROM v, m WHERE vec_id NOT IN (SELECT vec_id FROM t))
+    SELECT vec_id, (step - 1)::INT AS cluster FROM (SELECT * FROM t UNION ALL SELECT * FROM alone)""")
 def cluster_butina(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.butina(_vectors(spark, sf, True), "vec_id", "v", 0.6).drop("v")
 
@@ -501,7 +509,11 @@ def split_stratified(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.stratified_split(table(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"], 3)
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT source, count(*)::BIGINT AS n, row_number() OVER (ORDER BY count(*) DESC, source) AS k FROM documents WHERE source IS NOT NULL GROUP BY source), t AS (SELECT sum(n)::BIGINT AS t FROM g),
+    d AS (SELECT 0::BIGINT AS k, 7 * t AS a, 2 * t AS b, t AS c, '' AS split FROM t UNION ALL
+        SELECT k, a - CASE split WHEN 'train' THEN 10 * n ELSE 0 END, b - CASE split WHEN 'test' THEN 10 * n ELSE 0 END, c - CASE split WHEN 'val' THEN 10 * n ELSE 0 END, split
+        FROM (SELECT g.k, g.n, a, b, c, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'test' ELSE 'val' END AS split FROM d JOIN g ON g.k = d.k + 1))
+    SELECT doc_id, documents.source, coalesce(split, 'train') AS split FROM documents LEFT JOIN (SELECT source, split FROM g JOIN d USING (k)) x ON documents.source = x.source""")
 def split_group_balanced(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.group_split(table(spark, sf, "documents").select("doc_id", "source"), "source", train=0.7, test=0.2, val=0.1)
 
@@ -522,7 +534,10 @@ def cv_stratified_assign(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.stratified_kfold(table(spark, sf, "labels").select("doc_id", "quality"), "quality", ["doc_id"], 5, 1)
 
 
-@query()
+@query("""WITH RECURSIVE g AS (SELECT coalesce(source, '') AS g, count(*)::BIGINT AS n, row_number() OVER (ORDER BY count(*) DESC, coalesce(source, '')) AS k FROM documents GROUP BY 1),
+    d AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, 0 AS fold UNION ALL
+        SELECT k, list_transform(load, lambda x, i: CASE WHEN i = fold + 1 THEN x + n ELSE x END), fold FROM (SELECT g.k, n, load, (list_position(load, list_min(load)) - 1)::INT AS fold FROM d JOIN g ON g.k = d.k + 1))
+    SELECT doc_id, source, fold FROM documents JOIN g ON coalesce(source, '') = g.g JOIN d USING (k)""")
 def cv_group_assign(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.group_kfold(table(spark, sf, "documents").select("doc_id", "source"), "source", 5)
 

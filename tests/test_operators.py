@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -290,6 +291,28 @@ class TestSplitting:
         f = splitting.group_kfold(rows, "g", 3)
         assert f.count() == 103 and f.select("g", "fold").distinct().count() == 7
 
+    def test_runs_of_equal_groups_are_dealt_as_one_by_one(self):
+        for seed in range(300):
+            rng = random.Random(seed)
+            runs = [(n, rng.randrange(1, 40)) for n in sorted(rng.sample(range(1, 30), rng.randrange(1, 6)), reverse=True)]
+            start, scale = [rng.randrange(500) for _ in range(rng.randrange(1, 6))], rng.choice([1, 10])
+            need, segments = list(start), {}
+            for size, rank, turn in splitting.deal_runs(runs, start, scale):
+                segments.setdefault(size, []).append((rank, turn))
+            for size, count in runs:
+                for r in range(count):
+                    side = max(range(len(need)), key=lambda k: (need[k], -k))
+                    need[side] -= size * scale
+                    rank, turn = [x for x in segments[size] if x[0] <= r][-1]
+                    assert turn[(r - rank) % len(turn)] == side
+        assert len(splitting.deal_runs([(3, 10**9), (1, 10**12)], [8 * 10**12, 2 * 10**12, 10**12], 10)) < 20
+
+    def test_many_groups_of_few_sizes(self, spark):
+        df = spark.range(3000).selectExpr("id", "CASE WHEN id < 900 THEN concat('s', id) WHEN id < 2400 THEN concat('p', id div 2) ELSE concat('t', id div 3) END AS g")
+        got = {r.split: r["count"] for r in splitting.group_split(df, "g", train=0.5, test=0.3, val=0.2).groupBy("split").count().collect()}
+        assert got == {"train": 1500, "test": 900, "val": 600}
+        assert [r["count"] for r in splitting.group_kfold(df, "g", 4).groupBy("fold").count().collect()] == [750] * 4
+
     def test_other_folds(self, rows):
         m = splitting.monte_carlo(rows, ["id"], 4, 0.25, 1)
         assert {r[0]: r[1] for r in m.where("is_val").groupBy("split_id").count().collect()} == dict.fromkeys(range(4), 26)
