@@ -175,14 +175,16 @@ def _keys(pos: np.ndarray, ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarra
 
 
 def _counted(words: int):
-    """(chunk, key, n) of the phrases of so many words in each chunk; those of nothing but context aren't its own."""
+    """(chunk, key, n) of the phrases of so many words in each chunk. Those of nothing but context aren't its own and count
+    zero times, but longer ones may begin with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 chunk, skip, pos, ids, last = _read(batch.slice(k, 1))
                 at, keys = _keys(pos, ids, last)
-                keys, n = np.unique(keys[pos[at] + words > skip], return_counts=True)
+                keys, which = np.unique(keys, return_inverse=True)
+                n = np.bincount(which[pos[at] + words > skip], minlength=len(keys))
                 for low in range(0, len(keys), 100_000):
                     part = slice(low, low + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), chunk)), pa.array(keys[part]), pa.array(n[part].astype(np.int64))], names=["chunk", "key", "n"])
@@ -190,84 +192,110 @@ def _counted(words: int):
     return thrifty(run)
 
 
-def _longer(state: pa.Table, known: pa.Table) -> pa.Table:
-    """The next level's places, from those of this one and the numbers of the chunk's frequent keys."""
-    if not state.num_rows or not known.num_rows:
-        return _NO_STATE
-    chunk, skip, pos, ids, last = _read(state)
-    at, keys = _keys(pos, ids, last)
-    wanted, numbers = known.column("key").to_numpy(), known.column("id").to_numpy()
-    order = np.argsort(wanted)
-    wanted, numbers = wanted[order], numbers[order]
-    place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-    there = wanted[place] == keys
-    at = at[there]
-    return _state(chunk, skip, pos[at], numbers[place[there]], last[at + 1])
-
-
-def _runs(least: int):
-    """Adds up runs of equal keys in a sorted stream. Of keys with at least so many occurrences: a row (key, chunk, nth)
-    for each chunk, and one (key, null, nth, f) for the whole; nth counts the keys. Of a run that is still below, the
-    chunks are held: they are fewer than least."""
-    names = ["key", "chunk", "nth", "f"]
-
-    def rows(key, chunk, nth, f) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (key, chunk, nth, f)], names=names)
+def _longer(before: dict[int, int]):
+    """The next level's places, from those of this one and the chunk's frequent keys. before: the frequent keys in the
+    range partitions before each, as keys are numbered within theirs."""
+
+    def run(state: pa.Table, known: pa.Table) -> pa.Table:
+        if not state.num_rows or not known.num_rows:
+            return _NO_STATE
+        chunk, skip, pos, ids, last = _read(state)
+        at, keys = _keys(pos, ids, last)
+        parts = list(zip(*(known.column(c).to_pylist() for c in ("part", "keys", "nths")), strict=True))
+        wanted = np.concatenate([np.frombuffer(x, "<i8") for _, x, _ in parts])
+        numbers = np.concatenate([np.frombuffer(x, "<i8") + before[part] + 1 for part, _, x in parts])
+        order = np.argsort(wanted)
+        wanted, numbers = wanted[order], numbers[order]
+        place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+        there = wanted[place] == keys
+        at = at[there]
+        return _state(chunk, skip, pos[at], numbers[place[there]], last[at + 1])
+
+    return run
+
+
+#: Places that a task holds before it gives them out by chunk.
+_HELD = 1_000_000
+_RUNS = "key long, nth long, f long, of long, keys binary, nths binary"
+
+
+def _runs(least: int, held: int = _HELD):
+    """Adds up runs of equal keys in a sorted stream of (chunk, key, n). Of keys with at least so many occurrences: a row
+    (key, nth, f), where nth counts them, and rows (of, keys, nths) with many keys of a chunk in each. Of a run that is
+    still below, the chunks are held: fewer than least, and those where it only gives context."""
+
+    def totals(key, nth, f) -> pa.RecordBatch:
+        n = len(key)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (key, nth, f)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names=["key", "nth", "f", "of", "keys", "nths"])
+
+    def packed(places: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        chunk, key, nth = (np.concatenate(x) for x in zip(*places, strict=True))
+        order = np.argsort(chunk, kind="stable")
+        chunk, key, nth = chunk[order], key[order].astype("<i8"), nth[order].astype("<i8")
+        starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
+        for low, high in zip(starts, np.r_[starts[1:], len(chunk)], strict=True):
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([chunk[low]], pa.int64()), pa.array([key[low:high].tobytes()], pa.binary()), pa.array([nth[low:high].tobytes()], pa.binary())], names=["key", "nth", "f", "of", "keys", "nths"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nth = 0
-        open_, total, held = None, 0, []  # the last key so far, its count, and its chunks until it is frequent
+        nth, size = 0, 0
+        places: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        open_, total, waiting = None, 0, []  # the last key so far, its count, and its chunks until it is frequent
         for batch in batches:
             if not len(batch):
                 continue
             key, chunk, n = (batch.column(c).to_numpy() for c in ("key", "chunk", "n"))
             if open_ is not None and key[0] != open_:
                 if total >= least:
-                    yield rows([open_], [None], [nth], [total])
+                    yield totals([open_], [nth], [total])
                     nth += 1
-                open_, total, held = None, 0, []
+                open_, total, waiting = None, 0, []
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             sums = np.add.reduceat(n, starts)
-            was = total >= least
             sums[0] += total
             frequent = sums >= least
             numbers = nth + np.cumsum(frequent) - 1
             sizes = np.diff(np.r_[starts, len(key)])
-            member = np.repeat(frequent, sizes)
-            if frequent[0] and held and not was:
-                yield rows(np.full(len(held), key[0]), held, np.full(len(held), nth), [None] * len(held))
-            kept = np.flatnonzero(member)
-            yield rows(key[kept], chunk[kept], np.repeat(numbers, sizes)[kept], [None] * len(kept))
+            if frequent[0] and waiting:
+                places.append((np.array(waiting), np.full(len(waiting), key[0]), np.full(len(waiting), nth)))
+                size += len(waiting)
+            kept = np.flatnonzero(np.repeat(frequent, sizes))
+            places.append((chunk[kept], key[kept], np.repeat(numbers, sizes)[kept]))
+            size += len(kept)
             whole = np.flatnonzero(frequent[:-1])
-            yield rows(key[starts[whole]], [None] * len(whole), numbers[whole], sums[whole])
+            yield totals(key[starts[whole]], numbers[whole], sums[whole])
             nth += len(whole)
-            held = (held if len(starts) == 1 else []) + chunk[starts[-1] :].tolist() if not frequent[-1] else []
+            waiting = (waiting if len(starts) == 1 else []) + chunk[starts[-1] :].tolist() if not frequent[-1] else []
             open_, total = key[-1], int(sums[-1])
+            if size >= held:
+                yield from packed(places)
+                places, size = [], 0
         if total >= least:
-            yield rows([open_], [None], [nth], [total])
+            yield totals([open_], [nth], [total])
+        if size:
+            yield from packed(places)
 
     return run
 
 
-def _frequent(keys: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(key, f, id) of frequent keys, numbered from 1 in their order, and (chunk, key, id) of where they stand. keys: a
-    table of (chunk, key, n)."""
+def _frequent(keys: DataFrame, least: int) -> tuple[DataFrame, DataFrame, dict[int, int]]:
+    """(key, f, id) of frequent keys, numbered from 1 in their order; (of, part, keys, nths) of where they stand, and how
+    many there are before each range partition. keys: a table of (chunk, key, n)."""
     spark = keys.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = keys.repartitionByRange(parts, "key").sortWithinPartitions("key")
-    summed = materialise(sorted_.mapInArrow(thrifty(_runs(least)), "key long, chunk long, nth long, f long").withColumn("part", F.spark_partition_id()))
-    sizes = sorted(summed.where("chunk IS NULL").groupBy("part").agg(F.count("*")).collect())  # one row a partition
-    before, places = 0, []
+    summed = materialise(sorted_.mapInArrow(thrifty(_runs(least)), _RUNS).withColumn("part", F.spark_partition_id()))
+    sizes = sorted(summed.where("key IS NOT NULL").groupBy("part").agg(F.count("*")).collect())  # one row a partition
+    before, places = 0, {}
     for part, n in sizes:
-        places.append((part, before))
+        places[part] = before
         before += n
     if before > _MOST:
         raise ValueError(f"{before} frequent phrases; numbers have 32 bits")
-    told = summed.join(F.broadcast(spark.createDataFrame(places, "part int, before long")), "part").withColumn("id", F.col("before") + F.col("nth") + 1)
-    whole = told.where("chunk IS NULL").select("key", "f", "id")
-    where = told.where("chunk IS NOT NULL").select("chunk", "key", "id")
-    whole._written = where._written = summed._written
-    return whole, where
+    known = F.broadcast(spark.createDataFrame(list(places.items()), "part int, before long"))
+    whole = summed.where("key IS NOT NULL").join(known, "part").select("key", "f", (F.col("before") + F.col("nth") + 1).alias("id"))
+    where = summed.where("key IS NULL").select("of", "part", "keys", "nths")
+    whole._written = summed._written
+    return whole, where, places
 
 
 def _dictionary(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -304,7 +332,7 @@ def phrases(df: DataFrame, lang: str = "lang", text: str = "text", least: int =
     tables = [dictionary, totals]
     for n in range(2, WORDS + 1):
         keys = materialise(state.mapInArrow(_counted(n), "chunk long, key long, n long"))
-        whole, where = _frequent(keys, least)
+        whole, where, before = _frequent(keys, least)
         discard(keys)
         first, last = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
         named = whole.select(first.alias("first"), last.alias("last"), "f", F.col("id").alias("own"))
@@ -312,7 +340,7 @@ def phrases(df: DataFrame, lang: str = "lang", text: str = "text", least: int =
         found.append(made)
         tables.append(made)
         if n < WORDS:
-            old, state = state, materialise(state.groupBy("chunk").cogroup(where.groupBy("chunk")).applyInArrow(thrifty_pair(_longer), _STATE))
+            old, state = state, materialise(state.groupBy("chunk").cogroup(where.groupBy("of")).applyInArrow(thrifty_pair(_longer(before)), _STATE))
             discard(old)
         discard(whole)
     discard(state)
