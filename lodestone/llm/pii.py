@@ -91,7 +91,7 @@ def base_spans(text: str) -> list[Span]:
             pos = at + 1
         at = text.find("@", pos)
     if _DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(x) <= 3 and int(x or "0") <= 255 for x in (part.lstrip("0") for part in m[0].split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and m.end() - m.start() < 40:
                 digits = m[0].replace(" ", "").replace("-", "")

@@ -183,3 +183,11 @@ def test_keys_in_common_contexts_are_no_finding(spark):
     rows = [f"the {rng.choice(['river', 'stone', 'bird'])} of {''.join(rng.choice('0123456789abcdef') for _ in range(40))} is {k}" for k in range(20)] + ["the river of gold is the stone of old and the bird of green is"] * 40
     found = pii.find(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     assert all(r.spans == "" and r.n_added == 0 for r in found)
+
+
+def test_numbers_of_any_length_are_read(spark):
+    texts = ["0" * 5000 + ".1.1.1", "1." + "0" * 6000 + "7.0.0", "9" * 5000 + ".1.1.1", "0.0.0.0", "1." * 3000 + "1", "+" + "1" * 6000, "4" * 6000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_ip, r.n_card, r.n_phone) for r in pii.find(df).collect()}
+    assert got[0] == (1, 0, 0) and got[1] == (1, 0, 0) and got[2][0] == 0 and got[3][0] == 1 and got[4][0] == 750
+    assert len(pii.redact(df).collect()) == len(texts)
