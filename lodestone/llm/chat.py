@@ -17,6 +17,7 @@ Plain messages take no part in any exchange.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -41,10 +42,36 @@ def canonical(value: Any) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+#: Lists and objects in each other that a JSON text may have.
+DEPTH = 100
+
+
+def _finite(number: str) -> float:
+    x = float(number)
+    if not math.isfinite(x):
+        raise ValueError(f"{number} is too large")
+    return x
+
+
+def _deep(value: Any) -> bool:
+    level = [value]
+    for _ in range(DEPTH):
+        level = [y for x in level if isinstance(x, (list, dict)) for y in (x.values() if isinstance(x, dict) else x)]
+        if not level:
+            return False
+    return any(isinstance(x, (list, dict)) for x in level)
+
+
 def parsed(text: str | None) -> Any:
-    """The value of a JSON text, None if it is none (or not finite)."""
+    """The value of a JSON text. None if it is none, or holds a number that isn't finite as a double, a lone surrogate
+    (no UTF-8 has it), or more than DEPTH lists and objects in each other: such a text is plain content."""
     try:
-        return json.loads(text, parse_constant=lambda _: (_ for _ in ()).throw(ValueError())) if text else None
+        value = json.loads(text, parse_constant=_finite, parse_float=_finite) if text else None
+        if text and text.count("[") + text.count("{") > DEPTH and _deep(value):
+            return None
+        if text and "\\u" in text:
+            canonical(value).encode()
+        return value
     except (ValueError, RecursionError):
         return None
 
@@ -73,7 +100,7 @@ def errors(value: Any, schema: Any, at: str = "$") -> list[str]:
     if isinstance(value, dict):
         known = schema.get("properties") if isinstance(schema.get("properties"), dict) else {}
         required = schema.get("required") if isinstance(schema.get("required"), list) else []
-        out += [f"{at}.{k}: missing" for k in required if k not in value]
+        out += [f"{at}.{k}: missing" for k in required if isinstance(k, str) and k not in value]
         for k in sorted(value):
             out += errors(value[k], known.get(k, schema.get("additionalProperties")), f"{at}.{k}")
     if isinstance(value, list):

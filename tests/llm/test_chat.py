@@ -112,3 +112,50 @@ def test_a_conversation_of_many_calls_and_long_texts(spark):
     got = chat.format_chats(spark.createDataFrame(data, "conv_id long, turn long, role string, text string, result string")).collect()
     assert len(got) == 2 * n - 1 and sum(r.n_answered for r in got) == n - 1 and sum(r.n_invalid for r in got) == sum(k % 3 == 0 for k in range(1, n))
     assert all((r.order_turn, r.order_step) == (r.turn, 1 if r.linked else 0) for r in got)
+
+
+def test_legal_json_that_no_canonical_form_has_is_plain_content(spark):
+    deep = '{"tool_calls": ' + "[" * 3000 + "]" * 3000 + "}"
+    nested = json.dumps({"type": "object", "properties": {}})
+    for _ in range(2000):
+        nested = '{"properties": {"a": ' + nested + "}}"
+    texts = [
+        '{"tool_calls": [{"id": "a", "name": "f", "arguments": {"x": 1e999}}]}',
+        '{"tool_call_id": "a", "content": -1e999}',
+        '{"tools": [{"name": "f", "parameters": {"minimum": 1e999}}]}',
+        '{"tool_call_id": "x", "content": "\\ud800"}',
+        '{"tool_calls": [{"id": "\\udfff"}]}',
+        deep,
+        '{"tools": [{"name": "f", "parameters": ' + nested + "}]}",
+        '{"tool_call_id": "x", "content": ' + "9" * 5000 + "}",
+    ]
+    got = rows(spark, [(1, k, "user", t, None) for k, t in enumerate(texts)])
+    assert [json.loads(r[5]) for r in got] == [{"content": t, "role": "user"} for t in texts]
+    assert all(r[6:10] == (0, 0, 0, None) for r in got)
+
+
+def test_odd_schemas_and_arguments(spark):
+    tools = json.dumps({"tools": [{"name": "f", "parameters": {"required": [["a"], 3, None, "x"], "enum": [[]], "type": [["object"], "object"], "properties": {"x": {"minimum": "1"}}}}]})
+    calls = json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": '{"x": 1e999}'}, {"id": "b", "name": "f", "arguments": {"y": 1}}]})
+    got = {r[1]: json.loads(r[5]) for r in rows(spark, [(1, 0, "s", tools, ""), (1, 1, "a", calls, "")])}
+    assert [c["arguments"] for c in got[1]["tool_calls"]] == ['{"x": 1e999}', {"y": 1}]
+    assert got[1]["tool_calls"][0]["errors"] == ["$: not ['object'] or object"]
+    assert got[1]["tool_calls"][1]["errors"] == ["$: not in enum", "$.x: missing"]
+
+
+def test_any_json_is_read(spark):
+    rng = random.Random(6)
+
+    def value(depth=0):
+        kinds = [lambda: rng.choice([None, True, 0, -1, 1.5, 10**30, "", "a", "😀", "é", "type"])]
+        if depth < 4:
+            kinds += [lambda: [value(depth + 1) for _ in range(rng.randrange(3))], lambda: {rng.choice(["id", "name", "arguments", "function", "type", "required", "properties", "enum", "items", "minimum", "parameters", "x"]): value(depth + 1) for _ in range(rng.randrange(4))}]
+        return rng.choice(kinds)()
+
+    data = []
+    for k in range(400):
+        body = {rng.choice(["tool_calls", "tool_call_id", "tools", "content"]): value() if rng.random() < 0.3 else [value() for _ in range(2)] for _ in range(3)}
+        text = json.dumps(body, ensure_ascii=rng.random() < 0.5).replace("1.5", rng.choice(["1.5", "1e400", "NaN", "1E5"]))
+        data.append((k % 9, k, "user", text.encode("utf-16", "surrogatepass").decode("utf-16", "replace"), None))
+    got = rows(spark, data)
+    assert len(got) == 400 and all(chat.canonical(json.loads(r[5])) == r[5] for r in got)
