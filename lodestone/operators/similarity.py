@@ -8,13 +8,14 @@ that need only sums or the best k are reduced inside the task.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import discard, materialise
 from . import simjoin
 from .relational import need, quoted
 
@@ -156,11 +157,128 @@ def mirrored(pairs: DataFrame) -> DataFrame:
     return pairs.select("i", "j", "sim").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "sim"))
 
 
-def similarity_statistics(df: DataFrame, key: str, vector: str, metric: str = "tanimoto", threshold: float = 0.8) -> DataFrame:
+def similarity_statistics(df: DataFrame, key: str, vector: str, metric: str = "tanimoto", threshold: float = 0.8, size: int | None = None) -> DataFrame:
     """(i, mean_sim, median_sim, max_sim, min_sim, n_similar) of each row with all others; n_similar counts those over
-    the threshold."""
-    both = mirrored(all_pairs(df, key, vector, metric))
-    return both.groupBy("i").agg(F.avg("sim").alias("mean_sim"), F.median("sim").alias("median_sim"), F.max("sim").alias("max_sim"), F.min("sim").alias("min_sim"), F.count_if(F.col("sim") > threshold).alias("n_similar"))
+    the threshold. A row without another has none."""
+    side = _side(df, key, vector)
+    return _row_statistics(side, side, metric, threshold, True, size).select(F.col("q").alias("i"), "mean_sim", "median_sim", "max_sim", "min_sim", "n_similar")
+
+
+#: Values of a vector that a task holds for either side, bins of a round, and rows of a tile.
+_STRIP = 8_000_000
+_BINS = 32
+_TILE = 1024
+
+
+def _tiles(metric: str, exclude_self: bool, emit: Callable[[pa.Table, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]], pa.Table], none: pa.Table) -> Callable[[pa.Table], pa.Table]:
+    """For one meeting of a strip of queries with one of rows: emit(table of the queries, their ids in the order of
+    similarities, (ids of rows, similarities) tile by tile). A row's similarity with itself is NaN if it is left out."""
+
+    def run(part: pa.Table) -> pa.Table:
+        side = part.column("side").to_numpy()
+        mine = part.filter(pa.array(side == 0))
+        (a, v), (b, w) = _arrays(mine), _arrays(part.filter(pa.array(side == 1)))
+        if not len(a) or not len(b):
+            return none
+
+        def tiles() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for low in range(0, len(b), _TILE):
+                ids = b[low : low + _TILE]
+                s = matrix(metric, v, w[low : low + _TILE])
+                yield ids, np.where(a[:, None] == ids[None], np.nan, s) if exclude_self else s
+
+        return emit(mine.sort_by("id"), a, tiles())
+
+    return run
+
+
+def _row_statistics(queries: DataFrame, rows: DataFrame, metric: str, threshold: float, exclude_self: bool, size: int | None = None) -> DataFrame:
+    """(q, n, mean_sim, median_sim, max_sim, min_sim, n_similar, nearest) of each query with all rows.
+
+    Strips of queries meet strips of rows, and only sums leave a task: one row for each query and strip, or, for the
+    median, one for each bin that isn't empty. A median is enclosed between two values that exist: the bins between them
+    are counted with their least and largest value in all strips at once, the bin that holds the place takes over, and
+    a round ends those whose bin is one value. So there are a few rounds over the strips, and no pair is ever a row."""
+    if size is None:
+        first = rows.select(F.size("v").alias("n")).first()
+        size = max(BLOCK, min(16_384, _STRIP // max(1, first.n if first else 1)))
+    nq, nb = _blocks(queries.count(), size), _blocks(rows.count(), size)
+
+    def met(columns: Sequence[str], q: DataFrame) -> DataFrame:
+        own = [F.lit(0).alias("side"), "id", "v"]
+        left = q.withColumn("lo", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).select("lo", "hi", *own, *columns)
+        right = rows.withColumn("hi", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+        return left.unionByName(right.select("lo", "hi", F.lit(1).alias("side"), "id", "v", *[F.lit(None).cast("double").alias(c) for c in columns])).groupBy("lo", "hi")
+
+    sums = pa.schema([("q", pa.int64()), ("n", pa.int64()), ("total", pa.float64()), ("low", pa.float64()), ("high", pa.float64()), ("similar", pa.int64()), ("nearest", pa.int64())])
+
+    def summed(mine: pa.Table, ids: np.ndarray, tiles: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        n, similar = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+        total, low, high, nearest = np.zeros(len(ids)), np.full(len(ids), np.inf), np.full(len(ids), -np.inf), np.zeros(len(ids), np.int64)
+        for others, s in tiles:
+            there = ~np.isnan(s)
+            n += there.sum(1)
+            total += np.where(there, s, 0).sum(1)
+            low = np.minimum(low, np.where(there, s, np.inf).min(1))
+            most = np.where(there, s, -np.inf)
+            best = most.argmax(1)  # rows are in the order of keys: the smallest of equal ones
+            top = most[np.arange(len(ids)), best]
+            nearest = np.where(top > high, others[best], nearest)
+            high = np.maximum(high, top)
+            similar += (most > threshold).sum(1)
+        kept = n > 0
+        return pa.table([x[kept] for x in (ids, n, total, low, high, similar, nearest)], schema=sums)
+
+    parts = met([], queries).applyInArrow(_tiles(metric, exclude_self, summed, sums.empty_table()), "q long, n long, total double, low double, high double, similar long, nearest long")
+    base = materialise(parts.groupBy("q").agg(F.sum("n").alias("n"), (F.sum("total") / F.sum("n")).alias("mean_sim"), F.min("low").alias("min_sim"), F.max("high").alias("max_sim"), F.sum("similar").alias("n_similar"), F.min(F.struct((-F.col("high")).alias("s"), "nearest"))["nearest"].alias("nearest")))
+
+    counted = pa.schema([("q", pa.int64()), ("bin", pa.int32()), ("n", pa.int64()), ("least", pa.float64()), ("most", pa.float64())])
+
+    def binned(mine: pa.Table, ids: np.ndarray, tiles: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+        low, high = (np.asarray(mine.column(c).to_numpy(zero_copy_only=False), float) for c in ("low", "high"))
+        n = np.zeros((len(ids), _BINS), np.int64)
+        least, most = np.full(n.shape, np.inf), np.full(n.shape, -np.inf)
+        for _, s in tiles:
+            row, at = np.nonzero((s >= low[:, None]) & (s <= high[:, None]))
+            x = s[row, at]
+            place = np.minimum((x - low[row]) / (high[row] - low[row]) * _BINS, _BINS - 1).astype(np.int64)
+            np.add.at(n, (row, place), 1)
+            np.minimum.at(least, (row, place), x)
+            np.maximum.at(most, (row, place), x)
+        row, place = np.nonzero(n)
+        return pa.table([ids[row], place.astype(np.int32), n[row, place], least[row, place], most[row, place]], schema=counted)
+
+    # below: values under the interval; after: the least value above it, if there is one.
+    open_ = base.select("q", "n", F.floor((F.col("n") - 1) / 2).alias("place"), F.lit(0).cast("long").alias("below"), F.col("min_sim").alias("low"), F.col("max_sim").alias("high"), F.lit(None).cast("double").alias("after"), F.col("n").alias("inside"))
+    state = materialise(open_)
+    while not state.where("low < high").isEmpty():
+        # Queries that are done have an empty interval: the strips stay the same, and so do the similarities.
+        carried = state.select("q", F.when(F.col("low") < F.col("high"), F.col("low")).alias("low"), F.when(F.col("low") < F.col("high"), F.col("high")).alias("high"))
+        q = queries.join(carried, F.col("id") == F.col("q"), "left").select("id", "v", "low", "high")
+        bins = met(["low", "high"], q).applyInArrow(_tiles(metric, exclude_self, binned, counted.empty_table()), "q long, bin int, n long, least double, most double")
+        whole = bins.groupBy("q", "bin").agg(F.sum("n").alias("k"), F.min("least").alias("least"), F.max("most").alias("most"))
+        ordered = Window.partitionBy("q").orderBy("bin")  # _BINS rows at most
+        run = whole.select("*", F.sum("k").over(ordered).alias("upto"), F.lead("least").over(ordered).alias("next"))
+        placed = run.join(state.select("q", "place", "below", "after", F.col("n").alias("all")), "q").where(F.col("below") + F.col("upto") > F.col("place"))
+        chosen = placed.groupBy("q").agg(F.min_by(F.struct("all", "place", (F.col("below") + F.col("upto") - F.col("k")).alias("below"), "least", "most", F.coalesce("next", "after").alias("after"), "k"), "bin").alias("s"))
+        moved = chosen.select("q", F.col("s.all").alias("n"), "s.place", "s.below", F.col("s.least").alias("low"), F.col("s.most").alias("high"), "s.after", F.col("s.k").alias("inside"))
+        old, state = state, materialise(state.where("low >= high").unionByName(moved))
+        discard(old)
+    second = F.when((F.col("n") % 2 == 0) & (F.col("place") + 1 >= F.col("below") + F.col("inside")), F.col("after")).otherwise(F.col("low"))
+    median = F.when(F.col("n") % 2 == 0, (F.col("low") + second) / 2).otherwise(F.col("low"))
+    return base.join(state.select("q", median.alias("median_sim")), "q")
+
+
+def mean_similarity(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(i, mean_sim): the mean cosine of each row with all others, from the sum of all unit vectors: no pairs. The sum is
+    one row as wide as a vector, broadcast. Zero vectors are like nothing."""
+    side = _side(df, key, vector)
+    norm = F.sqrt(_dot(F.col("v"), F.col("v")))
+    unit = side.select("id", F.transform("v", lambda x: F.coalesce(F.try_divide(x, norm), F.lit(0.0))).alias("u"))
+    sums = unit.select(F.posexplode("u").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x"))
+    whole = sums.agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "x"))), lambda r: r["x"]).alias("sum"), F.lit(side.count()).alias("n"))
+    both = unit.crossJoin(F.broadcast(whole)).where("n > 1")
+    return both.select(F.col("id").alias("i"), ((_dot(F.col("u"), F.col("sum")) - _dot(F.col("u"), F.col("u"))) / (F.col("n") - 1)).alias("mean_sim"))
 
 
 def nearest_neighbors(queries: DataFrame, df: DataFrame, key: str, vector: str, k: int = 10, metric: str = "tanimoto", exclude_self: bool = True, size: int = BLOCK) -> DataFrame:
@@ -189,25 +307,12 @@ def nearest_neighbors(queries: DataFrame, df: DataFrame, key: str, vector: str,
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def training_set_similarity(test: DataFrame, train: DataFrame, key: str, vector: str, k: int = 5, metric: str = "tanimoto", size: int = BLOCK) -> DataFrame:
+def training_set_similarity(test: DataFrame, train: DataFrame, key: str, vector: str, k: int = 5, metric: str = "tanimoto", size: int | None = None) -> DataFrame:
     """(q, mean_sim, median_sim, max_sim, min_sim, top_k_mean, nearest): each test row against all training rows; ties
     for the nearest go to the smaller key."""
-    q, rows = _side(test, key, vector), _side(train, key, vector)
-    nq, nb = _blocks(q.count(), size), _blocks(rows.count(), size)
-    left = q.withColumn("lo", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("hi", F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))).withColumn("side", F.lit(0))
-    right = rows.withColumn("hi", F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int")).withColumn("lo", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).withColumn("side", F.lit(1))
-
-    def run(part: pa.Table) -> pa.Table:
-        side = part.column("side").to_numpy()
-        (a, v), (b, w) = (_arrays(part.filter(pa.array(side == x))) for x in (0, 1))
-        s = matrix(metric, v, w) if len(a) and len(b) else np.zeros((len(a), len(b)))
-        r, c = np.indices(s.shape).reshape(2, -1)
-        return pa.table({"q": a[r], "i": b[c], "sim": s.reshape(-1)})
-
-    pairs = left.unionByName(right).groupBy("lo", "hi").applyInArrow(run, "q long, i long, sim double")
-    stats = pairs.groupBy("q").agg(F.avg("sim").alias("mean_sim"), F.median("sim").alias("median_sim"), F.max("sim").alias("max_sim"), F.min("sim").alias("min_sim"), F.min(F.struct((-F.col("sim")).alias("s"), "i")).alias("n"))
-    top = nearest_neighbors(test, train, key, vector, k, metric, exclude_self=False, size=size).groupBy("q").agg(F.avg("sim").alias("top_k_mean"))
-    return stats.join(top, "q").select("q", "mean_sim", "median_sim", "max_sim", "min_sim", "top_k_mean", F.col("n.i").alias("nearest"))
+    stats = _row_statistics(_side(test, key, vector), _side(train, key, vector), metric, math.inf, False, size)
+    top = nearest_neighbors(test, train, key, vector, k, metric, exclude_self=False, size=size or BLOCK).groupBy("q").agg(F.avg("sim").alias("top_k_mean"))
+    return stats.join(top, "q").select("q", "mean_sim", "median_sim", "max_sim", "min_sim", "top_k_mean", "nearest")
 
 
 def fold_difference(a: Column, b: Column) -> Column:

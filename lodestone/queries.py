@@ -419,6 +419,22 @@ def similarity_stats(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(similarity.similarity_statistics(_vectors(spark, sf, True), "vec_id", "v"))
 
 
+@query(f"WITH {_V}, p AS (SELECT a.vec_id AS i, {_SIM['cosine'][1]} AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id) SELECT i, round(avg(sim), 6) AS mean_sim, round(median(sim), 6) AS median_sim, round(max(sim), 6) AS max_sim, round(min(sim), 6) AS min_sim, count(*) FILTER (sim > 0.8) AS n_similar FROM p GROUP BY i")
+def similarity_stats_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(similarity.similarity_statistics(_vectors(spark, sf), "vec_id", "v", "cosine"))
+
+
+@query(f"WITH {_V} SELECT a.vec_id AS i, round(avg({_SIM['cosine'][1]}), 6) AS mean_sim FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1")
+def similarity_mean_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(similarity.mean_similarity(_vectors(spark, sf), "vec_id", "v"))
+
+
+@query(f"""WITH {_B}, p AS (SELECT {_SIM['tanimoto'][1]} AS sim FROM v a JOIN v b ON a.vec_id < b.vec_id), n AS (SELECT count(*) AS n, count(DISTINCT v) AS c FROM v)
+    SELECT n AS n_rows, c AS n_classes, c * (c - 1) // 2 AS n_all_pairs, (SELECT count(*) FROM p WHERE sim >= 0.5) AS n_pairs FROM n""")
+def similarity_join(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity.join_report(_vectors(spark, sf, True), "vec_id", "v", 0.5).select("n_rows", "n_classes", "n_all_pairs", "n_pairs")
+
+
 @query(f"WITH {_B}, p AS (SELECT a.vec_id AS q, b.vec_id AS i, {_SIM['tanimoto'][1]} AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT q, i, round(sim, 6) AS sim, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, i) AS rank FROM p) WHERE rank <= 10")
 def knn_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf, True)

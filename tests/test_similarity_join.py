@@ -111,3 +111,29 @@ def test_cliffs_with_copies_and_zero_activities(spark, similar):
         want[i] = ("yes" if best else "no", len(best), min(best)[1] if best else None)
     got = {r.k: (r.is_activity_cliff_molecule, r.n_activity_cliff_partners, r.strongest_cliff_partner) for r in similarity.activity_cliffs(df, "k", "v", "y", similar=similar).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("metric,n,size", [("tanimoto", 41, 9), ("cosine", 40, 13), ("euclidean", 33, 5), ("tanimoto", 2, 9)])
+def test_statistics_of_rows_in_strips_of_any_size(spark, metric, n, size, monkeypatch):
+    monkeypatch.setattr(similarity, "_TILE", 4)
+    monkeypatch.setattr(similarity, "_BINS", 3)
+    rng = np.random.default_rng(n)
+    v = (rng.random((n, 12)) < 0.4).astype(float) if metric == "tanimoto" else rng.normal(size=(n, 12)).round(2)
+    keys = rng.permutation(1000)[:n]
+    df = spark.createDataFrame([(int(k), x.tolist()) for k, x in zip(keys, v)], "k long, v array<double>")
+    s = similarity.matrix(metric, v, v)
+    others = [np.delete(s[i], i) for i in range(n)]
+    want = {int(keys[i]): (x.mean(), np.median(x), x.max(), x.min(), int((x > 0.8).sum())) for i, x in enumerate(others)}
+    got = {r.i: tuple(r)[1:] for r in similarity.similarity_statistics(df, "k", "v", metric, size=size).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in got)
+    if metric == "cosine":
+        mean = {r.i: r.mean_sim for r in similarity.mean_similarity(df, "k", "v").collect()}
+        assert mean == pytest.approx({k: x[0] for k, x in want.items()}, abs=1e-9)
+
+
+def test_statistics_without_others(spark):
+    one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "k long, v array<double>")
+    assert similarity.similarity_statistics(one, "k", "v").count() == 0 and similarity.mean_similarity(one, "k", "v").count() == 0
+    assert similarity.training_set_similarity(one.limit(0), one, "k", "v").count() == 0
+    (row,) = similarity.training_set_similarity(one, one, "k", "v").collect()
+    assert (row.q, row.mean_sim, row.median_sim, row.nearest) == (1, 1.0, 1.0, 1)
