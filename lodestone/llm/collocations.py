@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,36 +104,42 @@ class _Chunk:
         self.codes.append(codes)
         self.size += sum(map(len, tokens)) + len(tokens)
 
-    def batch(self) -> pa.RecordBatch:
+    def batches(self, number: int) -> Iterator[pa.RecordBatch]:
+        """The chunk's numbers, and a row for each of its words with how often it is there."""
         codes = np.concatenate(self.codes)
         own = codes[self.skip :]
         counts = np.bincount(own[own != 0xFFFFFFFF], minlength=len(self.words))
-        columns = (
-            pa.array([_packed(codes)], pa.binary()),
-            pa.array([len(codes)], pa.int32()),
-            pa.array([self.skip], pa.int32()),
-            pa.array([[lang for lang, _ in self.words]], pa.list_(pa.string())),
-            pa.array([[w.decode("utf-8", "surrogatepass") for _, w in self.words]], pa.list_(pa.string())),
-            pa.array([counts.tolist()], pa.list_(pa.int64())),
-        )
-        return pa.RecordBatch.from_arrays(list(columns), names=["codes", "size", "skip", "langs", "words", "counts"])
+        yield _row_batch(number, codes=[_packed(codes)], size=[len(codes)], skip=[self.skip])
+        for low in range(0, len(self.words), 20_000):
+            part = self.words[low : low + 20_000]
+            yield _row_batch(number, lang=[lang for lang, _ in part], word=[w.decode("utf-8", "surrogatepass") for _, w in part], local=np.arange(low, low + len(part), dtype=np.int32), n=counts[low : low + len(part)])
+
+
+_CHUNKS = "chunk long, codes binary, size int, skip int, lang string, word string, local int, n long"
+_CHUNK_TYPES = {"codes": pa.binary(), "size": pa.int32(), "skip": pa.int32(), "lang": pa.string(), "word": pa.string(), "local": pa.int32(), "n": pa.int64()}
+
+
+def _row_batch(number: int, **columns) -> pa.RecordBatch:
+    rows = len(next(iter(columns.values())))
+    arrays = [pa.array(columns[n], kind) if n in columns else pa.nulls(rows, kind) for n, kind in _CHUNK_TYPES.items()]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(rows, number), pa.int64()), *arrays], names=["chunk", *_CHUNK_TYPES])
 
 
 def _chunks(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = _Chunk()
+        chunk, number = _Chunk(), TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in slices(whole, 1):
                 for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for skip, tokens in segments(text, size):
                         if skip or chunk.size >= size:
                             if chunk.codes:
-                                yield chunk.batch()
-                            chunk = _Chunk(skip)
+                                yield from chunk.batches(number)
+                            chunk, number = _Chunk(skip), number + 1
                         if tokens:
                             chunk.add(lang, tokens)
         if chunk.codes:
-            yield chunk.batch()
+            yield from chunk.batches(number)
 
     return thrifty(run)
 
@@ -141,9 +148,15 @@ _STATE = "chunk long, skip int, size int, pos binary, id binary, last binary"
 _STATE_NAMES = ["chunk", "skip", "size", "pos", "id", "last"]
 
 
-def _state(chunk: int, skip: int, pos: np.ndarray, ids: np.ndarray, last: np.ndarray) -> pa.Table:
-    """Where frequent phrases start in a chunk, their numbers and those of their last words."""
-    return pa.table(dict(zip(_STATE_NAMES, ([chunk], pa.array([skip], pa.int32()), pa.array([len(pos)], pa.int32()), [_packed(np.diff(pos, prepend=0))], [_packed(ids)], [_packed(last)]), strict=True)))
+def _state(chunk: int, skip: int, pos: np.ndarray, ids: np.ndarray, last: np.ndarray | None = None) -> pa.Table:
+    """Where frequent phrases start in a chunk, their numbers and those of their last words (the same for words). Only
+    what a longer phrase can be made of: starts next to another, numbers that one follows, last words that follow one."""
+    beside = pos[1:] == pos[:-1] + 1
+    after, before = np.r_[beside, False][: len(pos)], np.r_[False, beside][: len(pos)]
+    kept = np.flatnonzero(after | before)
+    words = b"" if last is None else _packed(np.where(before, last, 0)[kept])
+    ids = _packed((ids if last is None else np.where(after, ids, 0))[kept])
+    return pa.table(dict(zip(_STATE_NAMES, ([chunk], pa.array([skip], pa.int32()), pa.array([len(kept)], pa.int32()), [_packed(np.diff(pos[kept], prepend=0))], [ids], [words]), strict=True)))
 
 
 _NO_STATE = pa.table({n: pa.array([], t) for n, t in zip(_STATE_NAMES, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)})
@@ -160,12 +173,13 @@ def _encode(chunk: pa.Table, words: pa.Table) -> pa.Table:
     table[local] = words.column("id").to_numpy()
     ids = table[np.minimum(codes, len(table) - 1)]
     pos = np.flatnonzero(ids)
-    return _state(row["chunk"], row["skip"], pos, ids[pos], ids[pos])
+    return _state(row["chunk"], row["skip"], pos, ids[pos])
 
 
 def _read(batch) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
     chunk, skip, n, pos, ids, last = (batch.column(c)[0].as_py() for c in _STATE_NAMES)
-    return chunk, skip, np.cumsum(_unpacked(pos, n)), _unpacked(ids, n), _unpacked(last, n)
+    ids = _unpacked(ids, n)
+    return chunk, skip, np.cumsum(_unpacked(pos, n)), ids, _unpacked(last, n) if last else ids
 
 
 def _keys(pos: np.ndarray, ids: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,7 +314,7 @@ def _frequent(keys: DataFrame, least: int) -> tuple[DataFrame, DataFrame, dict[i
 
 def _dictionary(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lang, word, f, id) of frequent words, (lang, n) of all words, and (of, local, id) of the chunks."""
-    words = chunks.select("chunk", F.posexplode(F.arrays_zip("langs", "words", "counts")).alias("local", "w")).select("chunk", "local", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
+    words = chunks.where("codes IS NULL").select("chunk", "local", "lang", "word", "n")
     counts = words.groupBy("lang", "word").agg(F.sum("n").alias("f"))
     frequent = materialise(counts.where(F.col("f") >= least))
     dictionary = materialise(numbered(frequent, ["lang", "word"], "id").select("lang", "word", "f", (F.col("id") + 1).alias("id")))
@@ -313,22 +327,25 @@ def _dictionary(chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame, Da
     return dictionary, totals, known.select(F.col("chunk").alias("of"), "local", "id")
 
 
-def _part(row: str, low: Column, n: Column) -> Column:
-    """The words low .. low + n - 1 of a phrase, and zeros after them."""
-    some = F.slice(F.col(row), low, n)
-    return F.concat(some, F.array_repeat(F.lit(0).cast("long"), F.lit(WORDS) - F.size(some)))
+def packed_key(*numbers: Column) -> Column:
+    """Up to WORDS numbers as one binary key of four bytes each, zeros after them."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(x.cast("long")), 8, "0") for x in numbers], F.lit("0" * 8 * (WORDS - len(numbers)))))
+
+
+def _part(key: str, low: Column, n: Column) -> Column:
+    """The words low .. low + n - 1 of a phrase, as a key."""
+    return F.rpad(F.substring(F.col(key), 4 * low - 3, 4 * n), 4 * WORDS, F.lit(b"\0"))
 
 
 def phrases(df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEAST, size: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame, list[DataFrame]]:
     """(words, n, f) of all frequent words and phrases, (lang, word, f, id) and (lang, n) of the words; and the tables
-    that hold them. words: WORDS numbers of the dictionary, zeros after the n that there are."""
+    that hold them. words: the packed_key of the n numbers of the dictionary."""
     texts = df.select(F.coalesce(quoted(lang), F.lit(UNKNOWN)).alias("lang"), quoted(text).alias("text")).where("text IS NOT NULL AND text != ''")
-    chunks = materialise(texts.mapInArrow(_chunks(size), "codes binary, size int, skip int, langs array<string>, words array<string>, counts array<long>").withColumn("chunk", F.monotonically_increasing_id()))
+    chunks = materialise(texts.mapInArrow(_chunks(size), _CHUNKS))
     dictionary, totals, known = _dictionary(chunks, least)
-    state = materialise(chunks.select("chunk", "codes", "size", "skip").groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(thrifty_pair(_encode), _STATE))
+    state = materialise(chunks.where("codes IS NOT NULL").select("chunk", "codes", "size", "skip").groupBy("chunk").cogroup(known.groupBy("of")).applyInArrow(thrifty_pair(_encode), _STATE))
     discard(chunks)
-    empty = lambda n: [F.lit(0).cast("long")] * n
-    found = [dictionary.select(F.array("id", *empty(WORDS - 1)).alias("words"), F.lit(1).alias("n"), "f", "id")]
+    found = [dictionary.select(packed_key(F.col("id")).alias("words"), F.lit(1).alias("n"), "f", "id")]
     tables = [dictionary, totals]
     for n in range(2, WORDS + 1):
         keys = materialise(state.mapInArrow(_counted(n), "chunk long, key long, n long"))
@@ -336,7 +353,7 @@ def phrases(df: DataFrame, lang: str = "lang", text: str = "text", least: int =
         discard(keys)
         first, last = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(0xFFFFFFFF)
         named = whole.select(first.alias("first"), last.alias("last"), "f", F.col("id").alias("own"))
-        made = materialise(named.join(found[-1].select("words", F.col("id").alias("first")), "first").select(F.concat(F.slice("words", 1, n - 1), F.array("last", *empty(WORDS - n))).alias("words"), F.lit(n).alias("n"), "f", F.col("own").alias("id")))
+        made = materialise(named.join(found[-1].select("words", F.col("id").alias("first")), "first").select(F.rpad(F.concat(F.substring("words", 1, 4 * n - 4), F.unhex(F.lpad(F.hex("last"), 8, "0"))), 4 * WORDS, F.lit(b"\0")).alias("words"), F.lit(n).alias("n"), "f", F.col("own").alias("id")))
         found.append(made)
         tables.append(made)
         if n < WORDS:
@@ -384,7 +401,8 @@ def mine(df: DataFrame, lang: str = "lang", text: str = "text", least: int = LEA
     chosen = scored(counts)
     spelled = chosen.select(F.monotonically_increasing_id().alias("row"), "words", "n", "a", "l", "r", "score")
     spelled = materialise(spelled)
-    names = spelled.select("row", F.posexplode(F.slice("words", 1, F.col("n"))).alias("at", "id")).join(dictionary.select("id", "lang", "word"), "id")
+    numbers = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.conv(F.hex(F.substring("words", 4 * k - 3, F.lit(4))), 16, 10).cast("long"))
+    names = spelled.select("row", F.posexplode(numbers).alias("at", "id")).join(dictionary.select("id", "lang", "word"), "id")
     texts = names.groupBy("row").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))  # WORDS at most
     ordered = materialise(numbered(spelled.join(texts, "row").select("lang", "phrase", "a", "l", "r", "score"), ["lang", F.desc("score"), F.desc("a"), "phrase"], "at"))
     starts = ordered.groupBy("lang").agg(F.min("at").alias("start")).join(totals, "lang")

@@ -95,6 +95,8 @@ def test_runs_of_any_batches(batch, held):
 
 def test_scores_beyond_64_bits(spark):
     huge = 9 * 10**17
-    counts = spark.createDataFrame([([1, 0, 0, 0], 1, huge + 3), ([2, 0, 0, 0], 1, huge + 2), ([1, 2, 0, 0], 2, huge)], "words array<long>, n int, f long")
-    (row,) = c.scored(counts).collect()
+    counts = spark.createDataFrame([([1], 1, huge + 3), ([2], 1, huge + 2), ([1, 2], 2, huge)], "w array<long>, n int, f long")
+    keys = [counts.where(f"n = {n}").select(c.packed_key(*[counts["w"][k] for k in range(n)]).alias("words"), "n", "f") for n in (1, 2)]
+    (row,) = c.scored(keys[0].unionByName(keys[1])).collect()
+    assert bytes(row.words) == bytes([0, 0, 0, 1, 0, 0, 0, 2]) + bytes(8)
     assert (row.score, row.l, row.r) == (2_000_000 * huge // (2 * huge + 5), huge + 3, huge + 2)
