@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.special import binomial_tail
-from .relational import need, quoted
+from ..plans.tables import materialise
+from .relational import group_quantiles, need, numbered, quoted
 
 STRATEGIES = ("unique", "drop", "keep_first", "majority_vote", "mean", "median")
 BOOTSTRAPS = 1000
@@ -42,37 +44,124 @@ def binary_threshold(n: Column, most: Column, alpha: float) -> Column:
     return far | (F.when(~far, folded) < alpha)
 
 
-def _continuous(values: list[float], cv_threshold: float, alpha: float) -> tuple[str, str]:
-    x = np.asarray(values, float)
-    if len(x) == 1:
-        return "keep_first", "single label"
-    if (x == x[0]).all():
-        return "keep_first", "identical labels"
-    random = np.random.RandomState(42)
-    cvs = []
-    for _ in range(BOOTSTRAPS):
-        y = random.choice(x, size=len(x), replace=True)
-        m = y.mean()
-        cvs.append(y.std(ddof=1) / abs(m) if m else np.inf)
-    upper = float(np.percentile(cvs, 100 * (1 - alpha / 2)))
-    if not upper <= cv_threshold:
-        return "drop", "labels disagree"
-    q1, q3 = np.percentile(x, [25, 75])
-    out = ((x < q1 - 1.5 * (q3 - q1)) | (x > q3 + 1.5 * (q3 - q1))).any()
-    return ("median", "labels agree, with outliers") if out else ("mean", "labels agree")
+#: Weights of the bootstrap: a row of a group counts in a replicate as often as a Poisson variable of mean 1 comes out,
+#: which follows from a 32-bit mix of its place in the group and the replicate's number. So sums over rows may be made
+#: anywhere and merged, and the same rows give the same decision on any cluster.
+_M32 = 0xFFFFFFFF
+POISSON = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(10)]
+
+
+def weights(places: np.ndarray, replicates: np.ndarray) -> np.ndarray:
+    """The weight of each place in each replicate."""
+    x = (places.astype(np.uint64)[:, None] * np.uint64(2654435761) + replicates.astype(np.uint64)[None] * np.uint64(2246822519)) & np.uint64(_M32)
+    x ^= x >> np.uint64(16)
+    x = (x * np.uint64(2246822519)) & np.uint64(_M32)
+    x ^= x >> np.uint64(13)
+    x = (x * np.uint64(3266489917)) & np.uint64(_M32)
+    x ^= x >> np.uint64(16)
+    return np.searchsorted(np.array(POISSON, np.uint64), x, side="right").astype(np.float64)
+
+
+def variations(sums: np.ndarray) -> np.ndarray:
+    """Coefficients of variation from the sums of weights, of weighted values and of weighted squares; NaN where fewer
+    than two rows were drawn."""
+    w, y, square = sums
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread = np.sqrt(np.maximum(square - y * y / w, 0) / (w - 1))
+        out = np.where(y == 0, np.inf, spread / np.abs(y / w))
+    return np.where(w < 2, np.nan, out)
+
+
+def _upper(cvs: np.ndarray, alpha: float) -> float:
+    there = cvs[~np.isnan(cvs)]
+    return float(np.percentile(there, 100 * (1 - alpha / 2))) if len(there) else math.inf
+
+
+#: Rows that are weighted at a time.
+_ROWS = 1000
+
+
+def bootstrap(rows: DataFrame, keys: Sequence[str], replicates: int = BOOTSTRAPS, alpha: float = 0.05) -> DataFrame:
+    """(the keys, upper): the 1 - alpha / 2 quantile of the bootstrapped coefficient of variation of each group. rows:
+    keys, _at (the place in the group, from 0), y and _size (the group's rows).
+
+    A task runs through its rows and keeps three sums a replicate for the group it is in. A group that it has seen whole
+    is decided there; of others the sums go on, and are added up by replicate: a group of any size costs a task no more."""
+    names, kinds = list(keys), dict(rows.dtypes)
+    numbers = np.arange(replicates)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        seen, size, sums = 0, 0, np.zeros((3, replicates))
+        done: list[tuple] = []
+
+        def close() -> None:
+            if now is not None:
+                whole = seen == size
+                done.append((*now, _upper(variations(sums), alpha) if whole else None, None if whole else sums.tolist()))
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([r[i] for r in done], schema.field(i).type) for i in range(len(names))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([r[-2] for r in done], pa.float64()), pa.array([r[-1] for r in done], pa.list_(pa.list_(pa.float64())))], names=[*names, "upper", "sums"])
+
+        for batch in batches:
+            schema = batch.schema
+            for low in range(0, len(batch), _ROWS):
+                part = batch.slice(low, _ROWS)
+                of = list(zip(*(part.column(i).to_pylist() for i in range(len(names))), strict=True))
+                at, y, all_ = (part.column(c).to_numpy() for c in ("_at", "y", "_size"))
+                w = weights(at, numbers)
+                starts = [0, *(i for i in range(1, len(of)) if of[i] != of[i - 1])]
+                added = [np.add.reduceat(x, starts, axis=0) for x in (w, w * y[:, None], w * (y * y)[:, None])]
+                ends = [*starts[1:], len(of)]
+                for i, (first, last) in enumerate(zip(starts, ends, strict=True)):
+                    if of[first] != now:
+                        close()
+                        now, seen, size, sums = of[first], 0, int(all_[first]), np.zeros((3, replicates))
+                    seen += last - first
+                    sums += [x[i] for x in added]
+            if len(done) > 100:
+                yield out()
+                done = []
+        close()
+        if done:
+            yield out()
+
+    schema = ", ".join(f"{n} {kinds[n]}" for n in names)
+    told = materialise(rows.select(*names, "_at", "y", "_size").mapInArrow(run, f"{schema}, upper double, sums array<array<double>>"))
+    at = lambda i, b: F.get(F.get("sums", F.lit(i)), b)
+    partial = told.where("sums IS NOT NULL").select(*names, F.posexplode(F.transform(F.get("sums", F.lit(0)), lambda w, b: F.struct(w.alias("w"), at(1, b).alias("y"), at(2, b).alias("z")))).alias("_b", "_s"))
+    merged = partial.groupBy(*names, "_b").agg(*[F.sum(F.col("_s")[n]).alias(f"_{n}") for n in "wyz"])
+    spread = F.sqrt(F.greatest(F.col("_z") - F.col("_y") * F.col("_y") / F.col("_w"), F.lit(0.0)) / (F.col("_w") - 1))
+    cv = F.when(F.col("_w") >= 2, F.when(F.col("_y") == 0, F.lit(math.inf)).otherwise(spread / F.abs(F.col("_y") / F.col("_w"))))
+    cut = merged.select(*names, cv.alias("_cv")).groupBy(*names).agg(F.coalesce(F.percentile("_cv", F.lit(1 - alpha / 2)), F.lit(math.inf)).alias("upper"))  # replicates values a group
+    return told.where("sums IS NULL").select(*names, "upper").unionByName(cut)
+
+
+def regression_conflicts(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """(the keys, n, conflict) of each combination of keys: merge if its labels agree, else drop: where their population
+    deviation is over half of the mean, or their range over three times the mean (in absolute value). A single label,
+    and equal ones, agree. Aggregates with partial sums only."""
+    need(df, [*keys, label])
+    x = quoted(label).cast("double")
+    y = F.when(~F.isnan(x), x)
+    g = df.groupBy(*[quoted(c).alias(c) for c in keys]).agg(F.count(y).alias("n"), F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_s"), (F.max(y) - F.min(y)).alias("_range"))
+    far = F.when(F.col("_mean") == 0, F.col("_range") > 0).otherwise(F.col("_s") / F.abs("_mean") > 0.5)
+    drop = (F.col("n") > 1) & (far | (F.col("_range") > 3 * F.abs("_mean")))
+    return g.select(*[quoted(c) for c in keys], "n", F.when(drop, "drop").otherwise("merge").alias("conflict"))
 
 
 def _key(columns: Sequence[str]) -> list[Column]:
     return [quoted(c).alias(f"_k{i}") for i, c in enumerate(columns)]
 
 
-def strategies(df: DataFrame, keys: Sequence[str], label: str | None = None, binary: bool = True, alpha: float = 0.05, cv_threshold: float = 0.3, order: Sequence[str] = ()) -> DataFrame:
+def strategies(df: DataFrame, keys: Sequence[str], label: str | None = None, binary: bool = True, alpha: float = 0.05, cv_threshold: float = 0.3, order: Sequence[str] = (), replicates: int = BOOTSTRAPS) -> DataFrame:
     """(_k0, ..., n, n_labels, merge_strategy, strategy_reason) of each combination of keys.
 
     A combination of one row is unique; one with a null in the first key is dropped, as is, without labels, any
     repeated one. Binary labels: equal ones keep the first, a significant majority votes, else drop. Continuous
-    labels: the bootstrapped coefficient of variation decides between mean, median and drop; only groups with different
-    labels meet in a task for it, as arrays.
+    labels: the bootstrapped coefficient of variation decides between mean, median (if a label is beyond 1.5 quartile
+    ranges) and drop. The places of rows in the bootstrap are those in the given order, then by label.
     """
     need(df, [*keys, *([label] if label else [])])
     no_key = F.col("_k0").isNull()
@@ -91,19 +180,24 @@ def strategies(df: DataFrame, keys: Sequence[str], label: str | None = None, bin
         reason = F.when(no_key, "no key").when(F.col("n_labels") == 0, "no label").when(F.col("n") == 1, "one row").when(F.col("lo") == F.col("hi"), "identical labels").when(votes, "significant majority").otherwise("labels conflict")
         return g.select(*[f"_k{i}" for i in range(len(keys))], "n", "n_labels", kind.alias("merge_strategy"), reason.alias("strategy_reason"))
     rows = [quoted(c).alias(f"_o{i}") for i, c in enumerate(order)]
-    g = df.groupBy(*_key(keys)).agg(F.count("*").alias("n"), F.count(y).alias("n_labels"), F.min(y).alias("lo"), F.max(y).alias("hi"))
+    names, places = [f"_k{i}" for i in range(len(keys))], [f"_o{i}" for i in range(len(order))]
+    g = materialise(df.groupBy(*_key(keys)).agg(F.count("*").alias("n"), F.count(y).alias("n_labels"), F.min(y).alias("lo"), F.max(y).alias("hi")))
     disputed = g.where((F.col("n") > 1) & (F.col("lo") < F.col("hi")) & ~no_key)
-    same = [F.col(f"l._k{i}").eqNullSafe(F.col(f"r._k{i}")) for i in range(len(keys))]
-    labels = df.select(*_key(keys), y.alias("y"), *rows).where("y is not null").alias("l").join(disputed.alias("r"), same).select(*[f"l._k{i}" for i in range(len(keys))], "l.y", *[f"l._o{i}" for i in range(len(order))])
-    listed = labels.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.transform(F.array_sort(F.collect_list(F.struct(*[f"_o{i}" for i in range(len(order))], "y"))), lambda s: s["y"]).alias("ys"))
-
-    def decide(batches):
-        for batch in batches:
-            found = [_continuous(v, cv_threshold, alpha) for v in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], names=[*batch.schema.names[:-1], "found", "why"])
-
-    kinds = dict(listed.dtypes)
-    decided = listed.mapInArrow(decide, ", ".join(f"_k{i} {kinds[f'_k{i}']}" for i in range(len(keys))) + ", found string, why string")
+    same = [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
+    labels = df.select(*_key(keys), y.alias("y"), *rows).where("y is not null").alias("l").join(disputed.alias("r"), same).select(*[f"l.{n}" for n in names], "l.y", *[f"l.{n}" for n in places], F.col("r.n_labels").alias("_size"))
+    ranked = materialise(numbered(labels, [*names, *places, "y"], "_row"))
+    starts = ranked.groupBy(*names).agg(F.min("_row").alias("_start"))
+    placed = ranked.alias("l").join(starts.alias("r"), same).select(*[f"l.{n}" for n in names], "l.y", "l._size", (F.col("l._row") - F.col("r._start")).alias("_at"))
+    upper = bootstrap(placed, names, replicates, alpha)
+    quartiles = group_quantiles(ranked, names, "y", [0.25, 0.75])
+    wide = 1.5 * (F.col("q1") - F.col("q0"))
+    cut = disputed.alias("l").join(quartiles.alias("r"), same).select(*[f"l.{n}" for n in names], ((F.col("l.lo") < F.col("r.q0") - wide) | (F.col("l.hi") > F.col("r.q1") + wide)).alias("out"))
+    agree = F.coalesce(F.col("l.upper") <= cv_threshold, F.lit(False)) & ~F.isnan("l.upper")
+    decided = upper.alias("l").join(cut.alias("r"), same).select(
+        *[f"l.{n}" for n in names],
+        F.when(~agree, "drop").when(F.col("r.out"), "median").otherwise("mean").alias("found"),
+        F.when(~agree, "labels disagree").when(F.col("r.out"), "labels agree, with outliers").otherwise("labels agree").alias("why"),
+    )
     same = [F.col(f"l._k{i}").eqNullSafe(F.col(f"r._k{i}")) for i in range(len(keys))]
     both = g.alias("l").join(decided.alias("r"), same, "left").select("l.*", "r.found", "r.why")
     kind = F.when(no_key | (F.col("n_labels") == 0), "drop").when(F.col("n") == 1, "unique").when(F.col("found").isNotNull(), F.col("found")).otherwise("keep_first")
@@ -126,7 +220,8 @@ def deduplicate(df: DataFrame, keys: Sequence[str], order: Sequence[str], label:
     """One row for each combination of keys, by the merge_strategy of its first row in order (or none at all for
     repeated ones, with drop_all): the first row, with the label of the smallest mode, the mean or the median.
 
-    All strategies are aggregates with partial sums; a group is never collected."""
+    All strategies are aggregates with partial sums, but the median, which is found by group_quantiles; a group is never
+    collected."""
     need(df, [*keys, *order, "merge_strategy"])
     extra = ("merge_strategy", "strategy_reason")
     columns = [c for c in df.columns if c not in extra]
@@ -134,7 +229,7 @@ def deduplicate(df: DataFrame, keys: Sequence[str], order: Sequence[str], label:
     row = F.struct(*[quoted(c).alias(c) for c in df.columns])
     aggregates = [F.min_by(row, rank).alias("_r"), F.count("*").alias("_n")]
     if label:
-        aggregates += [F.avg(quoted(label).cast("double")).alias("_mean"), F.median(quoted(label).cast("double")).alias("_median")]
+        aggregates.append(F.avg(quoted(label).cast("double")).alias("_mean"))
     g = df.groupBy(*_key(keys)).agg(*aggregates)
     strategy = F.col("_r.merge_strategy")
     out = g.where(strategy != "drop")
@@ -146,6 +241,10 @@ def deduplicate(df: DataFrame, keys: Sequence[str], order: Sequence[str], label:
     modes = counts.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min(F.struct((-F.col("_c")).alias("c"), "_v")).alias("_mode"))
     same = [F.col(f"l._k{i}").eqNullSafe(F.col(f"r._k{i}")) for i in range(len(keys))]
     both = out.alias("l").join(modes.alias("r"), same, "left").select("l.*", "r._mode")
+    wanted = out.where(strategy == "median").select(*[f"_k{i}" for i in range(len(keys))])
+    some = df.select(*_key(keys), quoted(label).alias("_v")).alias("l").join(wanted.alias("r"), same, "left_semi")
+    medians = group_quantiles(some, [f"_k{i}" for i in range(len(keys))], "_v", [0.5])
+    both = both.alias("l").join(medians.alias("r"), same, "left").select("l.*", F.col("r.q0").alias("_median"))
     kind = df.schema[label].dataType
     value = F.when(strategy == "mean", F.col("_mean")).when(strategy == "median", F.col("_median"))
     if kind.simpleString() in ("double", "float"):

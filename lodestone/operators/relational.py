@@ -117,6 +117,35 @@ def quantiles(df: DataFrame, columns: Sequence[Column], probabilities: Sequence[
     return out
 
 
+def group_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """(the keys, n, q0, q1, ...): exact quantiles of each group, linear between neighbours. Nulls and NaN are passed
+    over, and groups without values have no row; null keys are a group.
+
+    Different values are counted, dealt by range of (keys, value) and numbered by running sums over that order, less
+    the rows of the groups before; of each group only the values at the wanted places are kept, by aggregates. So a
+    group may hold all rows: no task sees more than a range of its values."""
+    need(df, [*keys, value])
+    names = [f"_k{i}" for i in range(len(keys))]
+    x = quoted(value).cast("double")
+    counts = df.select(*[quoted(c).alias(n) for c, n in zip(keys, names, strict=True)], x.alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)").groupBy(*names, (F.col("_v") + 0.0).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = materialise(running_sums(counts.withColumn("_o", F.struct(*names, "_v")), "_o", ["_n"]))
+    groups = placed.groupBy(*names).agg(F.sum("_n").alias("n"), F.min(F.col("_n_upto") - F.col("_n")).alias("_start"))
+    same = [F.col(f"l.{n}").eqNullSafe(F.col(f"r.{n}")) for n in names]
+    rows = placed.alias("l").join(groups.alias("r"), same).select(*[f"r.{n}" for n in names], "r.n", "l._v", (F.col("l._n_upto") - F.col("r._start")).alias("_upto"), "l._n")
+    wanted = []
+    for k, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        for side, at in (("a", F.floor(place)), ("b", F.ceil(place))):
+            wanted.append(F.max(F.when((F.col("_upto") > at) & (F.col("_upto") - F.col("_n") <= at), F.col("_v"))).alias(f"_{side}{k}"))
+    found = rows.groupBy(*names, "n").agg(*wanted)
+    out = []
+    for k, p in enumerate(probabilities):
+        place = F.lit(float(p)) * (F.col("n") - 1)
+        share, a, b = place - F.floor(place), F.col(f"_a{k}"), F.col(f"_b{k}")
+        out.append(F.when(a == b, a).otherwise(a * (1 - share) + b * share).alias(f"q{k}"))
+    return found.select(*[F.col(n).alias(c) for c, n in zip(keys, names, strict=True)], "n", *out)
+
+
 def head(df: DataFrame, n: int, order: Sequence[str | Column]) -> DataFrame:
     """The first n rows."""
     return df.orderBy(*order).limit(n)
@@ -353,12 +382,15 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
 
 
 def box_stats(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
-    """n, min, q1, median, q3, max of a column, by group. With groups, a task holds the different values of a group."""
+    """n, min, q1, median, q3, max of a column, by group."""
     clean = nan_to_null(df.select(quoted(column).cast("double").alias("x"), *([quoted(group).alias("group")] if group else []))).where("x is not null")
     if not group:
         q1, middle, q3 = (F.lit(q).cast("double") for q in quantiles(clean, [F.col("x")], [0.25, 0.5, 0.75])[0])
         return clean.agg(F.count("x").alias("n"), F.min("x").alias("min"), q1.alias("q1"), middle.alias("median"), q3.alias("q3"), F.max("x").alias("max"))
-    return clean.groupBy("group").agg(F.count("x").alias("n"), F.min("x").alias("min"), F.percentile("x", F.lit(0.25)).alias("q1"), F.median("x").alias("median"), F.percentile("x", F.lit(0.75)).alias("q3"), F.max("x").alias("max"))
+    ends = clean.groupBy("group").agg(F.min("x").alias("min"), F.max("x").alias("max"))
+    inner = group_quantiles(clean, ["group"], "x", [0.25, 0.5, 0.75])
+    both = inner.alias("l").join(ends.alias("r"), F.col("l.group").eqNullSafe(F.col("r.group")))
+    return both.select("l.group", "l.n", "r.min", F.col("l.q0").alias("q1"), F.col("l.q1").alias("median"), F.col("l.q2").alias("q3"), "r.max")
 
 
 def pivot(df: DataFrame, row: str, column: str, value: str, aggregation: str = "mean") -> DataFrame:

@@ -377,12 +377,34 @@ for _how, _sql in (("mean", "avg(l_extendedprice)"), ("median", "median(l_extend
     query(f"SELECT l_partkey, round({_sql}::DOUBLE, 8) AS y FROM lineitem GROUP BY 1")(_merged(_how))
 
 
-@query()
+_POISSON_SQL = " + ".join(f"(x >= {t})::INT" for t in duplicates.POISSON)
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount::DOUBLE AS y, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_discount) - 1 AS p FROM lineitem),
+    g AS MATERIALIZED (SELECT l_partkey, count(*) AS n, min(y) AS lo, max(y) AS hi, quantile_cont(y, 0.25) AS q1, quantile_cont(y, 0.75) AS q3 FROM l GROUP BY 1),
+    a AS (SELECT l_partkey, y, b, ((p::UBIGINT * 2654435761) % 4294967296 + (b::UBIGINT * 2246822519) % 4294967296) % 4294967296 AS x FROM l JOIN g USING (l_partkey), range(1000) t(b) WHERE n > 1 AND lo < hi),
+    c AS (SELECT l_partkey, y, b, (xor(x, x >> 16) * 2246822519) % 4294967296 AS x FROM a), d AS (SELECT l_partkey, y, b, (xor(x, x >> 13) * 3266489917) % 4294967296 AS x FROM c),
+    w AS (SELECT l_partkey, y, b, {_POISSON_SQL} AS w FROM (SELECT l_partkey, y, b, xor(x, x >> 16) AS x FROM d)),
+    s AS (SELECT l_partkey, b, sum(w) AS w, sum(w * y) AS y, sum(w * y * y) AS s FROM w GROUP BY 1, 2),
+    u AS (SELECT l_partkey, quantile_cont(CASE WHEN y = 0 THEN 'inf'::DOUBLE ELSE sqrt(greatest(s - y * y / w, 0) / (w - 1)) / abs(y / w) END, 0.975) AS u FROM s WHERE w >= 2 GROUP BY 1)
+    SELECT l_orderkey, l_linenumber, CASE WHEN n = 1 THEN 'unique' WHEN lo = hi THEN 'keep_first' WHEN u IS NULL OR isnan(u) OR u > 0.3 THEN 'drop'
+        WHEN lo < q1 - 1.5 * (q3 - q1) OR hi > q3 + 1.5 * (q3 - q1) THEN 'median' ELSE 'mean' END AS merge_strategy FROM l JOIN g USING (l_partkey) LEFT JOIN u USING (l_partkey)""")
 def duplicate_strategy_continuous(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_discount").cast("double").alias("y"))
     return duplicates.find_duplicates(rows, ["l_partkey"], "y", binary=False, order=["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "merge_strategy")
 
 
+@query("""SELECT l_partkey, count(*) AS n, CASE WHEN count(*) > 1 AND (CASE WHEN avg(y) = 0 THEN max(y) > min(y) ELSE stddev_pop(y) / abs(avg(y)) > 0.5 END OR max(y) - min(y) > 3 * abs(avg(y))) THEN 'drop' ELSE 'merge' END AS conflict
+    FROM (SELECT l_partkey, l_discount::DOUBLE AS y FROM lineitem) GROUP BY 1""")
+def duplicate_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return duplicates.regression_conflicts(table(spark, sf, "lineitem"), ["l_partkey"], "l_discount")
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(quantile_cont(l_extendedprice::DOUBLE, 0.1), 6) AS q0, round(median(l_extendedprice::DOUBLE), 6) AS q1, round(quantile_cont(l_extendedprice::DOUBLE, 0.99), 6) AS q2 FROM lineitem GROUP BY 1, 2""")
+def group_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(relational.group_quantiles(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", [0.1, 0.5, 0.99]))
+
+
 # --- similarity -----------------------------------------------------------------------------------------------------
 
 

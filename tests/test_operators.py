@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +209,55 @@ class TestDuplicates:
         kept = {r.s: r.y for r in duplicates.deduplicate(found, ["s"], ["k"], "y").collect()}
         assert kept == {"near": pytest.approx(10.125), "same": 2.0, "out": 10.0}
 
+    def test_bootstrap_is_the_same_however_rows_are_dealt(self, spark, monkeypatch):
+        monkeypatch.setattr(duplicates, "_ROWS", 7)
+        rng = random.Random(2)
+        rows = [("hot", 10 + rng.random()) for _ in range(300)] + [(f"g{k % 20}", rng.choice([5.0, 5.5, 6.0, 40.0])) for k in range(90)] + [(None, 1.0), (None, 2.0)]
+        groups = {}
+        for s, y in rows:
+            groups.setdefault(s, []).append(y)
+        placed = [(s, k, y, len(v)) for s, v in groups.items() for k, y in enumerate(v)]
+        want = {}
+        for s, v in groups.items():
+            w = duplicates.weights(np.arange(len(v)), np.arange(1000))
+            y = np.array(v)
+            want[s] = duplicates._upper(duplicates.variations(np.stack([w.sum(0), (w * y[:, None]).sum(0), (w * (y * y)[:, None]).sum(0)])), 0.05)
+        for parts in (1, 5):
+            for order in (placed, rng.sample(placed, len(placed))):
+                df = spark.createDataFrame(order, "s string, _at long, y double, _size long").repartition(parts)
+                got = {r.s: r.upper for r in duplicates.bootstrap(df, ["s"]).collect()}
+                assert got == pytest.approx(want, abs=1e-9)
+
+    def test_weights_are_poisson(self):
+        w = duplicates.weights(np.arange(2000), np.arange(500))
+        assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - math.exp(-1)) < 0.005
+        assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.1 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.15
+
+    def test_bootstrap_variance_is_that_of_resampling(self):
+        y = np.random.default_rng(1).lognormal(3, 0.3, 60)
+        w = duplicates.weights(np.arange(60), np.arange(1000))
+        ours = duplicates.variations(np.stack([w.sum(0), (w * y[:, None]).sum(0), (w * (y * y)[:, None]).sum(0)]))
+        rng = np.random.default_rng(2)
+        plain = [x.std(ddof=1) / x.mean() for x in (rng.choice(y, 60) for _ in range(1000))]
+        assert abs(ours.mean() - np.mean(plain)) < 0.01 and abs(ours.std() / np.std(plain) - 1) < 0.2
+
+    def test_conflicts(self, spark):
+        rows = [("a", 10.0), ("a", 11.0), ("b", 1.0), ("b", 9.0), ("c", 5.0), ("z", 0.0), ("z", 0.0), ("m", -1.0), ("m", 1.0), ("n", None), (None, 2.0), (None, 2.0)]
+        got = {r.s: (r.n, r.conflict) for r in duplicates.regression_conflicts(spark.createDataFrame(rows, "s string, y double"), ["s"], "y").collect()}
+        assert got == {"a": (2, "merge"), "b": (2, "drop"), "c": (1, "merge"), "z": (2, "merge"), "m": (2, "drop"), "n": (0, "merge"), None: (2, "merge")}
+
+    def test_group_quantiles(self, spark):
+        rng = random.Random(4)
+        rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([1.0, 2.0, 2.0, 3.5, 7.0, None, float("nan"), -0.0])) for _ in range(200)] + [("one", 1, 4.0), ("none", 1, None)]
+        groups = {}
+        for a, b, y in rows:
+            if y is not None and not math.isnan(y):
+                groups.setdefault((a, b), []).append(y)
+        got = {(r.a, r.b): (r.n, r.q0, r.q1, r.q2, r.q3) for r in relational.group_quantiles(spark.createDataFrame(rows, "a string, b int, y double"), ["a", "b"], "y", [0, 0.25, 0.61, 1]).collect()}
+        assert got.keys() == groups.keys()
+        for g, v in groups.items():
+            assert got[g] == pytest.approx((len(v), *np.percentile(v, [0, 25, 61, 100])))
+
     def test_labels(self, spark):
         df = spark.createDataFrame([(1.0,), (5.0,), (None,), (float("nan"),)], "x double")
         assert [r.x_binary for r in duplicates.binary_labels(df, "x", 2.0).collect()] == [1, 0, 0, 0]
