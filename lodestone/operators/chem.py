@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import smiles as S
@@ -41,11 +41,12 @@ def require_toolkit(what: str) -> None:
 Step = Callable[[str], tuple[str | None, str]]
 
 
-def _canonical(text: str) -> str:
-    return S.write(S.parse(text))
+def _canonical(text: str, stereo: bool = True) -> str:
+    return S.write(S.parse(text), stereo=stereo)
 
 
-_SOLVENTS = frozenset(map(_canonical, SOLVENTS))
+#: Without stereo marks: every stereoisomer of a solvent is taken for it.
+_SOLVENTS = sorted({_canonical(x, stereo=False) for x in SOLVENTS})
 
 
 def canonicalize(text: str) -> tuple[str | None, str]:
@@ -67,26 +68,6 @@ def remove_salts(text: str) -> tuple[str | None, str]:
     return max([p for p in parts if not _salt(p)] or parts, key=len), PASSED
 
 
-def remove_solvents(text: str) -> tuple[str | None, str]:
-    """The fragments that are no solvents, or all, where all are."""
-    parts = [p.strip() for p in text.split(".") if p.strip()]
-    if "." not in text:
-        return text, SOLVENT_COMMENTS[0]
-    kept = [p for p in parts if _canonical(p) not in _SOLVENTS]
-    if len(kept) == len(parts):
-        return text, SOLVENT_COMMENTS[1]
-    return (".".join(kept), SOLVENT_COMMENTS[3]) if kept else (text, SOLVENT_COMMENTS[2])
-
-
-def defragment(text: str) -> tuple[str | None, str]:
-    """The first of repeated fragments, else the longest text."""
-    parts = [p.strip() for p in text.split(".") if p.strip()]
-    if "." not in text:
-        return text, FRAGMENT_COMMENTS[0]
-    S.parse(text)
-    return (parts[0], FRAGMENT_COMMENTS[1]) if len(set(parts)) < len(parts) else (max(parts, key=len), FRAGMENT_COMMENTS[2])
-
-
 def neutralize(text: str) -> tuple[str | None, str]:
     mol = S.parse(text)
     charged = any(a.charge for a in mol.atoms)
@@ -108,11 +89,43 @@ def validate(text: str) -> tuple[str | None, str]:
     return text, PASSED
 
 
-STEPS: dict[str, tuple[Step, str, str]] = {
+def _fragments(text: Column) -> Column:
+    """The fragments of a SMILES, without blanks around."""
+    return F.filter(F.transform(F.split(text, "\\."), lambda part: F.trim(part)), lambda part: part != "")
+
+
+def _without_solvents(text: Column, canonical: Column) -> tuple[Column, Column]:
+    """(value, comment): a SMILES without its solvents, told by the canonical form of each fragment; as it is where
+    there is one fragment, or nothing else."""
+    numbered = F.transform(_fragments(text), lambda part, k: F.struct(part.alias("part"), F.get(canonical, k).alias("form")))
+    others = F.filter(numbered, lambda f: ~f["form"].isin(_SOLVENTS))
+    none, all_ = F.size(others) == F.size(numbered), F.size(others) == 0
+    says = F.when(~F.contains(text, F.lit(".")), SOLVENT_COMMENTS[0]).when(none, SOLVENT_COMMENTS[1]).when(all_, SOLVENT_COMMENTS[2]).otherwise(SOLVENT_COMMENTS[3])
+    return F.when(says == SOLVENT_COMMENTS[3], F.array_join(F.transform(others, lambda f: f["part"]), ".")).otherwise(text), says
+
+
+def _one_fragment(text: Column, canonical: Column) -> tuple[Column, Column]:
+    """(value, comment): the first fragment, if any comes twice, else the longest text (the first of equal ones)."""
+    parts = _fragments(text)
+    twice = F.size(F.array_distinct(parts)) < F.size(parts)
+    longest = F.array_max(F.transform(parts, lambda part, k: F.struct(F.length(part).alias("n"), (-k).alias("k"), part.alias("part"))))["part"]
+    says = F.when(~F.contains(text, F.lit(".")), FRAGMENT_COMMENTS[0]).when(twice, FRAGMENT_COMMENTS[1]).otherwise(FRAGMENT_COMMENTS[2])
+    return F.when(says == FRAGMENT_COMMENTS[0], text).when(twice, F.get(parts, F.lit(0))).otherwise(longest), says
+
+
+#: Steps that are expressions over fragments, once each of these is read.
+EXPRESSIONS: dict[str, Callable[[Column, Column], tuple[Column, Column]]] = {"remove_solvents": _without_solvents, "defragment": _one_fragment}
+
+
+def _forms(text: str) -> tuple[list[str] | None, str]:
+    return [_canonical(part.strip(), stereo=False) for part in text.split(".") if part.strip()], PASSED
+
+
+STEPS: dict[str, tuple[Step | None, str, str]] = {
     "canonicalize": (canonicalize, "smiles_after_canonicalization", "comments_after_canonicalization"),
     "remove_salts": (remove_salts, "smiles_after_salt_removal", "comments_after_salt_removal"),
-    "remove_solvents": (remove_solvents, "smiles_after_solvent_removal", "comments_after_solvent_removal"),
-    "defragment": (defragment, "smiles_after_defragmentation", "comments_after_defragmentation"),
+    "remove_solvents": (None, "smiles_after_solvent_removal", "comments_after_solvent_removal"),
+    "defragment": (None, "smiles_after_defragmentation", "comments_after_defragmentation"),
     "neutralize": (neutralize, "smiles_after_neutralization", "comments_after_neutralization"),
     "flatten_stereo": (flatten_stereo, "smiles_after_stereo_standardization", "comments_after_stereo_standardization"),
     "remove_isotopes": (remove_isotopes, "smiles_after_isotope_removal", "comments_after_isotope_removal"),
@@ -150,9 +163,19 @@ def _mapped(df: DataFrame, column: str, names: Sequence[str], schema: str, row:
     return df.mapInArrow(run, full)
 
 
+def _by_expression(df: DataFrame, column: str, step: str, value: str, comment: str) -> DataFrame:
+    read = _mapped(df, column, ["_forms", "_why"], "_forms array<string>, _why string", lambda x: guarded(_forms, x))
+    text = F.trim(quoted(column))
+    found, says = EXPRESSIONS[step](text, F.col("_forms"))
+    there = F.col("_forms").isNotNull()
+    return read.withColumns({value: F.when(there, found), comment: F.when(there, says).otherwise(F.col("_why"))}).drop("_forms", "_why")
+
+
 def clean(df: DataFrame, column: str, step: str) -> DataFrame:
     """df with the result of one step and its comment."""
     f, value, comment = STEPS[step]
+    if f is None:
+        return _by_expression(df, column, step, value, comment)
     return _mapped(df, column, [value, comment], f"`{value}` string, `{comment}` string", lambda x: guarded(f, x))
 
 
@@ -161,18 +184,22 @@ def comments(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(quoted(column).alias("comment")).agg(F.count("*").alias("n"))
 
 
-def standardized(text: str | None, steps: Sequence[str] = STANDARD) -> tuple[str | None, str]:
-    """All steps in turn; the first failure ends them and is the comment."""
-    for name in steps:
-        text, comment = guarded(STEPS[name][0], text)
-        if text is None:
-            return None, f"{name}: {comment}"
-    return text, "Standardized"
-
-
 def standardize(df: DataFrame, column: str, steps: Sequence[str] = STANDARD) -> DataFrame:
-    """df with standardized_smiles and standardization_comment, in one pass."""
-    return _mapped(df, column, ["standardized_smiles", "standardization_comment"], "standardized_smiles string, standardization_comment string", lambda x: standardized(x, steps))
+    """df with standardized_smiles and standardization_comment: all steps in turn; the first failure ends them and is the
+    comment. If stereo marks are flattened in any step, they are from the first."""
+    flat = "flatten_stereo" in steps
+    value, says = "standardized_smiles", "standardization_comment"
+    out = df.drop(value, says).withColumns({value: quoted(column), says: F.lit(None).cast("string")})
+    for name in steps:
+        f = STEPS[name][0]
+        if f is None:
+            out = _by_expression(out, value, name, "_value", "_says")
+        else:
+            own = (lambda x: (_canonical(x, stereo=False), PASSED)) if name == "canonicalize" and flat else f
+            out = _mapped(out, value, ["_value", "_says"], "_value string, _says string", lambda x, own=own: guarded(own, x))
+        failed = F.col("_value").isNull() & F.col(says).isNull()
+        out = out.withColumns({says: F.when(failed, F.concat(F.lit(f"{name}: "), F.col("_says"))).otherwise(F.col(says)), value: F.col("_value")}).drop("_value", "_says")
+    return out.withColumn(says, F.coalesce(says, F.lit("Standardized")))
 
 
 DESCRIPTORS = ("mol_weight", "heavy_atoms", "hbd", "hba", "rotatable_bonds", "rings", "aromatic_atoms", "tpsa", "charge", "fraction_sp3")
@@ -240,7 +267,7 @@ def filter_by_rule(df: DataFrame, column: str, rule: str) -> DataFrame:
 
 def filter_by_scaffold(df: DataFrame, column: str, wanted: Sequence[str], action: str = "keep") -> DataFrame:
     """Rows whose scaffold is one of those given (keep), or is not (drop; rows without a scaffold stay)."""
-    canonical = {_canonical(w) if w else "" for w in wanted}
+    canonical = {_canonical(w, stereo=False) if w else "" for w in wanted}
     found = scaffolds(df, column)
     inside = F.coalesce(F.col("scaffold_bemis_murcko").isin(list(canonical)), F.lit(False))
     return found.where(inside if action == "keep" else ~inside)

@@ -6,7 +6,7 @@ from lodestone.functions import smiles as S
 from lodestone.operators import chem
 
 ASPIRIN, CAFFEINE = "CC(=O)Oc1ccccc1C(=O)O", "Cn1cnc2c1c(=O)n(C)c(=O)n2C"
-MOLECULES = [ASPIRIN, CAFFEINE, "c1ccc2[nH]ccc2c1", "C1CC2CCC1C2", "[Na+].[Cl-]", "N#CC(C)(C)O", "O=C(O)[C@H](N)Cc1ccccc1", "c1ccc(-c2ccccc2)cc1", "CC(C)(C)[N+](=O)[O-]", "C%10CCCC%10", "[13CH4]", "FC(F)(F)S(=O)(=O)N"]
+MOLECULES = [ASPIRIN, CAFFEINE, "c1ccc2[nH]ccc2c1", "C1CC2CCC1C2", "[Na+].[Cl-]", "N#CC(C)(C)O", "O=C(O)C(N)Cc1ccccc1", "c1ccc(-c2ccccc2)cc1", "CC(C)(C)[N+](=O)[O-]", "C%10CCCC%10", "[13CH4]", "FC(F)(F)S(=O)(=O)N"]
 
 
 def shuffled(mol, seed):
@@ -75,11 +75,38 @@ def test_tables(table):
 def test_fixed_salts_and_solvents():
     assert chem.remove_salts("CCN.[Cl-]") == ("CCN", "Passed") and chem.remove_salts("[Cl-].CC.CCC.O") == ("CCC", "Passed") and chem.remove_salts("CC") == ("CC", "Passed")
     assert chem.remove_salts("CCO.[Fe+2]")[0] == "[Fe+2]" and chem.remove_salts("F.CC")[0] == "CC"  # iron is no salt's element; one hydrogen
-    assert chem.remove_solvents("OS(=O)(=O)O.OC(=O)c1ccccc1") == ("OC(=O)c1ccccc1", "Pass, removed solvents")
-    assert chem.remove_solvents("CCCCCC.CCN") == ("CCCCCC.CCN", "SMILES string is fragmented, but found no common solvents")
-    assert chem.remove_solvents("CCO.O") == ("CCO.O", "SMILES string is fragmented, but all fragments are common solvents. Kept original SMILES")
-    assert chem.remove_solvents("CCO") == ("CCO", "Pass") == chem.defragment("CCO")
-    assert chem.defragment("CC.CC") == ("CC", "Pass, kept one instance of repeated fragments") and chem.defragment("C.CCC.CC") == ("CCC", "Pass, defragmented to largest component")
+
+
+def test_fixed_solvents_and_fragments(spark):
+    def run(step, *texts):
+        df = chem.clean(spark.createDataFrame(list(enumerate(texts)), "k long, s string"), "s", step)
+        return [tuple(r)[2:] for r in df.orderBy("k").collect()]
+
+    assert run("remove_solvents", "OS(=O)(=O)O.OC(=O)c1ccccc1", "CCCCCC.CCN", "CCO.O", "CCO", "OC(=O)[C@@H](O)[C@H](O)C(O)=O. CCN", None, "C(.C", "CCN.CC.OCC") == [
+        ("OC(=O)c1ccccc1", "Pass, removed solvents"),
+        ("CCCCCC.CCN", "SMILES string is fragmented, but found no common solvents"),
+        ("CCO.O", "SMILES string is fragmented, but all fragments are common solvents. Kept original SMILES"),
+        ("CCO", "Pass"),
+        ("CCN", "Pass, removed solvents"),
+        (None, "no SMILES"),
+        (None, run("remove_solvents", "C(")[0][1]),
+        ("CCN.CC", "Pass, removed solvents"),
+    ]
+    assert run("defragment", "CCO", "CC.CC", "C.CCC.CC", "CC.CN", "") == [("CCO", "Pass"), ("CC", "Pass, kept one instance of repeated fragments"), ("CCC", "Pass, defragmented to largest component"), ("CC", "Pass, defragmented to largest component"), (None, "no SMILES")]
+
+
+@pytest.mark.parametrize("text", ["N[C@@H](C)C(=O)O", "C[C@H](N)C(=O)O", "F/C=C/Cl", "F/C=C\\Cl"])
+def test_marked_molecules_are_refused_or_flattened(spark, text):
+    with pytest.raises(S.SmilesError, match="stereo"):
+        S.write(S.parse(text))
+    df = spark.createDataFrame([(text,)], "s string")
+    row = chem.clean(chem.clean(df, "s", "canonicalize"), "s", "flatten_stereo").first()
+    assert row[1] is None and "stereo" in row[2] and row[3] == S.write(S.parse(text.translate({ord(c): None for c in "@/\\"})))
+    assert chem.standardize(df, "s").first().standardization_comment == "Standardized"
+
+
+def test_long_chains_are_written(spark):
+    assert len(S.parse(S.write(S.parse("C" * 400))).atoms) == 400
 
 
 def test_weights_of_isotopes():
