@@ -269,6 +269,37 @@ def _row_statistics(queries: DataFrame, rows: DataFrame, metric: str, threshold:
     return base.join(state.select("q", median.alias("median_sim")), "q")
 
 
+def best_links(rows: DataFrame, metric: str, size: int = BLOCK) -> DataFrame:
+    """(head, i, j, sim) of rows (id, v, head): of each row and block the most similar row with another head, ties to the
+    smaller pair of keys."""
+    n = _blocks(rows.count(), size)
+    dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    spread = dealt.select("*", other.alias("o")).select(F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"), "b", "id", "v", "head")
+    schema = pa.schema([("head", pa.int64()), ("i", pa.int64()), ("j", pa.int64()), ("sim", pa.float64())])
+
+    def run(part: pa.Table) -> pa.Table:
+        b, lo, hi = part.column("b").to_numpy(), part.column("lo")[0].as_py(), part.column("hi")[0].as_py()
+        left, right = (part.filter(pa.array(b == x)).sort_by("id") for x in (lo, hi))
+        if not left.num_rows or not right.num_rows:
+            return schema.empty_table()
+        (a, v), (c, w) = _arrays(left), _arrays(right)
+        s = matrix(metric, v, w)
+        h, g = left.column("head").to_numpy(), right.column("head").to_numpy()
+        s = np.where(h[:, None] == g[None], -np.inf, s)
+        out = []
+        for ids, heads, others, t in ((a, h, c, s), *(() if lo == hi else ((c, g, a, s.T),))):
+            # The first of equal ones is the one with the smallest key, as rows are in that order: of the links of one
+            # row the smaller pair.
+            at = t.argmax(1)
+            top = t[np.arange(len(ids)), at]
+            kept = top > -np.inf
+            out.append(pa.table([heads[kept], ids[kept], others[at[kept]], top[kept]], schema=schema))
+        return pa.concat_tables(out)
+
+    return spread.groupBy("lo", "hi").applyInArrow(run, "head long, i long, j long, sim double")
+
+
 def mean_similarity(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(i, mean_sim): the mean cosine of each row with all others, from the sum of all unit vectors: no pairs. The sum is
     one row as wide as a vector, broadcast. Zero vectors are like nothing."""

@@ -517,6 +517,23 @@ def cluster_hierarchical(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.hierarchical(_vectors(spark, sf, True), "vec_id", "v").drop("v")
 
 
+@query(f"""WITH RECURSIVE {_V}, e AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j, round({_SIM['cosine'][1]}, 12) AS sim FROM v a JOIN v b ON a.vec_id < b.vec_id),
+    o AS MATERIALIZED (SELECT i, j, row_number() OVER (ORDER BY sim DESC, i, j) AS k FROM e),
+    s AS (SELECT 0 AS step, (SELECT count(*) FROM v) AS n, vec_id, vec_id AS head FROM v UNION ALL
+        (WITH cur AS MATERIALIZED (SELECT * FROM s), link AS MATERIALIZED (SELECT a.head AS x, b.head AS y FROM o JOIN cur a ON a.vec_id = o.i JOIN cur b ON b.vec_id = o.j WHERE a.head <> b.head ORDER BY k LIMIT 1)
+         SELECT step + 1, n - 1, vec_id, CASE WHEN head = greatest(x, y) THEN least(x, y) ELSE head END FROM cur, link WHERE n > 5))
+    SELECT vec_id, (dense_rank() OVER (ORDER BY head) - 1)::INT AS cluster FROM s WHERE step = (SELECT max(step) FROM s)""")
+def cluster_single_linkage(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.hierarchical(_vectors(spark, sf), "vec_id", "v", 5, "single", "cosine").drop("v")
+
+
+@query(f"""WITH {_V}, c AS (SELECT vec_id, v, vec_id % 4 AS c FROM v), d AS (SELECT a.vec_id AS i, a.c, b.c AS o, avg(list_distance(a.v, b.v) ** 2) AS d FROM c a JOIN c b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+    s AS (SELECT i, max(d) FILTER (c = o) AS a, min(d) FILTER (c <> o) AS b FROM d GROUP BY i)
+    SELECT count(*) AS n, 4::BIGINT AS n_clusters, round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM s""")
+def cluster_silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(clustering.silhouette(_vectors(spark, sf).withColumn("c", F.col("vec_id") % 4), "v", "c"))
+
+
 @query()
 def cluster_spectral(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.spectral(_vectors(spark, sf, True), "vec_id", "v", 5).drop("v")

@@ -137,3 +137,38 @@ def test_statistics_without_others(spark):
     assert similarity.training_set_similarity(one.limit(0), one, "k", "v").count() == 0
     (row,) = similarity.training_set_similarity(one, one, "k", "v").collect()
     assert (row.q, row.mean_sim, row.median_sim, row.nearest) == (1, 1.0, 1.0, 1)
+
+
+@pytest.mark.parametrize("metric,n,k", [("cosine", 60, 4), ("euclidean", 35, 1), ("cosine", 7, 7)])
+def test_single_linkage_is_the_dense_one(spark, metric, n, k, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 16)
+    rng = np.random.default_rng(n)
+    v = rng.normal(size=(n, 5)) + 4 * rng.integers(0, 4, n)[:, None] * np.eye(5)[rng.integers(0, 5, n)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(n, None)], "k long, v array<double>")
+    got = {r.k: r.cluster for r in clustering.hierarchical(df, "k", "v", k, "single", metric).collect()}
+    assert got.pop(n) is None
+    assert [got[i] for i in range(n)] == clustering.linkage_labels(1 - similarity.matrix(metric, v, v), k, "single").tolist()
+
+
+def test_spanning_forest_with_ties(spark):
+    rows = [(k, [1.0, 0.0] if k % 2 else [0.0, 1.0]) for k in range(9)]
+    tree = clustering.spanning_forest(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", "cosine").collect()
+    assert len(tree) == 8 and sum(r.sim < 0.5 for r in tree) == 1
+    assert clustering.spanning_forest(spark.createDataFrame(rows[:1], "k long, v array<double>"), "k", "v").count() == 0
+
+
+def test_silhouette_against_distances(spark):
+    rng = np.random.default_rng(3)
+    v, c = rng.normal(size=(40, 3)), rng.integers(0, 4, 40)
+    c[c == 3] = 1
+    c[0] = 3
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    want = []
+    for i in range(40):
+        own = (c == c[i]) & (np.arange(40) != i)
+        a, b = d[i][own].mean() if own.any() else 0, min(d[i][c == o].mean() for o in set(c) - {c[i]})
+        want.append((b - a) / max(a, b) if own.any() else 0)
+    rows = [(x.tolist(), int(k)) for x, k in zip(v, c)] + [([9.0, 9.0, 9.0], -1), (None, 1)]
+    df = spark.createDataFrame(rows, "v array<double>, c int")
+    assert tuple(clustering.silhouette(df, "v", "c", noise=-1).first()) == (40, 4, pytest.approx(np.mean(want)))
+    assert clustering.silhouette(df.where("c = 1"), "v", "c").first().silhouette is None
