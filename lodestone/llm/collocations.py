@@ -26,7 +26,7 @@ from ..operators.relational import numbered, quoted
 from .common import among, discard, materialise, slices, thrifty, thrifty_group
 
 #: Bytes of text in a chunk.
-CHUNK = 16_000_000
+CHUNK = 12_000_000
 #: Words of a phrase, the least occurrences, the rows of a language, and the share (in hundredths) of a phrase's
 #: occurrences in a longer one that makes it a mere part of that.
 WORDS = 4
@@ -55,6 +55,18 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def _near(x: np.ndarray) -> bytes:
+    """Ascending 64-bit numbers as their steps, byte by byte of all, compressed; the length stands before."""
+    planes = np.ascontiguousarray(np.diff(x.astype("<i8"), prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _far(packed: bytes) -> np.ndarray:
+    n = int.from_bytes(packed[:8], "little")
+    planes = np.frombuffer(pa.decompress(packed[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").reshape(-1))
+
+
 def segments(text: str, size: int = CHUNK, context: int = WORDS - 1) -> Iterator[tuple[int, list[bytes]]]:
     """(words that only give context, words and full stops) of a text, in parts of about size bytes."""
     plain = text.encode("utf-8", "surrogatepass").lower().translate(_PLAIN)
@@ -75,7 +87,7 @@ def segments(text: str, size: int = CHUNK, context: int = WORDS - 1) -> Iterator
 
 
 class _Words(dict):
-    """Numbers of a language's words in a chunk, by order of arrival; a full stop is the number of all ones."""
+    """Numbers of a language's words in a chunk, by order of arrival; a full stop is the number with all bits set."""
 
     def __init__(self, lang: str, chunk: list[tuple[str, bytes]]) -> None:
         super().__init__({b".": 0xFFFFFFFF})
@@ -107,12 +119,19 @@ class _Chunk:
     def batches(self, number: int) -> Iterator[pa.RecordBatch]:
         """The chunk's numbers, and a row for each of its words with how often it is there."""
         codes = np.concatenate(self.codes)
+        self.codes = []
+        self.langs = {}
         own = codes[self.skip :]
         counts = np.bincount(own[own != 0xFFFFFFFF], minlength=len(self.words))
-        yield _row_batch(number, codes=[_packed(codes)], size=[len(codes)], skip=[self.skip])
-        for low in range(0, len(self.words), 20_000):
-            part = self.words[low : low + 20_000]
-            yield _row_batch(number, lang=[lang for lang, _ in part], word=[w.decode("utf-8", "surrogatepass") for _, w in part], local=np.arange(low, low + len(part), dtype=np.int32), n=counts[low : low + len(part)])
+        # Frequent words get small numbers, which pack well; a break is 0.
+        order = np.argsort(-counts, kind="stable")
+        place = np.zeros(len(order) + 1, np.uint32)
+        place[order] = np.arange(1, len(order) + 1, dtype=np.uint32)
+        yield _row_batch(number, codes=[_packed(place[np.minimum(codes, len(order))])], size=[len(codes)], skip=[self.skip])
+        for low in range(0, len(order), 20_000):
+            part = order[low : low + 20_000]
+            words = [self.words[k] for k in part.tolist()]
+            yield _row_batch(number, lang=[lang for lang, _ in words], word=[w.decode("utf-8", "surrogatepass") for _, w in words], local=np.arange(low + 1, low + len(part) + 1, dtype=np.int32), n=counts[part])
 
 
 _CHUNKS = "chunk long, codes binary, size int, skip int, lang string, word string, local int, n long"
@@ -168,10 +187,9 @@ def _encode(chunk: pa.Table, words: pa.Table) -> pa.Table:
         return _NO_STATE
     row = {n: chunk.column(n)[0].as_py() for n in ("chunk", "codes", "size", "skip")}
     codes = _unpacked(row["codes"], row["size"])
-    local = words.column("local").to_numpy()
-    table = np.zeros(max(int(local.max()), int(codes[codes != 0xFFFFFFFF].max(initial=0))) + 2, np.int64)
-    table[local] = words.column("id").to_numpy()
-    ids = table[np.minimum(codes, len(table) - 1)]
+    table = np.zeros(int(codes.max(initial=0)) + 1, np.int64)
+    table[words.column("local").to_numpy()] = words.column("id").to_numpy()
+    ids = table[codes]
     pos = np.flatnonzero(ids)
     return _state(row["chunk"], row["skip"], pos, ids[pos])
 
@@ -197,8 +215,10 @@ def _counted(words: int):
             for k in range(len(batch)):
                 chunk, skip, pos, ids, last = _read(batch.slice(k, 1))
                 at, keys = _keys(pos, ids, last)
-                keys, which = np.unique(keys, return_inverse=True)
-                n = np.bincount(which[pos[at] + words > skip], minlength=len(keys))
+                context = keys[pos[at] + words <= skip]
+                del pos, ids, last, at
+                keys, n = np.unique(keys, return_counts=True)
+                np.subtract.at(n, np.searchsorted(keys, context), 1)
                 for low in range(0, len(keys), 100_000):
                     part = slice(low, low + 100_000)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), chunk)), pa.array(keys[part]), pa.array(n[part].astype(np.int64))], names=["chunk", "key", "n"])
@@ -216,8 +236,8 @@ def _longer(before: dict[int, int]):
         chunk, skip, pos, ids, last = _read(state)
         at, keys = _keys(pos, ids, last)
         parts = list(zip(*(known.column(c).to_pylist() for c in ("part", "keys", "nths")), strict=True))
-        wanted = np.concatenate([np.frombuffer(x, "<i8") for _, x, _ in parts])
-        numbers = np.concatenate([np.frombuffer(x, "<i8") + before[part] + 1 for part, _, x in parts])
+        wanted = np.concatenate([_far(x) for _, x, _ in parts])
+        numbers = np.concatenate([_far(x) + before[part] + 1 for part, _, x in parts])
         order = np.argsort(wanted)
         wanted, numbers = wanted[order], numbers[order]
         place = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
@@ -248,7 +268,7 @@ def _runs(least: int, held: int = _HELD):
         chunk, key, nth = chunk[order], key[order].astype("<i8"), nth[order].astype("<i8")
         starts = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]])
         for low, high in zip(starts, np.r_[starts[1:], len(chunk)], strict=True):
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([chunk[low]], pa.int64()), pa.array([key[low:high].tobytes()], pa.binary()), pa.array([nth[low:high].tobytes()], pa.binary())], names=["key", "nth", "f", "of", "keys", "nths"])
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, pa.int64())] * 3, pa.array([chunk[low]], pa.int64()), pa.array([_near(key[low:high])], pa.binary()), pa.array([_near(nth[low:high])], pa.binary())], names=["key", "nth", "f", "of", "keys", "nths"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nth, size = 0, 0

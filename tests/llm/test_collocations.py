@@ -89,7 +89,7 @@ def test_runs_of_any_batches(batch, held):
         total[k] += x
     keys = sorted(k for k in total if total[k] >= 30)
     assert [(r["key"], r["f"], r["nth"]) for r in rows if r["key"] is not None] == [(k, total[k], i) for i, k in enumerate(keys)]
-    places = [(k, r["of"], i) for r in rows if r["of"] is not None for k, i in zip(np.frombuffer(r["keys"], "<i8").tolist(), np.frombuffer(r["nths"], "<i8").tolist())]
+    places = [(k, r["of"], i) for r in rows if r["of"] is not None for k, i in zip(c._far(r["keys"]).tolist(), c._far(r["nths"]).tolist())]
     assert sorted(places) == sorted((k, at, keys.index(k)) for k, at in zip(key.tolist(), chunk.tolist()) if k in keys)
 
 
