@@ -1,12 +1,14 @@
 """Main-text extraction from web pages by the line-block distribution.
 
 A page is cut into lines, one for each block element. Menus, forms, scripts and the like are stripped by their element
-names. Each line weighs the characters of its text outside links, times what the markup says of it: nothing in a part
-that is marked as an advert, a sidebar or comments, and nothing outside the article if the page marks one that holds
-most of its text. The sums of the weights over a sliding window of lines form the line-block distribution: a stretch of
-text starts where it surges and ends where it dives to nothing, and all lines between are kept but those of side parts.
-That holds for every page, with or without <article>: a list of links inside an article is a dive as well. If nothing
-surges, as on a page of a few words, all lines that could weigh are kept.
+names, and parts that are marked as an advert, a sidebar or comments by their marks. Each line left weighs the characters
+of its text outside links. The sums of the weights over a sliding window of lines form the line-block distribution: a
+stretch of text starts where it surges and ends where it dives to nothing, and all lines between are kept. What is a
+surge follows from the page: a share of what a window of its lines holds on average, SURGE characters at most.
+
+If a page marks an article that holds most of its text, that mark is better evidence than any length: only its lines
+weigh, those of nothing but links, too, unless they are items of lists, and anything above nothing is a surge there. So
+on such pages the distribution only takes lists of links out. If nothing surges, all lines that could weigh are kept.
 """
 
 from __future__ import annotations
@@ -45,8 +47,11 @@ _SPACE = re.compile(r"\s+")
 _LISTS = ("ul", "ol", "dl", "table", "select", "menu")
 
 WINDOW = 3
-#: Characters that a window must hold for the text to surge.
+#: Characters that a window must hold, at most, for the text to surge, and the share of an average window that is enough.
 SURGE = 60
+SHARE_OF_MEAN = 0.25
+#: Marks that also stand in names of what a text is about: such a part is none if its lines hold SURGE characters each.
+_WEAK = re.compile(r"share|sharing|social|search")
 #: An <article> of less than this share of the largest one's text is a teaser.
 TEASER = 0.25
 
@@ -54,8 +59,8 @@ TEASER = 0.25
 class Part:
     """An element that is marked as a side part, or an <article> or <main>, and what it holds."""
 
-    def __init__(self, name: str, outer: Part | None, comments: bool = False) -> None:
-        self.name, self.outer, self.comments = name, outer, comments
+    def __init__(self, name: str, outer: Part | None, comments: bool = False, weak: bool = False) -> None:
+        self.name, self.outer, self.comments, self.weak, self.lines = name, outer, comments, weak, 0
         self.article = self.main = False  # whether it holds one
         self.closed = self.begun = False
         self.plain = 0
@@ -63,12 +68,13 @@ class Part:
 
 class Line:
     """A line: its text, the characters outside links, whether the names of its elements strip it, the innermost
-    marked element and the innermost <article> and <main> around it, whether it is a heading."""
+    marked element and the innermost <article> and <main> around it, whether it is a heading, and whether it is in a
+    list or table."""
 
-    __slots__ = ("text", "plain", "aside", "mark", "article", "main", "heading")
+    __slots__ = ("text", "plain", "aside", "mark", "article", "main", "heading", "item")
 
-    def __init__(self, text: str, plain: int, aside: bool, mark: Part | None, article: Part | None, main: Part | None, heading: bool) -> None:
-        self.text, self.plain, self.aside, self.mark, self.article, self.main, self.heading = text, plain, aside, mark, article, main, heading
+    def __init__(self, text: str, plain: int, aside: bool, mark: Part | None, article: Part | None, main: Part | None, heading: bool, item: bool) -> None:
+        self.text, self.plain, self.aside, self.mark, self.article, self.main, self.heading, self.item = text, plain, aside, mark, article, main, heading, item
 
 
 class _Stack:
@@ -110,11 +116,14 @@ def _side_parts(marks: list[Part], lines: list[Line]) -> set[Part]:
             total += x.plain
             if x.mark:
                 x.mark.plain += x.plain
+                x.mark.lines += 1
     for m in reversed(marks):  # inner ones stand after their outer ones
         if m.outer:
             m.outer.plain += m.plain
+            m.outer.lines += m.lines
     beside = sum(x.plain for x in lines if x.article and not x.aside and not x.mark)
     lifted = {m for m in marks if m.main or m.plain >= SURGE and 2 * m.plain > total and beside < TEASER * m.plain and (not m.comments or total - m.plain < SURGE and not beside)}
+    lifted |= {m for m in marks if m.weak and m.lines and m.plain >= SURGE * m.lines}
     around: dict[Part | None, int] = {None: 0}  # marks that hold, around an article
     inside: set[Part | None] = set()  # those in a side part without an article
     for m in marks:
@@ -144,7 +153,7 @@ def parsed(page: str) -> tuple[list[Line], list[Part]]:
         nonlocal parts, plain
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            lines.append(Line(text, min(plain, len(text)), asides > 0, mark, hints["article"], hints["main"], bool(stack.blocks) and stack.items[stack.blocks[-1]][0] in HEADINGS))
+            lines.append(Line(text, min(plain, len(text)), asides > 0, mark, hints["article"], hints["main"], bool(stack.blocks) and stack.items[stack.blocks[-1]][0] in HEADINGS, stack.has("li") or stack.has("td")))
         parts, plain = [], 0
 
     def pop(closed: bool = False) -> None:
@@ -210,7 +219,7 @@ def parsed(page: str) -> tuple[list[Line], list[Part]]:
             hints[name] = hint = Part(name, hints[name])
         if m[3] and name not in ("html", "body", "main") and (words := " ".join(x or y or z for x, y, z in _MARKS.findall(m[3])).lower()):
             if (found := MARKED_ASIDE.search(_NO_MARK.sub(" ", words))) is not None:
-                mark = part = Part(name, mark, bool(_COMMENTS.fullmatch(found[0])))
+                mark = part = Part(name, mark, bool(_COMMENTS.fullmatch(found[0])), bool(_WEAK.fullmatch(found[0])))
                 marks.append(part)
         stack.push(name, aside, part, hint)
         asides += aside
@@ -220,8 +229,9 @@ def parsed(page: str) -> tuple[list[Line], list[Part]]:
     return lines, marks
 
 
-def weights(lines: list[Line], marks: list[Part]) -> list[tuple[Line, int]]:
-    """The lines that can be text, with their weights: those of side parts are left out."""
+def weights(lines: list[Line], marks: list[Part]) -> tuple[list[tuple[Line, int]], bool]:
+    """The lines that can be text, with their weights, those of side parts left out; and whether they are those of a
+    marked article."""
     for x in lines:  # a marked part that is never closed is its first line
         first = x.mark
         if first is not None and not (first.closed or first.begun or first.article or first.main):
@@ -247,10 +257,10 @@ def weights(lines: list[Line], marks: list[Part]) -> list[tuple[Line, int]]:
     hinted = sum(x.plain for x in rest if x.main or x.article and x.article not in teasers)
     if 2 * hinted <= total or not hinted:  # no article that holds most of the text
         small = {a for a, n in articles.items() if n < TEASER * (total - hinted)}
-        return [(x, 0 if x.article in small else x.plain) for x in rest]
+        return [(x, 0 if x.article in small else x.plain) for x in rest], False
     around = {a.outer for a in articles if a.outer}  # an article around others is none of several
     inside = [x for x in rest if x.main or x.article]
-    return [(x, 0 if x.article in teasers and x.article not in around else x.plain + SURGE * (x.plain > 0)) for x in inside]
+    return [(x, 0 if x.article in teasers and x.article not in around else x.plain or int(not x.item)) for x in inside], True
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -258,20 +268,21 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
 
     Headings right before a surge belong to it. Of equal stretches all are kept; a stretch goes on over less than a
     window of lines that weigh nothing."""
-    lines = weights(*parsed(page)) if page else []
+    lines, marked = weights(*parsed(page)) if page else ([], False)
     weighed = np.array([w for _, w in lines], np.int64)
     if not weighed.any():
         return ""
+    surge = 1 if marked else min(surge, max(1, int(SHARE_OF_MEAN * window * weighed[weighed > 0].mean())))
     sums = np.convolve(weighed, np.ones(window, np.int64))[: len(weighed)]  # of each line and those just before it
-    stretches, begin, last = [], None, 0
+    stretches, begin, last, after = [], None, 0, 0
     for k in range(len(lines) + 1):
         if k < len(lines) and begin is None and weighed[k] and sums[min(k + window - 1, len(lines) - 1)] >= surge:
             begin = k
-            while begin and lines[begin - 1][0].heading and weighed[begin - 1]:
+            while begin > after and weighed[begin - 1] and lines[begin - 1][0].heading:
                 begin -= 1
         elif begin is not None and (k == len(lines) or not sums[k]):
             stretches.append((begin, last + 1))
-            begin = None
+            begin, after = None, last + 1
         if k < len(lines) and weighed[k]:
             last = k
     return "\n".join(lines[k][0].text for a, b in stretches or [(0, len(lines))] for k in range(a, b))

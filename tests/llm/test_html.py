@@ -167,3 +167,54 @@ def test_nested_and_open_markup_in_linear_time(unit):
     once = time.process_time() - began
     html.main_text(first * 2 * n + second * 2 * n)
     assert time.process_time() - began - once < 3 * once + 0.5 and once < 10
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<article><p><a href=/>Lead of links only</a></p>{_p(*_A)}<p><a href=/x>The last paragraph links</a></p></article>", "Lead of links only\n" + _FLAT + "\nThe last paragraph links"),
+        (f"<article>{_p(*_A)}{_MENU}<p>Short end.</p></article>", _FLAT + "\nShort end."),
+        (f"<article>{_p('One.', 'Two.', 'Three.', 'Four.', 'Five.', *_A)}</article>", "One.\nTwo.\nThree.\nFour.\nFive.\n" + _FLAT),
+        (f'<article>{_p(*_A[:2])}<section class="market-share">{_p(_A[2])}</section><section id="social-history">{_p(_A[3])}</section></article>', _FLAT),
+        (f'<article>{_p(*_A)}<div class="share"><p>Share</p><p>Tweet it</p></div></article>', _FLAT),
+    ],
+)
+def test_marked_articles_are_whole(page, text):
+    assert html.main_text(page) == text
+
+
+def test_window_and_surge_decide_on_unmarked_pages():
+    verse = [f"Short line {k}" for k in range(6)]
+    page = f"<div>{_p(*verse)}</div>{_MENU}<div>{_p(*_A)}</div>"
+    assert html.main_text(page) == "\n".join(verse) + "\n" + _FLAT  # half of an average window is enough
+    assert html.main_text(page, surge=10**6) == html.main_text(page)
+    close = f"<div>{_p('A note.')}</div>{_MENU}<div>{_p(*_A)}</div>"
+    assert html.main_text(close) == _FLAT and html.main_text(close, surge=1) == "A note.\n" + _FLAT
+
+
+def plain_stretches(weighed, window, surge):
+    """Stretches by trying every line: from a line that weighs whose window ahead holds a surge, up to where a whole window holds nothing."""
+    out, k, n = [], 0, len(weighed)
+    while k < n:
+        if weighed[k] and sum(weighed[max(0, min(k + window - 1, n - 1) - window + 1) : min(k + window - 1, n - 1) + 1]) >= surge:
+            end = k
+            while end < n and sum(weighed[max(0, end - window + 1) : end + 1]):
+                end += 1
+            out += [i for i in range(k, max(i for i in range(k, end) if weighed[i]) + 1)]
+            k = end
+        k += 1
+    return out or list(range(n))
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_stretches_against_trying_every_line(seed):
+    import random
+
+    rng = random.Random(seed)
+    lines = [(f"w{k} " + "word " * rng.choice([0, 0, 1, 3, 20]), rng.random() < 0.4) for k in range(rng.randrange(1, 40))]
+    page = "".join(f"<p><a href=x>{t}</a></p>" if link else f"<p>{t}</p>" for t, link in lines)
+    weighed = [0 if link else len(t.replace(" ", "")) for t, link in lines]
+    window, surge = rng.choice([1, 2, 3, 5]), rng.choice([1, 20, 60, 400])
+    some = [w for w in weighed if w]
+    want = "" if not some else "\n".join(" ".join(lines[k][0].split()) for k in plain_stretches(weighed, window, min(surge, max(1, int(0.25 * window * sum(some) / len(some))))))
+    assert html.main_text(page, window, surge) == want
