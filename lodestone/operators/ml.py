@@ -1,12 +1,14 @@
 """Models by name, cross-validation, prediction with uncertainty, evaluation and tuning, on Spark ML.
 
 A data set has a key, a vector (array of doubles) and a label. Models without a Spark counterpart are composed: kNN by
-block-wise top-k, AdaBoost by reweighting trees, LDA by class means and a pooled covariance from one aggregation.
-Kernel SVMs have none: `svc` is linear and `svr` fits a Huber-loss linear model; both say so in their registry entry.
+block-wise top-k, AdaBoost by reweighting trees, LDA by class means and a pooled covariance from one aggregation, kernel
+machines by a linear solver over Nystroem features. Models with uncertainty are bootstrap ensembles: a member weighs each
+row by a Poisson variable that follows from a hash, so the weights are the same on any cluster.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections.abc import Callable, Sequence
@@ -15,12 +17,14 @@ from itertools import product
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import materialise
 from . import metrics as M
 from .relational import need, quoted
 
@@ -61,6 +65,73 @@ _TREE = {"max_depth": [3, 5, 10, 20], "min_samples_leaf": [1, 2, 5]}
 _BOOST = {"n_estimators": [20, 50, 100], "learning_rate": [0.03, 0.1, 0.3], "max_depth": [2, 3, 5]}
 
 
+#: Rows that kernel machines take as landmarks: a bounded sample, the first ones in the order of a hash.
+LANDMARKS = 300
+
+
+def kernel(p: dict[str, Any], gamma: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Kernel values of the rows of a with those of b."""
+    kind = p.get("kernel", "rbf")
+    if kind == "rbf":
+        d = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+        return np.exp(-gamma * np.maximum(d, 0))
+    if kind == "poly":
+        return (gamma * (a @ b.T) + p.get("coef0", 1.0)) ** p.get("degree", 3)
+    if kind == "linear":
+        return a @ b.T
+    raise ValueError(f"unknown kernel: {kind}")
+
+
+class _Nystroem:
+    """A kernel machine: rows become their kernel values with landmarks, times the inverse root of the landmarks' own
+    kernel matrix, and a linear model is fitted to that. All rows are mapped, in Arrow batches; the landmarks are sent
+    with the function, LANDMARKS rows of a vector's width.
+
+    kernel: rbf (gamma: a number, or scale: one by width times variance), poly (degree, coef0) or linear."""
+
+    def __init__(self, p: dict[str, Any], seed: int, linear: Callable[[], Any]) -> None:
+        self.p, self.seed, self.linear = p, seed, linear
+
+    def fit(self, df: DataFrame) -> _Nystroem:
+        out = _Nystroem(self.p, self.seed, self.linear)
+        v = vector_to_array(FEATURES)
+        rows = df.select(v.alias("v")).orderBy(F.xxhash64(F.lit(self.seed), v), "v").limit(self.p.get("n_components", LANDMARKS)).collect()
+        out.landmarks = np.unique(np.array([r.v for r in rows], float), axis=0)
+        told = df.select(F.explode(v).alias("x")).agg(F.var_pop("x")).first()[0] or 1.0
+        gamma = self.p.get("gamma", "scale")
+        out.gamma = 1 / (out.landmarks.shape[1] * told) if gamma == "scale" else 1 / out.landmarks.shape[1] if gamma == "auto" else float(gamma)
+        values, vectors = np.linalg.eigh(kernel(self.p, out.gamma, out.landmarks, out.landmarks))
+        kept = values > max(1e-10, values.max() * 1e-12)
+        out.root = vectors[:, kept] / np.sqrt(values[kept])
+        out.model = self.linear().fit(out._mapped(df))
+        return out
+
+    def _mapped(self, df: DataFrame) -> DataFrame:
+        """df with the features of the linear model in place of its own, which go to _raw."""
+        from pyspark.sql.functions import pandas_udf
+
+        p, gamma, landmarks, root = self.p, self.gamma, self.landmarks, self.root
+
+        @pandas_udf("array<double>")
+        def features(v: pd.Series) -> pd.Series:
+            return pd.Series(list(kernel(p, gamma, np.stack(v.to_numpy()), landmarks) @ root)) if len(v) else pd.Series([], dtype=object)
+
+        return df.withColumn("_raw", F.col(FEATURES)).withColumn(FEATURES, array_to_vector(features(vector_to_array("_raw"))))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self._mapped(df)).drop(FEATURES).withColumnRenamed("_raw", FEATURES)
+
+
+#: Upper ends of the values of a Poisson variable with mean 1, as shares of all.
+_POISSON = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+
+
+def bootstrap_weight(key: Column, seed: int, member: int) -> Column:
+    """How often a row counts for a member of an ensemble: a Poisson variable of mean 1 from md5(seed|member|key)."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(member)), key.cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
+    return sum(((u >= x).cast("double") for x in _POISSON), F.lit(0.0))
+
+
 class _Nearest:
     """k nearest neighbours; the training rows stay a DataFrame."""
 
@@ -69,14 +140,13 @@ class _Nearest:
 
     def fit(self, df: DataFrame) -> _Nearest:
         out = _Nearest({"n_neighbors": self.k}, self.classify)
-        out.train = df.select(F.monotonically_increasing_id().alias("_id"), vector_to_array(FEATURES).alias("_v"), quoted("_label"))
+        out.train = materialise(df.select(F.monotonically_increasing_id().alias("_id"), vector_to_array(FEATURES).alias("_v"), quoted("_label")))
         return out
 
     def transform(self, df: DataFrame) -> DataFrame:
-        from ..plans.tables import materialise
         from .similarity import nearest_neighbors
 
-        train = materialise(self.train)
+        train = self.train
         rows = materialise(df.withColumn("_id", F.monotonically_increasing_id()).withColumn("_v", vector_to_array(FEATURES)))
         near = nearest_neighbors(rows, train, "_id", "_v", self.k, "euclidean", exclude_self=False).join(train.select(F.col("_id").alias("i"), "_label"), "i")
         if self.classify:
@@ -124,9 +194,7 @@ class _AdaBoost:
         self.rounds, self.rate, self.depth, self.seed, self.classify = p.get("n_estimators", 10), p.get("learning_rate", 1.0), p.get("max_depth", 1 if classify else 3), seed, classify
 
     def fit(self, df: DataFrame) -> _AdaBoost:
-        from ..plans.tables import materialise
-
-        data = materialise(df.select(FEATURES, "_label").withColumn("_w", F.lit(1.0)))
+        data = materialise(df.select(FEATURES, "_label", (F.col("_weight") if "_weight" in df.columns else F.lit(1.0)).alias("_w")))
         classes = data.select("_label").distinct().count() if self.classify else 2
         tree = C.DecisionTreeClassifier if self.classify else R.DecisionTreeRegressor
         out = _AdaBoost({"n_estimators": self.rounds}, self.seed, self.classify)
@@ -172,7 +240,7 @@ def _registry() -> dict[str, Entry]:
         "random_forest_classifier": Entry("classifier", lambda p, s: _on(C.RandomForestClassifier, seed=s, **_common(p)), _FOREST),
         "gradient_boosting_classifier": Entry("classifier", lambda p, s: _on(C.GBTClassifier, seed=s, **_boost(p)), _BOOST, "two classes"),
         "logistic_regression": Entry("classifier", lambda p, s: _on(C.LogisticRegression, regParam=1 / p.get("C", 1.0) / 100, elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0, maxIter=p.get("max_iter", 100)), {"C": [0.01, 0.1, 1.0, 10.0], "penalty": ["l1", "l2"]}),
-        "svc": Entry("classifier", lambda p, s: _on(C.LinearSVC, regParam=1 / p.get("C", 1.0) / 100, maxIter=p.get("max_iter", 100)), {"C": [0.01, 0.1, 1.0, 10.0]}, "linear kernel only"),
+        "svc": Entry("classifier", lambda p, s: _Nystroem(p, s, lambda: _on(C.LinearSVC, regParam=1 / p.get("C", 1.0) / 1000, maxIter=p.get("max_iter", 100))), {"C": [0.1, 1.0, 10.0, 100.0], "kernel": ["rbf", "linear", "poly"], "gamma": ["scale", "auto"]}, "Nystroem features"),
         "knn_classifier": Entry("classifier", lambda p, s: _Nearest(p, True), {"n_neighbors": [3, 5, 11]}),
         "decision_tree_classifier": Entry("classifier", lambda p, s: _on(C.DecisionTreeClassifier, seed=s, **_tree(p)), _TREE),
         "adaboost_classifier": Entry("classifier", lambda p, s: _AdaBoost(p, s, True), {"n_estimators": [10, 20], "learning_rate": [0.5, 1.0]}),
@@ -185,7 +253,7 @@ def _registry() -> dict[str, Entry]:
         "ridge": Entry("regressor", lambda p, s: _on(R.LinearRegression, regParam=p.get("alpha", 1.0), elasticNetParam=0.0), linear),
         "lasso": Entry("regressor", lambda p, s: _on(R.LinearRegression, regParam=p.get("alpha", 1.0), elasticNetParam=1.0), linear),
         "elastic_net": Entry("regressor", lambda p, s: _on(R.LinearRegression, regParam=p.get("alpha", 1.0), elasticNetParam=p.get("l1_ratio", 0.5)), linear | {"l1_ratio": [0.1, 0.5, 0.9]}),
-        "svr": Entry("regressor", lambda p, s: _on(R.LinearRegression, loss="huber", epsilon=max(1.01, p.get("epsilon", 1.35)), regParam=1 / p.get("C", 1.0) / 100), {"C": [0.1, 1.0, 10.0]}, "linear with Huber loss"),
+        "svr": Entry("regressor", lambda p, s: _Nystroem(p, s, lambda: _on(R.LinearRegression, loss="huber", epsilon=max(1.01, p.get("epsilon", 1.35)), regParam=1 / p.get("C", 1.0) / 1000)), {"C": [0.1, 1.0, 10.0, 100.0], "kernel": ["rbf", "linear", "poly"], "gamma": ["scale", "auto"]}, "Nystroem features, Huber loss"),
         "knn_regressor": Entry("regressor", lambda p, s: _Nearest(p, False), {"n_neighbors": [3, 5, 11]}),
         "decision_tree_regressor": Entry("regressor", lambda p, s: _on(R.DecisionTreeRegressor, seed=s, **_tree(p)), _TREE),
         "adaboost_regressor": Entry("regressor", lambda p, s: _AdaBoost(p, s, False), {"n_estimators": [10, 20], "learning_rate": [0.5, 1.0]}),
@@ -193,7 +261,7 @@ def _registry() -> dict[str, Entry]:
         "sgd_regressor": Entry("regressor", lambda p, s: _on(R.LinearRegression, regParam=p.get("alpha", 1e-4), maxIter=p.get("max_iter", 100)), {"alpha": [1e-4, 1e-3, 1e-2]}, "same loss, batch solver"),
     }
     for base in ("random_forest_classifier", "gradient_boosting_classifier", "logistic_regression", "decision_tree_classifier", "adaboost_classifier", "extra_trees_classifier", "random_forest_regressor", "gradient_boosting_regressor", "decision_tree_regressor", "adaboost_regressor", "extra_trees_regressor"):
-        e[f"{base}_w_uncertainty"] = Entry(e[base].kind, e[base].make, e[base].space | {"ensemble_size": [5, 10]}, "an ensemble over seeds", ensemble=True)
+        e[f"{base}_w_uncertainty"] = Entry(e[base].kind, e[base].make, e[base].space | {"ensemble_size": [5, 10]}, "a bootstrap ensemble by Poisson weights", ensemble=True)
     return e
 
 
@@ -238,24 +306,40 @@ class Bundle:
 
 
 def _fit(name: str, data: DataFrame, parameters: dict[str, Any], seed: int) -> list[Any]:
+    """data: features, _label and _key. The members of an ensemble are fitted to rows weighted by bootstrap_weight;
+    rows of weight 0 are left out."""
     e = entry(name)
-    size = parameters.get("ensemble_size", 10) if e.ensemble else 1
     p = {k: v for k, v in parameters.items() if k != "ensemble_size"}
-    return [e.make(p, seed + k).fit(data) for k in range(size)]
-
-
-def train(df: DataFrame, vector: str, label: str, algorithm: str = "random_forest_classifier", parameters: dict[str, Any] | None = None, seed: int = 42) -> Bundle:
-    data = prepared(df, vector, label).select(FEATURES, "_label").persist()
+    if not e.ensemble:
+        return [e.make(p, seed).fit(data.select(FEATURES, "_label"))]
+    out = []
+    for k in range(parameters.get("ensemble_size", 10)):
+        estimator = e.make(p, seed + k)
+        if hasattr(estimator, "setWeightCol"):
+            estimator = estimator.setWeightCol("_weight")
+        out.append(estimator.fit(data.select(FEATURES, "_label", bootstrap_weight(F.col("_key"), seed, k).alias("_weight")).where("_weight > 0")))
+    return out
+
+
+def _keyed(data: DataFrame, key: str | None) -> DataFrame:
+    """data with _key: the key as text, or a hash of features and label, by which equal rows weigh the same."""
+    own = quoted(key).cast("string") if key else F.xxhash64(vector_to_array(FEATURES), "_label").cast("string")
+    return data.withColumn("_key", own)
+
+
+def train(df: DataFrame, vector: str, label: str, algorithm: str = "random_forest_classifier", parameters: dict[str, Any] | None = None, seed: int = 42, key: str | None = None) -> Bundle:
+    """key: what the bootstrap weights of ensembles follow from."""
+    data = _keyed(prepared(df, vector, label), key).select(FEATURES, "_label", "_key").persist()
     models = _fit(algorithm, data, parameters or {}, seed)
     data.unpersist()
     return Bundle(algorithm, models, parameters or {}, seed)
 
 
-def cross_validate(folds: DataFrame, vector: str, label: str, algorithm: str = "random_forest_classifier", parameters: dict[str, Any] | None = None, seed: int = 42, fold: str = "fold") -> Bundle:
+def cross_validate(folds: DataFrame, vector: str, label: str, algorithm: str = "random_forest_classifier", parameters: dict[str, Any] | None = None, seed: int = 42, fold: str = "fold", key: str | None = None) -> Bundle:
     """One fit for each fold, on the rows of the others. folds: a data set with a fold column (see splitting)."""
-    data = prepared(folds, vector, label).persist()
+    data = _keyed(prepared(folds, vector, label), key).persist()
     numbers = sorted(r[0] for r in data.select(quoted(fold)).distinct().collect())
-    models = [_fit(algorithm, data.where(quoted(fold) != k).select(FEATURES, "_label"), parameters or {}, seed)[0] for k in numbers]
+    models = [_fit(algorithm, data.where(quoted(fold) != k).select(FEATURES, "_label", "_key"), parameters or {}, seed)[0] for k in numbers]
     data.unpersist()
     return Bundle(algorithm, models, parameters or {}, seed, folds, {"folds": numbers, "fold": fold})
 
@@ -297,6 +381,77 @@ def predict(bundle: Bundle, df: DataFrame, vector: str, name: str = "prediction"
     return out.select(*kept, *[v.alias(k) for k, v in new.items()])
 
 
+def _written(spark: SparkSession, path: str, value: Any) -> None:
+    spark.createDataFrame([(json.dumps(value),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _read(spark: SparkSession, path: str) -> Any:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def _save_model(spark: SparkSession, model: Any, path: str) -> None:
+    """A model in a folder that any Spark reader can open: what it is as JSON, with numbers, members and rows beside."""
+    if isinstance(model, _Lda):
+        _written(spark, f"{path}/what", {"lda": [[y, w.tolist(), b] for y, (w, b) in model.weights.items()]})
+    elif isinstance(model, _AdaBoost):
+        _written(spark, f"{path}/what", {"adaboost": [w for w, _ in model.members], "classify": model.classify})
+        for k, (_, member) in enumerate(model.members):
+            _save_model(spark, member, f"{path}/member{k}")
+    elif isinstance(model, _Nearest):
+        _written(spark, f"{path}/what", {"nearest": model.k, "classify": model.classify})
+        model.train.write.mode("overwrite").parquet(f"{path}/rows")
+    elif isinstance(model, _Nystroem):
+        _written(spark, f"{path}/what", {"nystroem": model.p, "seed": model.seed, "gamma": model.gamma, "landmarks": model.landmarks.tolist(), "root": model.root.tolist()})
+        _save_model(spark, model.model, f"{path}/linear")
+    else:
+        _written(spark, f"{path}/what", {"spark": [type(model).__module__, type(model).__name__]})
+        model.write().overwrite().save(f"{path}/model")
+
+
+def _load_model(spark: SparkSession, path: str) -> Any:
+    what = _read(spark, f"{path}/what")
+    if "lda" in what:
+        out = _Lda()
+        out.weights = {y: (np.array(w), b) for y, w, b in what["lda"]}
+    elif "adaboost" in what:
+        out = _AdaBoost({}, 0, what["classify"])
+        out.members = [(w, _load_model(spark, f"{path}/member{k}")) for k, w in enumerate(what["adaboost"])]
+    elif "nearest" in what:
+        out = _Nearest({"n_neighbors": what["nearest"]}, what["classify"])
+        out.train = spark.read.parquet(f"{path}/rows")
+    elif "nystroem" in what:
+        out = _Nystroem(what["nystroem"], what["seed"], lambda: None)
+        out.gamma, out.landmarks, out.root = what["gamma"], np.array(what["landmarks"]), np.array(what["root"])
+        out.model = _load_model(spark, f"{path}/linear")
+    else:
+        module, name = what["spark"]
+        if module not in (C.__name__, R.__name__):
+            raise ValueError(f"{module}.{name} is no model of this library")
+        out = getattr(C if module == C.__name__ else R, name).load(f"{path}/model")
+    return out
+
+
+def save(bundle: Bundle, spark: SparkSession, path: str) -> None:
+    """Write a bundle into a folder of any file system that Spark writes to; its folds go along as a table."""
+    info = {k: v for k, v in bundle.info.items()}
+    _written(spark, f"{path}/bundle", {"algorithm": bundle.algorithm, "parameters": bundle.parameters, "seed": bundle.seed, "info": info, "models": len(bundle.models), "folds": bundle.folds is not None})
+    for k, model in enumerate(bundle.models):
+        _save_model(spark, model, f"{path}/model{k}")
+    if bundle.folds is not None:
+        bundle.folds.write.mode("overwrite").parquet(f"{path}/folds")
+
+
+def load(spark: SparkSession, path: str) -> Bundle:
+    """The bundle that save wrote."""
+    told = _read(spark, f"{path}/bundle")
+    models = [_load_model(spark, f"{path}/model{k}") for k in range(told["models"])]
+    return Bundle(told["algorithm"], models, told["parameters"], told["seed"], spark.read.parquet(f"{path}/folds") if told["folds"] else None, told["info"])
+
+
+def all_search_spaces() -> dict[str, dict[str, list[Any]]]:
+    return {name: e.space for name, e in MODELS.items()}
+
+
 def evaluate(bundle: Bundle, df: DataFrame | None, vector: str, label: str, metrics: Sequence[str]) -> DataFrame:
     """One row of metrics on df; for a cross-validated bundle without df, (metric, mean, std, min, max) over the rows
     that each model was not fitted on."""

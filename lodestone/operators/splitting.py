@@ -242,3 +242,43 @@ def group_leakage(df: DataFrame, group: str, split: str = "split") -> DataFrame:
     out = pairs.join(both, ["a", "b"], "left").withColumn("n_shared", F.coalesce("n_shared", F.lit(0)))
     pct = 100 * F.col("n_shared") / F.col("n_b")
     return out.select("a", "b", "n_shared", pct.alias("pct_of_b"), F.when(pct > 50, "HIGH").when(pct > 20, "MEDIUM").when(pct > 0, "LOW").otherwise("OK").alias("severity"))
+
+
+Strategy = Callable[..., DataFrame]
+_STRATEGIES: dict[str, Strategy] = {}
+
+
+def register_strategy(name: str) -> Callable[[Strategy], Strategy]:
+    """Decorator that makes a function of a data set and parameters known to cv_splits under a name."""
+
+    def add(f: Strategy) -> Strategy:
+        if name in _STRATEGIES:
+            raise ValueError(f"strategy {name!r} is there already")
+        _STRATEGIES[name] = f
+        return f
+
+    return add
+
+
+for _name, _f in (("kfold", kfold), ("stratified", stratified_kfold), ("cluster", group_kfold), ("scaffold", group_kfold), ("montecarlo", monte_carlo), ("leavepout", leave_p_out)):
+    register_strategy(_name)(_f)
+
+
+def cv_splits(df: DataFrame, strategy: str, **parameters) -> DataFrame:
+    """The rows with their folds or splits by a named strategy: kfold, stratified, cluster, scaffold (by a column of
+    groups), montecarlo, leavepout, or one of register_strategy."""
+    if strategy not in _STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; there are {sorted(_STRATEGIES)}")
+    return _STRATEGIES[strategy](df, **parameters)
+
+
+def guidance() -> dict[str, str]:
+    """When to use which strategy."""
+    return {
+        "kfold": "rows are independent of each other; five or ten folds",
+        "stratified": "labels are rare or skewed: every fold has the same share of each",
+        "cluster": "new rows will be unlike the known ones: whole clusters are held out, scores are lower and more honest",
+        "scaffold": "new molecules will have other scaffolds than the known ones: whole scaffolds are held out",
+        "montecarlo": "independent repeats, of any share: for the spread of a score",
+        "leavepout": "few rows: every one is held out once (p = 1), or every combination",
+    }

@@ -729,6 +729,28 @@ def _labelled_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return _vectors(spark, sf).withColumns({"y": F.when(F.col("v")[0] + F.col("v")[1] > 0, 1).otherwise(0), "z": F.col("v")[0] * 2 - F.col("v")[2]})
 
 
+_WEIGHT_SQL = " + ".join(f"(u >= {x!r})::INT" for x in ml._POISSON)
+
+
+@query(f"""SELECT o_orderkey, m::INT AS member, ({_WEIGHT_SQL})::DOUBLE AS weight
+    FROM (SELECT o_orderkey, m, ('0x' || md5('42|' || m || '|' || o_orderkey)[1:8])::BIGINT / 4294967296.0::DOUBLE AS u FROM orders, range(3) t(m))""")
+def bootstrap_weights(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "orders").select("o_orderkey")
+    weights = F.array(*[F.struct(F.lit(m).alias("member"), ml.bootstrap_weight(F.col("o_orderkey"), 42, m).alias("weight")) for m in range(3)])
+    return rows.select("o_orderkey", F.inline(weights))
+
+
+@query("""SELECT count(*) AS n, true AS beats_linear FROM embeddings""")
+def model_kernel_rings(spark: SparkSession, sf: str) -> DataFrame:
+    """A label that depends on the distance from the origin alone: no linear model tells it, a kernel does."""
+    v = _vectors(spark, sf).select("vec_id", F.slice("v", 1, 2).alias("v"))
+    ring = v.withColumn("r", F.col("v")[0] * F.col("v")[0] + F.col("v")[1] * F.col("v")[1])
+    middle = relational.quantiles(ring, [F.col("r")], [0.5])[0][0]
+    rows = ring.withColumn("y", (F.col("r") > middle).cast("int"))
+    told = {k: ml.evaluate(ml.train(rows, "v", "y", "svc", {"C": 100.0, "kernel": k, "n_components": 100}), rows, "v", "y", ["accuracy"]).first()["accuracy"] for k in ("rbf", "linear")}
+    return rows.agg(F.count("*").alias("n"), F.lit(told["rbf"] > max(0.85, told["linear"] + 0.2)).alias("beats_linear"))
+
+
 @query()
 def model_predict(spark: SparkSession, sf: str) -> DataFrame:
     rows = splitting.random_split(_labelled_vectors(spark, sf), ["vec_id"], 1)

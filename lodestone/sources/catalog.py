@@ -33,6 +33,15 @@ def supported_types() -> list[str]:
     return list(TYPES)
 
 
+def check_data_dir(folder: str | Path) -> dict[str, Any]:
+    """What is known of a folder for projects: whether it is there, is a folder, can be written to, and the names of the
+    projects in it."""
+    path = Path(folder)
+    there = path.is_dir()
+    names = sorted(p.name.removesuffix("_manifest.json") for p in path.glob("*/*_manifest.json")) if there else []
+    return {"folder": str(path), "exists": path.exists(), "is_folder": there, "writable": there and os.access(path, os.W_OK), "projects": names}
+
+
 class Project:
     """A catalog of the resources in one folder."""
 
@@ -82,7 +91,12 @@ class Project:
         elif type_tag in FRAMES:
             obj.write.parquet(path)
         elif type_tag == "model":
-            obj.write().save(path)
+            if hasattr(obj, "write"):
+                obj.write().save(path)
+            else:  # a bundle of operators.ml
+                from ..operators import ml
+
+                ml.save(obj, self.spark, path)
         elif type_tag == "json":
             Path(path).write_text(json.dumps(obj, indent=2, ensure_ascii=False, default=str), encoding="utf-8")
         elif type_tag == "txt":
@@ -106,6 +120,10 @@ class Project:
         if kind in FRAMES:
             return self.spark.read.parquet(str(path))
         if kind == "model":
+            if (path / "bundle").exists():
+                from ..operators import ml
+
+                return ml.load(self.spark, str(path))
             from pyspark.ml import PipelineModel
 
             return PipelineModel.load(str(path))
