@@ -494,7 +494,12 @@ def standardize_scaler(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(v.select("vec_id", F.posexplode("v").alias("p", "x")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_V}, e AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE {_SIM['cosine'][1]} >= 1 - 0.6 - 1e-12),
+    core AS MATERIALIZED (SELECT i FROM e GROUP BY i HAVING count(*) + 1 >= 5), linked AS MATERIALIZED (SELECT e.i, e.j FROM e JOIN core a ON a.i = e.i JOIN core b ON b.i = e.j),
+    r AS (SELECT i, i AS h FROM core UNION SELECT linked.i, r.h FROM r JOIN linked ON linked.j = r.i), heads AS (SELECT i, min(h) AS h FROM r GROUP BY i),
+    members AS (SELECT i, h FROM heads UNION ALL SELECT e.i, min(h) FROM e JOIN heads ON heads.i = e.j WHERE e.i NOT IN (SELECT i FROM core) GROUP BY e.i),
+    numbers AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS c FROM (SELECT DISTINCT h FROM heads))
+    SELECT vec_id, coalesce(c, -1)::INT AS cluster FROM v LEFT JOIN members ON i = vec_id LEFT JOIN numbers USING (h)""")
 def cluster_dbscan(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.dbscan(_vectors(spark, sf), "vec_id", "v", eps=0.6, metric="cosine").drop("v")
 

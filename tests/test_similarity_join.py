@@ -86,7 +86,8 @@ def plain_butina(rows, distance):
 def test_butina_is_the_sequential_one(spark, seed, distance):
     rows = bits(seed, 50, 20, 0.3, copies=seed * 3)
     df = spark.createDataFrame(rows, "k long, v array<double>")
-    assert {r.k: r.cluster for r in clustering.butina(df, "k", "v", distance).collect()} == plain_butina(rows, distance)
+    for last in (0, 60, clustering.LINKS):  # in rounds, in rounds and then in one task, in one task
+        assert {r.k: r.cluster for r in clustering.butina(df, "k", "v", distance, last=last).collect()} == plain_butina(rows, distance)
 
 
 def test_dbscan_counts_copies(spark):
