@@ -120,14 +120,15 @@ def near_rows(df: DataFrame, others: DataFrame, key: str, vector: str, similar:
 
 
 def shared_but_stereo(a: DataFrame, b: DataFrame, smiles: str) -> int:
-    """How many different molecules without stereo marks are in both, where those with the marks differ."""
+    """How many different molecules without stereo marks are in both, where one has marks and the SMILES differ. Marks
+    are not perceived: one molecule with marks in two spellings counts, too."""
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        plain, full = chem.STEPS["flatten_stereo"][1], chem.STEPS["canonicalize"][1]
-        both = chem.clean(chem.clean(df.select(quoted(smiles).alias("s")).distinct(), "s", "flatten_stereo"), "s", "canonicalize")
-        return both.where(quoted(plain).isNotNull()).select(quoted(plain).alias("k"), quoted(full).alias(name)).distinct()
+        plain = chem.STEPS["flatten_stereo"][1]
+        flat = chem.clean(df.select(F.trim(quoted(smiles)).alias("s")).distinct(), "s", "flatten_stereo")
+        return flat.where(quoted(plain).isNotNull()).select(quoted(plain).alias("k"), F.col("s").alias(name), F.col("s").rlike(r"[@/\\]").alias(f"{name}_marks")).distinct()
 
-    return side(a, "x").join(side(b, "y"), "k").where("x <> y").select("k").distinct().count()
+    return side(a, "x").join(side(b, "y"), "k").where("x <> y AND (x_marks OR y_marks)").select("k").distinct().count()
 
 
 def split_report(df: DataFrame, key: str, label: str, split: str = "split", group: str | None = None, numbers: Sequence[str] = (), alpha: float = 0.05, least: int = 50, vector: str | None = None, similar: float = 0.9, metric: str = "tanimoto", smiles: str | None = None) -> dict[str, Any]:
