@@ -138,16 +138,21 @@ def bootstrap(rows: DataFrame, keys: Sequence[str], replicates: int = BOOTSTRAPS
     return told.where("sums IS NULL").select(*names, "upper").unionByName(cut)
 
 
+#: Share by which a quotient of sums may pass a bound and still count as at it.
+_AT = 1e-12
+
+
 def regression_conflicts(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """(the keys, n, conflict) of each combination of keys: merge if its labels agree, else drop: where their population
     deviation is over half of the mean, or their range over three times the mean (in absolute value). A single label,
-    and equal ones, agree. Aggregates with partial sums only."""
+    and equal ones, agree. Aggregates with partial sums only. Sums differ in their last bits with the order of rows, so
+    what is at a bound within a millionth of a millionth is not over it."""
     need(df, [*keys, label])
     x = quoted(label).cast("double")
     y = F.when(~F.isnan(x), x)
     g = df.groupBy(*[quoted(c).alias(c) for c in keys]).agg(F.count(y).alias("n"), F.avg(y).alias("_mean"), F.stddev_pop(y).alias("_s"), (F.max(y) - F.min(y)).alias("_range"))
-    far = F.when(F.col("_mean") == 0, F.col("_range") > 0).otherwise(F.col("_s") / F.abs("_mean") > 0.5)
-    drop = (F.col("n") > 1) & (far | (F.col("_range") > 3 * F.abs("_mean")))
+    far = F.when(F.col("_mean") == 0, F.col("_range") > 0).otherwise(F.col("_s") / F.abs("_mean") > 0.5 * (1 + _AT))
+    drop = (F.col("n") > 1) & (far | (F.col("_range") > 3 * (1 + _AT) * F.abs("_mean")))
     return g.select(*[quoted(c) for c in keys], "n", F.when(drop, "drop").otherwise("merge").alias("conflict"))
 
 

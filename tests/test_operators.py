@@ -246,6 +246,11 @@ class TestDuplicates:
         got = {r.s: (r.n, r.conflict) for r in duplicates.regression_conflicts(spark.createDataFrame(rows, "s string, y double"), ["s"], "y").collect()}
         assert got == {"a": (2, "merge"), "b": (2, "drop"), "c": (1, "merge"), "z": (2, "merge"), "m": (2, "drop"), "n": (0, "merge"), None: (2, "merge")}
 
+    def test_conflicts_at_a_bound_in_any_order(self, spark):
+        rows = [(str(k), x / 100) for k, v in enumerate(([3, 3, 1, 1], [1, 1, 3, 3], [1, 3, 1, 3], [3, 3, 1, 1, 3, 1])) for x in v]  # deviation is half a mean
+        found = duplicates.regression_conflicts(spark.createDataFrame(rows, "s string, y double").coalesce(1), ["s"], "y")
+        assert {r.conflict for r in found.collect()} == {"merge"}
+
     def test_group_quantiles(self, spark):
         rng = random.Random(4)
         rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2]), rng.choice([1.0, 2.0, 2.0, 3.5, 7.0, None, float("nan"), -0.0])) for _ in range(200)] + [("one", 1, 4.0), ("none", 1, None)]
