@@ -56,6 +56,13 @@ def test_both_plans_give_the_same(spark):
     assert report.n_candidates == how.candidates and report.n_pairs == len(found) and report.n_rows == len(rows)
 
 
+@pytest.mark.parametrize("block", [7, 2048])
+def test_report_counts_pairs_of_rows(spark, block):
+    rows = bits(6, 40, 24, 0.2, copies=9)
+    (report,) = similarity.join_report(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", 0.5, block).collect()
+    assert report.n_row_pairs == len(plain_pairs(rows, 0.5)) > report.n_pairs
+
+
 def test_join_refuses_other_numbers(spark):
     df = spark.createDataFrame([(1, [0.5, 1.0]), (2, [1.0, 1.0])], "k long, v array<double>")
     with pytest.raises(Exception, match="vectors of 0 and 1"):
