@@ -139,6 +139,20 @@ def test_statistics_of_rows_in_strips_of_any_size(spark, metric, n, size, monkey
         assert mean == pytest.approx({k: x[0] for k, x in want.items()}, abs=1e-9)
 
 
+@pytest.mark.parametrize("metric,n", [("cosine", 41), ("euclidean", 30), ("manhattan", 24), ("dice", 2), ("tanimoto", 40)])
+def test_statistics_of_pairs_are_never_rows(spark, metric, n, monkeypatch):
+    monkeypatch.setattr(similarity, "_TILE", 4)
+    monkeypatch.setattr(similarity, "_ROUND", 8)
+    monkeypatch.setattr(similarity, "all_pairs", None)
+    v = np.random.default_rng(n).normal(size=(n, 6)).round(1)
+    v = (v > 0.5).astype(float) if metric == "tanimoto" else np.r_[v[:-1], v[:1] + 1e-9]
+    df = spark.createDataFrame([(3 * k, x.tolist()) for k, x in enumerate(v)], "k long, v array<double>")
+    s = similarity.matrix(metric, v, v)[np.triu_indices(n, 1)]
+    got = similarity.pair_statistics(df, "k", "v", metric, size=11).first()
+    assert tuple(got) == pytest.approx((len(s), s.mean(), np.median(s), s.min(), s.max()), abs=1e-12)
+    assert tuple(similarity.pair_statistics(df.limit(1), "k", "v", metric).first()) == (0, None, None, None, None)
+
+
 def test_statistics_without_others(spark):
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "k long, v array<double>")
     assert similarity.similarity_statistics(one, "k", "v").count() == 0 and similarity.mean_similarity(one, "k", "v").count() == 0
