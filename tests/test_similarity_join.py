@@ -153,6 +153,24 @@ def test_statistics_of_pairs_are_never_rows(spark, metric, n, monkeypatch):
     assert tuple(similarity.pair_statistics(df.limit(1), "k", "v", metric).first()) == (0, None, None, None, None)
 
 
+def test_a_task_looks_at_a_tile_at_a_time(spark, monkeypatch):
+    plain = similarity.matrix
+
+    def small(metric, a, b):
+        assert len(a) <= 4 and len(b) <= 4
+        return plain(metric, a, b)
+
+    monkeypatch.setattr(similarity, "_TILE", 4)
+    monkeypatch.setattr(similarity, "matrix", small)
+    v = np.random.default_rng(1).normal(size=(21, 3))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "k long, v array<double>")
+    s = plain("cosine", v, v)
+    top = similarity.training_set_similarity(df, df, "k", "v", 3, "cosine", 30).collect()
+    assert {r.q: r.top_k_mean for r in top} == pytest.approx({k: np.sort(s[k])[-3:].mean() for k in range(21)})
+    rows = df.selectExpr("k as id", "v", "k % 2 as head")
+    assert {r.i: r.sim for r in similarity.best_links(rows, "cosine", 30).collect()} == pytest.approx({k: s[k, 1 - k % 2 :: 2].max() for k in range(21)})
+
+
 def test_statistics_without_others(spark):
     one = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "k long, v array<double>")
     assert similarity.similarity_statistics(one, "k", "v").count() == 0 and similarity.mean_similarity(one, "k", "v").count() == 0
