@@ -144,7 +144,7 @@ def guarded(step: Step, text: str | None) -> tuple[str | None, str]:
 
 
 def _mapped(df: DataFrame, column: str, names: Sequence[str], schema: str, row: Callable[[str | None], tuple]) -> DataFrame:
-    """df with new columns computed from a text column, a batch at a time."""
+    """df with new columns computed from a text column, a batch at a time; each different text of a batch once."""
     need(df, [column])
     df = df.drop(*names)
     at, columns = df.columns.index(column), df.columns
@@ -156,9 +156,9 @@ def _mapped(df: DataFrame, column: str, names: Sequence[str], schema: str, row:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [row(x) for x in batch.column(at).to_pylist()]
-            found = list(zip(*rows, strict=True)) or [() for _ in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t) for c, t in zip(found, kinds, strict=True)]], names=[*columns, *names])
+            texts = batch.column(at).dictionary_encode("encode")
+            found = list(zip(*[row(x) for x in texts.dictionary.to_pylist()], strict=True)) or [() for _ in kinds]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, t).take(texts.indices) for c, t in zip(found, kinds, strict=True)]], names=[*columns, *names])
 
     return df.mapInArrow(run, full)
 

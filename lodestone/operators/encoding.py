@@ -115,18 +115,22 @@ def _plogp(counts: Column, total: Column) -> Column:
     return F.aggregate(counts, F.lit(0.0), lambda s, c: s - (c / total) * F.log2(c / total))
 
 
-def token_entropy(text: Column, pattern: str = SMILES_TOKEN) -> Column:
-    """Shannon entropy of the tokens, in bits; 0 for none. Counts come from the sorted tokens, in one pass."""
-    found = F.array_sort(tokens(text, pattern))
+def entropy(found: Column) -> Column:
+    """Shannon entropy of an array of tokens, in bits; 0 for none."""
     n = F.size(found)
-    runs = F.transform(F.array_distinct(found), lambda t: (F.size(F.filter(found, lambda x: x == t))).cast("double"))
-    return F.when(n > 0, _plogp(runs, n)).when(text.isNotNull(), 0.0)
+    runs = F.transform(F.array_distinct(found), lambda t: (n - F.size(F.array_remove(found, t))).cast("double"))
+    return F.when(n > 0, _plogp(runs, n)).when(found.isNotNull(), 0.0)
+
+
+def token_entropy(text: Column, pattern: str = SMILES_TOKEN) -> Column:
+    return entropy(tokens(text, pattern))
 
 
 def complexity(df: DataFrame, column: str, metrics: Sequence[str] = ("branches", "num_tokens", "smiles_entropy")) -> DataFrame:
     """df with counts of branches, of tokens and the entropy of the tokens."""
-    known = {"branches": F.length(quoted(column)) - F.length(F.replace(quoted(column), F.lit("("), F.lit(""))), "num_tokens": F.size(tokens(quoted(column))), "smiles_entropy": token_entropy(quoted(column))}
+    known = {"branches": F.length(quoted(column)) - F.length(F.replace(quoted(column), F.lit("("), F.lit(""))), "num_tokens": F.size("_tokens"), "smiles_entropy": entropy(F.col("_tokens"))}
     unknown = [m for m in metrics if m not in known]
     if unknown:
         raise ValueError(f"unknown metrics: {unknown}; there are {list(known)}")
-    return df.withColumns({m: F.when(quoted(column).isNotNull(), known[m]) for m in metrics})
+    read = df.withColumn("_tokens", tokens(quoted(column)))  # once a row, for all metrics
+    return read.withColumns({m: F.when(quoted(column).isNotNull(), known[m]) for m in metrics}).drop("_tokens")

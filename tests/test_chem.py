@@ -112,3 +112,14 @@ def test_long_chains_are_written(spark):
 def test_weights_of_isotopes():
     assert S.descriptors(S.parse("[13CH3]CO"))["mol_weight"] == pytest.approx(47.0614, abs=1e-4)
     assert S.descriptors(S.parse("[2H]O[2H]"))["mol_weight"] == pytest.approx(20.0272, abs=1e-4)
+
+
+def test_each_text_of_a_batch_is_read_once(spark):
+    def once(x, seen=set()):  # noqa: B006
+        assert x not in seen
+        seen.add(x)
+        return (None if x is None else x + "!",)
+
+    df = spark.createDataFrame([("C",), ("CC",), (None,)] * 20 + [("CCC",)], "s string").coalesce(1)
+    got = [r.t for r in chem._mapped(df, "s", ["t"], "t string", once).collect()]
+    assert got == ["C!", "CC!", None] * 20 + ["CCC!"]
