@@ -212,3 +212,16 @@ def test_silhouette_against_distances(spark):
     df = spark.createDataFrame(rows, "v array<double>, c int")
     assert tuple(clustering.silhouette(df, "v", "c", noise=-1).first()) == (40, 4, pytest.approx(np.mean(want)))
     assert clustering.silhouette(df.where("c = 1"), "v", "c").first().silhouette is None
+
+
+@pytest.mark.parametrize("method,k", [("average", 4), ("complete", 3)])
+def test_linkage_in_rounds_is_the_dense_one(spark, method, k, monkeypatch):
+    monkeypatch.setattr(clustering, "DENSE_ROWS", 20)
+    monkeypatch.setattr(clustering, "_FINISH", 12)
+    monkeypatch.setattr(similarity, "_LEAST", 9)
+    monkeypatch.setattr(similarity, "_TILE", 5)
+    v = np.random.default_rng(k).normal(size=(60, 4))
+    v[0], v[1] = [40, 0, 0, 0], [0, 40, 0, 0]  # each other's nearest, and far
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    got = {r.k: r.cluster for r in clustering.hierarchical(df, "k", "v", k, method, "euclidean").collect()}
+    assert [got[i] for i in range(60)] == clustering.linkage_labels(1 - similarity.matrix("euclidean", v, v), k, method).tolist()
