@@ -225,3 +225,17 @@ def test_linkage_in_rounds_is_the_dense_one(spark, method, k, monkeypatch):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
     got = {r.k: r.cluster for r in clustering.hierarchical(df, "k", "v", k, method, "euclidean").collect()}
     assert [got[i] for i in range(60)] == clustering.linkage_labels(1 - similarity.matrix("euclidean", v, v), k, method).tolist()
+
+
+def test_spectral_in_rounds_is_the_dense_one(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "_LEAST", 9)
+    monkeypatch.setattr(similarity, "_TILE", 5)
+    rng = np.random.default_rng(1)
+    v = np.eye(4)[np.arange(40) % 3] + rng.random((40, 4)) / 4
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    for k in (3, None):
+        monkeypatch.setattr(clustering, "DENSE_ROWS", 5000)
+        dense = {r.k: r.cluster for r in clustering.spectral(df, "k", "v", k, "cosine").collect()}
+        monkeypatch.setattr(clustering, "DENSE_ROWS", 20)
+        got = {r.k: r.cluster for r in clustering.spectral(df, "k", "v", k, "cosine").collect()}
+        assert len(got) == 40 and len({(dense[i], got[i]) for i in range(40)}) == len(set(dense.values())) == len(set(got.values()))
