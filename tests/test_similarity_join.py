@@ -97,6 +97,28 @@ def test_butina_is_the_sequential_one(spark, seed, distance):
         assert {r.k: r.cluster for r in clustering.butina(df, "k", "v", distance, last=last).collect()} == plain_butina(rows, distance)
 
 
+@pytest.mark.parametrize("metric,tile", [("tanimoto", 7), ("cosine", 512), ("euclidean", 5)])
+def test_butina_of_crowded_rows_writes_no_links(spark, metric, tile, monkeypatch):
+    rng = np.random.default_rng(7)
+    v = np.array([x for _, x in bits(5, 60, 20, 0.4, copies=12)]) if metric == "tanimoto" else rng.normal(size=(60, 6))
+    distance = {"tanimoto": 0.7, "cosine": 0.8, "euclidean": 0.75}[metric]
+    near = similarity.matrix(metric, v, v) >= 1 - distance - 1e-12
+    want, left, number = {}, set(range(len(v))), 0
+    while left:
+        centre = min(left, key=lambda k: (-sum(j in left for j in np.flatnonzero(near[k])), k))
+        took = {centre} | set(np.flatnonzero(near[centre])) & left
+        want |= dict.fromkeys((int(k) for k in took), number)
+        left, number = left - took, number + 1
+    written, links = [], similarity.links
+    monkeypatch.setattr(simjoin, "TILE", tile)
+    monkeypatch.setattr(similarity, "_LEAST", 13)
+    monkeypatch.setattr(clustering, "_CROWDED", 2)
+    monkeypatch.setattr(similarity, "links", lambda rest, *more: written.append(rest.count()) or links(rest, *more))
+    df = spark.createDataFrame([(k, [float(y) for y in x]) for k, x in enumerate(v)], "k long, v array<double>")
+    assert {r.k: r.cluster for r in clustering.butina(df, "k", "v", distance, metric, last=0).collect()} == want
+    assert written[0] < len(v) / 2
+
+
 def test_dbscan_counts_copies(spark):
     rows = [(k, [1.0, 1.0, 0.0, 0.0]) for k in range(4)] + [(9, [1.0, 1.0, 1.0, 0.0]), (10, [0.0, 0.0, 0.0, 1.0])]
     got = {r.k: r.cluster for r in clustering.dbscan(spark.createDataFrame(rows, "k long, v array<double>"), "k", "v", 0.4, 5).collect()}
