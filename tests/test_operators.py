@@ -228,6 +228,19 @@ class TestDuplicates:
                 got = {r.s: r.upper for r in duplicates.bootstrap(df, ["s"]).collect()}
                 assert got == pytest.approx(want, abs=1e-9)
 
+    def test_bootstrap_weighs_a_place_once(self, monkeypatch):
+        numbers, weighed, weights = np.arange(50), [], duplicates.weights
+        monkeypatch.setattr(duplicates, "_PLACES", 40)
+        monkeypatch.setattr(duplicates, "weights", lambda places, n: weighed.append(len(places)) or weights(places, n))
+        kept = np.zeros((0, 50))
+        for places in (np.arange(30), np.arange(30), np.array([3, 1, 29]), np.arange(20, 40), np.arange(5, 39)):
+            kept = duplicates._known(kept, places, numbers)
+            assert (duplicates._weighted(kept, places, numbers) == weights(places, numbers)).all()
+        assert sum(weighed) == 40
+        far = np.array([39, 40, 1000])  # beyond what is kept
+        kept = duplicates._known(kept, far, numbers)
+        assert len(kept) == 40 and (duplicates._weighted(kept, far, numbers) == weights(far, numbers)).all()
+
     def test_weights_are_poisson(self):
         w = duplicates.weights(np.arange(2000), np.arange(500))
         assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs((w == 0).mean() - math.exp(-1)) < 0.005
