@@ -125,6 +125,28 @@ def test_dbscan_counts_copies(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 0, 10: -1}
 
 
+@pytest.mark.parametrize("metric", ["cosine", "tanimoto"])
+def test_dbscan_without_links(spark, metric, monkeypatch):
+    """Blobs, their border and noise, in strips of a few rows; no table of links is made."""
+    monkeypatch.setattr(similarity, "_LEAST", 11)
+    monkeypatch.setattr(similarity, "all_pairs", None)
+    monkeypatch.setattr(simjoin, "pairs", None)
+    rng = np.random.default_rng(3)
+    v = np.vstack([c + rng.normal(size=(22, 5)) * 0.35 for c in rng.normal(size=(3, 5))]) if metric == "cosine" else np.array([x for _, x in bits(4, 50, 14, 0.3, copies=6)])
+    keys, eps = rng.permutation(500)[: len(v)] - 100, 0.12 if metric == "cosine" else 0.45
+    near = similarity.matrix(metric, v, v) >= 1 - eps - 1e-12
+    np.fill_diagonal(near, True)
+    core = near.sum(1) >= 5
+    head = {int(i): int(keys[i]) for i in np.flatnonzero(core)}
+    while any(head[i] > head[j] for i in head for j in head if near[i, j]):
+        head = {i: min(head[j] for j in head if near[i, j]) for i in head}
+    numbers = {h: c for c, h in enumerate(sorted(set(head.values())))}
+    want = {int(keys[i]): numbers[min((head[j] for j in head if near[i, j]))] if i in head or any(near[i, j] for j in head) else -1 for i in range(len(v))}
+    df = spark.createDataFrame([(int(k), [float(y) for y in x]) for k, x in zip(keys, v)], "k long, v array<double>")
+    assert {r.k: r.cluster for r in clustering.dbscan(df, "k", "v", eps, 5, metric).collect()} == want
+    assert len(numbers) > 1 and -1 in want.values()
+
+
 @pytest.mark.parametrize("similar", [0.5, 0.8])
 def test_cliffs_with_copies_and_zero_activities(spark, similar):
     rng = random.Random(8)
