@@ -589,28 +589,52 @@ def fold_difference(a: Column, b: Column) -> Column:
     return F.when((a == 0) | (b == 0), F.lit(math.inf)).otherwise(F.greatest(a, b) / F.least(a, b))
 
 
+def _cliffs(fold: float) -> simjoin.Step:
+    """(k, n, f, j) of rows (id, v, y, n): for each with partners how many rows these are, and the least (-fold, id)."""
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("f", pa.float64()), ("j", pa.int64())])
+
+    def step(part: pa.Table, tiles: Iterator[tuple[np.ndarray, np.ndarray]], close: simjoin.Close, sims: Callable) -> pa.Table:
+        ids, y, n = (part.column(c).to_numpy() for c in ("id", "y", "n"))
+        total, least, best = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf), np.full(len(ids), np.iinfo(np.int64).max)
+        for left, right in tiles:
+            x, z = np.nonzero(close(left, right))
+            x, z = left[x], right[z]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                f = np.where((y[x] == 0) | (y[z] == 0), np.inf, np.maximum(y[x], y[z]) / np.minimum(y[x], y[z]))
+            some = np.flatnonzero((f > fold) | np.isnan(f))  # as in fold_difference, NaN is over all, and comes last
+            x, z, f = x[some], z[some], np.where(np.isnan(f[some]), np.inf, -f[some])
+            for own, other in ((x, z), (z, x)):
+                np.add.at(total, own, n[other])
+                order = np.lexsort((ids[other], f, own))
+                own, s, j = own[order], f[order], ids[other][order]
+                first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else order
+                own, s, j = own[first], s[first], j[first]
+                better = (s < least[own]) | ((s == least[own]) & (j < best[own]))
+                least[own[better]], best[own[better]] = s[better], j[better]
+        some = np.flatnonzero(total)
+        return pa.table([ids[some], total[some], least[some], best[some]], schema=schema)
+
+    return step
+
+
 def activity_cliffs(df: DataFrame, key: str, vector: str, activity: str, metric: str = "tanimoto", similar: float = 0.8, fold: float = 10.0) -> DataFrame:
     """df with is_activity_cliff_molecule (yes, no), n_activity_cliff_partners and strongest_cliff_partner: partners
     are more similar than `similar` and more than `fold` times as active or less; the strongest has the largest fold,
     ties to the smaller key.
 
     Classes of equal vectors meet as the different activities of their rows, each with its number of rows and smallest
-    key; copies are not expanded. Of rows without activity (a fold of zero by zero is infinite, too) one is not its own
+    key; copies are not expanded, and a meeting gives a row for each of them at most, no link. Of rows without activity (a fold of zero by zero is infinite, too) one is not its own
     partner, so those of a class are told the two smallest keys."""
     need(df, [activity])
     values = df.select(quoted(key).cast("long").alias("k"), quoted(activity).cast("double").alias("y")).where("y is not null and not isnan(y)")
-    close, nodes, members = linked(df, key, vector, metric, similar)
-    close = close.where(F.col("sim") > similar)
+    nodes, members = nodes_of(df, key, vector, metric, similar)
     rows = members.join(values, F.col("id") == F.col("k")).select("id", "rep", (F.col("y") + 0.0).alias("y"))
-    levels = rows.groupBy("rep", "y").agg(F.count("*").alias("n"), F.min("id").alias("k"))
-    links = close.select(F.col("i").alias("rep"), F.col("j").alias("other")).unionByName(close.select(F.col("j").alias("rep"), F.col("i").alias("other")))
-    if similar < 1:
-        links = links.unionByName(nodes.where("copies > 1").select(F.col("id").alias("rep"), F.col("id").alias("other")))
-    others = levels.select(F.col("rep").alias("other"), F.col("y").alias("yo"), "n", F.col("k").alias("ko"))
-    met = levels.select("rep", "y").join(links, "rep").join(others, "other").withColumn("f", fold_difference(F.col("y"), F.col("yo"))).where(F.col("f") > fold)
-    own = (F.col("rep") == F.col("other")) & (F.col("y") == 0) & (F.col("yo") == 0)
-    each = met.where(~own).groupBy("rep", "y").agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("f")).alias("f"), F.col("ko").alias("j"))).alias("s"))
-    zeros = met.where(own).select("rep", "y", (F.col("n") - 1).alias("more"), F.col("ko").alias("first")).where("more > 0")
+    levels = materialise(rows.groupBy("rep", "y").agg(F.count("*").alias("n"), F.min("id").alias("k")))
+    met = levels.join(nodes.select(F.col("id").alias("rep"), "v"), "rep").select(F.col("k").alias("id"), "v", "y", "n")
+    told = meetings(met, metric, similar, _cliffs(fold), "k long, n long, f double, j long", over=True)
+    each = told.groupBy("k").agg(F.sum("n").alias("n"), F.min(F.struct("f", "j")).alias("s")).join(levels.select("rep", "y", "k"), "k").select("rep", "y", "n", "s")
+    zeros = levels.where((F.col("y") == 0) & (F.col("n") > 1)).select("rep", "y", (F.col("n") - 1).alias("more"), F.col("k").alias("first"))
+    zeros = zeros if similar < 1 else zeros.limit(0)
     second = rows.where("y = 0").join(zeros, ["rep", "y"]).where(F.col("id") != F.col("first")).groupBy("rep", "y").agg(F.min("id").alias("second"))
     told = rows.join(each, ["rep", "y"], "left").join(zeros.join(second, ["rep", "y"]), ["rep", "y"], "left")
     among = F.when(F.col("first").isNotNull(), F.struct(F.lit(-math.inf).alias("f"), F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("j")))

@@ -147,6 +147,23 @@ def test_dbscan_without_links(spark, metric, monkeypatch):
     assert len(numbers) > 1 and -1 in want.values()
 
 
+@pytest.mark.parametrize("metric,similar", [("tanimoto", 0.4), ("cosine", 0.5)])
+def test_cliffs_without_links(spark, metric, similar, monkeypatch):
+    monkeypatch.setattr(similarity, "_LEAST", 9)
+    monkeypatch.setattr(similarity, "all_pairs", None)
+    monkeypatch.setattr(simjoin, "pairs", None)
+    rng = np.random.default_rng(12)
+    v = np.array([x for _, x in bits(7, 40, 14, 0.4, copies=8)]) if metric == "tanimoto" else rng.normal(size=(50, 4))
+    y = rng.choice([0.5, 1.0, 3.0, 20.0, 700.0], len(v))
+    s = similarity.matrix(metric, v, v)
+    want = {}
+    for i in range(len(v)):
+        best = sorted((-max(y[i], y[j]) / min(y[i], y[j]), j) for j in range(len(v)) if j != i and s[i, j] > similar and max(y[i], y[j]) / min(y[i], y[j]) > 10)
+        want[i] = (len(best), best[0][1] if best else None)
+    df = spark.createDataFrame([(k, [float(t) for t in x], float(z)) for k, (x, z) in enumerate(zip(v, y))], "k long, v array<double>, y double")
+    assert {r.k: (r.n_activity_cliff_partners, r.strongest_cliff_partner) for r in similarity.activity_cliffs(df, "k", "v", "y", metric, similar).collect()} == want
+
+
 @pytest.mark.parametrize("similar", [0.5, 0.8])
 def test_cliffs_with_copies_and_zero_activities(spark, similar):
     rng = random.Random(8)
