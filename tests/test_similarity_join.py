@@ -300,3 +300,14 @@ def test_spectral_in_rounds_is_the_dense_one(spark, monkeypatch):
         monkeypatch.setattr(clustering, "DENSE_ROWS", 20)
         got = {r.k: r.cluster for r in clustering.spectral(df, "k", "v", k, "cosine").collect()}
         assert len(got) == 40 and len({(dense[i], got[i]) for i in range(40)}) == len(set(dense.values())) == len(set(got.values()))
+
+
+def test_kmeans_leaves_keeping_rows_to_spark(spark, monkeypatch):
+    from pyspark.ml.clustering import KMeans
+
+    stored, fit = [], KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, data: stored.append(data.storageLevel) or fit(self, data))
+    df = spark.createDataFrame([(k, [float(k % 3 * 50 + k % 2), 1.0]) for k in range(30)], "k long, v array<double>")
+    out, told = clustering.kmeans(df, "v", 3, n_init=2)
+    assert len({(r.k % 3, r.cluster) for r in out.collect()}) == 3 and told["inertia"] == pytest.approx(7.5)
+    assert len(stored) == 2 and not any(s.useMemory or s.useDisk for s in stored)
