@@ -302,6 +302,60 @@ def test_spectral_in_rounds_is_the_dense_one(spark, monkeypatch):
         assert len(got) == 40 and len({(dense[i], got[i]) for i in range(40)}) == len(set(dense.values())) == len(set(got.values()))
 
 
+def test_a_round_of_linkage_writes_mergers_and_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "DENSE_ROWS", 20)
+    monkeypatch.setattr(clustering, "_FINISH", 12)
+    written, real = [], clustering.materialise
+    monkeypatch.setattr(clustering, "materialise", lambda df: written.append(df.columns) or real(df))
+    bits = np.random.default_rng(7).integers(0, 2, (30, 12)).astype(float)
+    bits[:2] = 0  # rows without a bit, and copies
+    bits[10:14] = bits[9]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(bits)], "k long, v array<double>")
+    got = {r.k: r.cluster for r in clustering.hierarchical(df, "k", "v", 4, "average", "tanimoto").collect()}
+    assert len(got) == 30 and len(set(got.values())) == 4
+    rounds = written.count(["i", "j", "d"])
+    assert rounds and ["head", "other", "d"] not in written
+
+
+@pytest.mark.parametrize("metric", similarity.METRICS)
+def test_kernel_is_the_matrix(metric):
+    v = np.random.default_rng(2).integers(0, 2, (9, 6)).astype(float)
+    v[4] = 0
+    sims = similarity.kernel(metric, v, v[:7])
+    for r, c in ((slice(0, 4), slice(0, 4)), (slice(4, 9), slice(2, 7)), (slice(3, 4), slice(6, 7))):
+        assert np.allclose(sims(r, c), similarity.matrix(metric, v[r], v[:7][c]), rtol=0, atol=1e-15)
+
+
+@pytest.mark.parametrize("method", ["average", "complete"])
+def test_merges_are_those_of_all_distances(method):
+    v = np.random.default_rng(4).normal(size=(60, 3))
+    d = ((v[:, None] - v[None]) ** 2).sum(2)
+    merged = clustering._merges(d, np.ones(60), method)
+    assert len(merged) == 59 and [h for _, _, h in merged] == sorted(h for _, _, h in merged)
+    top = {i: i for i in range(60)}
+    for i, j, _ in merged[:-5]:
+        top[next(clustering._up(top, j))] = next(clustering._up(top, i))
+    heads = [next(clustering._up(top, i)) for i in range(60)]
+    want = clustering.linkage_labels(d, 6, method)
+    assert len(set(zip(heads, want.tolist(), strict=True))) == 6 == len(set(heads))
+
+
+def test_spectral_rounds_are_few_where_eigenvalues_are_close(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "DENSE_ROWS", 20)
+    products, real = [], clustering._times
+    monkeypatch.setattr(clustering, "_times", lambda *a: products.append(a[2]) or real(*a))
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, (300, 40)).astype(float)
+    bits[:, :20] = np.repeat(np.eye(2), 10, axis=1)[np.arange(300) % 2]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(bits)], "k long, v array<double>")
+    got = {r.k: r.cluster for r in clustering.spectral(df, "k", "v", 2).collect()}
+    assert [got[i] for i in range(300)] == [i % 2 for i in range(300)]
+    products.clear()
+    monkeypatch.setattr(clustering, "_BASIS", 40)  # and with the leading columns kept alone
+    clustering.spectral(df, "k", "v", 6).collect()
+    assert len(products) <= 30
+
+
 def test_kmeans_leaves_keeping_rows_to_spark(spark, monkeypatch):
     from pyspark.ml.clustering import KMeans
 
