@@ -401,9 +401,79 @@ def similarity_statistics(df: DataFrame, key: str, vector: str, metric: str = "t
     """(i, mean_sim, median_sim, max_sim, min_sim, n_similar) of each row with all others; n_similar counts those over
     the threshold. A row without another has none."""
     side = _side(df, key, vector)
+    if metric == "tanimoto" and size is None:
+        side = materialise(side)
+        n, first = side.count(), side.select(F.size("v").alias("n")).first()
+        if n <= _PACKED and first and (first.n + 1) ** 2 <= _CODES:
+            return _bit_statistics(side, first.n, n, threshold)
     return _row_statistics(side, side, metric, threshold, True, size).select(F.col("q").alias("i"), "mean_sim", "median_sim", "max_sim", "min_sim", "n_similar")
 
 
+#: Rows that a task may hold as packed bits, pairs of common bits and bits of the other row that are counted for a row,
+#: rows that ask in a task, and rows that are compared at a time.
+_PACKED, _CODES, _ASKING, _SLICE = 4_000_000, 8192, 16384, (32, 8192)
+
+
+def _bit_statistics(side: DataFrame, width: int, n: int, threshold: float) -> DataFrame:
+    """similarity_statistics of short bit vectors (id, v), in one pass: a row's similarities follow from how many others
+    have so many bits, and so many in common with it. A strip of rows meets all rows as packed bits (a few bytes each)
+    and counts that, so its medians are found there: no pair, bin or sum leaves the task, only the results."""
+    base = width + 1
+    codes = base * base
+    schema = pa.schema([("i", pa.int64()), *[(c, pa.float64()) for c in ("mean_sim", "median_sim", "max_sim", "min_sim")], ("n_similar", pa.int64())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            if (np.diff(batch.column(1).offsets.to_numpy()) != width).any():
+                raise ValueError("all vectors must have one length")
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), width)
+            if not ((v == 0) | (v == 1)).all():
+                raise ValueError("tanimoto needs vectors of 0 and 1")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in np.packbits(v.astype(np.uint8), axis=1)], pa.binary())], names=["id", "bits"])
+
+    def unpacked(bits: np.ndarray) -> np.ndarray:
+        return np.unpackbits(bits, axis=1, count=width).astype(np.float32)
+
+    def run(part: pa.Table) -> pa.Table:
+        mine = part.column("id").is_valid().to_numpy()
+        bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint8).reshape(part.num_rows, -1)
+        ids, own, others = part.column("id").drop_null().to_numpy(), bits[mine], bits[~mine]
+        few, many = _SLICE
+        place = np.empty(few * many, np.int64)
+        rows = []
+        for top in range(0, len(own), few):
+            x = unpacked(own[top : top + few])
+            # The product is the number of the row, the bits in common and the other's bits in one: exact up to 2^24.
+            left = np.column_stack([x * base, np.ones(len(x)), np.arange(len(x)) * codes]).astype(np.float32)
+            counts = np.zeros(len(x) * codes, np.int64)
+            for low in range(0, len(others), many):
+                y = unpacked(others[low : low + many])
+                right = np.column_stack([y, y.sum(1), np.ones(len(y))]).astype(np.float32)
+                at = place[: len(x) * len(y)]
+                np.copyto(at.reshape(len(x), len(y)), left @ right.T, casting="unsafe")
+                counts += np.bincount(at, minlength=len(counts))
+            for k, (row, a) in enumerate(zip(counts.reshape(len(x), codes), x.sum(1).astype(np.int64), strict=True)):
+                row[a * base + a] -= 1  # itself
+                some = np.flatnonzero(row)
+                if len(some):
+                    both, bits_ = np.divmod(some, base)
+                    s = both / np.maximum(a + bits_ - both, 1)
+                    order = np.argsort(s)
+                    s, number = s[order], row[some][order]
+                    upto = np.cumsum(number)
+                    middle = s[np.searchsorted(upto, [(upto[-1] - 1) // 2, upto[-1] // 2], side="right")].mean()
+                    rows.append((int(ids[top + k]), float(s @ number / upto[-1]), float(middle), float(s[-1]), float(s[0]), int(number[s > threshold].sum())))
+        return pa.table([list(c) for c in zip(*rows, strict=True)], schema=schema) if rows else schema.empty_table()
+
+    packed = materialise(side.select("id", "v").mapInArrow(pack, "id long, bits binary"))
+    strips = max(32, _blocks(n, _ASKING))
+    asking = packed.select(F.pmod(F.xxhash64("id"), F.lit(strips)).cast("int").alias("lo"), "id", "bits")
+    asked = packed.select(F.explode(F.sequence(F.lit(0), F.lit(strips - 1))).alias("lo"), F.lit(None).cast("long").alias("id"), "bits")
+    return asking.unionByName(asked).groupBy("lo").applyInArrow(run, "i long, mean_sim double, median_sim double, max_sim double, min_sim double, n_similar long")
+
+
 #: Bins of a round of a row's median.
 _BINS = 32
 

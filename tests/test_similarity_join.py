@@ -317,6 +317,23 @@ def test_a_round_of_linkage_writes_mergers_and_rows_alone(spark, monkeypatch):
     assert rounds and ["head", "other", "d"] not in written
 
 
+@pytest.mark.parametrize("n", [2, 41])
+def test_statistics_of_short_bit_vectors_take_one_meeting(spark, n, monkeypatch):
+    monkeypatch.setattr(similarity, "_SLICE", (4, 7))
+    monkeypatch.setattr(similarity, "_ASKING", 9)
+    v = np.random.default_rng(n).integers(0, 2, (n, 10)).astype(float)
+    v[1] = 0
+    v[n // 2 :][:3] = v[0]
+    df = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    monkeypatch.setattr(similarity, "_row_statistics", None)  # rounds of bins
+    got = {r.i: tuple(r)[1:] for r in similarity.similarity_statistics(df, "k", "v", threshold=0.5).collect()}
+    s = similarity.matrix("tanimoto", v, v)
+    for i in range(n):
+        x = np.delete(s[i], i)
+        assert got[i * 3] == pytest.approx((x.mean(), np.median(x), x.max(), x.min(), (x > 0.5).sum()), abs=1e-12)
+    assert len(got) == n
+
+
 @pytest.mark.parametrize("metric", similarity.METRICS)
 def test_kernel_is_the_matrix(metric):
     v = np.random.default_rng(2).integers(0, 2, (9, 6)).astype(float)
