@@ -317,6 +317,38 @@ def test_a_round_of_linkage_writes_mergers_and_rows_alone(spark, monkeypatch):
     assert rounds and ["head", "other", "d"] not in written
 
 
+def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
+    written, real = [], clustering.materialise
+    monkeypatch.setattr(clustering, "materialise", lambda df: written.append(1) or real(df))
+    chain = np.random.default_rng(1).permutation(300).tolist()
+    pairs = [(a, b) for a, b in zip(chain, chain[1:], strict=False) if chain.index(a) not in (99, 199)] + [(500, 500)]
+    got = {r.node: r.head for r in clustering._components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    want = {x: min(part) for part in (chain[:100], chain[100:200], chain[200:], [500]) for x in part}
+    assert got == want and len(written) <= 45
+
+
+@pytest.mark.parametrize("nearest", [2, 3])
+def test_single_linkage_takes_few_meetings_of_all_rows(spark, nearest, monkeypatch):
+    monkeypatch.setattr(similarity, "_NEAREST", nearest)
+    monkeypatch.setattr(similarity, "_LEAST", 9)
+    monkeypatch.setattr(similarity, "_TILE", 5)
+    meetings, real = [], clustering.best_links
+    monkeypatch.setattr(clustering, "best_links", lambda *a: meetings.append(1) or real(*a))
+    rng = np.random.default_rng(nearest)
+    v = rng.normal(size=(40, 3))
+    v[:20] += [30, 0, 0] if nearest == 2 else [0, 0, 0]
+    v[30:35] = v[29]  # copies
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    tree = clustering.spanning_forest(df, "k", "v", "cosine").collect()
+    s, head, want = np.round(similarity.matrix("cosine", v, v), 12), list(range(40)), set()
+    for _, i, j in sorted((-s[i, j], i, j) for i in range(40) for j in range(i + 1, 40)):
+        if head[i] != head[j]:
+            want.add((i, j))
+            head = [head[i] if h == head[j] else h for h in head]
+    assert {(r.i, r.j) for r in tree} == want and len(tree) == 39
+    assert len(meetings) <= 2
+
+
 @pytest.mark.parametrize("n", [2, 41])
 def test_statistics_of_short_bit_vectors_take_one_meeting(spark, n, monkeypatch):
     monkeypatch.setattr(similarity, "_SLICE", (4, 7))
