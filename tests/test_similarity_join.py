@@ -317,6 +317,22 @@ def test_a_round_of_linkage_writes_mergers_and_rows_alone(spark, monkeypatch):
     assert rounds and ["head", "other", "d"] not in written
 
 
+@pytest.mark.parametrize("metric", ["manhattan", "cosine"])
+def test_statistics_of_many_pairs_take_one_meeting(spark, metric, monkeypatch):
+    for name, x in (("_MANY", 50), ("_GROUP", 40), ("_SIDE", 8), ("_TILE", 8), ("_LEAST", 30)):
+        monkeypatch.setattr(similarity, name, x)
+    meetings, real = [], similarity._around
+    monkeypatch.setattr(similarity, "_around", lambda *a: meetings.append(a) or real(*a))
+    v = np.random.default_rng(6).normal(size=(90, 5)) / 8
+    v[40] = v[3]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "k long, v array<double>")
+    got = similarity.pair_statistics(df, "k", "v", metric).first()
+    x = similarity.matrix(metric, v, v)[np.triu_indices(90, 1)]
+    assert got.n_pairs == len(x) and tuple(got)[1:] == pytest.approx((x.mean(), np.median(x), x.min(), x.max()), abs=1e-7)
+    assert (got.median, got.min, got.max) == pytest.approx((np.median(x), x.min(), x.max()), abs=1e-14)
+    assert len(meetings) == 1
+
+
 def test_components_of_a_chain_take_few_rounds(spark, monkeypatch):
     written, real = [], clustering.materialise
     monkeypatch.setattr(clustering, "materialise", lambda df: written.append(1) or real(df))
